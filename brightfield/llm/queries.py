@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightfield.llm import bpe, debruijn, licenses, quality, secrets, suffixes, tokenfile, warc
+from brightfield.llm import bpe, debruijn, decontaminate, licenses, quality, secrets, suffixes, tokenfile, warc
 
 
 def vocabulary() -> str:
@@ -53,6 +53,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_labels(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = secrets.scan_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -61,7 +65,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_token_files, op4_quality, op5_warc, op7_substring_dedup, op8_licenses, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_token_files, op4_quality, op5_warc, op7_substring_dedup, op8_licenses, op9_decontaminate, op10_secrets)}
 
 _QUALITY_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
