@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightfield.llm import bpe, debruijn, decontaminate, licenses, quality, secrets, suffixes, tokenfile, warc
+from brightfield.llm import bpe, debruijn, decontaminate, licenses, nearcopies, quality, secrets, suffixes, tokenfile, warc
 
 
 def vocabulary() -> str:
@@ -43,6 +43,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = debruijn.remove_earlier(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -65,7 +69,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_token_files, op4_quality, op5_warc, op7_substring_dedup, op8_licenses, op9_decontaminate, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_token_files, op4_quality, op5_warc, op6_near_copies, op7_substring_dedup, op8_licenses, op9_decontaminate, op10_secrets)}
 
 _QUALITY_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),

@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightfield.llm import bpe, quality, queries, secrets
+from brightfield.llm import bpe, decontaminate, nearcopies, quality, queries, secrets
 from brightfield.llm.common import materialize, quoted
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     return quality.keep_good(docs).select(*docs.columns)
 
 
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class, that with the smallest doc_id."""
+    return nearcopies.keep_one(docs).select(*docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark table."""
+    return decontaminate.drop_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; the text of every span found is replaced by [SECRET]."""
     return secrets.redact(docs).select(*docs.columns)
@@ -28,6 +36,8 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_stage),
+    ("MinHash near-dedup", near_copies_stage),
+    ("benchmark decontamination", benchmark_stage),
     ("secret scans", secrets_stage),
     ("BPE encoding and decoding", bpe_stage),
 ]
