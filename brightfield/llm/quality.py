@@ -77,7 +77,8 @@ BASE_RULES = (
 OWN_RULES = (
     Rule("symbols", lambda s: 10 * s["n_symbols"] > s["n_words"]),
     Rule("word_length", lambda s: (s["word_chars"] < 2 * s["n_words"]) | (s["word_chars"] > 15 * s["n_words"])),
-    Rule("repeated_lines", lambda s: 10 * s["n_dup_lines"] > 3 * s["n_lines"]),
+    # a heading or footer that stands twice among a handful of lines is no fault
+    Rule("repeated_lines", lambda s: (10 * s["n_dup_lines"] > 3 * s["n_lines"]) & (s["n_lines"] >= 10)),
 )
 RULES = BASE_RULES + OWN_RULES
 

@@ -86,7 +86,7 @@ s AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-            OR 10 * n_dup_lines > 3 * n_lines) AS kept FROM b
+            OR (10 * n_dup_lines > 3 * n_lines AND n_lines >= 10)) AS kept FROM b
 """
 
 _WARC_SQL = """
