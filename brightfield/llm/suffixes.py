@@ -1,17 +1,16 @@
 """Operator 1: suffix-array deduplication of bytes by distributed prefix doubling on sampled positions.
 
-Sorting a position-rank pair for every byte would shuffle many times the input. Positions are sampled
-first (sampling.py): Spark counts the sampled grams, and a position whose gram is unique stands for no
-repeat. Of the rest, those whose whole region occurs twice are decided. Only the windows of the others
-enter the rounds of prefix doubling, where (rank, name of the next bytes) pairs at offsets 50 and 100 are
-grouped, get their rank from the pair, and leave as soon as they are unique; what is left after 200 bytes
-repeats. All steps are exact but for 64-bit hashes, of which two independent ones must agree.
+Sorting a position-rank pair for every byte would shuffle many times the input, so the rounds run on
+sampled positions (sampling.py) and lengthen what is compared until a position is unique or past the
+threshold: 32-byte grams first (unique grams stand for no repeat), then the whole region of windows around
+the gram (regions that occur twice are decided), then blocks of 16 windows, whose common 185 bytes must
+occur twice and whose union decides them all, and last the 200-byte windows of the blocks still open. Each
+round groups (rank, name) pairs, and only what it leaves open enters the next. All steps are exact but for
+64-bit hashes, of which two independent ones must agree.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,13 +18,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightfield.llm.common import materialize, quoted, slices
-from brightfield.llm.sampling import BYTE_CODE, covered, passes, pieces, signed, sketch, text_bytes
+from brightfield.llm.sampling import BYTE_CODE, PRIME, covered, mix, passes, pieces, signed, sketch, text_bytes
 
 LENGTH = 200
 GRAM = 32
 
-ANCHORS = "doc long, row long, gram long, region long, lo long, n int"
-WINDOWS = "gram long, region long, names array<struct<a:long,b:long,c:long>>"
+#: Windows in a block, by their distance to the gram.
+BLOCK = 16
+
+ANCHORS = "doc long, row long, gram long, region long, at long, lo long, n int"
+BLOCKS = "gram long, region long, blocks array<struct<key:long,whole:long,low:int,high:int>>"
+WINDOWS = "key long, whole long, low int, names array<long>"
 
 
 def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -60,42 +63,76 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
             for part in slices(batch, "text"):
                 for found, add in _anchors(part, length, gram):
                     f = found.keep(passes(repeated, found.gram))
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(f.text)), part.column(1).take(pa.array(f.text)), signed(f.gram), signed(f.region), pa.array(f.local(f.lo) + add[f.text]), pa.array((f.hi - f.lo + 1).astype(np.int32))], names=["doc", "row", "gram", "region", "lo", "n"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(f.text)), part.column(1).take(pa.array(f.text)), signed(f.gram), signed(f.region), pa.array(f.local(f.at) + add[f.text]), pa.array(f.local(f.lo) + add[f.text]), pa.array((f.hi - f.lo + 1).astype(np.int32))], names=["doc", "row", "gram", "region", "at", "lo", "n"])
 
     sampled = materialize(rows.mapInArrow(anchors, ANCHORS), "suffix-anchors")
-    classes = sampled.groupBy("gram", "region").agg(F.count("*").alias("count"), F.first("n").alias("n"))
-    classes = materialize(classes, "suffix-classes")
-    shared = classes.groupBy("gram").agg(F.count("*").alias("m"), F.min("count").alias("least")).where("m > 1 and least = 1").select("gram")
-    open_ = materialize(classes.join(shared, "gram"), "suffix-open")
+    regions = materialize(sampled.groupBy("gram", "region").agg(F.count("*").alias("count")), "suffix-regions")
+    open_ = materialize(_open(regions, ["gram"]), "suffix-open")
     wanted = sketch(open_, "gram")
-    half, quarter = length // 2, length // 4
+
+    def blocks(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for found, _ in _anchors(part, length, gram):
+                    f = found.keep(passes(wanted, found.gram))
+                    key, whole, low, high, cuts = _blocks(f, length)
+                    struct = pa.StructArray.from_arrays([signed(key), signed(whole), pa.array(low, pa.int32()), pa.array(high, pa.int32())], names=["key", "whole", "low", "high"])
+                    yield pa.RecordBatch.from_arrays([signed(f.gram), signed(f.region), pa.ListArray.from_arrays(pa.array(cuts), struct)], names=["gram", "region", "blocks"])
+
+    named = rows.select("text").mapInArrow(blocks, BLOCKS).groupBy("gram", "region").agg(F.first("blocks").alias("blocks"))
+    block = materialize(named.join(open_, ["gram", "region"]).select("gram", "region", "count", F.explode("blocks").alias("b")).select("gram", "region", "count", "b.*"), "suffix-blocks")
+    wholes = materialize(block.groupBy("key", "whole").agg(F.sum("count").alias("count")), "suffix-wholes")
+    left = materialize(_open(wholes, ["key"]), "suffix-left")
+    last = sketch(left, "key")
 
     def windows(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 for found, _ in _anchors(part, length, gram):
                     f = found.keep(passes(wanted, found.gram))
-                    n = f.hi - f.lo + 1
+                    key, whole, low, high, cuts = _blocks(f, length)
+                    go = passes(last, key)
+                    at = np.repeat(f.at, np.diff(cuts))[go]
+                    key, whole, low, n = key[go], whole[go], low[go], (high - low + 1)[go]
                     ends = np.cumsum(n)
-                    at = np.repeat(f.lo - ends + n, n) + np.arange(int(n.sum()))
-                    names = [found.hashed.of(at, quarter), found.hashed.of(at + quarter, half - quarter), found.hashed.of(at + half, length - half)]
-                    struct = pa.StructArray.from_arrays([signed(x) for x in names], names=["a", "b", "c"])
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), struct)
-                    yield pa.RecordBatch.from_arrays([signed(f.gram), signed(f.region), lists], names=["gram", "region", "names"])
-
-    named = rows.select("text").mapInArrow(windows, WINDOWS).groupBy("gram", "region").agg(F.first("names").alias("names"))
-    positions = named.join(open_, ["gram", "region"]).select("gram", "region", "count", F.posexplode("names").alias("j", "name"))
-    # rank 0 is the gram's; each round pairs it with the name of the bytes that follow
-    ranked = positions.select("gram", "region", "count", "j", F.col("gram").alias("rank"), F.col("name.a").alias("a"), F.col("name.b").alias("b"), F.col("name.c").alias("c"))
-    ranked = materialize(ranked, "suffix-rank-0")
-    for step, name in enumerate(("a", "b", "c"), 1):
-        pairs = ranked.groupBy("rank", name).agg(F.sum("count").alias("total")).where("total > 1").select("rank", name)
-        ranked = ranked.join(pairs, ["rank", name]).withColumn("rank", F.xxhash64("rank", name)).drop(name)
-        ranked = materialize(ranked, f"suffix-rank-{step}")
-    partly = ranked.where("count = 1").groupBy("gram", "region").agg(F.sort_array(F.collect_list("j")).alias("js"))
-    whole = sampled.join(classes.where("count > 1").select("gram", "region"), ["gram", "region"]).select("doc", "row", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end"))
-    single = sampled.join(partly, ["gram", "region"]).select("doc", "row", "lo", F.explode("js").alias("j")).select("doc", "row", (F.col("lo") + F.col("j")).alias("start"), (F.col("lo") + F.col("j") + length).alias("end"))
-    return whole.unionByName(single)
+                    distance = np.repeat(low - ends + n, n) + np.arange(int(n.sum()))
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), signed(f.hashed.of(np.repeat(at, n) - distance, length)))
+                    yield pa.RecordBatch.from_arrays([signed(key), signed(whole), pa.array(low, pa.int32()), lists], names=["key", "whole", "low", "names"])
+
+    single = rows.select("text").mapInArrow(windows, WINDOWS).groupBy("key", "whole").agg(F.first("low").alias("low"), F.first("names").alias("names"))
+    single = single.join(left, ["key", "whole"]).select("key", "whole", "count", "low", F.posexplode("names").alias("j", "name"))
+    single = materialize(single.select("key", "whole", "count", (F.col("low") + F.col("j")).alias("d"), "name"), "suffix-windows")
+    twice = single.groupBy("key", "d", "name").agg(F.sum("count").alias("total")).where("total > 1").select("key", "d", "name")
+    hits = single.where("count = 1").join(twice, ["key", "d", "name"]).groupBy("key", "whole").agg(F.collect_list("d").alias("ds"))
+
+    once = block.where("count = 1").select("gram", "region", "key", "whole", "low", "high")
+    by_block = once.join(wholes.where("count > 1"), ["key", "whole"]).select("gram", "region", F.struct("low", "high").alias("d"))
+    by_window = once.join(hits, ["key", "whole"]).select("gram", "region", F.explode("ds").alias("d")).select("gram", "region", F.struct(F.col("d").alias("low"), F.col("d").alias("high")).alias("d"))
+    partly = by_block.unionByName(by_window).groupBy("gram", "region").agg(F.collect_list("d").alias("ds"))
+    entire = sampled.join(regions.where("count > 1").select("gram", "region"), ["gram", "region"]).select("doc", "row", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end"))
+    pieces_ = sampled.join(partly, ["gram", "region"]).select("doc", "row", "at", F.explode("ds").alias("d")).select("doc", "row", (F.col("at") - F.col("d.high")).alias("start"), (F.col("at") - F.col("d.low") + length).alias("end"))
+    return entire.unionByName(pieces_)
+
+
+def _open(ranked: DataFrame, rank: list[str]) -> DataFrame:
+    """Rows whose rank holds several names, one of them seen once: the next, longer names decide those."""
+    groups = ranked.groupBy(*rank).agg(F.count("*").alias("m"), F.min("count").alias("least")).where("m > 1 and least = 1").select(*rank)
+    return ranked.join(groups, rank)
+
+
+def _blocks(f, length: int):
+    """Blocks of up to BLOCK windows of each anchor: key (gram, block and the bytes that all its windows share), name of the whole, least and largest distance to the gram; and the cuts between anchors."""
+    low, high = f.at - f.hi, f.at - f.lo
+    first = low // BLOCK
+    n = high // BLOCK - first + 1
+    ends = np.cumsum(n)
+    each = np.repeat(np.arange(len(n)), n)
+    b = np.repeat(first - ends + n, n) + np.arange(int(n.sum()))
+    at, low, high = f.at[each], np.maximum(low[each], b * BLOCK), np.minimum(high[each], b * BLOCK + BLOCK - 1)
+    shared = f.hashed.of(at - b * BLOCK, length - BLOCK + 1)
+    key = mix(f.gram[each] + b.astype(np.uint64) * np.uint64(PRIME)) ^ shared
+    whole = mix(f.hashed.of(at - high, length + high - low) + (low * length + high).astype(np.uint64))
+    return mix(key), whole, low, high, np.concatenate([[0], ends]).astype(np.int32)
 
 
 OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
@@ -137,7 +174,3 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=OUT.names)
 
     return clean.unionByName(others).mapInArrow(cut, OUT)
-
-
-def digest(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()
