@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from brightfield.plans import ingest_queries  # noqa: F401
+from brightfield.plans.registry import QUERIES, SQL
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return QUERIES["i01_frame_manifest"](spark, sf_dir)
+
+
+__all__ = ["QUERIES", "SQL", "flagship"]
