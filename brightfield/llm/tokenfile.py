@@ -194,7 +194,7 @@ def write_token_files(df: DataFrame, vocabulary: str, root: str, key: str = "doc
     fs, base = filesystem(root)
     fs.create_dir(base, recursive=True)
     rows = df.select(quoted(key).cast("long").alias("__key"), quoted(text).alias("__text"))
-    rows = rows.repartitionByRange(partitions(df.sparkSession), F.col("__key"), F.col("__text")).sortWithinPartitions("__key", "__text")
+    rows = rows.repartitionByRange(partitions(df.sparkSession), F.col("__key")).sortWithinPartitions("__key", "__text")
 
     def write(batches):
         from pyspark import TaskContext
