@@ -5,7 +5,7 @@ same text. Nodes that always follow one another are compacted: a node is joined
 and where each is the other's only neighbour they belong to one path. A path occurs in the same
 documents all along, so it is decided as a whole from its smallest document; spans come from the
 coordinates of its sources. Where nodes with one k-mer differ around it, their 50-word windows are
-compared one by one, by two 64-bit names.
+compared one by one, by the 64-bit names of window and k-mer.
 """
 
 from __future__ import annotations
@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightfield.llm.common import materialize, slices
-from brightfield.llm.sampling import PRIME, covered, mix, passes, pieces, signed, sketch, text_bytes, word_units
+from brightfield.llm.sampling import BATCH, PRIME, covered, mix, passes, pieces, signed, sketch, text_bytes, word_units
 from brightfield.llm.suffixes import _rows
 
 LENGTH = 50
 GRAM = 12
 
 NODES = "doc long, row long, gram long, node long, before long, after long, lo long, n int"
-WINDOWS = "node long, names array<struct<a:long,b:long>>"
+WINDOWS = "node long, names array<long>"
 
 
 def _anchors(batch: pa.RecordBatch, length: int, gram: int):
@@ -48,7 +48,7 @@ def earlier_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length
 
     def grams(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BATCH):
                 for found, _ in _anchors(part, length, gram):
                     yield pa.RecordBatch.from_arrays([signed(found.gram)], names=["gram"])
 
@@ -56,7 +56,7 @@ def earlier_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length
 
     def nodes(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BATCH):
                 for found, add in _anchors(part, length, gram):
                     f = found.keep(passes(repeated, found.gram))
                     node = _node(f)
@@ -86,23 +86,20 @@ def earlier_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length
     wanted = sketch(open_, "node")
 
     def windows(batches):
-        half = length // 2
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BATCH):
                 for found, _ in _anchors(part, length, gram):
                     f = found.keep(passes(wanted, _node(found)))
                     n = f.hi - f.lo + 1
                     ends = np.cumsum(n)
                     at = np.repeat(f.lo - ends + n, n) + np.arange(int(n.sum()))
-                    names = [found.hashed.of(at, length), found.hashed.of(at + half, length - half)]
-                    struct = pa.StructArray.from_arrays([signed(x) for x in names], names=["a", "b"])
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), struct)
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), signed(found.hashed.of(at, length)))
                     yield pa.RecordBatch.from_arrays([signed(_node(f)), lists], names=["node", "names"])
 
     named = rows.select("text").mapInArrow(windows, WINDOWS).groupBy("node").agg(F.first("names").alias("names"))
-    each = materialize(named.join(open_, "node").select("node", "gram", "lowest", F.posexplode("names").alias("j", "w")).select("node", "gram", "lowest", "j", "w.a", "w.b"), "debruijn-windows")
-    least = each.groupBy("gram", "a", "b").agg(F.min("lowest").alias("least"), F.max("lowest").alias("most")).where("least < most").select("gram", "a", "b", "least")
-    found = each.join(least, ["gram", "a", "b"]).where("least < lowest").groupBy("node").agg(F.sort_array(F.collect_list("j")).alias("js"))
+    each = materialize(named.join(open_, "node").select("node", "gram", "lowest", F.posexplode("names").alias("j", "name")), "debruijn-windows")
+    least = each.groupBy("gram", "name").agg(F.min("lowest").alias("least"), F.max("lowest").alias("most")).where("least < most").select("gram", "name", "least")
+    found = each.join(least, ["gram", "name"]).where("least < lowest").groupBy("node").agg(F.sort_array(F.collect_list("j")).alias("js"))
     single = sampled.join(found, "node").select("doc", "row", "lo", F.explode("js").alias("j")).select("doc", "row", (F.col("lo") + F.col("j")).alias("start"), (F.col("lo") + F.col("j") + length).alias("end"))
     return whole.unionByName(loose).unionByName(single)
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 PRIME = 0x9E3779B97F4A7C15
 #: Units of a text that are hashed at once; longer texts are cut into pieces whose windows do not overlap.
 PIECE = 1 << 21
+#: Bytes of text in a batch: every byte takes part in some twenty 64-bit arrays.
+BATCH = 1 << 19
 #: log2 of the bits in a sketch: 1 MB, whatever the input's size.
 SKETCH_BITS = 23
 BLANK = np.zeros(256, dtype=bool)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightfield.llm.common import materialize, quoted, slices
-from brightfield.llm.sampling import BYTE_CODE, PRIME, covered, mix, passes, pieces, signed, sketch, text_bytes
+from brightfield.llm.sampling import BATCH, BYTE_CODE, PRIME, covered, mix, passes, pieces, signed, sketch, text_bytes
 
 LENGTH = 200
 GRAM = 32
@@ -52,7 +52,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
     def grams(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BATCH):
                 for found, _ in _anchors(part, length, gram):
                     yield pa.RecordBatch.from_arrays([signed(found.gram)], names=["gram"])
 
@@ -60,7 +60,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
     def anchors(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BATCH):
                 for found, add in _anchors(part, length, gram):
                     f = found.keep(passes(repeated, found.gram))
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(f.text)), part.column(1).take(pa.array(f.text)), signed(f.gram), signed(f.region), pa.array(f.local(f.at) + add[f.text]), pa.array(f.local(f.lo) + add[f.text]), pa.array((f.hi - f.lo + 1).astype(np.int32))], names=["doc", "row", "gram", "region", "at", "lo", "n"])
@@ -72,7 +72,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
     def blocks(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BATCH):
                 for found, _ in _anchors(part, length, gram):
                     f = found.keep(passes(wanted, found.gram))
                     key, whole, low, high, cuts = _blocks(f, length)
@@ -87,7 +87,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
     def windows(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BATCH):
                 for found, _ in _anchors(part, length, gram):
                     f = found.keep(passes(wanted, found.gram))
                     key, whole, low, high, cuts = _blocks(f, length)
