@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brightfield.plans import image_queries, ingest_queries  # noqa: F401
+from brightfield.plans import image_queries, ingest_queries, trace_queries  # noqa: F401
 from brightfield.plans.registry import QUERIES, SQL
 
 
