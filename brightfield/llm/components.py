@@ -1,34 +1,5 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components, as the library has them."""
 
-from __future__ import annotations
+from brightfield.operators.graph import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from brightfield.llm.common import materialize
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of all nodes with an edge; component is the smallest node.
-
-    Every round, nodes link their larger neighbours to the smallest one around them, first all of them
-    (large star), then the smaller ones (small star). The smallest neighbour is a pre-aggregated minimum, and
-    the join that hands it out lets Spark split a hot node. Rounds grow with the logarithm of the longest
-    chain; each is written, so that lineage stays short. Self-loops and repeated edges change nothing.
-    """
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    now = materialize(now, "components")
-    before = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u <> v").distinct(), "components")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = materialize(small.where("u <> v").distinct(), "components")
-        state = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("h")).first()
-        if state == before:
-            break
-        before = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+__all__ = ["connected_components"]
