@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,23 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage is cut and lost executors cost nothing."""
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Within it, jobs hand Python batches of so many rows: texts and arrays are long, and a batch is held on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def materialize(df: DataFrame, label: str, rows: int = 1000) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: lineage is cut and lost executors cost nothing. `rows` bounds Arrow batches."""
     path = new_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    with arrow_rows(df.sparkSession, rows):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

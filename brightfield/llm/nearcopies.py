@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from brightfield.llm.common import materialize, quoted, slices
 from brightfield.llm.components import connected_components
-from brightfield.llm.sampling import Hashed, mix, passes, signed, sketch, text_bytes, word_units
+from brightfield.llm.sampling import BATCH, Hashed, mix, passes, signed, sketch, text_bytes, word_units
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -111,13 +111,13 @@ def _verify(rows: DataFrame, pairs: DataFrame, size: int, similarity: float) ->
         for batch in batches:
             hit = passes(wanted, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
             batch = batch.filter(pa.array(hit))
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BATCH):
                 text, h, n = shingles(part.column(1), size)
                 cuts = pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(cuts, signed(h)), pa.ListArray.from_arrays(cuts, pa.array(n.astype(np.int32)))], names=["tid", "h", "n"])
 
     made = rows.select("tid", "text").mapInArrow(shingle, "tid long, h array<long>, n array<int>")
-    made = materialize(made.join(tids, "tid", "left_semi").groupBy("tid").agg(F.first(F.struct("h", "n")).alias("s")), "near-shingles")
+    made = materialize(made.groupBy("tid").agg(F.first(F.struct("h", "n")).alias("s")).join(tids, "tid", "left_semi"), "near-shingles", 500)
     joined = pairs.join(made.select(F.col("tid").alias("a"), F.col("s").alias("x")), "a").join(made.select(F.col("tid").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x.h", "x.n", F.col("y.h").alias("g"), F.col("y.n").alias("k"))
 
     def check(batches):
@@ -139,7 +139,7 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SH
 
     def sign(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BATCH):
                 t, h, n = shingles(part.column(1), size)
                 keys = band_keys(signatures(t, h, n, part.num_rows, bands * rows_a_band), bands, rows_a_band)
                 some = np.zeros(part.num_rows, dtype=bool)
@@ -167,7 +167,7 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SH
     pivots = members.groupBy("bucket").agg(F.max_by("tid", rank).alias("pivot"), F.max("score").alias("pivot_score"))
     # first each text with the best of its pivots
     first = members.join(pivots, "bucket").where("tid <> pivot").groupBy("tid").agg(F.max_by("pivot", F.struct("pivot_score", (-F.col("pivot")).alias("t"))).alias("pivot"))
-    edges = materialize(_verify(rows, materialize(first.select(F.least("tid", "pivot").alias("a"), F.greatest("tid", "pivot").alias("b")).distinct(), "near-pairs"), size, similarity), "near-links")
+    edges = materialize(_verify(rows, materialize(first.select(F.least("tid", "pivot").alias("a"), F.greatest("tid", "pivot").alias("b")).distinct(), "near-pairs"), size, similarity), "near-links", 200)
     parts = connected_components(edges)
     for turn in range(PIVOT_ROUNDS + 1):
         # buckets that still hold several components
@@ -187,7 +187,7 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SH
         other = small.select(F.col("bucket"), F.col("tid").alias("pivot"), F.col("component").alias("with"))
         across = small.join(other, "bucket").where("component < with").select("tid", "pivot")
         pairs = by_pivot.unionByName(across).select(F.least("tid", "pivot").alias("a"), F.greatest("tid", "pivot").alias("b")).distinct()
-        edges = materialize(edges.unionByName(_verify(rows, materialize(pairs, "near-pairs"), size, similarity)), "near-links")
+        edges = materialize(edges.unionByName(_verify(rows, materialize(pairs, "near-pairs"), size, similarity)), "near-links", 200)
         parts = connected_components(edges)
         if turn == PIVOT_ROUNDS:
             break

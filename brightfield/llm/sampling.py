@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brightfield.llm.common import arrow_rows
+
 PRIME = 0x9E3779B97F4A7C15
 #: Units of a text that are hashed at once; longer texts are cut into pieces whose windows do not overlap.
 PIECE = 1 << 21
@@ -156,7 +158,8 @@ def sketch(df: DataFrame, column: str, bits: int = SKETCH_BITS) -> np.ndarray:
     the input's size; results never depend on it, since what passes wrongly fails the exact joins that follow.
     """
     low = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
-    rows = df.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    with arrow_rows(df.sparkSession, 1000):
+        rows = df.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     made = np.zeros(1 << (bits - 6), dtype=np.int64)
     made[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
     return made.view(np.uint64)
