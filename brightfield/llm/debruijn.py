@@ -72,6 +72,7 @@ def earlier_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length
     graph = materialize(graph, "debruijn-graph")
     ahead = graph.where("after <> 0").select(F.col("node").alias("before"), F.col("after").alias("node"), F.lit(True).alias("inner"))
     flags = graph.where("highest > lowest").join(ahead, ["before", "node"], "left").select("node", "lowest", F.coalesce("inner", F.lit(False)).alias("inner"))
+    flags = materialize(flags, "debruijn-flags")  # a table of its own, so that Spark can split a hot node in the join below
     # paths: within a text a new one begins at every node that is not the only successor of its only predecessor
     by = W.partitionBy("doc", "row").orderBy("lo")
     runs = sampled.join(flags, "node").withColumn("path", F.sum(F.when(F.col("inner"), 0).otherwise(1)).over(by))
@@ -100,6 +101,7 @@ def earlier_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length
     each = materialize(named.join(open_, "node").select("node", "gram", "lowest", F.posexplode("names").alias("j", "name")), "debruijn-windows")
     least = each.groupBy("gram", "name").agg(F.min("lowest").alias("least"), F.max("lowest").alias("most")).where("least < most").select("gram", "name", "least")
     found = each.join(least, ["gram", "name"]).where("least < lowest").groupBy("node").agg(F.sort_array(F.collect_list("j")).alias("js"))
+    found = materialize(found, "debruijn-hits")
     single = sampled.join(found, "node").select("doc", "row", "lo", F.explode("js").alias("j")).select("doc", "row", (F.col("lo") + F.col("j")).alias("start"), (F.col("lo") + F.col("j") + length).alias("end"))
     return whole.unionByName(loose).unionByName(single)
 

@@ -109,6 +109,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     by_block = once.join(wholes.where("count > 1"), ["key", "whole"]).select("gram", "region", F.struct("low", "high").alias("d"))
     by_window = once.join(hits, ["key", "whole"]).select("gram", "region", F.explode("ds").alias("d")).select("gram", "region", F.struct(F.col("d").alias("low"), F.col("d").alias("high")).alias("d"))
     partly = by_block.unionByName(by_window).groupBy("gram", "region").agg(F.collect_list("d").alias("ds"))
+    partly = materialize(partly, "suffix-partly")  # a table of its own, so that Spark can split a hot region in the join below
     entire = sampled.join(regions.where("count > 1").select("gram", "region"), ["gram", "region"]).select("doc", "row", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end"))
     pieces_ = sampled.join(partly, ["gram", "region"]).select("doc", "row", "at", F.explode("ds").alias("d")).select("doc", "row", (F.col("at") - F.col("d.high")).alias("start"), (F.col("at") - F.col("d.low") + length).alias("end"))
     return entire.unionByName(pieces_)
