@@ -38,14 +38,14 @@ def high_entropy(text: str, window: int, bits: float, table: list[float]) -> tup
     first = last = -1
     log_n = math.log2(window)
     for i, ch in enumerate(text):
-        c = counts.get(ch, 0)
-        counts[ch] = c + 1
-        total += table[c + 1] - table[c]
         if i >= window:
             old = text[i - window]
             c = counts[old]
             counts[old] = c - 1
             total += table[c - 1] - table[c]
+        c = counts.get(ch, 0)
+        counts[ch] = c + 1
+        total += table[c + 1] - table[c]
         if i >= window - 1 and log_n - total / window >= bits - 1e-9:
             if first < 0:
                 first = i - window + 1
