@@ -120,16 +120,11 @@ def remove_earlier(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     grouped = materialize(spans.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "debruijn-spans")
     touched = sketch(grouped, "row")
 
-    def mark(batches):
-        for batch in batches:
-            hit = passes(touched, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
-            yield batch.append_column("touched", pa.array(hit))
-
-    marked = rows.mapInArrow(mark, "doc long, row long, text string, touched boolean")
-    clean = marked.where("not touched").select("doc", "text", F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"))
-    others = marked.where("touched").alias("r").join(grouped.alias("s"), F.expr("r.row = s.row and r.doc <=> s.doc"), "left").select("r.doc", "r.text", "s.spans")
+    def hit(batch):
+        return passes(touched, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
 
     def cut(batches):
+        # doc, text, spans
         for batch in batches:
             for part in slices(batch, "text"):
                 sizes, runs, kept = [], [], []
@@ -143,4 +138,16 @@ def remove_earlier(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
                     kept.append(b" ".join(words).decode())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())], names=OUT.names)
 
-    return clean.unionByName(others).mapInArrow(cut, OUT)
+    def clean(batches):
+        for batch in batches:
+            rest = batch.filter(pa.array(~hit(batch)))
+            none = pa.nulls(rest.num_rows, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield from cut([pa.RecordBatch.from_arrays([rest.column(0), rest.column(2), none], names=["doc", "text", "spans"])])
+
+    def others(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(hit(batch)))
+
+    # each branch runs one Python stage at a time
+    left = rows.mapInArrow(others, "doc long, row long, text string").alias("r").join(grouped.alias("s"), F.expr("r.row = s.row and r.doc <=> s.doc"), "left").select("r.doc", "r.text", "s.spans")
+    return rows.mapInArrow(clean, OUT).unionByName(left.mapInArrow(cut, OUT))
