@@ -25,7 +25,7 @@ from brightfield.llm.common import map_texts
 #: Words of up to this many bytes are merged in matrices, longer ones with a heap.
 SHORT = 48
 #: Words that a worker process remembers, at about 200 bytes each.
-REMEMBERED = 900_000
+REMEMBERED = 250_000
 NO_RANK = np.int32(2**31 - 1)
 
 _ENCODERS: dict[str, WordBpe] = {}

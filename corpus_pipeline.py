@@ -8,6 +8,14 @@ from brightfield.llm import bpe, decontaminate, nearcopies, quality, queries, se
 from brightfield.llm.common import materialize, quoted
 
 
+#: Rows in the batches that the pipeline's jobs hand to Python: whole texts are long, and a batch is held on both sides.
+ARROW_ROWS = 500
+
+
+def short_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     return quality.keep_good(docs).select(*docs.columns)
@@ -15,21 +23,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, that with the smallest doc_id."""
+    short_batches(spark)
     return nearcopies.keep_one(docs).select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark table."""
+    short_batches(spark)
     return decontaminate.drop_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; the text of every span found is replaced by [SECRET]."""
+    short_batches(spark)
     return secrets.redact(docs).select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its ids and the text they decode to."""
+    short_batches(spark)
     made = bpe.bpe_encode(docs, queries.vocabulary(), keep=[c for c in docs.columns if c != "text"])
     return made.select(*(quoted(c) for c in made.columns))
 
