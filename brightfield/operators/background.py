@@ -45,17 +45,24 @@ def ring_background(movie: DataFrame, h: int, w: int, radius: float = 12, width:
     return movie.join(low, PIXEL).select(*FRAME, "y", "x", (F.greatest(left, F.lit(0.0)) if clip else left).alias("v"))
 
 
-def sampled_frames(movie: DataFrame, stride: int) -> DataFrame:
-    return movie.where((F.col("frame") % stride == 0) & (F.col("frame") < stride * MOST_FRAMES))
+def sampled_frames(movie: DataFrame, stride: int, most: int | None = MOST_FRAMES) -> DataFrame:
+    """Every stride-th frame of a session from its first to its last; the stride grows until no more than `most` frames are left (None: it stays)."""
+    first, last = F.min("frame").alias("first"), F.max("frame").alias("last")
+    step = F.lit(stride).cast("long")
+    if most is not None:
+        step = F.greatest(step, F.ceil((F.col("last") - F.col("first") + 1) / most))
+    span = movie.groupBy("session").agg(first, last).select("session", "first", step.alias("step"))
+    return movie.join(F.broadcast(span), "session").where((F.col("frame") - F.col("first")) % F.col("step") == 0).drop("first", "step")
 
 
 def lowrank_basis(movie: DataFrame, h: int, w: int, rank: int, stride: int = 1, sigma: float = 0.0) -> DataFrame:
     """(session, mode, y, x, value): mode -1 is the mean image, modes 0..rank-1 are orthonormal spatial modes by falling energy.
 
-    Every stride-th frame, MOST_FRAMES at most, optionally smoothed. Spark sums the Gram matrix of centred
-    frames by blocks of pixels; its eigenvectors (a bounded problem per session) weight the frames to modes.
+    Every stride-th frame, optionally smoothed. For modes the stride grows with the session, so that MOST_FRAMES
+    at most are spread over all of it; a mean image alone takes every stride-th frame. Spark sums the Gram matrix of
+    centred frames by blocks of pixels; its eigenvectors (a bounded problem per session) weight the frames to modes.
     """
-    sample = sampled_frames(movie, stride).select("session", "frame", "y", "x", "v")
+    sample = sampled_frames(movie, stride, MOST_FRAMES if rank > 0 else None).select("session", "frame", "y", "x", "v")
     if sigma > 0:
         sample = gaussian_image(sample, sigma, h, w)
     mean = sample.groupBy(*PIXEL).agg(F.avg("v").alias("mean"))

@@ -90,6 +90,26 @@ def test_lowrank_modes_are_orthonormal(spark):
     assert np.allclose(v.T @ v, np.eye(3), atol=1e-8)
 
 
+def test_lowrank_sample_spans_long_sessions(spark):
+    # two pixels; the one of x = 1 moves only after frame 4,000; session b is short and starts late
+    long = spark.range(5001).select(F.lit("a").alias("session"), F.col("id").alias("frame"))
+    short = spark.range(7, 10).select(F.lit("b").alias("session"), F.col("id").alias("frame"))
+    x = F.explode(F.array(F.lit(0), F.lit(1))).alias("x")
+    v = F.when((F.col("x") == 1) & ((F.col("frame") >= 4000) | (F.col("session") == "b")), F.col("frame") % 7).otherwise(F.lit(1)).cast("double").alias("v")
+    movie = long.unionByName(short).select("session", "frame", F.lit(0).alias("y"), x).select("*", v)
+    frames = {s: [r.frame for r in background.sampled_frames(movie.where("x = 0"), 2).where(F.col("session") == s).sort("frame").collect()] for s in "ab"}
+    assert frames == {"a": list(range(0, 5001, 3)), "b": [7, 9]}
+
+    def values(rank):
+        return {(r.session, r.mode, r.x): r.value for r in background.lowrank_basis(movie, 1, 2, rank, 2).collect()}
+
+    late = lambda step: float(np.mean([f % 7 if f >= 4000 else 1 for f in range(0, 5001, step)]))
+    alone, modes = values(0), values(1)
+    assert alone["a", -1, 1] == pytest.approx(late(2)) and modes["a", -1, 1] == pytest.approx(late(3))
+    assert modes["a", 0, 1] == pytest.approx(1) and modes["a", 0, 0] == pytest.approx(0)
+    assert alone["b", -1, 0] == alone["b", -1, 1] == 1.0
+
+
 def test_lasso_recovers_planted_weights():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((500, 4))
