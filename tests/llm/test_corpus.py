@@ -254,6 +254,20 @@ def test_entropy_spans():
     assert secrets.high_entropy("short", 20, 0.0, table) is None
 
 
+def test_random_keys_of_all_classes():
+    rnd, bits, table = random.Random(3), secrets.bounds(), secrets._entropy_table(20)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    find = lambda t: secrets.find_secrets(t, 20, bits, table)
+    # share missed of keys of 20 characters: MISS by the bound, and keys without a digit (see the module)
+    for alphabet, most in ((lower + digits, 0.013), (upper + "234567", 0.03), (upper + digits, 0.013), (lower + upper + digits, 0.013), (digits + "abcdef", 0.0), (digits + "ABCDEF", 0.01)):
+        keys = ["".join(rnd.choices(alphabet, k=20)) for _ in range(3000)]
+        assert sum(not find(f"see {k} here") for k in keys) <= most * len(keys), alphabet
+        assert sum(not find("MY_NAME=" + k) for k in keys) <= (most + 0.03) * len(keys), alphabet  # NAME=letters is on the allow list
+    for plain in ("how-to-install-python3-on-ubuntu-22-and-24", "REPORT_2024_QUARTER_3_FINAL_VERSION", "internationalizationandlocalization", "parseHTTPResponseIntoJSONDocument", "docs/user/guide/chapter12"):
+        assert find(plain) == [], plain
+    assert secrets.least_bits(2, 2, 0.4) == 0.0 and secrets.least_bits(2, 2, 0.5) == 1.0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
