@@ -11,7 +11,7 @@ from brightfield.operators import report as rp
 from brightfield.operators import segment as sg
 from brightfield.operators import tiles as ti
 from brightfield.operators.ingest import session_catalog
-from brightfield.operators.reject import unit_sizes
+from brightfield.operators.reject import size_filter, unit_sizes
 from brightfield.plans.image_queries import _DENSE, IGNORE, REFLECT, around, grid
 from brightfield.plans.registry import query, rnd
 from brightfield.plans.trace_queries import R, rounded
@@ -230,6 +230,13 @@ def e04(spark, sf):
     return rounded(cl.cut_seams(foot(spark, sf).where("unit_id < 3 and (y < 3 or unit_id <> 1)"), 8, 8, 0), "a")
 
 
+@query("e04_cut_seams_all", f"""WITH o AS (SELECT session, y, x, arg_min(unit_id, ROW(-a, unit_id)) AS unit_id, max(a) AS a FROM foot GROUP BY ALL),
+s AS (SELECT p.session, p.y, p.x FROM o p JOIN o q ON p.session = q.session AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 GROUP BY 1, 2, 3 HAVING min(q.unit_id) <> max(q.unit_id))
+SELECT session, unit_id, y, x, {R('a')} AS a FROM o WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.session = o.session AND (s.y - o.y) ** 2 + (s.x - o.x) ** 2 <= 0)""", ("foot",))
+def e04_all(spark, sf):
+    return rounded(cl.cut_seams(foot(spark, sf), 8, 8, 0), "a")
+
+
 @query("e05_cleanup")
 def e05(spark, sf):
     return rounded(cl.cleanup(foot(spark, sf), fx.traces(spark, sf), 8, 8, drop=4, containment=0.5, r=0.3, seam=0)[0], "a")
@@ -252,6 +259,16 @@ def e07(spark, sf):
     return rounded(made, *(c for c in made.columns if c not in ("session", "units")))
 
 
+@query("e07_export_summary_kept", f"""WITH u AS (SELECT session, unit_id, count(*) AS size FROM foot GROUP BY 1, 2 HAVING count(*) BETWEEN 30 AND 33), f AS (SELECT * FROM foot SEMI JOIN u USING (session, unit_id)), t AS (SELECT * FROM traces SEMI JOIN u USING (session, unit_id)), p AS (SELECT session, unit_id, max(v) AS peak FROM t GROUP BY 1, 2)
+SELECT session, count(*) AS units, {R('avg(size)')} AS mean_size, {R('avg(peak)')} AS mean_peak, {R('stddev_pop(peak)')} AS std_peak, (SELECT {R('max(a)')} FROM f WHERE f.session = u.session) AS projection_max, (SELECT {R('avg(v)')} FROM t WHERE t.session = u.session) AS mean_trace, {R('100.0 * count(*) / (SELECT count(DISTINCT unit_id) FROM foot WHERE foot.session = u.session)')} AS retained_percent FROM u JOIN p USING (session, unit_id) GROUP BY 1""", ("traces",))
+def e07_kept(spark, sf):
+    a, t = foot(spark, sf), fx.traces(spark, sf)
+    n = a.groupBy("session").agg(F.countDistinct("unit_id").alias("n_before"))
+    kept = size_filter(a, 30, 33)
+    made = cl.export_summary(a.join(kept, ["session", "unit_id"], "left_semi"), t.join(kept, ["session", "unit_id"], "left_semi"), n)
+    return rounded(made, *(c for c in made.columns if c not in ("session", "units")))
+
+
 @query("e07_size_histogram", "SELECT session, CASE WHEN n < 25 THEN 0 WHEN n >= 40 THEN 6 ELSE floor((n - 25) / 3.0)::BIGINT + 1 END AS bin, count(*) AS n FROM (SELECT session, unit_id, count(*) AS n FROM foot GROUP BY 1, 2) GROUP BY ALL", ("foot",))
 def e07h(spark, sf):
     return cl.size_histogram(foot(spark, sf), 25.0, 40.0, 5)

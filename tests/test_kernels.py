@@ -160,6 +160,21 @@ def test_growth_cap_and_reindex_bijection(spark):
         assert part["new_frame"].tolist() == list(range(len(part)))
 
 
+def test_whole_table_queries_see_every_unit(spark, monkeypatch):
+    from brightfield.plans import catalog, unit_queries
+
+    rows = [("a", u, y, x, 1.0) for u, xs in ((5, (0, 1, 2)), (6, (3, 4, 5))) for y in range(8) for x in xs]
+    planted = spark.createDataFrame([*rows, *[("a", u, 7 - y, 7, 1.0) for u in (9,) for y in range(2)]], "session string, unit_id long, y int, x int, a double")
+    monkeypatch.setattr(unit_queries, "foot", lambda spark, sf: planted)
+    got = {(r.unit_id, r.y, r.x) for r in catalog.QUERIES["e04_cut_seams_all"](spark, SF).collect()}
+    assert got == {(u, y, x) for u, xs in ((5, (0, 1)), (6, (4, 5))) for y in range(8) for x in xs} | {(9, 6, 7), (9, 7, 7)}
+    large = spark.createDataFrame([("a", 9, k // 8, k % 8, 1.0) for k in range(30)], planted.schema)
+    wide = planted.where("unit_id <> 9").unionByName(large)
+    monkeypatch.setattr(unit_queries, "foot", lambda spark, sf: wide)
+    (row,) = catalog.QUERIES["e07_export_summary_kept"](spark, SF).collect()
+    assert (row.units, row.mean_size) == (1, 30.0) and row.retained_percent == pytest.approx(100 / 3, abs=1e-6)
+
+
 @pytest.mark.parametrize("n", [1, 17])
 def test_merge_does_not_depend_on_partitions(spark, n):
     a, t = fx.footprints(spark, SF), fx.traces(spark, SF)
