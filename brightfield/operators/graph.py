@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightfield.sources.storage import materialize
+from brightfield.sources.storage import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Every round, nodes link their larger neighbours to the smallest one around them, first all of them
     (large star), then the smaller ones (small star). The smallest neighbour is a pre-aggregated minimum, and
     the join that hands it out lets Spark split a hot node. Rounds grow with the logarithm of the longest
-    chain; each is written, so that lineage stays short. Self-loops and repeated edges change nothing.
+    chain; each is written, so that lineage stays short, and takes the place of the one before. Self-loops
+    and repeated edges change nothing.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now = materialize(now, "components")
@@ -26,7 +27,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = materialize(large.where("u <> v").distinct(), "components")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        superseded = [now, large]
         now = materialize(small.where("u <> v").distinct(), "components")
+        discard(*superseded)
         state = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("h")).first()
         if state == before:
             break

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset (local runs)."""
+    """spark.checkpoint.dir. Where it is unset, local runs get a temporary folder and clusters an error, since no machine's own folder is shared."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = getattr(sc, "_brightfield_tables", None)
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = getattr(sc, "_brightfield_dir", None)
         if base is None:
-            base = sc._brightfield_tables = "file://" + tempfile.mkdtemp(prefix="spark-")
+            base = sc._brightfield_dir = "file://" + tempfile.mkdtemp(prefix="spark-")
             sc.setCheckpointDir(base)
     return base.rstrip("/")
 
@@ -24,8 +27,34 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "step") -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage."""
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int | None):
+    """Within it, jobs hand Python batches of so many rows: texts and arrays are long, and a batch is held on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if rows is not None:
+        spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def materialize(df: DataFrame, label: str = "step", rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage is cut and lost executors cost nothing. `rows` bounds Arrow batches."""
     path = new_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with arrow_rows(df.sparkSession, rows):
+        df.write.parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.stored_at = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes materialized tables whose last reader has been written; others are left alone."""
+    for df in tables:
+        path = getattr(df, "stored_at", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            name = jvm.org.apache.hadoop.fs.Path(path)
+            name.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(name, True)
