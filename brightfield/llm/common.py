@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,44 +12,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from brightfield.sources import storage
+from brightfield.sources.storage import arrow_rows, discard, new_dir, shared_dir  # noqa: F401
+
 #: Bytes of text that a kernel works on at once; a longer text is a batch of its own.
 BATCH_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = getattr(sc, "_brightfield_dir", None)
-        if base is None:
-            base = sc._brightfield_dir = "file://" + tempfile.mkdtemp(prefix="spark-")
-            sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def new_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Within it, jobs hand Python batches of so many rows: texts and arrays are long, and a batch is held on both sides."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def materialize(df: DataFrame, label: str, rows: int = 1000) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage is cut and lost executors cost nothing. `rows` bounds Arrow batches."""
-    path = new_dir(df.sparkSession, label)
-    with arrow_rows(df.sparkSession, rows):
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df as a table in the shared folder and reads it back; `rows` bounds Arrow batches."""
+    return storage.materialize(df, label, rows)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until none is a column of df whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def quoted(name: str) -> Column:

@@ -4,31 +4,37 @@ A shingle that occurs w times sends arrivals of a Poisson process with rate w to
 register keeps the shingle of its earliest arrival, and a shingle stops once its next arrival is later
 than every register's. Two texts agree in a register with the probability Jaccard similarity of their
 shingle counts. Bands of registers give buckets; pairs from buckets are verified with the exact
-similarity. Within a bucket, members are compared with a pivot, the member that shares most with others,
-and then only across the components that are not yet linked, so that no link is lost and no bucket's
-pairs are written out.
+similarity. Within a bucket, members are compared with pivots: first with the member that shares most with
+others, then, in turns with four times as many pivots each, only across components that are not yet linked.
+Texts whose own shingles rule out every partner leave a crowded bucket first (`excess`), so that a large group
+of texts that resemble their source, but not one another, takes no comparison of all its pairs; what is
+compared is what shares a bucket, is not linked and may still be similar, and no link is lost.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightfield.llm.common import materialize, quoted, slices
-from brightfield.llm.components import connected_components
+from brightfield.llm.common import discard, fresh, materialize, quoted, slices
 from brightfield.llm.sampling import BATCH, Hashed, mix, passes, signed, sketch, text_bytes, word_units
+from brightfield.operators.graph import connected_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: 24 bands of 4 registers miss a pair of similarity 0.8 with a probability of 3e-6.
 BANDS, ROWS = 24, 4
-#: Buckets up to this size have all their open pairs compared at once.
-SMALL_BUCKET = 16
-#: Pivots that a larger bucket goes through before its open pairs are compared in full.
-PIVOT_ROUNDS = 5
+#: Pairs are dropped on their registers alone where a similar pair would agree in so few with this probability at most.
+MISS = 1e-6
+#: In open buckets with more members, texts that can have no partner are ruled out before pairs are made; it decides no link.
+CROWD = 16
+#: Pivots of a bucket grow by this factor from turn to turn.
+PIVOT_GROWTH = 4
 
 
 def shingles(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,9 +108,34 @@ def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(quoted(key).cast("long").alias("doc"), F.xxhash64(t).alias("tid"), t.alias("text"))
 
 
-def _verify(rows: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The (a, b) of pairs whose texts are similar enough; only the texts in pairs are shingled and shuffled."""
-    tids = pairs.select(F.col("a").alias("tid")).unionByName(pairs.select(F.col("b").alias("tid"))).distinct()
+def least_agreement(registers: int, similarity: float, miss: float = MISS) -> int:
+    """The largest number of registers in which a pair of the given similarity falls short with a probability of at most `miss`."""
+    under, c = 0.0, 0
+    while c < registers:
+        under += math.comb(registers, c) * similarity**c * (1 - similarity) ** (registers - c)
+        if under > miss:
+            break
+        c += 1
+    return c
+
+
+def _agreeing(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose registers, a byte of each, agree often enough for the similarity."""
+    joined = pairs.join(marks.select(F.col("tid").alias("a"), F.col("mark").alias("x")), "a").join(marks.select(F.col("tid").alias("b"), F.col("mark").alias("y")), "b").select("a", "b", "x", "y")
+
+    def check(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (text_bytes(batch.column(i))[0].reshape(batch.num_rows, -1) for i in (2, 3))
+            good = (x == y).sum(axis=1) >= least_agreement(x.shape[1], similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
+
+    return joined.mapInArrow(check, "a long, b long")
+
+
+def _shingled(rows: DataFrame, tids: DataFrame, size: int) -> DataFrame:
+    """(tid, h, n): distinct shingles and counts of the texts in tids and of a few others that the sketch lets pass; rows that repeat a text repeat it."""
     wanted = sketch(tids, "tid")
 
     def shingle(batches):
@@ -116,8 +147,15 @@ def _verify(rows: DataFrame, pairs: DataFrame, size: int, similarity: float) ->
                 cuts = pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(cuts, signed(h)), pa.ListArray.from_arrays(cuts, pa.array(n.astype(np.int32)))], names=["tid", "h", "n"])
 
-    made = rows.select("tid", "text").mapInArrow(shingle, "tid long, h array<long>, n array<int>")
-    made = materialize(made.groupBy("tid").agg(F.first(F.struct("h", "n")).alias("s")).join(tids, "tid", "left_semi"), "near-shingles", 500)
+    return rows.select("tid", "text").mapInArrow(shingle, "tid long, h array<long>, n array<int>")
+
+
+def _verify(rows: DataFrame, pairs: DataFrame, marks: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The (a, b) of pairs whose texts are similar enough; only texts of pairs whose registers agree are shingled and shuffled."""
+    pairs = materialize(_agreeing(pairs, marks, similarity), "near-agreeing")
+    tids = pairs.select(F.col("a").alias("tid")).unionByName(pairs.select(F.col("b").alias("tid"))).distinct()
+    made = _shingled(rows, tids, size).groupBy("tid").agg(F.first(F.struct("h", "n")).alias("s"))
+    made = materialize(made.join(tids, "tid", "left_semi"), "near-shingles", 500)
     joined = pairs.join(made.select(F.col("tid").alias("a"), F.col("s").alias("x")), "a").join(made.select(F.col("tid").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x.h", "x.n", F.col("y.h").alias("g"), F.col("y.n").alias("k"))
 
     def check(batches):
@@ -130,7 +168,35 @@ def _verify(rows: DataFrame, pairs: DataFrame, size: int, similarity: float) ->
                 good.append(probability_jaccard(hx, wx, hy, wy) >= similarity - 1e-12)
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return joined.mapInArrow(check, "a long, b long")
+    found = materialize(joined.mapInArrow(check, "a long, b long"), "near-links", 200)
+    discard(pairs, made)
+    return found
+
+
+def _excess(rows: DataFrame, tids: DataFrame, size: int) -> DataFrame:
+    """(tid, own): the weight of the shingles that no other text in tids has, of texts with any. It bounds what a text can have in common.
+
+    If shares s of x and t of y may be common to both, their probability Jaccard similarity is at most
+    1 / (1/s + 1/t - 1): each common shingle i adds at most 1 / (1/x_i + (1 - t)/y_i) in normalised weights,
+    which is concave and homogeneous, so that the sum is largest with all of s and t in one shingle. With the
+    excess 1/s - 1 of each, a pair of similarity J needs excesses that sum to 1/J - 1 at most. What the sketch lets pass
+    wrongly, or a hash collision, only lowers an excess.
+    """
+    each = _shingled(rows, tids, size).select("tid", F.explode(F.arrays_zip("h", "n")).alias("e")).select("tid", "e.h", "e.n")
+    own = each.groupBy("h").agg(F.min("tid").alias("tid"), F.max("tid").alias("most"), F.max("n").alias("n")).where("tid = most")
+    return own.groupBy("tid").agg(F.sum("n").alias("own"))
+
+
+def _merge(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts (node, component) after further links: only the components that they touch are worked on."""
+    named = parts.select(F.col("node").alias("end"), "component")
+    ends = links.join(named.select(F.col("end").alias("a"), F.col("component").alias("ca")), "a", "left").join(named.select(F.col("end").alias("b"), F.col("component").alias("cb")), "b", "left")
+    moved = connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = parts.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    made = materialize(old.unionByName(moved.join(parts, "node", "left_anti")), "near-parts")
+    discard(parts)
+    return made
 
 
 def links(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows_a_band: int = ROWS) -> DataFrame:
@@ -141,15 +207,17 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SH
         for batch in batches:
             for part in slices(batch, "text", BATCH):
                 t, h, n = shingles(part.column(1), size)
-                keys = band_keys(signatures(t, h, n, part.num_rows, bands * rows_a_band), bands, rows_a_band)
                 some = np.zeros(part.num_rows, dtype=bool)
                 some[t] = True
-                keys = keys[some]
+                registers = signatures(t, h, n, part.num_rows, bands * rows_a_band)[some]
+                keys = band_keys(registers, bands, rows_a_band)
                 cuts = pa.array((np.arange(len(keys) + 1) * bands).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(some)), pa.ListArray.from_arrays(cuts, signed(keys.reshape(-1)))], names=["tid", "keys"])
+                marks = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bands * rows_a_band), len(keys), [None, pa.py_buffer((registers & np.uint64(255)).astype(np.uint8).tobytes())]).cast(pa.binary())
+                weight = np.bincount(t, n, part.num_rows)[some].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(some)), pa.array(weight), marks, pa.ListArray.from_arrays(cuts, signed(keys.reshape(-1)))], names=["tid", "weight", "mark", "keys"])
 
-    signed_ = rows.select("tid", "text").mapInArrow(sign, "tid long, keys array<long>")
-    signed_ = materialize(signed_.groupBy("tid").agg(F.first("keys").alias("keys")), "near-signatures")
+    signed_ = rows.select("tid", "text").mapInArrow(sign, "tid long, weight long, mark binary, keys array<long>")
+    signed_ = materialize(signed_.groupBy("tid").agg(F.first(F.struct("weight", "mark", "keys")).alias("s")).select("tid", "s.*"), "near-signatures")
     spread = signed_.select("tid", F.explode("keys").alias("bucket"))
     sizes = spread.groupBy("bucket").count().where("count > 1")
     crowded = sketch(sizes, "bucket")
@@ -159,46 +227,57 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SH
             yield batch.filter(pa.array(passes(crowded, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))))
 
     # members of buckets with company, and by text how much company it has in all: the middle of a group has most
-    members = spread.mapInArrow(crowd, "tid long, bucket long")
-    members = materialize(members.join(members.groupBy("bucket").count().where("count > 1"), "bucket"), "near-members")
-    score = members.groupBy("tid").agg(F.sum("count").alias("score"))
-    members = materialize(members.join(score, "tid").select("bucket", "tid", "score"), "near-scored")
+    found = spread.mapInArrow(crowd, "tid long, bucket long")
+    found = materialize(found.join(found.groupBy("bucket").count().where("count > 1"), "bucket"), "near-buckets")
+    score = found.groupBy("tid").agg(F.sum("count").alias("score"))
+    members = materialize(found.join(score, "tid").select("bucket", "tid", "score"), "near-members")
+    marks = materialize(signed_.select("tid", "weight", "mark").join(score, "tid", "left_semi"), "near-marks")
+    discard(found, signed_)
     rank = F.struct(F.col("score"), (-F.col("tid")).alias("t"))
     pivots = members.groupBy("bucket").agg(F.max_by("tid", rank).alias("pivot"), F.max("score").alias("pivot_score"))
     # first each text with the best of its pivots
     first = members.join(pivots, "bucket").where("tid <> pivot").groupBy("tid").agg(F.max_by("pivot", F.struct("pivot_score", (-F.col("pivot")).alias("t"))).alias("pivot"))
-    edges = materialize(_verify(rows, materialize(first.select(F.least("tid", "pivot").alias("a"), F.greatest("tid", "pivot").alias("b")).distinct(), "near-pairs"), size, similarity), "near-links", 200)
-    parts = connected_components(edges)
-    for turn in range(PIVOT_ROUNDS + 1):
+    compared = materialize(first.select(F.least("tid", "pivot").alias("a"), F.greatest("tid", "pivot").alias("b")).distinct(), "near-pairs")
+    edges = _verify(rows, compared, marks, size, similarity)
+    parts = materialize(connected_components(edges), "near-parts")
+    discard(edges)
+    turn = 0
+    while True:
         # buckets that still hold several components
         placed = members.join(parts, members.tid == parts.node, "left").select("bucket", "tid", "score", F.coalesce("component", "tid").alias("component"))
-        placed = materialize(placed, "near-placed")
-        groups = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.max_by("tid", rank).alias("pivot"))
-        small_first = F.struct(F.col("n"), F.col("component"))
-        open_ = groups.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.min_by("component", small_first).alias("part"), F.min_by("pivot", small_first).alias("pivot")).where("parts > 1")
-        open_ = materialize(open_, "near-open")
+        open_ = placed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("members"), F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main")).where("parts > 1")
+        open_ = materialize(open_.drop("parts"), "near-open")
         if open_.isEmpty():
-            break
-        left = placed.join(open_, "bucket").select("bucket", "tid", "score", "component", "n", "part", "pivot")
-        left = materialize(left, "near-left")
-        everything = F.lit(True) if turn == PIVOT_ROUNDS else F.col("n") <= SMALL_BUCKET
-        by_pivot = left.where(~everything & (F.col("component") != F.col("part"))).select("tid", "pivot")
-        small = left.where(everything).select("bucket", "tid", "component")
-        other = small.select(F.col("bucket"), F.col("tid").alias("pivot"), F.col("component").alias("with"))
-        across = small.join(other, "bucket").where("component < with").select("tid", "pivot")
-        pairs = by_pivot.unionByName(across).select(F.least("tid", "pivot").alias("a"), F.greatest("tid", "pivot").alias("b")).distinct()
-        edges = materialize(edges.unionByName(_verify(rows, materialize(pairs, "near-pairs"), size, similarity)), "near-links", 200)
-        parts = connected_components(edges)
-        if turn == PIVOT_ROUNDS:
-            break
-        members = materialize(left.where((F.col("n") > SMALL_BUCKET) & (F.col("tid") != F.col("pivot"))).select("bucket", "tid", "score"), "near-members")
-    return parts
+            discard(open_, members, marks, compared)
+            return parts
+        left = materialize(placed.join(open_, "bucket"), "near-left")
+        crowds = left.where(F.col("members") > CROWD)
+        own = _excess(rows, crowds.select("tid").distinct(), size).join(marks, "tid").select(F.col("tid").alias("t"), F.when(F.col("weight") > F.col("own"), F.col("own") / (F.col("weight") - F.col("own"))).alias("excess"))
+        own = materialize(own, "near-excess", 500)
+        most = 1 / similarity - 1 + 1e-9
+        # not found: the text shares all it has. Without any shared weight the excess is null and the text leaves
+        able = crowds.join(own, crowds.tid == own.t, "left").select("bucket", "tid", "score", "component", "main", F.when(F.col("t").isNull(), 0.0).otherwise(F.col("excess")).alias("excess")).where(F.col("excess") <= most)
+        able = able.unionByName(left.where(F.col("members") <= CROWD).select("bucket", "tid", "score", "component", "main", F.lit(0.0).alias("excess")))
+        able = materialize(able, "near-able")
+        group = F.pmod(F.xxhash64("tid", F.lit(turn)), F.lit(PIVOT_GROWTH**turn))
+        chosen = able.where("component <> main").groupBy("bucket", group.alias("g")).agg(F.max_by(F.struct(F.col("tid").alias("pivot"), F.col("component").alias("with"), F.col("excess").alias("beyond")), rank).alias("p")).select("bucket", "p.*")
+        chosen = materialize(chosen, "near-pivots")
+        pairs = able.join(chosen, "bucket").where((F.col("component") != F.col("with")) & (F.col("excess") + F.col("beyond") <= most)).select(F.least("tid", "pivot").alias("a"), F.greatest("tid", "pivot").alias("b")).distinct()
+        pairs = materialize(pairs.join(compared, ["a", "b"], "left_anti"), "near-pairs")
+        edges = _verify(rows, pairs, marks, size, similarity)
+        if not edges.isEmpty():
+            parts = _merge(parts, edges)
+        superseded = [members, compared, left, open_, own, able, chosen, pairs, edges]
+        members = materialize(able.join(chosen.select("bucket", F.col("pivot").alias("tid")), ["bucket", "tid"], "left_anti").select("bucket", "tid", "score"), "near-members")
+        compared = materialize(compared.unionByName(pairs), "near-pairs")
+        discard(*superseded)
+        turn += 1
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(tid, part, class_id, texts, rows): for each distinct text its class, the smallest key there, the distinct texts and the rows in the class."""
     rows = _texts(df, key, text).select("doc", "tid")
-    parts = materialize(links(df, key, text, **options), "near-parts")
+    parts = links(df, key, text, **options)
     each = materialize(rows.groupBy("tid").agg(F.min("doc").alias("least"), F.count("*").alias("rows")), "near-texts")
     placed = each.join(parts, each.tid == parts.node, "left").select("tid", "least", "rows", F.col("component"))
     whole = placed.where("component is not null").groupBy("component").agg(F.min("least").alias("class_id"), F.count("*").alias("texts"), F.sum("rows").alias("all"))
@@ -222,23 +301,28 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", **option
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each class: that with the class's smallest key. Rows without near or equal copies are passed by a sketch, unshuffled.
 
-    A class of null keys keeps one of its rows; rows that repeat both key and text keep one.
+    Rows that share the smallest key of a class: the least text hash, then the least hash of the whole row,
+    decides, so that reruns keep the same row. A class of null keys keeps one of its rows. Null texts count as
+    empty. Columns of any name pass through; an empty table stays empty.
     """
     names = df.columns
+    tid, hit, part, least, whole = fresh(df, "tid", "touched", "part", "class", "row_hash")
     made = classes(df, key, text, **options)
-    crowd = materialize(made.where("rows > 1").select("tid", "part", "class_id"), "near-crowd")
-    touched = sketch(crowd, "tid")
+    crowd = materialize(made.where("rows > 1").select(F.col("tid").alias(tid), F.col("part").alias(part), F.col("class_id").alias(least)), "near-crowd")
+    touched = sketch(crowd, tid)
 
     def mark(batches):
         for batch in batches:
-            hit = passes(touched, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64))
-            yield batch.append_column("__touched", pa.array(hit))
+            found = passes(touched, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield batch.append_column(hit, pa.array(found))
 
-    with_tid = df.select(*(quoted(c) for c in names), F.xxhash64(F.coalesce(quoted(text), F.lit(""))).alias("__tid"))
-    schema = T.StructType([*with_tid.schema.fields, T.StructField("__touched", T.BooleanType())])
+    with_tid = df.select(*(quoted(c) for c in names), F.xxhash64(F.coalesce(quoted(text), F.lit(""))).alias(tid))
+    schema = T.StructType([*with_tid.schema.fields, T.StructField(hit, T.BooleanType())])
     marked = with_tid.mapInArrow(mark, schema)
-    clean = marked.where("not __touched").select(*(quoted(c) for c in names))
-    others = marked.where("__touched").join(crowd.select(F.col("tid").alias("__tid"), F.col("part").alias("__part"), F.col("class_id").alias("__class"), F.lit(True).alias("__in")), "__tid", "left")
-    alone = others.where("__in is null").select(*(quoted(c) for c in names))
-    first = others.where(F.col("__in") & quoted(key).eqNullSafe(F.col("__class"))).dropDuplicates(["__part"]).select(*(quoted(c) for c in names))
+    clean = marked.where(~F.col(hit)).select(*(quoted(c) for c in names))
+    others = marked.where(hit).join(crowd, tid, "left")
+    alone = others.where(F.col(part).isNull()).select(*(quoted(c) for c in names))
+    held = others.where(F.col(part).isNotNull() & quoted(key).eqNullSafe(F.col(least)))
+    hashed = [quoted(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    first = held.withColumn(whole, F.xxhash64(*hashed)).groupBy(part).agg(F.min_by(F.struct(*(quoted(c) for c in names)), F.struct(tid, whole)).alias("row")).select("row.*")
     return clean.unionByName(alone).unionByName(first)
