@@ -1,9 +1,10 @@
 """Operator 9: benchmark decontamination by q-gram lemma filtering.
 
-A passage of m characters with at most e edits keeps at least m - q + 1 - q * e of its q-grams, all on
-diagonals (place in the text minus place in the passage) at most e apart. Shared q-grams are counted in
-overlapping bands of 2 * (e + 1) diagonals; a band that reaches the bound is a region, and a banded
-alignment of the passage against it verifies that the edits stay within the budget.
+A passage of m characters with at most e edits keeps all but q * e of any set of its q-grams, on
+diagonals (place in the text minus place in the passage) at most e apart. The benchmark's q-grams are a Spark
+table that the texts' q-grams are joined with; shared ones are counted in overlapping bands of
+2 * (e + 1) diagonals, a band that reaches the bound is a region, and a banded alignment of the passage
+against it verifies that the edits stay within the budget.
 """
 
 from __future__ import annotations
@@ -11,19 +12,24 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightfield.llm.common import quoted, slices
-from brightfield.llm.sampling import Hashed
+from brightfield.llm.common import fresh, materialize, quoted, slices
+from brightfield.llm.sampling import PIECE, Hashed, passes, signed, sketch
 
 Q = 12
 #: Edits allowed as a share of the passage's characters.
 EDITS = 0.05
-#: Passages with fewer characters after normalisation hold too few q-grams and name no document.
-LEAST_CHARS = 40
-#: Benchmark items are searched for in blocks of this many characters, each block in a pass of its own over the texts.
-BLOCK_CHARS = 8_000_000
+#: Of a passage, q-grams that stand at more places of the benchmark are left uncounted where enough rarer ones remain; the bound is lower by as many.
+COMMON = 64
+#: So many q-grams more than the edits can destroy are counted at least, if the passage has them.
+SPARE = 8
+#: Neighbouring places of a text among which a region must have its share of the benchmark's q-grams.
+NEAR = 32
+#: The benchmark's q-grams are broadcast to the join up to so many rows (about 30 MB); beyond, Spark shuffles both sides.
+BROADCAST_ROWS = 1 << 20
 
 BLANK = 32
 #: Stands between texts; no normalised character.
@@ -103,151 +109,193 @@ def banded_distance(passage: np.ndarray, window: np.ndarray, shift: int, most: i
     return (int(row[b]), int(origin[b]), int(m + shift - reach + b)) if row[b] <= most else None
 
 
-class PassageIndex:
-    """Sorted q-gram hashes of a block of passages with the passage and the place of each."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]], q: int, share: float):
-        self.q, self.items = q, items
-        self.raw = [t for _, t in items]
-        self.size = np.array([len(r) for r in self.raw], dtype=np.int64)
-        self.most = np.array([budget(len(r), share, q) for r in self.raw], dtype=np.int64)
-        grams = [Hashed(r.astype(np.uint64)).grams(q) for r in self.raw]
-        counts = np.array([len(g) for g in grams], dtype=np.int64)
-        all_ = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(items)), counts)
-        place = np.arange(len(all_)) - np.repeat(np.cumsum(counts) - counts, counts)
-        order = np.argsort(all_, kind="stable")
-        self.hash, self.item, self.place = all_[order], item[order], place[order]
-        #: a bitmap of hashes' upper bits rules out most q-grams of a text in one look-up
-        self.bits = np.zeros(1 << 20, dtype=bool)
-        self.bits[(self.hash >> np.uint64(44)).astype(np.int64)] = True
-
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the text, passage, place in the passage) of all shared q-grams."""
-        at = np.flatnonzero(self.bits[(grams >> np.uint64(44)).astype(np.int64)])
-        lo = np.searchsorted(self.hash, grams[at], side="left")
-        n = np.searchsorted(self.hash, grams[at], side="right") - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-        ends = np.cumsum(n)
-        k = np.repeat(lo - ends + n, n) + np.arange(int(n.sum()))
-        return np.repeat(at, n), self.item[k], self.place[k]
-
-
-def regions(index: PassageIndex, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
-    """(text, passage, start, end, edits) of verified regions in normalised texts, the best one of each overlapping group."""
-    raw, ends = normalise([t or "" for t in texts])
-    at, item, place = index.hits(Hashed(raw.astype(np.uint64)).grams(index.q))
-    if not len(at):
-        return []
-    text = np.searchsorted(ends, at, side="right") - 1
-    diagonal = at - place
-    width = index.most[item] + 1
-    bound = index.size[item] - index.q + 1 - index.q * index.most[item]
+def places(raw: np.ndarray, passage: np.ndarray, most: int, bands: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of the passage in one normalised text, the best one of each overlapping group, from bands (half, number) that reached the bound."""
+    m, w = len(passage), most + 1
     found = set()
-    # each hit counts in two bands, so that any `width` neighbouring diagonals lie in one
-    for half in (0, 1):
-        band = (diagonal + half * width) // (2 * width)
-        order = np.lexsort((at, band, item, text))
-        d, i, b, p = text[order], item[order], band[order], place[order]
-        first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])]))
-        last = np.concatenate([first[1:], [len(i)]])
-        enough = last - first >= bound[order[first]]
-        for s, e in zip(first[enough].tolist(), last[enough].tolist(), strict=True):
-            which, least = int(i[s]), int(bound[order[s]])
-            if len(np.unique(p[s:e])) < least:
-                continue
-            most, w, t = int(index.most[which]), int(width[order[s]]), int(d[s])
-            lowest = int(b[s]) * 2 * w - half * w
-            start = max(int(ends[t]) + 1, lowest - 2 * w)
-            window = raw[start : min(start + int(index.size[which]) + 6 * w, int(ends[t + 1]))]
-            # an unedited passage needs no alignment: all its q-grams are on one diagonal
-            steps, votes = np.unique(diagonal[order[s:e]], return_counts=True)
-            exact = int(steps[votes.argmax()])
-            if exact > ends[t] and np.array_equal(raw[exact : exact + int(index.size[which])], index.raw[which]):
-                found.add((t, which, exact - int(ends[t]) - 1, exact - int(ends[t]) - 1 + int(index.size[which]), 0))
-                continue
-            if got := banded_distance(index.raw[which], window, lowest + w - start, most):
-                shift = start - int(ends[t]) - 1
-                found.add((t, which, shift + got[1], shift + got[2], got[0]))
-    out: list[tuple[int, int, int, int, int]] = []
-    for f in sorted(found, key=lambda f: (f[0], f[1], f[2], f[4])):
-        if out and out[-1][:2] == f[:2] and f[2] < out[-1][3]:
-            if f[4] < out[-1][4]:
+    for half, band in bands:
+        lowest = band * 2 * w - half * w
+        # an unedited passage needs no alignment
+        same = next((d for d in range(max(lowest, 0), min(lowest + 2 * w, len(raw) - m + 1)) if np.array_equal(raw[d : d + m], passage)), None)
+        if same is not None:
+            found.add((same, same + m, 0))
+            continue
+        start = max(0, lowest - 2 * w)
+        if got := banded_distance(passage, raw[start : start + m + 6 * w], lowest + w - start, most):
+            found.add((start + got[1], start + got[2], got[0]))
+    out: list[tuple[int, int, int]] = []
+    for f in sorted(found, key=lambda f: (f[0], f[2], f[1])):
+        if out and f[0] < out[-1][1]:
+            if f[2] < out[-1][2]:
                 out[-1] = f
         else:
             out.append(f)
     return out
 
 
-FOUND = "doc long, row long, item_id long, start long, end long, edits int"
+def passages(benchmark: DataFrame, passage: str = "text", q: int = Q, share: float = EDITS) -> DataFrame:
+    """Distinct normalised passages: pid (a hash), p, m characters, most edits, grams (place, gram) of their q-grams; one of fewer than q characters has one gram, itself between blanks."""
+    columns = "p string, m int, most int, grams array<struct<place:int,gram:long>>"
+
+    def grams(batches):
+        for batch in batches:
+            rows = []
+            for t in batch.column(0).to_pylist():
+                made = normal(t)
+                if len(made):
+                    whole = made if len(made) >= q else np.concatenate([[BLANK], made, [BLANK]])
+                    each = Hashed(whole.astype(np.uint64)).grams(min(q, len(whole)) if len(made) >= q else len(whole)).view(np.int64)
+                    rows.append({"p": made.tobytes().decode("utf-32-le", "surrogatepass"), "m": len(made), "most": budget(len(made), share, q), "grams": [{"place": i, "gram": g} for i, g in enumerate(each.tolist())]})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("p", pa.string()), ("m", pa.int32()), ("most", pa.int32()), ("grams", pa.list_(pa.struct([("place", pa.int32()), ("gram", pa.int64())])))]))
+
+    made = benchmark.select(quoted(passage).alias("t")).distinct().mapInArrow(grams, columns)
+    return materialize(made.withColumn("pid", F.xxhash64("p")).groupBy("pid").agg(F.first(F.struct("p", "m", "most", "grams")).alias("s")).select("pid", "s.*"), "leak-passages", 500)
+
+
+def _counted(known: DataFrame, q: int) -> DataFrame:
+    """(gram, pid, place, most, bound, tiles): the q-grams of each passage that are counted, and how many of them a region must hold at least."""
+    each = known.where(F.col("m") >= q).select("pid", "m", "most", F.explode("grams").alias("g")).select("pid", "m", "most", "g.*")
+    common = each.groupBy("gram").agg(F.count("*").alias("n"))
+    by = W.partitionBy("pid")
+    ranked = each.join(common, "gram").withColumn("nth", F.row_number().over(by.orderBy("n", "place")))
+    chosen = ranked.where((F.col("n") <= COMMON) | (F.col("nth") <= F.col("most") * q + SPARE))
+    bound = (F.count("*").over(by) - F.col("most") * q).cast("int")
+    tiles = F.ceil((F.col("m") + F.col("most") - q + 1) / NEAR).cast("int")
+    long = chosen.select("gram", "pid", "place", "most", bound.alias("bound"), tiles.alias("tiles"))
+    short = known.where(F.col("m") < q).select(F.col("grams")[0]["gram"].alias("gram"), "pid", F.lit(0).alias("place"), F.lit(0).alias("most"), F.lit(0).alias("bound"), F.lit(1).alias("tiles"))
+    return materialize(long.unionByName(short), "leak-grams")
+
+
+def _scan(bitmap: np.ndarray, least: int | None, lengths: list[int], q: int):
+    """Kernel that gives (tid, at, gram) of a text's q-grams that the bitmap lets pass and of which `least` stand within NEAR places; and once each the short passages' whole grams."""
+
+    def dense(ok: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([np.zeros(NEAR, np.int64), np.cumsum(ok), np.full(NEAR - 1, ok.sum())])
+        good = np.concatenate([[0], np.cumsum(sums[NEAR:] - sums[:-NEAR] >= least)])  # windows by their last place
+        return ok & (good[NEAR:] - good[:-NEAR] > 0)
+
+    def scan(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                raw, ends = normalise(part.column(1).to_pylist())
+                places_, grams = [], []
+                for lo in range(0, len(raw), PIECE):
+                    first = max(0, lo - NEAR)
+                    piece = raw[first : lo + PIECE + NEAR + q]
+                    if least is not None and len(piece) >= q:
+                        made = Hashed(piece.astype(np.uint64)).grams(q)
+                        at = np.flatnonzero(dense(passes(bitmap, made)))
+                        at = at[(at + first >= lo) & (at + first < lo + PIECE)]
+                        places_.append(at + first)
+                        grams.append(made[at])
+                    for n in lengths:
+                        made = Hashed(np.where(piece == END, BLANK, piece).astype(np.uint64)).grams(n + 2)
+                        at = np.flatnonzero(passes(bitmap, made))
+                        _, once = np.unique(np.stack([np.searchsorted(ends, at + first, side="right").astype(np.uint64), made[at]]), axis=1, return_index=True) if len(at) else (None, at)
+                        places_.append(at[once] + first + 1)
+                        grams.append(made[at[once]])
+                at = np.concatenate(places_) if places_ else np.zeros(0, np.int64)
+                text = np.clip(np.searchsorted(ends, at, side="right") - 1, 0, max(len(ends) - 2, 0))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array((at - ends[text] - 1).astype(np.int64)), signed(np.concatenate(grams) if grams else np.zeros(0, np.uint64))], names=["tid", "at", "gram"])
+
+    return scan
+
+
+def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", passage: str = "text", q: int = Q, share: float = EDITS) -> tuple[DataFrame, DataFrame]:
+    """Found regions (tid, pid, start, end, edits, m) by distinct text, a 64-bit hash, and the passages."""
+    spark = df.sparkSession
+    rows = df.select(F.xxhash64(F.coalesce(quoted(text), F.lit(""))).alias("tid"), F.coalesce(quoted(text), F.lit("")).alias("text"))
+    known = passages(benchmark, passage, q, share)
+    counted = _counted(known, q)
+    # in any region of `tiles` runs of NEAR places, one holds at least so many of the counted q-grams
+    n, least = counted.agg(F.count("*"), F.min(F.when(F.col("bound") > 0, F.ceil(F.col("bound") / F.col("tiles"))))).first()
+    lengths = sorted(r.m for r in known.where(F.col("m") < q).select("m").distinct().collect())  # q - 1 values at most
+    found = "tid long, pid long, start long, end long, edits int, m int"
+    if not n:
+        return spark.createDataFrame([], found), known
+    hits = rows.mapInArrow(_scan(sketch(counted, "gram"), None if least is None else int(least), lengths, q), "tid long, at long, gram long")
+    side = counted.drop("tiles")
+    hits = hits.join(F.broadcast(side) if n <= BROADCAST_ROWS else side, "gram")
+    width = F.col("most") + 1
+    band = lambda half: F.struct(F.lit(half).alias("half"), F.floor((F.col("at") - F.col("place") + half * width) / (2 * width)).alias("band"))
+    # a short passage's gram is the passage
+    bands = F.when(F.col("bound") > 0, F.array(band(0), band(1))).otherwise(F.array(F.struct(F.lit(0).alias("half"), F.lit(0).cast("long").alias("band"))))
+    votes = hits.select("tid", "pid", "bound", "at", F.explode(bands).alias("b")).groupBy("tid", "pid", "bound", "b").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    regions = votes.where("n >= bound").groupBy("tid", "pid").agg(F.collect_list("b").alias("bands"), F.min("at").alias("at"))
+    regions = materialize(regions, "leak-regions")
+    touched = sketch(regions, "tid")
+
+    def others(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(passes(touched, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    texts = rows.mapInArrow(others, "tid long, text string").groupBy("tid").agg(F.first("text").alias("text"))
+    pairs = regions.join(known.select("pid", "p", "most", "m"), "pid").join(texts, "tid").select("tid", "pid", "p", "most", "m", "bands", "at", "text")
+
+    def verify(batches):
+        last, raw = None, None
+        schema = pa.schema([("tid", pa.int64()), ("pid", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32()), ("m", pa.int32())])
+        for batch in batches:
+            made = []
+            ids = batch.column(0).to_pylist()
+            for i, (pid, p, most, m, bands, at) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 7)), strict=True)):
+                if last != ids[i]:  # the join leaves the passages of one text together
+                    last, raw = ids[i], normalise([batch.column(7)[i].as_py()])[0][1:-1]
+                chars = np.frombuffer(p.encode("utf-32-le", "surrogatepass"), np.uint32)
+                if m < q:
+                    made += [(ids[i], pid, at, at + m, 0, m)] if np.array_equal(raw[at : at + m], chars) else []
+                else:
+                    made += [(ids[i], pid, *f, m) for f in places(raw, chars, most, [(b["half"], b["band"]) for b in bands])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    return materialize(pairs.mapInArrow(verify, found), "leaks", 100), known
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "text", q: int = Q, share: float = EDITS) -> DataFrame:
     """Rows (key, row, item, start, end, edits): where a document holds a benchmark passage with at most `share` of its characters edited.
 
-    Places are characters of the normalised text (lower case, runs of non-word characters one blank). The
-    passages are read in blocks of bounded size and each block is held against all documents. Passages under
-    LEAST_CHARS characters, null and empty texts find nothing; repeated passages and rows each report; a null
-    key is reported as null.
+    Places are characters of the normalised text (lower case, runs of non-word characters one blank). A passage
+    of fewer than q normalised characters is found word for word, at its first place. Passages without a letter or digit,
+    null and empty texts find nothing; repeated passages and rows each report; a null key is reported as null. An empty
+    table on either side finds nothing; columns of any name may stand beside.
     """
-    rows = df.select(quoted(key).cast("long").alias("doc"), F.xxhash64(quoted(key).cast("long"), quoted(text)).alias("row"), F.coalesce(quoted(text), F.lit("")).alias("text"))
-    out = None
-    for block in passage_blocks(benchmark, item, passage):
-        part = rows.mapInArrow(_search(block, q, share), FOUND)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = df.sparkSession.createDataFrame([], FOUND)
-    return out.select(F.col("doc").alias(key), "row", F.col("item_id").alias(item), "start", "end", "edits")
-
-
-def passage_blocks(benchmark: DataFrame, item: str, passage: str):
-    """Blocks of (id, normalised passage) of up to BLOCK_CHARS characters; one is on the driver at a time."""
-    block, held = [], 0
-    for r in benchmark.select(quoted(item).cast("long").alias("i"), quoted(passage).alias("t")).toLocalIterator():
-        t = normal(r.t)
-        if len(t) < LEAST_CHARS:
-            continue
-        block.append((r.i, t))
-        held += len(t)
-        if held >= BLOCK_CHARS:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
-
-
-def _search(block, q, share):
-    def search(batches):
-        index = PassageIndex(block, q, share)
+    found, known = leaks(df, benchmark, text, passage, q, share)
+    t = quoted(text)
+    rows = df.select(quoted(key).cast("long").alias("doc"), F.xxhash64(quoted(key).cast("long"), t).alias("row"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("tid"))
+    items = _named(benchmark, item, passage, known)
+    return rows.join(found.drop("m"), "tid").join(items, "pid").select(F.col("doc").alias(key), "row", F.col("item").alias(item), "start", "end", "edits")
+
+
+def _named(benchmark: DataFrame, item: str, passage: str, known: DataFrame) -> DataFrame:
+    """(item, pid) of each benchmark row with a passage."""
+
+    def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                docs, keys, texts = (c.to_pylist() for c in part.columns)
-                made = [{"doc": docs[t], "row": keys[t], "item_id": block[w][0], "start": s, "end": e, "edits": n} for t, w, s, e, n in regions(index, texts)]
-                yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
+            made = [normal(t) for t in batch.column(1).to_pylist()]
+            some = pa.array([len(m) > 0 for m in made], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.tobytes().decode("utf-32-le", "surrogatepass") for m in made], pa.string())], names=["item", "p"]).filter(some)
 
-    return search
+    rows = benchmark.select(quoted(item).cast("long").alias("item"), quoted(passage).alias("t")).mapInArrow(run, "item long, p string")
+    return materialize(rows.select("item", F.xxhash64("p").alias("pid")), "leak-items")
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", q: int = Q, share: float = EDITS) -> DataFrame:
-    """The rows of df that hold no passage of the benchmark, with their columns and in one pass for each block of passages.
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", passage: str = "text", q: int = Q, share: float = EDITS, short: bool = False) -> DataFrame:
+    """The rows of df that hold no passage of the benchmark, with their columns; rows without one are passed by a sketch, unshuffled.
 
-    Null and empty texts stay; repeated rows share their fate.
+    A passage of fewer than q characters ("yes") says nothing about where a text comes from and only counts with
+    `short`. Null and empty texts stay; repeated rows share their fate; columns of any name pass through.
     """
-    schema = T.StructType(list(df.schema.fields))
     names = df.columns
+    tid, hit = fresh(df, "tid", "touched")
+    found, _ = leaks(df, benchmark, text, passage, q, share)
+    gone = materialize(found.where(F.lit(short) | (F.col("m") >= q)).select(F.col("tid").alias(tid)).distinct(), "leak-texts")
+    touched = sketch(gone, tid)
+
+    def mark(batches):
+        for batch in batches:
+            yield batch.append_column(hit, pa.array(passes(touched, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64))))
 
-    def keep(block):
-        def run(batches):
-            index = PassageIndex(block, q, share)
-            for batch in batches:
-                for part in slices(batch, text):
-                    texts = part.column(part.schema.get_field_index(text)).to_pylist()
-                    stay = np.ones(len(texts), dtype=bool)
-                    stay[[f[0] for f in regions(index, texts)]] = False
-                    yield part.filter(pa.array(stay))
-
-        return run
-
-    for block in passage_blocks(benchmark, "item_id", "text"):
-        df = df.select(*(quoted(c) for c in names)).mapInArrow(keep(block), schema)
-    return df
+    with_tid = df.select(*(quoted(c) for c in names), F.xxhash64(F.coalesce(quoted(text), F.lit(""))).alias(tid))
+    marked = with_tid.mapInArrow(mark, T.StructType([*with_tid.schema.fields, T.StructField(hit, T.BooleanType())]))
+    clean = marked.where(~F.col(hit)).select(*(quoted(c) for c in names))
+    return clean.unionByName(marked.where(hit).join(gone, tid, "left_anti").select(*(quoted(c) for c in names)))

@@ -196,33 +196,76 @@ def test_licenses(spark):
 
 
 def test_decontamination(spark):
+    """Passages of 2 to 250 characters with edits around the budget against the least edits between them and any part of the text."""
     rnd = random.Random(5)
     words = ["the", "inea", "onrein", "thhe", "ertion", "nd", "wh", "st", "able", "es"]
     say = lambda n: " ".join(rnd.choice(words) + rnd.choice(words) for _ in range(n))
     show = lambda t: "".join(map(chr, decontaminate.normal(t)))
-    for _ in range(25):
-        passage = show(say(rnd.randint(6, 30)))
-        index = decontaminate.PassageIndex([(7, decontaminate.normal(passage))], decontaminate.Q, decontaminate.EDITS)
-        chars = list(passage)
-        for _ in range(rnd.randint(0, int(1.6 * index.most[0]) + 1)):
+    passages = [say(rnd.randint(2, 30)) for _ in range(60)] + ["ab " * 30, "x" * 90, "no 7", "yes", "?!", "z"]
+    docs, want = [], {}
+    for k, passage in enumerate(passages):
+        chars = list(show(passage))
+        most = decontaminate.budget(len(chars)) if len(chars) >= decontaminate.Q else 0
+        for _ in range(rnd.randint(0, int(1.6 * most) + 1) if len(chars) > 9 else 0):
             i, kind = rnd.randrange(len(chars)), rnd.random()
             if kind < 0.34:
-                chars[i] = "z"
+                chars[i] = "q"
             elif kind < 0.67:
                 chars.insert(i, "y")
             else:
                 del chars[i]
-        text = f"{say(rnd.randint(0, 40))} {''.join(chars)} {say(rnd.randint(0, 40))}"
-        least = brute.edits(passage, show(text))
-        got = decontaminate.regions(index, [None, "", text, passage[:20]])
-        assert [g[0] for g in got] == ([2] if least <= index.most[0] else [])
-        assert not got or got[0][4] == least
-    passage = say(20)
-    bench = spark.createDataFrame([(1, passage), (2, None), (3, "short"), (1, passage)], "item_id long, text string")
-    df = spark.createDataFrame([(1, "x " + passage.upper() + " y"), (2, None), (3, ""), (None, passage), (1, "x " + passage.upper() + " y")], "doc_id long, text string").withColumn("item_id", F.lit("clash"))
-    assert {r.doc_id for r in decontaminate.contaminated(df, bench).collect()} == {1, None}
-    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()) == [2, 3]
+        text = f"{say(rnd.randint(0, 40))}. {''.join(chars).upper()}! {say(rnd.randint(0, 40))}"
+        docs += [(k, text), (k, text)]
+        for i in (k, *rnd.sample(range(len(passages)), 2)):
+            p = show(passages[i])
+            least = brute.edits(p, show(text)) if p else None
+            most = decontaminate.budget(len(p)) if len(p) >= decontaminate.Q else 0
+            if p and (most or len(p) >= decontaminate.Q):
+                want[k, i] = least if least <= most else None
+            else:
+                want[k, i] = 0 if p and f" {p} " in f" {show(text)} " else None
+    docs += [(None, None), (900, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash")).withColumn("TID", F.lit("clash"))
+    bench = spark.createDataFrame([*enumerate(passages), (100, passages[0]), (101, None)], "item_id long, text string")
+    found = decontaminate.contaminated(df, bench).collect()
+    got = {}
+    for r in found:
+        got[r.doc_id, r.item_id] = min(r.edits, got.get((r.doc_id, r.item_id), 99))
+    assert {k: got.get(k) for k in want} == want
+    assert sum(v is not None for v in want.values()) > 20 < sum(v is None for v in want.values())
+    assert got.get((0, 100)) == got.get((0, 0))
+    each = Counter((r.doc_id, r.item_id, r.start) for r in found)
+    assert all(n % 2 == 0 for n in each.values())  # repeated rows each report
+    kept = decontaminate.drop_contaminated(df, bench)
+    assert kept.columns == df.columns
+    long = {i for i, p in enumerate(passages) if len(show(p)) >= decontaminate.Q} | {100}
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(d for d, _ in docs if d is not None and not any((d, i) in got for i in long))
     assert decontaminate.contaminated(df.limit(0), bench).count() == decontaminate.contaminated(df, bench.limit(0)).count() == 0
+    assert decontaminate.drop_contaminated(df.limit(0), bench).count() == 0
+
+
+def test_decontamination_of_repetitive_texts(spark):
+    """A passage of one repeated word against a long text of the same word; both are periodic, so that every q-gram meets hundreds of places."""
+    bench = spark.createDataFrame([(1, "la di " * 100), (2, "do re mi fa so la ti and then something else again")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "la di " * 8000), (2, "la di " * 60), (3, "x " * 50000 + "do re mi fa so la ti and then something else again")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {(1, 1), (3, 2)}
+
+
+def test_decontamination_in_pieces(monkeypatch):
+    """Texts scanned in pieces give the same q-grams as whole ones."""
+    import pyarrow as pa
+
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice(["ab", "cde", "f"]) for _ in range(3000)), "", "ab cde"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], names=["tid", "text"])
+    bitmap = np.full(4, 0xF0F0F0F0F0F0F0F0, np.uint64)
+    run = lambda: sorted({tuple(r.values()) for b in decontaminate._scan(bitmap, 15, [2], 12)([batch]) for r in b.to_pylist() if True})
+    whole = run()
+    monkeypatch.setattr(decontaminate, "PIECE", 700)
+    assert len(whole) > 1000
+    # a short passage is named at its first place in each piece
+    assert {r for r in run() if r in set(whole)} == set(whole)
 
 
 def plain_secrets(text):
