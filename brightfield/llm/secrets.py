@@ -31,7 +31,7 @@ HEX_RUN = re.compile(r"[0-9A-Fa-f]+")
 ALLOWED = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9_=+/-]+|(?:[A-Za-z]+[/_=+-])+[A-Za-z]*[0-9]{0,4}|[=_+/-]+|(?:example|sample|dummy|placeholder|xxxx).*", re.IGNORECASE)
 #: Paths of words (up to four digits at the end of each) and numbers, and letters that read as words and acronyms.
 SLUG = re.compile(r"(?:(?:[A-Za-z]+[0-9]{0,4}|[0-9]+)[/_=+-]+)+(?:[A-Za-z]+[0-9]{0,4}|[0-9]+)?")
-CAMEL = re.compile(r"[A-Z]*(?:[a-z]{2,}[A-Z]*)*")
+CAMEL = re.compile(r"[A-Z]*+(?:[a-z]{2,}+[A-Z]*+)*+")
 #: Characters in the window, and the share of random keys of that length that an entropy bound may miss.
 WINDOW, MISS = 20, 0.005
 
