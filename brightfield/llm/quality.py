@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightfield.llm.common import materialize, quoted
+from brightfield.llm.common import discard, materialize, quoted
 
 #: White space between words, a fixed value.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -44,25 +44,31 @@ def n_repeat_words(word: Column) -> Column:
     return let(F.sort_array(hashed), covered)
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """The figures that the rules use, each as an expression over the whole text."""
+#: Arrays that several statistics share; a cascade makes each at most once a row.
+ARRAYS = {"words": words, "lines": word_lines}
+
+
+def statistics(text: Column, held: dict[str, Column] | None = None) -> dict[str, Column]:
+    """The figures that the rules use, each as an expression over the whole text or over arrays that are there already."""
     t = F.coalesce(text, F.lit(""))
+    w, lines = (dict(held or {}).get(k, make(text)) for k, make in ARRAYS.items())
     return {
-        "n_words": F.size(words(t)).cast("long"),
-        "word_chars": F.length(F.array_join(words(t), "")).cast("long"),
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": let(word_lines(t), lambda lines: F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_lines": F.size(word_lines(t)).cast("long"),
-        "n_repeat_words": let(words(t), n_repeat_words).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_lines": F.size(lines).cast("long"),
+        "n_repeat_words": n_repeat_words(w).cast("long"),
     }
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects a row where `reject` is true; `reject` is given the statistics by name."""
+    """Rejects a row where `reject` is true; `reject` is given the statistics by name, and `needs` names the arrays they rest on."""
 
     name: str
     reject: object
+    needs: tuple[str, ...] = ("words",)
 
     def on(self, stats: dict[str, Column]) -> Column:
         return F.coalesce(self.reject(stats), F.lit(False))
@@ -78,36 +84,59 @@ OWN_RULES = (
     Rule("symbols", lambda s: 10 * s["n_symbols"] > s["n_words"]),
     Rule("word_length", lambda s: (s["word_chars"] < 2 * s["n_words"]) | (s["word_chars"] > 15 * s["n_words"])),
     # a heading or footer that stands twice among a handful of lines is no fault
-    Rule("repeated_lines", lambda s: (10 * s["n_dup_lines"] > 3 * s["n_lines"]) & (s["n_lines"] >= 10)),
+    Rule("repeated_lines", lambda s: (s["n_lines"] >= 10) & (10 * s["n_dup_lines"] > 3 * s["n_lines"]), ("lines",)),
 )
 RULES = BASE_RULES + OWN_RULES
 
 
+def rule_costs(sample: DataFrame, rules=RULES, runs: int = 3) -> list[float]:
+    """Seconds that each rule takes over the sample: the least of some runs, less those of a job without a rule."""
+
+    def seconds(condition: Column) -> float:
+        took = []
+        for _ in range(runs):
+            began = time.monotonic()
+            sample.agg(F.count_if(condition)).first()
+            took.append(time.monotonic() - began)
+        return min(took)
+
+    alone = seconds(F.col("t").isNull())
+    return [max(seconds(~cascade([rule], F.col("t"))) - alone, 1e-4) for rule in rules]
+
+
 def order_rules(df: DataFrame, rules=RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejections per second on a sample, best first; rules that reject nothing come last, cheapest first.
+    """Rules by rejections per second on a sample: always the one that rejects most of what the earlier ones let pass; those that reject nothing come last, cheapest first.
 
     The sample is a seeded fraction that holds about sample_rows rows whatever the table's size. The order
     changes how much work the cascade does and no verdict.
     """
+    rules = list(rules)
     total = df.count()
-    if not total:
-        return list(rules)
+    if not total or not rules:
+        return rules
     sample = materialize(df.select(quoted(text).alias("t")).sample(min(1.0, sample_rows / total), seed=7), "rule-sample")
-    stats = statistics(F.col("t"))
-    found = []
-    for rule in rules:
-        began = time.monotonic()
-        share = sample.agg(F.avg(rule.on(stats).cast("double"))).first()[0] or 0.0
-        found.append((share / max(time.monotonic() - began, 1e-3), -(time.monotonic() - began), rule))
-    return [r for _, _, r in sorted(found, key=lambda x: x[:2], reverse=True)]
-
-
-def cascade(rules, stats: dict[str, Column]) -> Column:
-    """True where no rule rejects. CASE branches are evaluated in turn, so that a later rule's figures are only computed for rows that the earlier ones let pass."""
-    kept = F.lit(True)
-    for rule in reversed(list(rules)):
-        kept = F.when(rule.on(stats), F.lit(False)).otherwise(kept)
-    return kept
+    costs = rule_costs(sample, rules)
+    # how many rows each set of rules rejects together: 2^rules rows at most
+    flags = [(~cascade([rule], F.col("t"))).alias(f"r{i}") for i, rule in enumerate(rules)]
+    seen = [([r[i] for i in range(len(rules))], r["n"]) for r in sample.select(*flags).groupBy(*(f"r{i}" for i in range(len(rules)))).agg(F.count("*").alias("n")).collect()]
+    discard(sample)
+    order: list[int] = []
+    while len(order) < len(rules):
+        open_ = [(f, n) for f, n in seen if not any(f[i] for i in order)]
+        left = [i for i in range(len(rules)) if i not in order]
+        order.append(max(left, key=lambda i: (sum(n for f, n in open_ if f[i]) / costs[i], -costs[i])))
+    return [rules[i] for i in order]
+
+
+def cascade(rules, text: Column, held: dict[str, Column] | None = None) -> Column:
+    """True where no rule rejects. CASE branches are evaluated in turn, so that a later rule's arrays and figures are only made for rows that the earlier ones let pass, and once."""
+    rules, held = list(rules), dict(held or {})
+    if not rules:
+        return F.lit(True)
+    for need in rules[0].needs:
+        if need not in held:
+            return let(ARRAYS[need](text), lambda v: cascade(rules, text, {**held, need: v}))
+    return F.when(rules[0].on(statistics(text, held)), F.lit(False)).otherwise(cascade(rules[1:], text, held))
 
 
 def keep_good(df: DataFrame, rules=RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -116,7 +145,7 @@ def keep_good(df: DataFrame, rules=RULES, text: str = "text", sample_rows: int =
     Null and empty texts have no words and are rejected. Verdicts depend on the row's text alone, so repeated
     rows share theirs; columns named like a statistic are not touched. An empty table stays empty.
     """
-    return df.where(cascade(order_rules(df, rules, text, sample_rows), statistics(quoted(text))))
+    return df.where(cascade(order_rules(df, rules, text, sample_rows), quoted(text)))
 
 
 def quality_report(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules=OWN_RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -125,20 +154,13 @@ def quality_report(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     Null texts count as empty (no words, base_failed); input columns named like an output are left out.
     """
     ordered = order_rules(df, rules, text, sample_rows)
-    t = F.coalesce(quoted(text), F.lit(""))
-    made = df.select(*(quoted(c) for c in keep), t.alias("__t"), words(t).alias("__w"), word_lines(t).alias("__l"))
-    made = made.select(
-        *(quoted(c) for c in keep),
-        F.size("__w").cast("long").alias("n_words"),
-        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
-        (F.length("__t") - F.length(F.regexp_replace("__t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        F.size("__l").cast("long").alias("n_lines"),
-        n_repeat_words(F.col("__w")).cast("long").alias("n_repeat_words"),
-    )
+    made = df.select(*(quoted(c) for c in keep), F.coalesce(quoted(text), F.lit("")).alias("__t"), words(quoted(text)).alias("__w"), word_lines(quoted(text)).alias("__l"))
+    made = made.select(*(quoted(c) for c in keep), *(c.alias(n) for n, c in statistics(F.col("__t"), {"words": F.col("__w"), "lines": F.col("__l")}).items()))
     stats = {n: F.col(n) for n in made.columns if n not in keep}
     failed = F.lit(False)
     for rule in BASE_RULES:
         failed = failed | rule.on(stats)
-    made = made.withColumn("base_failed", failed)
-    return made.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(ordered, stats)))
+    verdict = F.lit(True)
+    for rule in reversed(ordered):
+        verdict = F.when(rule.on(stats), F.lit(False)).otherwise(verdict)
+    return made.withColumn("base_failed", failed).withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict))
