@@ -17,8 +17,9 @@ GRAM = 3
 NEIGHBOURS = 3
 #: The share of a long template's word k-grams that a span must hold.
 LEAST_SHARE = 0.7
-#: The broadcast table has a row for each gram of each template, and no more than this.
-MOST_GRAMS = 10_000
+#: The table of template grams is broadcast up to so many rows (some 20 MB); a larger one is joined by shuffling both sides.
+BROADCAST_ROWS = 1 << 18
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
@@ -41,22 +42,44 @@ NOTICES = (
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     Template("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    Template("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
 )
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAKS), "")
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAKS), "")
+
+
+def grams(word: Column) -> Column:
+    """All rolling word k-grams of an array of words."""
+    n = F.size(word)
+    shifted = [F.slice(word, k + 1, n).alias(f"w{k}") for k in range(GRAM)]
+    return F.slice(F.arrays_zip(*shifted), 1, F.greatest(n - (GRAM - 1), F.lit(0)))
 
 
 def template_grams(spark: SparkSession, templates) -> DataFrame:
-    rows = []
-    for k, t in enumerate(templates):
-        w = t.text.split()
-        rows += [(k, t.label, t.exact, len(w) - GRAM + 1, i, *w[i : i + GRAM]) for i in range(len(w) - GRAM + 1)]
-    if len(rows) > MOST_GRAMS:
-        raise ValueError(f"the templates have {len(rows)} word {GRAM}-grams, more than {MOST_GRAMS}")
-    made = spark.createDataFrame(rows, "template int, label string, exact boolean, n_grams int, t_pos int, t0 string, t1 string, t2 string")
-    return made.withColumn("gram", F.xxhash64("t0", "t1", "t2"))
+    """(gram, t0.., t_pos, template, label, exact, n_grams) of templates, a sequence or a table (label, text, exact): any number of them."""
+    table = templates if isinstance(templates, DataFrame) else spark.createDataFrame([(t.label, t.text, t.exact) for t in templates], "label string, text string, exact boolean")
+    made = table.select("label", "exact", F.xxhash64("label", "text", "exact").alias("template"), grams(words(F.col("text"))).alias("g")).dropDuplicates(["template"])
+    each = made.select("label", "exact", "template", F.size("g").alias("n_grams"), F.posexplode("g").alias("t_pos", "g"))
+    return each.select("label", "exact", "template", "n_grams", "t_pos", *(F.col(f"g.w{k}").alias(f"t{k}") for k in range(GRAM)), F.xxhash64(*(F.col(f"g.w{k}") for k in range(GRAM))).alias("gram"))
+
+
+def longest_ascent(values: Column) -> Column:
+    """Length of the longest strictly ascending subsequence of an array: the least last value by length is kept, which has one entry at most for each value of a template."""
+
+    def step(ends, v):
+        n = F.size(F.filter(ends, lambda e: e < v))
+        return F.concat(F.slice(ends, 1, n), F.array(v), F.slice(ends, n + 2, F.size(ends)))
+
+    return F.size(F.aggregate(values, F.array().cast("array<int>"), step))
 
 
 def license_spans(df: DataFrame, key: str = "doc_id", text: str = "text", templates=PHRASES + NOTICES) -> DataFrame:
@@ -64,17 +87,15 @@ def license_spans(df: DataFrame, key: str = "doc_id", text: str = "text", templa
 
     All rolling word 3-grams are joined with the templates' (hash and words), votes are counted by offset
     diagonal, diagonals up to NEIGHBOURS apart are merged, and a span stands if it holds every gram of an
-    exact phrase on one diagonal or LEAST_SHARE of a notice. Repeated rows give one set of spans; null,
-    empty and short texts give none.
+    exact phrase on one diagonal, or grams of LEAST_SHARE of a notice in the notice's order and no overlapping notice has
+    a larger share. Repeated rows give one set of spans; null, empty and short texts give none.
     """
-    w = F.col("__w")
     base = df.select(quoted(key).alias("__k"), F.xxhash64(F.coalesce(quoted(text), F.lit(""))).alias("text_hash"), words(quoted(text)).alias("__w"))
-    n = F.size(w)
-    grams = base.select("__k", "text_hash", F.posexplode(F.slice(F.arrays_zip(w.alias("a"), F.slice(w, 2, n).alias("b"), F.slice(w, 3, n).alias("c")), 1, F.greatest(n - 2, F.lit(0)))).alias("pos", "g"))
-    grams = grams.select("__k", "text_hash", "pos", F.col("g")["a"].alias("w0"), F.col("g")["b"].alias("w1"), F.col("g")["c"].alias("w2"))
-    grams = grams.withColumn("gram", F.xxhash64("w0", "w1", "w2"))
-    small = F.broadcast(template_grams(df.sparkSession, templates))
-    hits = grams.join(small, "gram").where("w0 = t0 and w1 = t1 and w2 = t2")
+    each = base.select("__k", "text_hash", F.posexplode(grams(F.col("__w"))).alias("pos", "g"))
+    each = each.select("__k", "text_hash", "pos", *(F.col("g")[f"w{k}"].alias(f"w{k}") for k in range(GRAM)))
+    each = each.withColumn("gram", F.xxhash64(*(f"w{k}" for k in range(GRAM))))
+    known = template_grams(df.sparkSession, templates)
+    hits = each.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, "gram").where(" and ".join(f"w{k} = t{k}" for k in range(GRAM)))
     hits = hits.select("__k", "text_hash", "template", "label", "exact", "n_grams", "t_pos", "pos", (F.col("pos") - F.col("t_pos")).alias("diagonal"))
     whole = ["__k", "text_hash", "template", "label", "exact", "n_grams"]
     votes = hits.groupBy(*whole, "diagonal").agg(F.collect_set("t_pos").alias("found"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
@@ -83,8 +104,16 @@ def license_spans(df: DataFrame, key: str = "doc_id", text: str = "text", templa
     by = W.partitionBy("__k", "text_hash", "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(by) > NEIGHBOURS
     grouped = votes.where("not exact").withColumn("group", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(by))
-    merged = grouped.groupBy(*whole, "group").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    notices = merged.withColumn("share", F.col("n") / F.col("n_grams")).where((F.col("share") >= LEAST_SHARE) & (F.col("hi") - F.col("lo") <= 2 * F.col("n_grams"))).select(*whole, "lo", "hi", "share")
+    # the grams of a group by place; of several at one place the later in the template first, so that an ascent takes one of them
+    placed = F.transform("found", lambda t: F.struct((F.col("diagonal") + t).alias("pos"), (-t).alias("minus")))
+    merged = grouped.groupBy(*whole, "group").agg(F.sort_array(F.flatten(F.collect_list(placed))).alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    merged = merged.where((F.size("s") >= LEAST_SHARE * F.col("n_grams")) & (F.col("hi") - F.col("lo") <= 2 * F.col("n_grams")))
+    notices = merged.withColumn("share", longest_ascent(F.transform("s", lambda p: (-p["minus"]).cast("int"))) / F.col("n_grams")).where(F.col("share") >= LEAST_SHARE)
+    # notices that differ by a word lie over one another: of those that overlap, the best found stand
+    text_ = W.partitionBy("__k", "text_hash")
+    before = F.max("hi").over(text_.orderBy("lo", "hi", "template").rowsBetween(W.unboundedPreceding, -1))
+    place = notices.withColumn("new", F.coalesce(F.col("lo") > before, F.lit(True)).cast("int")).withColumn("place", F.sum("new").over(text_.orderBy("lo", "hi", "template").rowsBetween(W.unboundedPreceding, 0)))
+    notices = place.withColumn("best", F.max("share").over(W.partitionBy("__k", "text_hash", "place"))).where("share = best").select(*whole, "lo", "hi", "share")
     spans = phrases.unionByName(notices)
     return spans.select(F.col("__k").alias(key), "text_hash", "label", "exact", F.col("lo").cast("long").alias("first_word"), (F.col("hi") + GRAM - 1).cast("long").alias("last_word"), "share")
 
