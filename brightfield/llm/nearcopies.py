@@ -5,7 +5,7 @@ register keeps the shingle of its earliest arrival, and a shingle stops once its
 than every register's. Two texts agree in a register with the probability Jaccard similarity of their
 shingle counts. Bands of registers give buckets; pairs from buckets are verified with the exact
 similarity. Within a bucket, members are compared with pivots: first with the member that shares most with
-others, then, in turns with four times as many pivots each, only across components that are not yet linked.
+others, then, in turns with sixteen times as many pivots each, only across components that are not yet linked.
 Texts whose own shingles rule out every partner leave a crowded bucket first (`excess`), so that a large group
 of texts that resemble their source, but not one another, takes no comparison of all its pairs; what is
 compared is what shares a bucket, is not linked and may still be similar, and no link is lost.
@@ -13,6 +13,7 @@ compared is what shares a bucket, is not linked and may still be similar, and no
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightfield.llm.common import discard, fresh, materialize, quoted, slices
-from brightfield.llm.sampling import BATCH, Hashed, mix, passes, signed, sketch, text_bytes, word_units
+from brightfield.llm.sampling import BATCH, SKETCH_BITS, Hashed, mix, passes, signed, sketch, text_bytes, word_units
 from brightfield.operators.graph import connected_components
 
 SHINGLE = 5
@@ -34,7 +35,7 @@ MISS = 1e-6
 #: In open buckets with more members, texts that can have no partner are ruled out before pairs are made; it decides no link.
 CROWD = 16
 #: Pivots of a bucket grow by this factor from turn to turn.
-PIVOT_GROWTH = 4
+PIVOT_GROWTH = 16
 
 
 def shingles(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,7 +136,12 @@ def _agreeing(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFram
 
 
 def _shingled(rows: DataFrame, tids: DataFrame, size: int) -> DataFrame:
-    """(tid, h, n): distinct shingles and counts of the texts in tids and of a few others that the sketch lets pass; rows that repeat a text repeat it."""
+    """(tid, h, n): distinct shingles and counts of the texts in tids and of a few others that the sketch lets pass; rows that repeat a text repeat it.
+
+    With more tids than a sketch tells apart, texts are joined instead.
+    """
+    if tids.count() > 1 << (SKETCH_BITS - 4):
+        rows = rows.join(tids, "tid", "left_semi")
     wanted = sketch(tids, "tid")
 
     def shingle(batches):
@@ -238,6 +244,7 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SH
     # first each text with the best of its pivots
     first = members.join(pivots, "bucket").where("tid <> pivot").groupBy("tid").agg(F.max_by("pivot", F.struct("pivot_score", (-F.col("pivot")).alias("t"))).alias("pivot"))
     compared = materialize(first.select(F.least("tid", "pivot").alias("a"), F.greatest("tid", "pivot").alias("b")).distinct(), "near-pairs")
+    seen = [compared]
     edges = _verify(rows, compared, marks, size, similarity)
     parts = materialize(connected_components(edges), "near-parts")
     discard(edges)
@@ -245,32 +252,30 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SH
     while True:
         # buckets that still hold several components
         placed = members.join(parts, members.tid == parts.node, "left").select("bucket", "tid", "score", F.coalesce("component", "tid").alias("component"))
-        open_ = placed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("members"), F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main")).where("parts > 1")
-        open_ = materialize(open_.drop("parts"), "near-open")
-        if open_.isEmpty():
-            discard(open_, members, marks, compared)
-            return parts
+        open_ = placed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("members"), F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main")).where("parts > 1").drop("parts")
         left = materialize(placed.join(open_, "bucket"), "near-left")
+        if left.isEmpty():
+            discard(left, members, marks, *seen)
+            return parts
         crowds = left.where(F.col("members") > CROWD)
         own = _excess(rows, crowds.select("tid").distinct(), size).join(marks, "tid").select(F.col("tid").alias("t"), F.when(F.col("weight") > F.col("own"), F.col("own") / (F.col("weight") - F.col("own"))).alias("excess"))
-        own = materialize(own, "near-excess", 500)
         most = 1 / similarity - 1 + 1e-9
         # not found: the text shares all it has. Without any shared weight the excess is null and the text leaves
         able = crowds.join(own, crowds.tid == own.t, "left").select("bucket", "tid", "score", "component", "main", F.when(F.col("t").isNull(), 0.0).otherwise(F.col("excess")).alias("excess")).where(F.col("excess") <= most)
         able = able.unionByName(left.where(F.col("members") <= CROWD).select("bucket", "tid", "score", "component", "main", F.lit(0.0).alias("excess")))
-        able = materialize(able, "near-able")
+        able = materialize(able, "near-able", 500)
         group = F.pmod(F.xxhash64("tid", F.lit(turn)), F.lit(PIVOT_GROWTH**turn))
         chosen = able.where("component <> main").groupBy("bucket", group.alias("g")).agg(F.max_by(F.struct(F.col("tid").alias("pivot"), F.col("component").alias("with"), F.col("excess").alias("beyond")), rank).alias("p")).select("bucket", "p.*")
-        chosen = materialize(chosen, "near-pivots")
         pairs = able.join(chosen, "bucket").where((F.col("component") != F.col("with")) & (F.col("excess") + F.col("beyond") <= most)).select(F.least("tid", "pivot").alias("a"), F.greatest("tid", "pivot").alias("b")).distinct()
         pairs = materialize(pairs.join(compared, ["a", "b"], "left_anti"), "near-pairs")
         edges = _verify(rows, pairs, marks, size, similarity)
         if not edges.isEmpty():
             parts = _merge(parts, edges)
-        superseded = [members, compared, left, open_, own, able, chosen, pairs, edges]
+        superseded = [members, left, able, edges]
         members = materialize(able.join(chosen.select("bucket", F.col("pivot").alias("tid")), ["bucket", "tid"], "left_anti").select("bucket", "tid", "score"), "near-members")
-        compared = materialize(compared.unionByName(pairs), "near-pairs")
         discard(*superseded)
+        seen.append(pairs)
+        compared = functools.reduce(DataFrame.unionByName, seen)
         turn += 1
 
 

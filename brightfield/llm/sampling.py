@@ -22,8 +22,8 @@ PRIME = 0x9E3779B97F4A7C15
 PIECE = 1 << 21
 #: Bytes of text in a batch: every byte takes part in some twenty 64-bit arrays.
 BATCH = 1 << 19
-#: log2 of the bits in a sketch: 1 MB, whatever the input's size.
-SKETCH_BITS = 23
+#: log2 of the most bits in a sketch: 16 MB. A sketch has 16 bits for each that is set, up to this.
+SKETCH_BITS = 27
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, *range(0x9, 0xE)]] = True
 
@@ -152,16 +152,22 @@ def pieces(codes: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> It
 
 
 def sketch(df: DataFrame, column: str, bits: int = SKETCH_BITS) -> np.ndarray:
-    """A bitmap of 2^bits bits with those set that the column's low bits name: a filter that passes every value of the column, and some others.
+    """A bitmap of up to 2^bits bits with those set that the column's low bits name: a filter that passes every value of the column, and some others.
 
     Spark builds it with a grouped bit_or, so that the driver receives 2^(bits - 6) rows at most, whatever
-    the input's size; results never depend on it, since what passes wrongly fails the exact joins that follow.
+    the input's size, and the bitmap is folded until one bit in 16 is set. Results never depend on it, since what
+    passes wrongly fails the exact joins that follow; some 8 million values fill it to a sixteenth, and beyond that
+    more rows reach those joins.
     """
     low = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
     with arrow_rows(df.sparkSession, 1000):
         rows = df.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    made = np.zeros(1 << (bits - 6), dtype=np.int64)
-    made[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
+    where, words = rows.column("w").to_numpy(), rows.column("b").to_numpy()
+    size = 1 << 10
+    while size < 1 << (bits - 6) and size * 4 < len(where):
+        size *= 2
+    made = np.zeros(size, dtype=np.int64)
+    np.bitwise_or.at(made, where & (size - 1), words)
     return made.view(np.uint64)
 
 
