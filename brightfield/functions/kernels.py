@@ -71,17 +71,23 @@ def hull_area(y: np.ndarray, x: np.ndarray) -> float:
 
 
 def ar_coefficients(trace: np.ndarray, p: int, segment: int = 1000) -> np.ndarray:
-    """AR(p) by Yule-Walker on segments, their median, shrunk until every root lies inside the unit circle."""
+    """AR(p) by Yule-Walker on the whole segments of the centred trace, their median, shrunk until every root lies inside the unit circle.
+
+    A trace shorter than a segment is one. A flat segment has no solution, and the result is 0.9^k then.
+    """
+    fallback = 0.9 ** np.arange(1, p + 1)
+    size = min(segment, len(trace))
+    if size <= p or np.ptp(trace) <= 1e-12 * np.abs(trace).max():
+        return fallback
     found = []
-    for s in range(0, len(trace), segment):
-        x = trace[s : s + segment]
-        if len(x) <= p:
-            continue
-        r = np.array([(x[: len(x) - k] * x[k:]).sum() for k in range(p + 1)])
+    for x in (trace - trace.mean())[: len(trace) // size * size].reshape(-1, size):
+        r = np.array([(x[: size - k] * x[k:]).sum() for k in range(p + 1)])
+        if r[0] == 0:
+            return fallback
         m = r[np.abs(np.arange(p)[:, None] - np.arange(p)[None, :])]
         if np.linalg.matrix_rank(m) == p:
             found.append(np.linalg.solve(m, r[1:]))
-    g = np.median(found, axis=0) if found else 0.9 ** np.arange(1, p + 1)
+    g = np.median(found, axis=0) if found else fallback
     for _ in range(500):
         if np.abs(np.roots(np.concatenate([[1.0], -g]))).max(initial=0) < 1:
             break

@@ -27,20 +27,38 @@ def frame_manifest(files: DataFrame, pattern: str) -> DataFrame:
     return made.withColumn("offset", F.coalesce(F.sum("n_frames").over(before), F.lit(0)))
 
 
+def _renumbered(movie: DataFrame, index: DataFrame) -> DataFrame:
+    """Frames of the index with their new numbers; original_frame keeps the first number a frame ever had."""
+    made = movie.join(index, FRAME)
+    if "original_frame" not in movie.columns:
+        made = made.withColumn("original_frame", F.col("frame"))
+    return made.drop("frame").withColumnRenamed("new_frame", "frame")
+
+
 def stride_downsample(movie: DataFrame, every: int, dh: int, dw: int, h: int, w: int) -> DataFrame:
-    """The first of every `every` frames within each file (column file), and every dh-th row and dw-th column; indices are renumbered."""
+    """The first of every `every` frames within each file (column file), and every dh-th row and dw-th column.
+
+    Frames, rows and columns are renumbered from 0; frames by their order among all that are kept of a session.
+    """
     numbered = movie.select("session", "file", "frame").distinct().withColumn("k", F.row_number().over(W.partitionBy("session", "file").orderBy("frame")) - 1)
-    kept = numbered.where(F.col("k") % every == 0).select("session", "file", "frame")
+    index = frame_index(numbered.where(F.col("k") % every == 0))
     small = movie.where((F.col("y") % dh == 0) & (F.col("x") % dw == 0) & (F.col("y") < h // dh * dh) & (F.col("x") < w // dw * dw))
-    return small.join(kept, ["session", "file", "frame"]).withColumn("y", F.expr(f"cast(y div {dh} as int)")).withColumn("x", F.expr(f"cast(x div {dw} as int)"))
+    return _renumbered(small, index).withColumn("y", F.expr(f"cast(y div {dh} as int)")).withColumn("x", F.expr(f"cast(x div {dw} as int)"))
 
 
 def trim_frames(movie: DataFrame, start: int, end: int, percent: float) -> DataFrame:
-    """Frames in [start, end), all if end <= start, then the first int(n * percent / 100) of those left in each session."""
-    cut = movie.where((F.col("frame") >= max(start, 0)) & (F.col("frame") < end)) if end > start else movie
-    n = cut.select("session", "frame").distinct().groupBy("session").agg(F.count("*").alias("n"), F.min("frame").alias("first"))
-    keep = F.floor(F.col("n") * percent / 100.0)
-    return cut.join(n, "session").where(F.col("frame") - F.col("first") < keep).drop("n", "first")
+    """Of each session the frames whose place is in [start, end), then the first int(n * (percent / 100)) of those; renumbered from 0.
+
+    Both bounds are clamped to the session's frames, and a range that is empty then leaves the session whole.
+    """
+    index = frame_index(movie)
+    n = index.groupBy("session").agg(F.count("*").alias("n"))
+    s, e = F.least(F.lit(max(start, 0)), F.col("n")), F.least(F.lit(end), F.col("n"))
+    range_ = n.select("session", F.when(e > s, s).otherwise(0).alias("first"), F.when(e > s, e - s).otherwise(F.col("n")).alias("held"))
+    range_ = range_.select("session", "first", F.least("held", F.floor(F.col("held") * F.lit(percent / 100.0))).alias("keep"))
+    place = F.col("new_frame") - F.col("first")
+    kept = index.join(range_, "session").where((place >= 0) & (place < F.col("keep"))).select("session", "frame", place.cast("long").alias("new_frame"))
+    return _renumbered(movie, kept)
 
 
 def blank_fill(movie: DataFrame, expected: DataFrame) -> DataFrame:
@@ -63,9 +81,10 @@ def ingest_report(manifest: DataFrame, read: DataFrame) -> DataFrame:
     return both.select("session", "file", "n_frames", "n_read", F.col("offset").alias("first_frame"), (F.col("offset") + F.col("n_frames") - 1).alias("last_frame"), issue.alias("issues"))
 
 
-def frame_index(frames: DataFrame, bad: DataFrame, block: int = 1000) -> DataFrame:
-    """Map of kept frames to 0..n-1 in each session (frame, new_frame), from counts of blocks: no window holds a whole session."""
-    kept = frames.select("session", "frame").distinct().join(bad, FRAME, "left_anti").withColumn("block", F.expr(f"frame div {block}"))
+def frame_index(frames: DataFrame, bad: DataFrame | None = None, block: int = 1000) -> DataFrame:
+    """Map of frames, without the bad ones, to 0..n-1 in each session (frame, new_frame), from counts of blocks: no window holds a whole session."""
+    kept = frames.select("session", "frame").distinct()
+    kept = (kept if bad is None else kept.join(bad, FRAME, "left_anti")).withColumn("block", F.expr(f"frame div {block}"))
     before = W.partitionBy("session").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     offsets = kept.groupBy("session", "block").count().withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     within = F.row_number().over(W.partitionBy("session", "block").orderBy("frame")) - 1

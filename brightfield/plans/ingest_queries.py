@@ -32,16 +32,26 @@ def filed_movie(spark, sf):
     return fx.movie(spark, sf).withColumn("file", F.expr("frame div 50"))
 
 
-@query("i02_stride_downsample", "SELECT session, frame, y // 2 AS y, x // 3 AS x, v FROM movie WHERE y % 2 = 0 AND x % 3 = 0 AND x < 6 AND (frame % 50) % 4 = 0", ("movie",))
+@query("i02_stride_downsample", """WITH kept AS (SELECT session, frame, row_number() OVER (PARTITION BY session ORDER BY frame) - 1 AS place FROM (SELECT DISTINCT session, frame FROM movie WHERE (frame % 50) % 4 = 0))
+SELECT session, place AS frame, frame AS original_frame, y // 2 AS y, x // 3 AS x, v FROM movie JOIN kept USING (session, frame) WHERE y % 2 = 0 AND x % 3 = 0 AND x < 6""", ("movie",))
 def i02(spark, sf):
     return ingest.stride_downsample(filed_movie(spark, sf), 4, 2, 3, 8, 8).drop("file")
 
 
-@query("i03_trim_frames", "SELECT session, frame, y, x, v FROM movie WHERE frame >= 20 AND frame < 20 + floor((SELECT count(DISTINCT frame) FROM movie WHERE frame >= 20 AND frame < 200 AND session = 'a') * 0.35)", ("movie",))
+@query("i03_trim_frames", """WITH places AS (SELECT session, frame, row_number() OVER (PARTITION BY session ORDER BY frame) - 1 AS place FROM (SELECT DISTINCT session, frame FROM movie)),
+held AS (SELECT session, frame, place - 20 AS place, count(*) OVER (PARTITION BY session) AS n FROM places WHERE place BETWEEN 20 AND 199)
+SELECT session, place AS frame, frame AS original_frame, y, x, v FROM movie JOIN held USING (session, frame) WHERE place < floor(n * CAST(0.35 AS DOUBLE))""", ("movie",))
 def i03(spark, sf):
     return ingest.trim_frames(fx.movie(spark, sf), 20, 200, 35.0)
 
 
+@query("i03_trim_downsampled", """WITH a AS (SELECT DISTINCT session, frame FROM movie WHERE (frame % 50) % 4 = 0), b AS (SELECT session, frame, rank() OVER (PARTITION BY session ORDER BY frame) - 1 AS place, count(*) OVER (PARTITION BY session) AS n FROM a),
+c AS (SELECT session, frame, place - 11 AS place FROM b WHERE place >= 11 AND place < least(61, n))
+SELECT session, place AS frame, frame AS original_frame, y // 2 AS y, x // 2 AS x, v FROM movie JOIN c USING (session, frame) WHERE y % 2 = 0 AND x % 2 = 0""", ("movie",))
+def i03_downsampled(spark, sf):
+    return ingest.trim_frames(ingest.stride_downsample(filed_movie(spark, sf), 4, 2, 2, 8, 8).drop("file"), 11, 61, 100.0)
+
+
 @query("i04_blank_fill", "SELECT session, frame, y, x, CASE WHEN frame % 7 = 3 THEN 0.0 ELSE v END AS v FROM movie", ("movie",))
 def i04(spark, sf):
     m = fx.movie(spark, sf)
