@@ -6,9 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from brightfield.operators.arrays import SMALL_ROWS, as_pixels, is_frames, lists, pixel_sums, stacks, with_image
 from brightfield.operators.base import FRAME, PIXEL
 from brightfield.operators.stencil import gaussian_image, stencil
 
@@ -39,10 +42,18 @@ def ring(radius: float, width: float) -> list[tuple[int, int, float]]:
 
 def ring_background(movie: DataFrame, h: int, w: int, radius: float = 12, width: float = 4, n: int = 1000, clip: bool = True) -> DataFrame:
     """v minus the ring average of the mean image of the first n frames, no less than 0 if clipped."""
-    mean = movie.where(F.col("frame") < n).groupBy(*PIXEL).agg(F.avg("v").alias("v"))
-    low = stencil(mean, ring(radius, width), "sum", "reflect", h, w).withColumnRenamed("v", "low")
+    first = movie.where(F.col("frame") < n)
+    if is_frames(movie):
+        sums = pixel_sums(first, h, w, lambda stack: [stack, np.full((h, w), float(len(stack)))], ["v", "n"])
+        mean = sums.select(*PIXEL, (F.col("v") / F.col("n")).alias("v"))
+    else:
+        mean = first.groupBy(*PIXEL).agg(F.avg("v").alias("v"))
+    low = stencil(mean, ring(radius, width), "sum", "reflect", h, w)
+    if is_frames(movie):
+        left = lambda v, low: F.greatest(v - low, F.lit(0.0)) if clip else v - low
+        return with_image(movie, low, h, w, "low").select(*(F.zip_with(F.col("px").cast("array<double>"), "low", left).alias("px") if c == "px" else c for c in movie.columns))
     left = F.col("v") - F.col("low")
-    return movie.join(low, PIXEL).select(*FRAME, "y", "x", (F.greatest(left, F.lit(0.0)) if clip else left).alias("v"))
+    return movie.join(low.withColumnRenamed("v", "low"), PIXEL).select(*FRAME, "y", "x", (F.greatest(left, F.lit(0.0)) if clip else left).alias("v"))
 
 
 def sampled_frames(movie: DataFrame, stride: int, most: int | None = MOST_FRAMES) -> DataFrame:
@@ -101,14 +112,48 @@ def lowrank_basis(movie: DataFrame, h: int, w: int, rank: int, stride: int = 1,
 
 
 def lowrank_subtract(movie: DataFrame, basis: DataFrame, clip: bool = True) -> DataFrame:
-    """v minus the mean image and the frame's projection on the modes."""
+    """v minus the mean image and the frame's projection on the modes.
+
+    Frame rows are projected one by one while the basis is small (SMALL_ROWS values), which every task then
+    holds; otherwise, and for pixel rows, pixels are joined with the mean image and the modes as an array each.
+    """
+    if is_frames(movie) and basis.count() <= SMALL_ROWS:
+        return _project(movie, basis, clip)
+    rows = as_pixels(movie) if is_frames(movie) else movie
     mean = basis.where("mode = -1").select(*PIXEL, F.col("value").alias("mean"))
-    modes = basis.where("mode >= 0").select(*PIXEL, "mode", "value")
-    centred = movie.join(mean, PIXEL).select(*FRAME, "y", "x", (F.col("v") - F.col("mean")).alias("c"))
-    scores = centred.join(modes, PIXEL).groupBy(*FRAME, "mode").agg(F.sum(F.col("c") * F.col("value")).alias("score"))
-    fitted = scores.join(modes, ["session", "mode"]).groupBy(*FRAME, "y", "x").agg(F.sum(F.col("score") * F.col("value")).alias("fit"))
-    left = F.col("c") - F.coalesce("fit", F.lit(0.0))
-    return centred.join(fitted, [*FRAME, "y", "x"], "left").select(*FRAME, "y", "x", (F.greatest(left, F.lit(0.0)) if clip else left).alias("v"))
+    modes = basis.where("mode >= 0").groupBy(*PIXEL).agg(F.sort_array(F.collect_list(F.struct("mode", "value"))).alias("s")).select(*PIXEL, F.col("s.mode").alias("mode"), F.col("s.value").alias("value"))
+    centred = rows.join(mean, PIXEL).select(*FRAME, "y", "x", (F.col("v") - F.col("mean")).alias("c")).join(modes, PIXEL, "left")
+    # one row a frame and mode, from sums that combine before the shuffle
+    scores = centred.select(*FRAME, "c", F.explode(F.arrays_zip("mode", "value")).alias("e")).groupBy(*FRAME, F.col("e.mode").alias("mode")).agg(F.sum(F.col("c") * F.col("e.value")).alias("score"))
+    scores = scores.groupBy(*FRAME).agg(F.transform(F.sort_array(F.collect_list(F.struct("mode", "score"))), lambda s: s["score"]).alias("score"))
+    fit = F.aggregate(F.zip_with("score", "value", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    left = F.col("c") - F.coalesce(fit, F.lit(0.0))
+    return centred.join(scores, FRAME, "left").select(*FRAME, "y", "x", (F.greatest(left, F.lit(0.0)) if clip else left).alias("v"))
+
+
+def _project(movie: DataFrame, basis: DataFrame, clip: bool) -> DataFrame:
+    table = basis.select("session", "mode", "y", "x", F.col("value").cast("double").alias("value")).toArrow().to_pandas()
+    held = {}
+    for session, part in table.groupby("session"):
+        wide = part.pivot(index=["y", "x"], columns="mode", values="value").sort_index()
+        held[session] = (wide[-1].to_numpy(), wide.drop(columns=-1).to_numpy())
+    given = movie.sparkSession.sparkContext.broadcast(held)
+    keys = [c for c in movie.columns if c != "px"]
+    place = keys.index("session")
+    schema = T.StructType([*(movie.schema[c] for c in keys), T.StructField("px", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        known = given.value
+        for batch in batches:
+            session = np.array(batch.column(place).to_pylist(), dtype=object)
+            for s in sorted(set(session.tolist()) & set(known)):
+                mean, modes = known[s]
+                for part, stack in stacks(batch.filter(pa.array(session == s)), 1, len(mean)):
+                    c = stack[:, 0] - mean
+                    c = c - c @ modes @ modes.T
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists(np.maximum(c, 0.0) if clip else c)], names=[*keys, "px"])
+
+    return movie.select(*keys, F.col("px").cast("array<double>").alias("px")).mapInArrow(run, schema)
 
 
 def background_qc(before: DataFrame, after: DataFrame) -> DataFrame:

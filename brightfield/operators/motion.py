@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brightfield.functions.kernels import phase_shift, warp
+from brightfield.operators.arrays import as_frames, as_pixels, is_frames, lists, small, stacks
 from brightfield.operators.base import FRAME
 from brightfield.sources.storage import materialize
 
@@ -86,18 +89,21 @@ def estimate_motion(frame_rows: DataFrame, npart: int = 3, alt_error: float = 5.
 
 
 def apply_shift(movie: DataFrame, motion: DataFrame, h: int, w: int) -> DataFrame:
-    """Every frame translated by (dy, dx), bilinear; what comes from outside the image is 0.
+    """Every frame with a motion translated by (dy, dx), bilinear; what comes from outside the image is 0. Frame rows stay where they are."""
+    frames = movie if is_frames(movie) else as_frames(movie, h, w)
+    keys = [c for c in frames.columns if c != "px"]
+    schema = T.StructType([*(frames.schema[c] for c in keys), T.StructField("px", T.ArrayType(T.DoubleType()))])
 
-    Each pixel sends its value to the four pixels around its new place, and 0 to its own, so that every pixel has a sum.
-    """
-    both = movie.join(motion, FRAME)
-    y, x = F.floor(F.col("y") + F.col("dy")), F.floor(F.col("x") + F.col("dx"))
-    fy, fx = F.col("y") + F.col("dy") - y, F.col("x") + F.col("dx") - x
-    part = lambda yy, xx, g: F.struct(yy.cast("int").alias("y"), xx.cast("int").alias("x"), (F.col("v") * g).alias("v"))
-    sent = F.array(part(y, x, (1 - fy) * (1 - fx)), part(y, x + 1, (1 - fy) * fx), part(y + 1, x, fy * (1 - fx)), part(y + 1, x + 1, fy * fx), part(F.col("y"), F.col("x"), F.lit(0.0)))
-    each = both.select(*FRAME, F.explode(sent).alias("p")).select(*FRAME, "p.y", "p.x", "p.v")
-    inside = (F.col("y") >= 0) & (F.col("y") < h) & (F.col("x") >= 0) & (F.col("x") < w)
-    return each.where(inside).groupBy(*FRAME, "y", "x").agg(F.sum("v").alias("v"))
+    def run(batches):
+        for batch in batches:
+            for part, stack in stacks(batch, h, w):
+                dy, dx = (part.column(len(keys) + i).to_numpy() for i in range(2))
+                moved = np.stack([warp(image, -a, -b) for image, a, b in zip(stack, dy, dx, strict=True)]) if part.num_rows else stack
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], lists(moved.reshape(part.num_rows, h * w))], names=[*keys, "px"])
+
+    both = frames.join(small(motion.select(*FRAME, F.col("dy").cast("double").alias("dy"), F.col("dx").cast("double").alias("dx"))), FRAME)
+    made = both.select(*keys, "dy", "dx", F.col("px").cast("array<double>").alias("px")).mapInArrow(run, schema)
+    return made if is_frames(movie) else as_pixels(made)
 
 
 def motion_summary(motion: DataFrame, bad: DataFrame) -> DataFrame:

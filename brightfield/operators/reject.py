@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightfield.functions.kernels import hull_area, power
+from brightfield.operators.arrays import is_frames, pixel_sums, small
 from brightfield.operators.base import FRAME, PIXEL, UNIT, finite
 from brightfield.operators.graph import connected_components
 from brightfield.operators.stencil import gaussian_image
@@ -100,8 +101,19 @@ def score_percentiles(scores: DataFrame, limits: dict[str, tuple[str, float]]) -
 
 
 def noise_map(movie: DataFrame, b: DataFrame, f: DataFrame, h: int, w: int, scale: float = 1.5, sigma: float = 1.0, mode: str = "mean", threshold: float | None = None) -> DataFrame:
-    """(session, y, x, sn): deviation over frames of v - b * f, times `scale` where b exceeds its mean, median or a given threshold, smoothed."""
-    left = movie.join(b, PIXEL).join(f, FRAME).groupBy(*PIXEL).agg(F.stddev_pop(F.col("v") - F.col("b") * F.col("f")).alias("v"), F.first("b").alias("b"))
+    """(session, y, x, sn): deviation over frames of v - b * f, times `scale` where b exceeds its mean, median or a given threshold, smoothed.
+
+    Frame rows are summed where they lie: v, v * v, v * f and f * f by pixel give the deviation for any b.
+    """
+    if is_frames(movie):
+        moments = lambda v, f: [np.full((h, w), float(len(v))), v, v * v, v * f[:, None, None], np.full((h, w), f.sum()), np.full((h, w), (f * f).sum())]
+        sums = pixel_sums(movie.join(small(f), FRAME), h, w, moments, ["n", "v", "vv", "vf", "f", "ff"], ("f",)).join(b, PIXEL)
+        c = {k: F.col(k) for k in ("n", "v", "vv", "vf", "f", "ff", "b")}
+        mean = (c["v"] - c["b"] * c["f"]) / c["n"]
+        square = (c["vv"] - 2 * c["b"] * c["vf"] + c["b"] * c["b"] * c["ff"]) / c["n"]
+        left = sums.select(*PIXEL, F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("v"), "b")
+    else:
+        left = movie.join(b, PIXEL).join(f, FRAME).groupBy(*PIXEL).agg(F.stddev_pop(F.col("v") - F.col("b") * F.col("f")).alias("v"), F.first("b").alias("b"))
     limit = b.groupBy("session").agg((F.lit(threshold) if mode == "custom" else F.percentile("b", F.lit(0.5)) if mode == "median" else F.avg("b")).alias("limit"))
     scaled = left.join(limit, "session").select(*PIXEL, F.when(F.col("b") > F.col("limit"), F.col("v") * scale).otherwise(F.col("v")).alias("v"))
     return (gaussian_image(scaled, sigma, h, w) if sigma > 0 else scaled).withColumnRenamed("v", "sn")

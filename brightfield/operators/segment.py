@@ -2,76 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from brightfield.functions.images import Patch, basins
 from brightfield.operators.base import UNIT
-from brightfield.operators.graph import connected_components
 from brightfield.operators.reject import regions
-from brightfield.operators.stencil import densify, gaussian_image, stencil
+from brightfield.operators.stencil import gaussian_taps
+
+
+def map_units(footprints: DataFrame, keys: list[str], kernel: Callable[..., pd.DataFrame], columns: str) -> DataFrame:
+    """keys and the rows that kernel(y, x, a) makes of each footprint, given as arrays by (y, x): work within its pixels, in many units a task."""
+    one = footprints.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("y", "x", "a"))).alias("s")).select(*keys, "s.y", "s.x", "s.a")
+    schema = T.StructType([*(footprints.schema[k] for k in keys), *T.StructType.fromDDL(columns).fields])
 
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                made = kernel(np.asarray(row[-3], dtype=np.int64), np.asarray(row[-2], dtype=np.int64), np.asarray(row[-1], dtype=np.float64))
+                yield pd.DataFrame({**dict(zip(keys, row, strict=False)), **made}, index=range(len(next(iter(made.values())))))[schema.names]
 
-def smoothed(footprints: DataFrame, sigma: float, h: int, w: int) -> DataFrame:
-    """Complete images (session, unit_id, y, x, v) of footprints, smoothed."""
-    dense = densify(footprints, h, w)
-    return gaussian_image(dense, sigma, h, w) if sigma > 0 else dense
+    return one.mapInPandas(run, schema)
 
 
 def local_peaks(footprints: DataFrame, min_distance: int, threshold_rel: float, sigma: float, h: int, w: int) -> DataFrame:
     """(session, unit_id, y, x, v): pixels of the smoothed image that equal the largest value within min_distance in either direction, exceed threshold_rel of the peak and 0, the first by (y, x) among equal neighbours."""
-    img = smoothed(footprints, sigma, h, w)
-    d = min_distance
-    square = [(dy, dx, 1.0) for dy in range(-d, d + 1) for dx in range(-d, d + 1)]
-    around = stencil(img, square, "max", "ignore", h, w).withColumnRenamed("v", "top")
-    peak = img.groupBy(*UNIT).agg(F.max("v").alias("peak"))
-    found = img.join(around, [*UNIT, "y", "x"]).join(peak, UNIT).where((F.col("v") == F.col("top")) & (F.col("v") > threshold_rel * F.col("peak")) & (F.col("v") > 0)).select(*UNIT, "y", "x", "v")
-    other = found.select(*UNIT, F.col("y").alias("y2"), F.col("x").alias("x2"))
-    earlier = (F.col("y2") < F.col("y")) | ((F.col("y2") == F.col("y")) & (F.col("x2") < F.col("x")))
-    near = (F.abs(F.col("y") - F.col("y2")) <= d) & (F.abs(F.col("x") - F.col("x2")) <= d)
-    tied = found.join(other, UNIT).where(near & earlier).select(*UNIT, "y", "x").distinct()
-    return found.join(tied, [*UNIT, "y", "x"], "left_anti")
+    taps = gaussian_taps(sigma)
+
+    def find(y, x, a):
+        patch = Patch(y, x, a, taps, min_distance, h, w)
+        py, px = patch.peaks(min_distance, threshold_rel)
+        return {"y": py, "x": px, "v": patch.at(py, px)}
+
+    return map_units(footprints, UNIT, find, "y int, x int, v double")
 
 
 def peak_search(footprints: DataFrame, grid: list[tuple[int, float, float]], h: int, w: int, skip: int | None = 0) -> DataFrame:
-    """(session, min_distance, threshold_rel, sigma, mean_peaks, best): the mean number of peaks per component for each setting; the largest is best (ties: the first setting)."""
+    """(session, min_distance, threshold_rel, sigma, mean_peaks, best): the mean number of peaks per component for each setting; the largest is best (ties: the first setting). All settings are tried on a footprint in one pass."""
     units = footprints if skip is None else footprints.where(F.col("unit_id") != skip)
-    n = units.groupBy("session").agg(F.countDistinct("unit_id").alias("units"))
-    out = None
-    for k, (d, t, s) in enumerate(grid):
-        made = local_peaks(units, d, t, s, h, w).groupBy("session").agg(F.count("*").alias("peaks")).select("session", F.lit(k).alias("k"), F.lit(d).alias("min_distance"), F.lit(t).alias("threshold_rel"), F.lit(s).alias("sigma"), "peaks")
-        out = made if out is None else out.unionByName(made)
-    rated = out.join(n, "session").withColumn("mean_peaks", F.col("peaks") / F.col("units"))
+
+    def count(y, x, a):
+        return {"k": np.arange(len(grid)), "peaks": [len(Patch(y, x, a, gaussian_taps(s), d, h, w).peaks(d, t)[0]) for d, t, s in grid]}
+
+    rated = map_units(units, UNIT, count, "k int, peaks long").groupBy("session", "k").agg(F.avg("peaks").alias("mean_peaks"))
     best = rated.groupBy("session").agg(F.max_by("k", F.struct("mean_peaks", -F.col("k"))).alias("best_k"))
-    return rated.join(best, "session").select("session", "min_distance", "threshold_rel", "sigma", "mean_peaks", (F.col("k") == F.col("best_k")).alias("best"))
+    setting = F.element_at(F.array(*(F.struct(F.lit(d).alias("min_distance"), F.lit(t).alias("threshold_rel"), F.lit(s).alias("sigma")) for d, t, s in grid)), F.col("k") + 1)
+    return rated.join(best, "session").withColumn("g", setting).select("session", "g.*", "mean_peaks", (F.col("k") == F.col("best_k")).alias("best"))
 
 
-def basin_label(footprints: DataFrame, min_distance: int, threshold_rel: float, sigma: float, h: int, w: int) -> DataFrame:
+def basin_label(footprints: DataFrame, min_distance: int, threshold_rel: float, sigma: float, h: int, w: int, keys: list[str] = UNIT) -> DataFrame:
     """(session, unit_id, y, x, a, basin): every footprint pixel with its basin, numbered from 1 within the unit.
 
     A pixel points to its greatest 8-neighbour in the smoothed image within the footprint (ties by y, x), a
-    local top to itself; what points together is a basin, found as a component of the pointers. Tops that are
-    no peak join the basin of the nearest peak. Against flooding this differs on plateaus and ridges alone.
+    local top to itself; what points together is a basin. Tops that are no peak join the basin of the nearest
+    peak. Against flooding this differs on plateaus and ridges alone. `keys` name a unit.
     """
-    img = smoothed(footprints, sigma, h, w).join(footprints.select(*UNIT, "y", "x"), [*UNIT, "y", "x"], "left_semi")
-    steps = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1))))
-    rank = F.struct("v", (-F.col("y")).alias("ny"), (-F.col("x")).alias("nx"))
-    near = img.select(*UNIT, "v", "y", "x", steps.alias("o")).select(*UNIT, (F.col("y") - F.col("o.dy")).alias("ty"), (F.col("x") - F.col("o.dx")).alias("tx"), "v", "y", "x")
-    target = near.groupBy(*UNIT, "ty", "tx").agg(F.max_by(F.struct("y", "x"), rank).alias("to"))
-    inside = target.join(img.select(*UNIT, F.col("y").alias("ty"), F.col("x").alias("tx")), [*UNIT, "ty", "tx"], "left_semi")
-    node = lambda y, x: F.struct("session", "unit_id", y.alias("y"), x.alias("x"))
-    edges = inside.select(node(F.col("ty"), F.col("tx")).alias("a"), node(F.col("to.y"), F.col("to.x")).alias("b"))
-    parts = connected_components(edges).select("node.*", "component")
-    placed = footprints.join(parts, [*UNIT, "y", "x"], "left").withColumn("component", F.coalesce("component", F.struct("session", "unit_id", "y", "x")))
-    peaks = local_peaks(footprints, min_distance, threshold_rel, sigma, h, w).select(*UNIT, F.col("y").alias("py"), F.col("x").alias("px"), "v")
-    top = placed.join(img.select(*UNIT, "y", "x", "v"), [*UNIT, "y", "x"]).groupBy(*UNIT, "component").agg(F.max_by(F.struct("y", "x"), rank).alias("top"))
-    away = (F.col("top.y") - F.col("py")) ** 2 + (F.col("top.x") - F.col("px")) ** 2
-    nearest = top.join(peaks, UNIT, "left").groupBy(*UNIT, "component").agg(F.min_by(F.struct("py", "px"), F.struct(away.alias("d"), "py", "px")).alias("peak"), F.first("top").alias("top"))
-    own = nearest.select(*UNIT, "component", F.coalesce("peak", F.struct(F.col("top.y").alias("py"), F.col("top.x").alias("px"))).alias("peak"))
-    from pyspark.sql import Window as W
-
-    numbered = own.withColumn("basin", F.dense_rank().over(W.partitionBy(*UNIT).orderBy("peak")))
-    return placed.join(numbered.select(*UNIT, "component", "basin"), [*UNIT, "component"]).select(*UNIT, "y", "x", "a", "basin")
+    taps = gaussian_taps(sigma)
+
+    def label(y, x, a):
+        patch = Patch(y, x, a, taps, max(min_distance, 1), h, w)
+        return {"y": y, "x": x, "a": a, "basin": basins(y, x, patch.at(y, x), patch.peaks(min_distance, threshold_rel))}
+
+    return map_units(footprints, keys, label, "y int, x int, a double, basin int")
 
 
 def basin_filter(labels: DataFrame, min_size: int) -> DataFrame:

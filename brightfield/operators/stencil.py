@@ -1,18 +1,20 @@
 """Pixel-neighbourhood operators: for every pixel an aggregate over a neighbourhood of the same image.
 
-Images are rows of any key columns with y, x, v. A pixel first gets its mirrored or repeated copies beyond
-the border, then sends its value to every pixel whose neighbourhood holds it; one grouping by key and pixel
-sums up. Nothing is joined, and sums and extremes combine before the shuffle.
+Images are frame rows (keys, h, w, px) or complete images in pixel rows (keys, y, x, v), see arrays.py; the result
+has the form of the input. Frame rows pass one numpy kernel and no shuffle.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brightfield.functions import images
+from brightfield.operators.arrays import is_frames, map_images, pixel_sums, with_image
+
 BORDERS = ("reflect", "reflect101", "replicate", "ignore")
 
 
@@ -22,8 +24,9 @@ def disk(radius: float) -> list[tuple[int, int, float]]:
 
 
 def box(k: int) -> list[tuple[int, int, float]]:
-    r = k // 2
-    return [(dy, dx, 1.0 / (k * k)) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
+    """k x k offsets; an even k has one more of them before the pixel than after it."""
+    line = range(-(k // 2), k - k // 2)
+    return [(dy, dx, 1.0 / (k * k)) for dy in line for dx in line]
 
 
 def gaussian_line(radius: int, sigma: float) -> list[float]:
@@ -31,43 +34,22 @@ def gaussian_line(radius: int, sigma: float) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def copies(axis: str, size: int, reach: int, border: str) -> Column:
-    """Coordinates at which a pixel appears in the image extended by `reach`; reach is at most the size."""
-    c = F.col(axis)
-    if border == "ignore" or reach == 0:
-        return F.array(c)
-    if border == "reflect":
-        extra = [F.when(c < reach, -1 - c), F.when(c >= size - reach, 2 * size - 1 - c)]
-    elif border == "reflect101":
-        extra = [F.when((c > 0) & (c <= reach), -c), F.when((c < size - 1) & (c >= size - 1 - reach), 2 * (size - 1) - c)]
-    else:
-        low = F.when(c == 0, F.sequence(F.lit(-reach), F.lit(-1)))
-        high = F.when(c == size - 1, F.sequence(F.lit(size), F.lit(size + reach - 1)))
-        empty = F.array().cast("array<int>")
-        return F.concat(F.array(c), F.coalesce(low, empty), F.coalesce(high, empty))
-    return F.array_compact(F.array(c, *extra))
-
-
-def spread(img: DataFrame, offsets: list[tuple[int, int, float]], border: str, h: int, w: int) -> DataFrame:
-    """Rows (keys, y, x, v, weight): each pixel with the values of its neighbourhood."""
-    ry, rx = max(abs(o[0]) for o in offsets), max(abs(o[1]) for o in offsets)
-    keys = [c for c in img.columns if c not in ("y", "x", "v")]
-    wide = img.withColumn("y", F.explode(copies("y", h, ry, border))).withColumn("x", F.explode(copies("x", w, rx, border)))
-    table = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(float(g)).alias("g")) for dy, dx, g in offsets))
-    sent = wide.withColumn("o", F.explode(table)).select(*keys, (F.col("y") - F.col("o.dy")).alias("y"), (F.col("x") - F.col("o.dx")).alias("x"), "v", F.col("o.g").alias("weight"))
-    return sent.where((F.col("y") >= 0) & (F.col("y") < h) & (F.col("x") >= 0) & (F.col("x") < w))
+def gaussian_taps(sigma: float, truncate: float = 4.0) -> list[float]:
+    """Taps up to truncate * sigma; one of 1 for a sigma of 0."""
+    return gaussian_line(int(truncate * sigma + 0.5), sigma) if sigma > 0 else [1.0]
 
 
 def stencil(img: DataFrame, offsets: list[tuple[int, int, float]], agg: str, border: str, h: int, w: int) -> DataFrame:
     """Weighted sum, mean (by weight), min, max or median over the offsets around each pixel of complete h x w images."""
-    sent = spread(img, offsets, border, h, w)
-    keys = [c for c in img.columns if c not in ("y", "x", "v")]
-    how = {"sum": F.sum(F.col("v") * F.col("weight")), "mean": F.sum(F.col("v") * F.col("weight")) / F.sum("weight"), "min": F.min("v"), "max": F.max("v"), "median": F.percentile("v", F.lit(0.5))}[agg]
-    return sent.groupBy(*keys, "y", "x").agg(how.alias("v"))
+    return map_images(img, h, w, lambda stack: images.neighbourhood(stack, offsets, agg, border))
 
 
-def min_subtract(movie: DataFrame) -> DataFrame:
-    """v minus the pixel's least value over all frames."""
+def min_subtract(movie: DataFrame, h: int | None = None, w: int | None = None) -> DataFrame:
+    """v minus the pixel's least value over all frames; frame rows need h and w."""
+    if is_frames(movie):
+        low = pixel_sums(movie, h, w, lambda stack: [stack], ["v"], how="min")
+        made = with_image(movie, low, h, w, "low")
+        return made.select(*(F.zip_with(F.col("px").cast("array<double>"), "low", lambda v, low: v - low).alias("px") if c == "px" else c for c in movie.columns))
     low = movie.groupBy("session", "y", "x").agg(F.min("v").alias("low"))
     return movie.join(low, ["session", "y", "x"]).select("session", "frame", "y", "x", (F.col("v") - F.col("low")).alias("v"))
 
@@ -76,62 +58,46 @@ def median_denoise(img: DataFrame, k: int, h: int, w: int) -> DataFrame:
     return stencil(img, box(k), "median", "replicate", h, w)
 
 
+def _smooth(img: DataFrame, taps: list[float], border: str, h: int, w: int) -> DataFrame:
+    return map_images(img, h, w, lambda stack: images.along(images.along(stack, taps, 2, border), taps, 1, border))
+
+
 def gaussian_denoise(img: DataFrame, k: int, h: int, w: int, sigma: float = 0.0) -> DataFrame:
     """Separable Gaussian of k taps; a sigma of 0 is derived from k. Mirrored without repeating the border pixel."""
-    line = gaussian_line(k // 2, sigma or 0.3 * ((k - 1) * 0.5 - 1) + 0.8)
-    rows = stencil(img, [(0, d - k // 2, g) for d, g in enumerate(line)], "sum", "reflect101", h, w)
-    return stencil(rows, [(d - k // 2, 0, g) for d, g in enumerate(line)], "sum", "reflect101", h, w)
+    return _smooth(img, gaussian_line(k // 2, sigma or 0.3 * ((k - 1) * 0.5 - 1) + 0.8), "reflect101", h, w)
 
 
 def gaussian_image(img: DataFrame, sigma: float, h: int, w: int, truncate: float = 4.0) -> DataFrame:
     """Gaussian smoothing of complete images, taps up to truncate * sigma, border pixels repeated in the mirror."""
-    r = int(truncate * sigma + 0.5)
-    line = gaussian_line(r, sigma)
-    rows = stencil(img, [(0, d - r, g) for d, g in enumerate(line)], "sum", "reflect", h, w)
-    return stencil(rows, [(d - r, 0, g) for d, g in enumerate(line)], "sum", "reflect", h, w)
+    return _smooth(img, gaussian_taps(sigma, truncate), "reflect", h, w)
 
 
 def bilateral_denoise(img: DataFrame, d: int, h: int, w: int, sigma_space: float = 75.0, sigma_value: float = 75.0) -> DataFrame:
     """Mean of the disk of diameter d, weighted by distance and by difference of value."""
-    keys = [c for c in img.columns if c not in ("y", "x", "v")]
     offsets = [(dy, dx, math.exp(-(dy * dy + dx * dx) / (2 * sigma_space**2))) for dy, dx, _ in disk(d // 2)]
-    sent = spread(img, offsets, "reflect101", h, w)
-    both = sent.join(img.withColumnRenamed("v", "here"), [*keys, "y", "x"])
-    weight = F.col("weight") * F.exp(-((F.col("v") - F.col("here")) ** 2) / (2 * sigma_value**2))
-    return both.groupBy(*keys, "y", "x").agg((F.sum(weight * F.col("v")) / F.sum(weight)).alias("v"))
+    return map_images(img, h, w, lambda stack: images.bilateral(stack, offsets, sigma_value, "reflect101"))
 
 
-def anisotropic_denoise(img: DataFrame, niter: int, kappa: float = 50.0, gamma: float = 0.1) -> DataFrame:
+def anisotropic_denoise(img: DataFrame, niter: int, kappa: float = 50.0, gamma: float = 0.1, h: int | None = None, w: int | None = None) -> DataFrame:
     """niter steps of edge-preserving diffusion among the four neighbours, with exponential conductance; nothing flows over the border."""
-    keys = [c for c in img.columns if c not in ("y", "x", "v")]
-    for _ in range(niter):
-        flow = F.lit(0.0)
-        for line, along in (("y", "x"), ("x", "y")):
-            by = W.partitionBy(*keys, line).orderBy(along)
-            for near in (F.lag("v").over(by), F.lead("v").over(by)):
-                step = F.coalesce(near - F.col("v"), F.lit(0.0))
-                flow = flow + F.exp(-((step / kappa) ** 2)) * step
-        img = img.select(*keys, "y", "x", (F.col("v") + gamma * flow).alias("v"))
-    return img
+    return map_images(img, h, w, lambda stack: images.diffused(stack, niter, kappa, gamma))
 
 
 def tophat_background(img: DataFrame, radius: float, h: int, w: int) -> DataFrame:
     """v minus its opening: the greatest of the least values over disks."""
-    keys = [c for c in img.columns if c not in ("y", "x", "v")]
-    opened = stencil(stencil(img, disk(radius), "min", "ignore", h, w), disk(radius), "max", "ignore", h, w)
-    return img.join(opened.withColumnRenamed("v", "low"), [*keys, "y", "x"]).select(*keys, "y", "x", (F.col("v") - F.col("low")).alias("v"))
+    around = disk(radius)
+    return map_images(img, h, w, lambda stack: stack - images.extreme(images.extreme(stack, around, np.minimum, "ignore"), around, np.maximum, "ignore"))
 
 
 def uniform_background(img: DataFrame, k: int, h: int, w: int) -> DataFrame:
     """v minus the mean of the k x k box; signed."""
-    keys = [c for c in img.columns if c not in ("y", "x", "v")]
-    mean = stencil(img, box(k), "sum", "reflect", h, w)
-    return img.join(mean.withColumnRenamed("v", "low"), [*keys, "y", "x"]).select(*keys, "y", "x", (F.col("v") - F.col("low")).alias("v"))
+    taps = [1.0 / k] * k
+    return map_images(img, h, w, lambda stack: stack - images.along(images.along(stack, taps, 2, "reflect"), taps, 1, "reflect"))
 
 
 def preprocess(movie: DataFrame, h: int, w: int, order: str = "background-denoise", background: str = "uniform", k_background: int = 3, k_denoise: int = 3) -> DataFrame:
     """Minimum subtraction, then background and median denoising in either order."""
-    made = min_subtract(movie)
+    made = min_subtract(movie, h, w)
     for step in order.split("-"):
         if step == "denoise":
             made = median_denoise(made, k_denoise, h, w)

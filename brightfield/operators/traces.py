@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brightfield.functions.kernels import ar_coefficients, deconvolve, power
+from brightfield.operators.arrays import small, unit_sums
 from brightfield.operators.base import FRAME, PIXEL, UNIT, finite
 
 
@@ -16,7 +17,7 @@ def extract_traces(movie: DataFrame, footprints: DataFrame) -> DataFrame:
     """c[t, k] = sum over pixels of a / sum(a) * v; units whose weights sum to 0 are left out."""
     total = footprints.groupBy(*UNIT).agg(F.sum("a").alias("total")).where("total <> 0")
     weight = footprints.join(total, UNIT).select(*UNIT, "y", "x", (F.col("a") / F.col("total")).alias("g"))
-    return movie.join(weight, PIXEL).groupBy(*UNIT, "frame").agg(F.sum(F.col("g") * F.col("v")).alias("v"))
+    return unit_sums(movie, weight)
 
 
 def trace_stats(traces: DataFrame) -> DataFrame:
@@ -68,9 +69,9 @@ def drop_degenerate(footprints: DataFrame, traces: DataFrame, most_units: int |
 
 def project_yra(movie: DataFrame, footprints: DataFrame, b: DataFrame, f: DataFrame) -> DataFrame:
     """sum over pixels of a * v minus f * (sum of a * b); no other unit's part is subtracted."""
-    ay = movie.join(footprints, PIXEL).groupBy(*UNIT, "frame").agg(F.sum(F.col("a") * F.col("v")).alias("ay"))
+    ay = unit_sums(movie, footprints.select(*UNIT, "y", "x", F.col("a").alias("g"))).withColumnRenamed("v", "ay")
     ab = footprints.join(b, PIXEL).groupBy(*UNIT).agg(F.sum(F.col("a") * F.col("b")).alias("ab"))
-    return ay.join(ab, UNIT, "left").join(f, FRAME).select(*UNIT, "frame", (F.col("ay") - F.coalesce("ab", F.lit(0.0)) * F.col("f")).alias("v"))
+    return ay.join(ab, UNIT, "left").join(small(f), FRAME).select(*UNIT, "frame", (F.col("ay") - F.coalesce("ab", F.lit(0.0)) * F.col("f")).alias("v"))
 
 
 def frame_window(traces: DataFrame, n_frames: int, mode: str, seed: int = 0) -> DataFrame:
@@ -115,7 +116,7 @@ def noise_psd(traces: DataFrame) -> DataFrame:
 
 
 def ar_coeffs(traces: DataFrame, p: int, segment: int = 1000) -> DataFrame:
-    """(session, unit_id, g): AR(p) coefficients, the median of Yule-Walker solutions by segment, shrunk by 0.95 until stable."""
+    """(session, unit_id, g): AR(p) coefficients, the median of Yule-Walker solutions by whole segment of the centred trace, shrunk by 0.95 until stable."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g = ar_coefficients(pdf.sort_values("frame")["v"].to_numpy(), p, segment)

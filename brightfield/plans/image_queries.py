@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from brightfield.operators import background as bg
 from brightfield.operators import motion as mo
 from brightfield.operators import stencil as st
+from brightfield.operators.arrays import as_pixels, is_frames
 from brightfield.operators.frames import motion_outliers
 from brightfield.plans.registry import query, rnd
 from brightfield.sources import fixtures as fx
@@ -31,7 +32,7 @@ def grid(ry: int, rx: int, where: str = "true", g: str = "1.0") -> str:
 
 
 def shown(df):
-    return df.select("session", "frame", "y", "x", rnd("v").alias("v"))
+    return (as_pixels(df) if is_frames(df) else df).select("session", "frame", "y", "x", rnd("v").alias("v"))
 
 
 FR = "session, frame"
@@ -40,7 +41,7 @@ OUT = "SELECT session, frame, y, x, round(v, 6) + 0.0 AS v FROM r"
 
 @query("p01_stencil", f"WITH r AS (SELECT session, frame, y, x, max(v) AS v FROM ({around('movie', FR, grid(1, 2), IGNORE)}) GROUP BY ALL) {OUT}", ("movie",))
 def p01(spark, sf):
-    return shown(st.stencil(fx.movie(spark, sf), [(dy, dx, 1.0) for dy in (-1, 0, 1) for dx in range(-2, 3)], "max", "ignore", 8, 8))
+    return shown(st.stencil(fx.frames(spark, sf), [(dy, dx, 1.0) for dy in (-1, 0, 1) for dx in range(-2, 3)], "max", "ignore", 8, 8))
 
 
 _MIN = "m AS (SELECT session, frame, y, x, v - min(v) OVER (PARTITION BY session, y, x) AS v FROM movie)"
@@ -48,12 +49,12 @@ _MIN = "m AS (SELECT session, frame, y, x, v - min(v) OVER (PARTITION BY session
 
 @query("p02_min_subtract", f"WITH {_MIN} SELECT session, frame, y, x, round(v, 6) + 0.0 AS v FROM m", ("movie",))
 def p02(spark, sf):
-    return shown(st.min_subtract(fx.movie(spark, sf)))
+    return shown(st.min_subtract(fx.frames(spark, sf), 8, 8))
 
 
 @query("p03_median_denoise", f"WITH r AS (SELECT session, frame, y, x, quantile_cont(v, 0.5) AS v FROM ({around('movie', FR, grid(1, 1), REPLICATE)}) GROUP BY ALL) {OUT}", ("movie",))
 def p03(spark, sf):
-    return shown(st.median_denoise(fx.movie(spark, sf), 3, 8, 8))
+    return shown(st.median_denoise(fx.frames(spark, sf), 3, 8, 8))
 
 
 _S = 0.3 * ((5 - 1) * 0.5 - 1) + 0.8
@@ -62,12 +63,12 @@ _G = f"exp(-(dy * dy + dx * dx) / {2 * _S * _S})"
 
 @query("p04_gaussian_denoise", f"WITH r AS (SELECT session, frame, y, x, sum(v * g) / {sum(math.exp(-d * d / (2 * _S * _S)) for d in range(-2, 3)) ** 2} AS v FROM ({around('movie', FR, grid(2, 2, g=_G), REFLECT101)}) GROUP BY ALL) {OUT}", ("movie",))
 def p04(spark, sf):
-    return shown(st.gaussian_denoise(fx.movie(spark, sf), 5, 8, 8))
+    return shown(st.gaussian_denoise(fx.frames(spark, sf), 5, 8, 8))
 
 
 @query("p05_bilateral_denoise", f"WITH a AS ({around('movie', FR, grid(1, 1, 'dy * dy + dx * dx <= 1', 'exp(-(dy * dy + dx * dx) / 11250.0)'), REFLECT101)}), r AS (SELECT session, frame, y, x, sum(v * g * exp(-((v - here) ** 2) / 0.02)) / sum(g * exp(-((v - here) ** 2) / 0.02)) AS v FROM a GROUP BY ALL) {OUT}", ("movie",))
 def p05(spark, sf):
-    return shown(st.bilateral_denoise(fx.movie(spark, sf), 3, 8, 8, 75.0, 0.1))
+    return shown(st.bilateral_denoise(fx.frames(spark, sf), 3, 8, 8, 75.0, 0.1))
 
 
 def _diffuse(src: str, dst: str) -> str:
@@ -78,7 +79,7 @@ def _diffuse(src: str, dst: str) -> str:
 
 @query("p06_anisotropic_denoise", f"WITH {_diffuse('movie', 'd1')}, {_diffuse('d1', 'r')} {OUT}", ("movie",))
 def p06(spark, sf):
-    return shown(st.anisotropic_denoise(fx.movie(spark, sf), 2, 0.2, 0.1))
+    return shown(st.anisotropic_denoise(fx.frames(spark, sf), 2, 0.2, 0.1, 8, 8))
 
 
 _DISK = grid(2, 2, "dy * dy + dx * dx <= 4")
@@ -86,7 +87,7 @@ _DISK = grid(2, 2, "dy * dy + dx * dx <= 4")
 
 @query("p07_tophat_background", f"WITH e AS (SELECT session, frame, y, x, min(v) AS v FROM ({around('movie', FR, _DISK, IGNORE)}) GROUP BY ALL), o AS (SELECT session, frame, y, x, max(v) AS low FROM ({around('e', FR, _DISK, IGNORE)}) GROUP BY ALL), r AS (SELECT session, frame, y, x, v - low AS v FROM movie JOIN o USING (session, frame, y, x)) {OUT}", ("movie",))
 def p07(spark, sf):
-    return shown(st.tophat_background(fx.movie(spark, sf), 2, 8, 8))
+    return shown(st.tophat_background(fx.frames(spark, sf), 2, 8, 8))
 
 
 def _uniform(src: str, dst: str) -> str:
@@ -95,12 +96,12 @@ def _uniform(src: str, dst: str) -> str:
 
 @query("p08_uniform_background", f"WITH {_uniform('movie', 'r')} {OUT}", ("movie",))
 def p08(spark, sf):
-    return shown(st.uniform_background(fx.movie(spark, sf), 3, 8, 8))
+    return shown(st.uniform_background(fx.frames(spark, sf), 3, 8, 8))
 
 
 @query("p09_preprocess", f"WITH {_MIN}, {_uniform('m', 'u')}, r AS (SELECT session, frame, y, x, quantile_cont(v, 0.5) AS v FROM ({around('u', FR, grid(1, 1), REPLICATE)}) GROUP BY ALL) {OUT}", ("movie",))
 def p09(spark, sf):
-    return shown(st.preprocess(fx.movie(spark, sf), 8, 8))
+    return shown(st.preprocess(fx.frames(spark, sf), 8, 8))
 
 
 _DENSE = "dense AS (SELECT u.session, u.unit_id, g.y, g.x, coalesce(f.a, 0) AS v FROM (SELECT DISTINCT session, unit_id FROM foot) u CROSS JOIN (SELECT y, x FROM (SELECT unnest(range(8))::INT AS y) CROSS JOIN (SELECT unnest(range(8))::INT AS x)) g LEFT JOIN foot f USING (session, unit_id, y, x))"
@@ -126,7 +127,7 @@ def m02(spark, sf):
 p AS (SELECT t.session, t.frame, t.y, t.x, coalesce(sum(s.v * (1 - abs(t.y - t.dy - s.y)) * (1 - abs(t.x - t.dx - s.x))), 0) AS v FROM b t LEFT JOIN movie s ON s.session = t.session AND s.frame = t.frame AND abs(t.y - t.dy - s.y) < 1 AND abs(t.x - t.dx - s.x) < 1 GROUP BY ALL)
 SELECT session, frame, y, x, round(v, 6) + 0.0 AS v FROM p""", ("movie", "motion"))
 def m03(spark, sf):
-    return shown(mo.apply_shift(fx.movie(spark, sf), fx.motion(spark, sf), 8, 8))
+    return shown(mo.apply_shift(fx.frames(spark, sf), fx.motion(spark, sf), 8, 8))
 
 
 _R = lambda e: f"round({e}, 6) + 0.0"
@@ -156,7 +157,7 @@ _RINGED = f"im AS (SELECT session, y, x, avg(v) AS v FROM movie WHERE frame < 10
 
 @query("c03_ring_background", f"WITH {_RINGED} {OUT}", ("movie",))
 def c03(spark, sf):
-    return shown(bg.ring_background(fx.movie(spark, sf), 8, 8, 3, 1, 100))
+    return shown(bg.ring_background(fx.frames(spark, sf), 8, 8, 3, 1, 100))
 
 
 @query("c04_lowrank_basis")
@@ -166,14 +167,12 @@ def c04(spark, sf):
 
 @query("c05_lowrank_subtract", f"WITH im AS (SELECT session, y, x, avg(v) AS m FROM movie WHERE frame % 2 = 0 GROUP BY ALL), r AS (SELECT session, frame, y, x, greatest(v - m, 0) AS v FROM movie JOIN im USING (session, y, x)) {OUT}", ("movie",))
 def c05(spark, sf):
-    m = fx.movie(spark, sf)
-    return shown(bg.lowrank_subtract(m, bg.lowrank_basis(m, 8, 8, 0, 2)))
+    return shown(bg.lowrank_subtract(fx.frames(spark, sf), bg.lowrank_basis(fx.movie(spark, sf), 8, 8, 0, 2)))
 
 
 @query("c05_lowrank_subtract_modes")
 def c05_modes(spark, sf):
-    m = fx.movie(spark, sf)
-    return shown(bg.lowrank_subtract(m, bg.lowrank_basis(m, 8, 8, 2, 2)))
+    return shown(bg.lowrank_subtract(fx.frames(spark, sf), bg.lowrank_basis(fx.movie(spark, sf), 8, 8, 2, 2)))
 
 
 @query("c06_background_qc", f"WITH {_RINGED}, q AS (SELECT session, y, x, avg(m.v) AS before, avg(r.v) AS after FROM movie m JOIN r USING (session, frame, y, x) GROUP BY ALL), k AS (SELECT session, quantile_cont(before, 0.02) AS lo, quantile_cont(before, 0.98) AS hi FROM q GROUP BY 1) SELECT session, y, x, {_R('before')} AS before, {_R('after')} AS after, {_R('before - after')} AS removed, {_R('least(greatest(before, lo), hi)')} AS winsorised FROM q JOIN k USING (session)", ("movie",))

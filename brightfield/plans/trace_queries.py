@@ -81,7 +81,7 @@ _X01 = "x01 AS (SELECT session, unit_id, frame, sum(a / t * v) AS v FROM movie J
 
 @query("x01_extract_traces", f"WITH {_X01} SELECT session, unit_id, frame, round(v, 6) + 0.0 AS v FROM x01", ("movie", "foot"))
 def x01(spark, sf):
-    return rounded(tr.extract_traces(fx.movie(spark, sf), fx.footprints(spark, sf)), "v")
+    return rounded(tr.extract_traces(fx.frames(spark, sf), fx.footprints(spark, sf)), "v")
 
 
 _STATS = ("mean", "std", "max", "min", "range")
@@ -255,7 +255,7 @@ sc AS (SELECT session, y, x, CASE WHEN b > avg(b) OVER (PARTITION BY session) TH
 SELECT session, y, x, {R(f'sum(v * g) / {_NORM9}')} AS sn FROM ({around('sc', 'session', grid(4, 4, g='exp(-(dy * dy + dx * dx) / 2.0)'), REFLECT)}) GROUP BY ALL""", ("movie", "bg_b", "bg_f"))
 def n01(spark, sf):
     b, f = fx.background(spark, sf)
-    return rounded(re.noise_map(fx.movie(spark, sf), b, f, 8, 8), "sn")
+    return rounded(re.noise_map(fx.frames(spark, sf), b, f, 8, 8), "sn")
 
 
 _SIZE = "sz AS (SELECT session, unit_id, count(*) AS size FROM foot GROUP BY 1, 2)"
@@ -300,7 +300,7 @@ _YUSES = ("movie", "foot", "traces", "bg_b", "bg_f")
 
 def yra(spark, sf):
     b, f = fx.background(spark, sf)
-    return tr.project_yra(fx.movie(spark, sf), fx.footprints(spark, sf), b, f)
+    return tr.project_yra(fx.frames(spark, sf), fx.footprints(spark, sf), b, f)
 
 
 def agreement(spark, sf):
@@ -341,13 +341,22 @@ def t04(spark, sf):
     return rounded(tr.noise_psd(fx.days(spark, sf)), "sigma")
 
 
-@query("t05_ar_coeffs", f"""WITH l AS (SELECT session, unit_id, v, lead(v, 1) OVER w AS v1, lead(v, 2) OVER w AS v2 FROM days WINDOW w AS (PARTITION BY session, unit_id ORDER BY frame)),
-r AS (SELECT session, unit_id, sum(v * v) AS r0, sum(v * v1) AS r1, sum(v * v2) AS r2 FROM l GROUP BY 1, 2)
+@query("t05_ar_coeffs", f"""WITH c AS (SELECT session, unit_id, frame, v - avg(v) OVER (PARTITION BY session, unit_id) AS z FROM days),
+l AS (SELECT session, unit_id, z, lead(z, 1) OVER w AS z1, lead(z, 2) OVER w AS z2 FROM c WINDOW w AS (PARTITION BY session, unit_id ORDER BY frame)),
+r AS (SELECT session, unit_id, sum(z * z) AS r0, sum(z * z1) AS r1, sum(z * z2) AS r2 FROM l GROUP BY 1, 2)
 SELECT session, unit_id, {R('(r1 * r0 - r1 * r2) / (r0 * r0 - r1 * r1)')} AS g1, {R('(r0 * r2 - r1 * r1) / (r0 * r0 - r1 * r1)')} AS g2 FROM r""", ("days",))
 def t05(spark, sf):
     return tr.ar_coeffs(fx.days(spark, sf), 2).select("session", "unit_id", rnd(F.col("g")[0]).alias("g1"), rnd(F.col("g")[1]).alias("g2"))
 
 
+@query("t05_ar_coeffs_segments", f"""WITH c AS (SELECT session, unit_id, frame, frame // 7 AS seg, v - avg(v) OVER (PARTITION BY session, unit_id) AS z FROM days),
+l AS (SELECT session, unit_id, seg, z, lead(z, 1) OVER w AS z1 FROM c WHERE frame < 28 WINDOW w AS (PARTITION BY session, unit_id, seg ORDER BY frame)),
+r AS (SELECT session, unit_id, seg, coalesce(sum(z * z1), 0) / sum(z * z) AS g FROM l GROUP BY 1, 2, 3)
+SELECT session, unit_id, {R('median(g)')} AS g1 FROM r GROUP BY 1, 2""", ("days",))
+def t05_segments(spark, sf):
+    return tr.ar_coeffs(fx.days(spark, sf), 1, 7).select("session", "unit_id", rnd(F.col("g")[0]).alias("g1"))
+
+
 @query("t06_overlap_chunks", "SELECT session, unit_id, frame, v, chunk, frame - chunk * 6 AS local, 5::BIGINT AS n_chunks FROM days CROSS JOIN (SELECT unnest(range(0, 5)) AS chunk) WHERE frame >= chunk * 6 AND frame < chunk * 6 + 10", ("days",))
 def t06(spark, sf):
     return tr.overlap_chunks(fx.days(spark, sf), 10, 4)
