@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,17 @@ def as_pixels(frames: DataFrame) -> DataFrame:
     return each.select(*keys, F.expr("cast(p div w as int)").alias("y"), (F.col("p") % F.col("w")).alias("x"), F.col("v").cast("double").alias("v"))
 
 
+def cut(frames: DataFrame, h: int, w: int, rows: tuple[int, int, int], columns: tuple[int, int, int]) -> tuple[DataFrame, int, int]:
+    """Frame rows with the rows and columns in (from, to, step) alone, and their new height and width."""
+    ys, xs = range(*rows), range(*columns)
+    if len(ys) == h and len(xs) == w:
+        return frames, h, w
+    y, x = (lambda i: F.floor(i / w)), (lambda i: i % w)
+    inside = lambda v, i: (y(i) >= ys.start) & (y(i) < ys.stop) & ((y(i) - ys.start) % ys.step == 0) & (x(i) >= xs.start) & (x(i) < xs.stop) & ((x(i) - xs.start) % xs.step == 0)
+    made = frames.withColumn("px", F.filter("px", inside)).withColumn("h", F.lit(len(ys))).withColumn("w", F.lit(len(xs)))
+    return made, len(ys), len(xs)
+
+
 def stacks(batch: pa.RecordBatch, h: int, w: int):
     """(slice of the batch, its images as doubles (n, h, w)) in parts of bounded size; px is the last column."""
     step = max(1, STACK_BYTES // (8 * h * w))
@@ -111,6 +123,20 @@ def with_image(frames: DataFrame, image: DataFrame, h: int, w: int, name: str) -
     return frames.join(F.broadcast(one) if n * h * w * 8 <= SMALL_BYTES else one, "session")
 
 
+def map_units(footprints: DataFrame, keys: list[str], kernel: Callable[..., pd.DataFrame], columns: str) -> DataFrame:
+    """keys and the rows that kernel(y, x, a) makes of each footprint, given as arrays by (y, x): work within its pixels, in many units a task."""
+    one = footprints.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("y", "x", "a"))).alias("s")).select(*keys, "s.y", "s.x", "s.a")
+    schema = T.StructType([*(footprints.schema[k] for k in keys), *T.StructType.fromDDL(columns).fields])
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                made = kernel(np.asarray(row[-3], dtype=np.int64), np.asarray(row[-2], dtype=np.int64), np.asarray(row[-1], dtype=np.float64))
+                yield pd.DataFrame({**dict(zip(keys, row, strict=False)), **made}, index=range(len(next(iter(made.values())))))[schema.names]
+
+    return one.mapInPandas(run, schema)
+
+
 def small(side: DataFrame) -> DataFrame:
     """The side with a broadcast hint if its rows are few enough."""
     return F.broadcast(side) if side.count() <= SMALL_ROWS else side

@@ -19,11 +19,16 @@ from brightfield.operators.stencil import gaussian_image, stencil
 MOST_FRAMES = 2000
 
 
-def crop_square(movie: DataFrame, h: int, w: int, factor: float, yoff: int = 0, xoff: int = 0, least: int = 10) -> DataFrame:
-    """The window of half side max(least, int(min(h, w) * factor / 2)) around the shifted centre, clipped to the image."""
+def crop_window(h: int, w: int, factor: float, yoff: int = 0, xoff: int = 0, least: int = 10) -> tuple[int, int, int, int]:
     half = max(least, int(min(h, w) * factor / 2))
     cy, cx = h // 2 + yoff, w // 2 + xoff
-    return movie.where((F.col("y") >= max(0, cy - half)) & (F.col("y") < min(h, cy + half)) & (F.col("x") >= max(0, cx - half)) & (F.col("x") < min(w, cx + half)))
+    return max(0, cy - half), min(h, cy + half), max(0, cx - half), min(w, cx + half)
+
+
+def crop_square(movie: DataFrame, h: int, w: int, factor: float, yoff: int = 0, xoff: int = 0, least: int = 10) -> DataFrame:
+    """The window of half side max(least, int(min(h, w) * factor / 2)) around the shifted centre, clipped to the image."""
+    y0, y1, x0, x1 = crop_window(h, w, factor, yoff, xoff, least)
+    return movie.where((F.col("y") >= y0) & (F.col("y") < y1) & (F.col("x") >= x0) & (F.col("x") < x1))
 
 
 def mask_circle(movie: DataFrame, h: int, w: int, factor: float) -> DataFrame:

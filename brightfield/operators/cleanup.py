@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,9 +42,13 @@ def split_fragments(footprints: DataFrame, h: int, w: int, drop: int = 25, ratio
     return parts.join(keep.select(*UNIT, "blob", "basin", "fragment"), [*UNIT, "blob", "basin"]).select(*UNIT, "fragment", "y", "x", "a")
 
 
+def fragment_id() -> Column:
+    return F.shiftleft(F.col("unit_id").cast("long"), 32) + F.col("fragment")
+
+
 def fragment_ids(fragments: DataFrame) -> DataFrame:
-    """Lineage (session, unit_id, parent_unit_id, fragment): stable ids parent * 1000 + fragment."""
-    return fragments.select("session", (F.col("unit_id") * 1000 + F.col("fragment")).alias("unit_id"), F.col("unit_id").alias("parent_unit_id"), "fragment").distinct()
+    """Lineage (session, unit_id, parent_unit_id, fragment): stable ids, the parent's above the lower 32 bits and the fragment's number in them."""
+    return fragments.select("session", fragment_id().alias("unit_id"), F.col("unit_id").alias("parent_unit_id"), "fragment").distinct()
 
 
 def merge_guarded(footprints: DataFrame, traces: DataFrame, lineage: DataFrame, containment: float = 0.30, r: float = 0.70, most: int = 5000, guard: bool = True) -> DataFrame:
@@ -69,7 +73,7 @@ def cleanup(footprints: DataFrame, traces: DataFrame, h: int, w: int, share: flo
     """Halo trim, fragments, guarded merge, seam cut: (footprints, traces, lineage) with the ids of merged groups."""
     fragments = materialize(split_fragments(trim_halo(footprints, share), h, w, drop, ratio), "fragments")
     lineage = fragment_ids(fragments)
-    a = fragments.select("session", (F.col("unit_id") * 1000 + F.col("fragment")).alias("unit_id"), "y", "x", "a")
+    a = fragments.select("session", fragment_id().alias("unit_id"), "y", "x", "a")
     c = traces.withColumnRenamed("unit_id", "parent_unit_id").join(lineage, ["session", "parent_unit_id"]).select(*UNIT, "frame", "v")
     groups = materialize(merge_guarded(a, c, lineage, containment, r, most), "cleanup-groups")
     made = cut_seams(merge_footprints(a, groups), h, w, seam)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brightfield.functions.kernels import power
+from brightfield.operators.arrays import is_frames, small
 from brightfield.operators.base import FRAME, PIXEL, UNIT
 
 #: Values of a pixels x components matrix that a task may hold (512 MB); larger problems need fewer components or tiles.
@@ -16,7 +17,11 @@ MOST_VALUES = 1 << 26
 
 
 def shift_nonneg(movie: DataFrame, every: int = 1) -> DataFrame:
-    """Every n-th frame, minus the session's least value, plus 1e-6; NaN counts as 0."""
+    """Every n-th frame, minus the session's least value, plus 1e-6; NaN counts as 0. Frame rows or pixel rows."""
+    if is_frames(movie):
+        clean = movie.where(F.col("frame") % every == 0).withColumn("px", F.transform(F.col("px").cast("array<double>"), lambda v: F.nanvl(F.coalesce(v, F.lit(0.0)), F.lit(0.0))))
+        low = clean.groupBy("session").agg(F.min(F.array_min("px")).alias("low"))
+        return clean.join(small(low), "session").withColumn("px", F.transform("px", lambda v: v - F.col("low") + 1e-6)).drop("low")
     clean = movie.where(F.col("frame") % every == 0).withColumn("v", F.nanvl(F.coalesce("v", F.lit(0.0)), F.lit(0.0)))
     low = clean.groupBy("session").agg(F.min("v").alias("low"))
     return clean.join(low, "session").select(*FRAME, "y", "x", (F.col("v") - F.col("low") + 1e-6).alias("v"))

@@ -19,8 +19,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now = materialize(now, "components")
-    before = None
-    while True:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -30,13 +29,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         superseded = [now, large]
         now = materialize(small.where("u <> v").distinct(), "components")
         discard(*superseded)
-        state = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("h")).first()
-        if state == before:
-            break
-        before = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node either points to one other or is pointed at."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("from"), F.lit(0).alias("to")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("from"), F.lit(1).alias("to")))
+    return ends.groupBy("node").agg(F.sum("from").alias("from"), F.max("to").alias("to")).where("from > 1 or (from = 1 and to = 1)").isEmpty()
+
+
 def assign_components(nodes: DataFrame, edges: DataFrame, name: str = "component") -> DataFrame:
     """nodes (session, unit_id) with the smallest unit_id of their component over edges (session, u1, u2); a node without an edge is its own."""
     pairs = edges.select(F.struct("session", F.col("u1").alias("unit_id")).alias("a"), F.struct("session", F.col("u2").alias("unit_id")).alias("b"))

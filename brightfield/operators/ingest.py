@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brightfield.operators.arrays import cut, is_frames, small
 from brightfield.operators.base import FRAME, SESSION
 from brightfield.sources.storage import new_dir
 
@@ -29,7 +30,7 @@ def frame_manifest(files: DataFrame, pattern: str) -> DataFrame:
 
 def _renumbered(movie: DataFrame, index: DataFrame) -> DataFrame:
     """Frames of the index with their new numbers; original_frame keeps the first number a frame ever had."""
-    made = movie.join(index, FRAME)
+    made = movie.join(small(index), FRAME)
     if "original_frame" not in movie.columns:
         made = made.withColumn("original_frame", F.col("frame"))
     return made.drop("frame").withColumnRenamed("new_frame", "frame")
@@ -39,11 +40,14 @@ def stride_downsample(movie: DataFrame, every: int, dh: int, dw: int, h: int, w:
     """The first of every `every` frames within each file (column file), and every dh-th row and dw-th column.
 
     Frames, rows and columns are renumbered from 0; frames by their order among all that are kept of a session.
+    Frame rows (h, w, px) or pixel rows.
     """
     numbered = movie.select("session", "file", "frame").distinct().withColumn("k", F.row_number().over(W.partitionBy("session", "file").orderBy("frame")) - 1)
     index = frame_index(numbered.where(F.col("k") % every == 0))
-    small = movie.where((F.col("y") % dh == 0) & (F.col("x") % dw == 0) & (F.col("y") < h // dh * dh) & (F.col("x") < w // dw * dw))
-    return _renumbered(small, index).withColumn("y", F.expr(f"cast(y div {dh} as int)")).withColumn("x", F.expr(f"cast(x div {dw} as int)"))
+    if is_frames(movie):
+        return cut(_renumbered(movie, index), h, w, (0, h // dh * dh, dh), (0, w // dw * dw, dw))[0]
+    few = movie.where((F.col("y") % dh == 0) & (F.col("x") % dw == 0) & (F.col("y") < h // dh * dh) & (F.col("x") < w // dw * dw))
+    return _renumbered(few, index).withColumn("y", F.expr(f"cast(y div {dh} as int)")).withColumn("x", F.expr(f"cast(x div {dw} as int)"))
 
 
 def trim_frames(movie: DataFrame, start: int, end: int, percent: float) -> DataFrame:

@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brightfield.functions.images import components
 from brightfield.functions.kernels import hull_area, power
-from brightfield.operators.arrays import is_frames, pixel_sums, small
+from brightfield.operators.arrays import is_frames, map_units, pixel_sums, small
 from brightfield.operators.base import FRAME, PIXEL, UNIT, finite
-from brightfield.operators.graph import connected_components
 from brightfield.operators.stencil import gaussian_image
 
 
@@ -45,15 +45,14 @@ def drift_ratio(traces: DataFrame, share: float = 0.05) -> DataFrame:
 
 
 def regions(footprints: DataFrame, connectivity: int = 4) -> DataFrame:
-    """Footprint pixels with `region`, the smallest (y, x) of their connected component within the unit."""
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
-    here = footprints.select(*UNIT, "y", "x")
-    offsets = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps)))
-    near = here.select(*UNIT, F.col("y").alias("y0"), F.col("x").alias("x0"), offsets.alias("o")).select(*UNIT, "y0", "x0", (F.col("y0") + F.col("o.dy")).alias("y"), (F.col("x0") + F.col("o.dx")).alias("x"))
-    node = lambda y, x: F.struct("session", "unit_id", F.col(y).alias("y"), F.col(x).alias("x"))
-    edges = near.join(here, [*UNIT, "y", "x"]).select(node("y0", "x0").alias("a"), node("y", "x").alias("b"))
-    found = connected_components(edges).select("node.*", F.struct(F.col("component.y").alias("y"), F.col("component.x").alias("x")).alias("region"))
-    return footprints.join(found, [*UNIT, "y", "x"], "left").withColumn("region", F.coalesce("region", F.struct("y", "x")))
+    """Footprint pixels (session, unit_id, y, x, a) with `region`, the smallest (y, x) of their connected component within the unit."""
+
+    def label(y, x, a):
+        first = components(y, x, connectivity)
+        return {"y": y, "x": x, "a": a, "ry": y[first], "rx": x[first]}
+
+    made = map_units(footprints, UNIT, label, "y int, x int, a double, ry int, rx int")
+    return made.select(*UNIT, "y", "x", "a", F.struct(F.col("ry").alias("y"), F.col("rx").alias("x")).alias("region"))
 
 
 def shape_props(footprints: DataFrame) -> DataFrame:

@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from brightfield.functions.images import Patch, basins
+from brightfield.operators.arrays import map_units
 from brightfield.operators.base import UNIT
 from brightfield.operators.reject import regions
 from brightfield.operators.stencil import gaussian_taps
 
 
-def map_units(footprints: DataFrame, keys: list[str], kernel: Callable[..., pd.DataFrame], columns: str) -> DataFrame:
-    """keys and the rows that kernel(y, x, a) makes of each footprint, given as arrays by (y, x): work within its pixels, in many units a task."""
-    one = footprints.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("y", "x", "a"))).alias("s")).select(*keys, "s.y", "s.x", "s.a")
-    schema = T.StructType([*(footprints.schema[k] for k in keys), *T.StructType.fromDDL(columns).fields])
-
-    def run(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                made = kernel(np.asarray(row[-3], dtype=np.int64), np.asarray(row[-2], dtype=np.int64), np.asarray(row[-1], dtype=np.float64))
-                yield pd.DataFrame({**dict(zip(keys, row, strict=False)), **made}, index=range(len(next(iter(made.values())))))[schema.names]
-
-    return one.mapInPandas(run, schema)
-
-
 def local_peaks(footprints: DataFrame, min_distance: int, threshold_rel: float, sigma: float, h: int, w: int) -> DataFrame:
     """(session, unit_id, y, x, v): pixels of the smoothed image that equal the largest value within min_distance in either direction, exceed threshold_rel of the peak and 0, the first by (y, x) among equal neighbours."""
     taps = gaussian_taps(sigma)

@@ -212,7 +212,7 @@ def e02(spark, sf):
 
 def fragments(spark, sf):
     f = cl.split_fragments(foot(spark, sf), 8, 8, 4, mode="lump")
-    a = f.select("session", (F.col("unit_id") * 1000 + F.col("fragment")).alias("unit_id"), "y", "x", "a")
+    a = f.select("session", cl.fragment_id().alias("unit_id"), "y", "x", "a")
     lineage = cl.fragment_ids(f)
     c = fx.traces(spark, sf).withColumnRenamed("unit_id", "parent_unit_id").join(lineage, ["session", "parent_unit_id"]).select("session", "unit_id", "frame", "v")
     return a, c, lineage

@@ -192,3 +192,22 @@ def test_ar_of_a_trace_with_a_baseline_and_a_tail():
     assert np.allclose(k.ar_coefficients(tail, 2), k.ar_coefficients(tail[:2000], 2), atol=1e-6)
     assert k.ar_coefficients(np.full(50, 3.3), 2).tolist() == pytest.approx([0.9, 0.81])
     assert k.ar_coefficients(np.zeros(0), 1).tolist() == [0.9]
+
+
+def test_components_against_flooding():
+    rng = np.random.default_rng(5)
+    for connectivity in (4, 8):
+        for _ in range(30):
+            mask = rng.random((7, 11)) < 0.5
+            mask[0, 0] = True
+            y, x = np.nonzero(mask)
+            where = {(a, b): i for i, (a, b) in enumerate(zip(y.tolist(), x.tolist(), strict=True))}
+            want = [-1] * len(y)
+            for i in range(len(y)):
+                todo = [i] if want[i] < 0 else []
+                while todo:
+                    j = todo.pop()
+                    if want[j] < 0:
+                        want[j] = i
+                        todo += [where[p] for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy == 0 or dx == 0 or connectivity == 8) and (p := (y[j] + dy, x[j] + dx)) in where]
+            assert images.components(y, x, connectivity).tolist() == want
