@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -86,3 +87,46 @@ def filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
+
+
+def commit_files(spark: SparkSession, root: str, listed: list[dict]) -> None:
+    """Makes files that tasks left under temporary names (temporary, path and more) the content of a folder.
+
+    The list is written first, as manifest.pending.json; then the files get their names, manifest.json appears, and what failed tasks
+    left is removed. finish_files goes on from any point at which this was broken off.
+    """
+    fs, base = filesystem(root)
+    with fs.open_output_stream(f"{base}/manifest.pending.json") as f:
+        f.write(json.dumps(listed).encode())
+    finish_files(spark, root)
+
+
+def finish_files(spark: SparkSession, root: str) -> None:
+    """Completes a commit whose list is there; without one it does nothing. Names are given by tasks, each of which can be repeated."""
+    from pyarrow.fs import FileSelector, FileType
+
+    fs, base = filesystem(root)
+    pending = f"{base}/manifest.pending.json"
+    if fs.get_file_info(pending).type == FileType.NotFound:
+        return
+    with fs.open_input_stream(pending) as f:
+        listed = json.loads(f.read())
+
+    def rename(batches):
+        out, _ = filesystem(root)
+        for batch in batches:
+            for old, new in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if out.get_file_info(old).type != FileType.NotFound:
+                    out.move(old, new)
+            yield batch.slice(0, 0)
+
+    if listed:
+        moves = spark.createDataFrame([(x["temporary"], x["path"]) for x in listed], "old string, new string")
+        moves.repartition(min(len(listed), partitions(spark))).mapInArrow(rename, "old string, new string").count()
+    with fs.open_output_stream(f"{base}/manifest.new.json") as f:
+        f.write(json.dumps([{k: v for k, v in x.items() if k != "temporary"} for x in listed]).encode())
+    fs.move(f"{base}/manifest.new.json", f"{base}/manifest.json")
+    fs.delete_file(pending)
+    for found in fs.get_file_info(FileSelector(base)):
+        if found.base_name.startswith("_temporary-"):
+            fs.delete_file(found.path)

@@ -8,7 +8,6 @@ byte offset, first id and size, and the documents' ids and lengths, coded alike.
 
 from __future__ import annotations
 
-import json
 import struct
 import uuid
 from dataclasses import dataclass
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightfield.llm.bpe import encoder
-from brightfield.llm.common import filesystem, new_dir, partitions, quoted, slices
+from brightfield.llm.common import commit_files, filesystem, new_dir, partitions, quoted, slices
 
 #: (values in a word, bits each) of selectors 1 to 14; selector 0 is an escape. Fixed values of the coding.
 PACKINGS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -188,13 +187,13 @@ def write_token_files(df: DataFrame, vocabulary: str, root: str, key: str = "doc
 
     Rows are range-sorted by (key, text), nulls first, so that equal inputs give equal files; a file
     ends once it has roll_ids ids. Tasks write under temporary names; the files of those tasks that
-    succeeded are then renamed, and manifest.json lists them. Null texts count as empty; repeated keys
+    succeeded are committed by a manifest (common.commit_files). A key with many rows is split by how their texts begin. Null texts count as empty; repeated keys
     are kept as documents of their own; an empty table gives no file.
     """
     fs, base = filesystem(root)
     fs.create_dir(base, recursive=True)
     rows = df.select(quoted(key).cast("long").alias("__key"), quoted(text).alias("__text"))
-    rows = rows.repartitionByRange(partitions(df.sparkSession), F.col("__key")).sortWithinPartitions("__key", "__text")
+    rows = rows.repartitionByRange(partitions(df.sparkSession), F.col("__key"), F.substring("__text", 1, 32)).sortWithinPartitions("__key", "__text")
 
     def write(batches):
         from pyspark import TaskContext
@@ -222,14 +221,13 @@ def write_token_files(df: DataFrame, vocabulary: str, root: str, key: str = "doc
             end()
         yield pa.RecordBatch.from_pylist([dict(zip(("shard", "file", "path", "n_ids", "n_docs"), d, strict=True)) for d in done], schema=pa.schema([("shard", pa.int32()), ("file", pa.int32()), ("path", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64())]))
 
-    files, first = [], 0
+    files, listed, first = [], [], 0
     for m in sorted(rows.mapInArrow(write, MANIFEST).collect(), key=lambda m: (m.shard, m.file)):  # one row a file
         final = f"{base}/tokens-{m.shard:05d}-{m.file:05d}.s8b"
-        fs.move(m.path, final)
+        listed.append({"temporary": m.path, "path": final, "first_id": first, "n_ids": m.n_ids, "n_docs": m.n_docs})
         files.append((final, first, m.n_ids, m.n_docs))
         first += m.n_ids
-    with fs.open_output_stream(f"{base}/manifest.json") as f:
-        f.write(json.dumps([dict(zip(("path", "first_id", "n_ids", "n_docs"), x, strict=True)) for x in files]).encode())
+    commit_files(df.sparkSession, root, listed)
     return TokenFiles(root, files)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightfield.llm.common import filesystem, materialize, new_dir, partitions, quoted, slices
+from brightfield.llm.common import commit_files, filesystem, finish_files, materialize, new_dir, partitions, quoted, slices
 
 #: Payloads under this many bytes are always stored in full.
 LEAST_REVISIT = 1000
@@ -91,9 +91,9 @@ def write_warc(pages: DataFrame, root: str | None = None, key: str = "page_id",
 
     Of rows with equal payloads of least_revisit bytes or more, those with the largest key are responses
     and the others revisits of it; shorter payloads are responses. Records are range-sorted by key (nulls
-    first, then url and payload), a file ends at roll_bytes of gzip members, and the files that
-    successful tasks left under temporary names are renamed. Null payloads count as empty, null urls have no
-    target header, repeated rows give a record each, an empty table gives no file. Payloads are
+    first), digest, url and payload, so that a key with many rows is split; a file ends at roll_bytes of gzip members, and the
+    files that successful tasks left under temporary names are committed by a manifest (common.commit_files). Null payloads count as
+    empty, null urls have no target header, repeated rows give a record each, an empty table gives no file. Payloads are
     shuffled once: the few (key, digest, target) rows of revisits travel in the same sort.
     """
     spark = pages.sparkSession
@@ -104,16 +104,16 @@ def write_warc(pages: DataFrame, root: str | None = None, key: str = "page_id",
     large = rows.where(F.length("p") >= least_revisit).select("k", F.sha1("p").alias("d"))
     groups = large.groupBy("d").agg(F.max("k").alias("target"), F.count("*").alias("n")).where("n > 1")
     refers = materialize(large.join(groups, "d").where("target > k or (k is null and target is not null)").select("k", "d", "target").distinct(), "warc-refers")
-    sort = ["k", "is_page", "u", "p"]
+    sort = ["k", "d", "is_page", "u", "p"]
     both = refers.select("k", F.lit(False).alias("is_page"), F.lit(None).cast("string").alias("u"), F.lit(None).cast("binary").alias("p"), "d", "target").unionByName(
-        rows.select("k", F.lit(True).alias("is_page"), "u", "p", F.lit(None).cast("string").alias("d"), F.lit(None).cast("long").alias("target")))
-    dealt = both.repartitionByRange(partitions(spark), "k").sortWithinPartitions(*sort)
+        rows.select("k", F.lit(True).alias("is_page"), "u", "p", F.sha1("p").alias("d"), F.lit(None).cast("long").alias("target")))
+    dealt = both.repartitionByRange(partitions(spark), "k", "d").sortWithinPartitions(*sort)
 
     def write(batches):
         from pyspark import TaskContext
 
         shard, (out, _) = TaskContext.get().partitionId(), filesystem(root)
-        done, sink, now, targets = [], None, (), {}
+        done, sink, seen, refers_to = [], None, None, None
 
         def end():
             sink.close()
@@ -122,12 +122,11 @@ def write_warc(pages: DataFrame, root: str | None = None, key: str = "page_id",
         for batch in batches:
             for part in slices(batch, "p"):
                 for k, is_page, u, p, d, target in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if now != (k,):
-                        now, targets = (k,), {}
+                    if seen != (k, d):
+                        seen, refers_to = (k, d), None
                     if not is_page:
-                        targets[d] = target
+                        refers_to = target
                         continue
-                    refers_to = targets.get(hashlib.sha1(p).hexdigest()) if targets else None
                     data = zlib.compressobj(6, zlib.DEFLATED, 31)
                     raw = data.compress(make_record(k, u, p, refers_to, refers_to is not None)) + data.flush()
                     if sink is None:
@@ -142,13 +141,8 @@ def write_warc(pages: DataFrame, root: str | None = None, key: str = "page_id",
             end()
         yield pa.RecordBatch.from_pylist(done, schema=MANIFEST)
 
-    listed = []
-    for m in sorted(dealt.select("k", "is_page", "u", "p", "d", "target").mapInArrow(write, "shard int, file int, path string, records long, bytes long").collect(), key=lambda m: (m.shard, m.file)):  # one row a file
-        final = f"{base}/part-{m.shard:05d}-{m.file:05d}.warc.gz"
-        fs.move(m.path, final)
-        listed.append({"path": final, "records": m.records, "bytes": m.bytes})
-    with fs.open_output_stream(f"{base}/manifest.json") as f:
-        f.write(json.dumps(listed).encode())
+    made = sorted(dealt.select("k", "is_page", "u", "p", "d", "target").mapInArrow(write, "shard int, file int, path string, records long, bytes long").collect(), key=lambda m: (m.shard, m.file))  # one row a file
+    commit_files(spark, root, [{"temporary": m.path, "path": f"{base}/part-{m.shard:05d}-{m.file:05d}.warc.gz", "records": m.records, "bytes": m.bytes} for m in made])
     return root
 
 
@@ -157,6 +151,7 @@ READ = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url"
 
 def read_warc(spark: SparkSession, root: str) -> DataFrame:
     """The records of a written folder: a task a file, a record at a time in memory; digests are checked."""
+    finish_files(spark, root)
     fs, base = filesystem(root)
     with fs.open_input_stream(f"{base}/manifest.json") as f:
         listed = json.loads(f.read())
