@@ -6,9 +6,10 @@ than every register's. Two texts agree in a register with the probability Jaccar
 shingle counts. Bands of registers give buckets; pairs from buckets are verified with the exact
 similarity. Within a bucket, members are compared with pivots: first with the member that shares most with
 others, then, in turns with sixteen times as many pivots each, only across components that are not yet linked.
-Texts whose own shingles rule out every partner leave a crowded bucket first (`excess`), so that a large group
-of texts that resemble their source, but not one another, takes no comparison of all its pairs; what is
-compared is what shares a bucket, is not linked and may still be similar, and no link is lost.
+In crowded buckets a bound (`Bound`) rules out the pairs that share common shingles alone and too few of them,
+and pairs with a rare shingle in common are listed by it, so that a large group of texts that resemble their source, but not
+one another, takes no comparison of all its pairs. What is compared is what shares a bucket, is not linked and
+may still be similar, and no link is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,10 +33,12 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 #: Pairs are dropped on their registers alone where a similar pair would agree in so few with this probability at most.
 MISS = 1e-6
-#: In open buckets with more members, texts that can have no partner are ruled out before pairs are made; it decides no link.
+#: In open buckets with more members, pairs are held against the bound before they are made; it decides no link.
 CROWD = 16
-#: Pivots of a bucket grow by this factor from turn to turn.
-PIVOT_GROWTH = 16
+#: Shingles of so many crowded texts at most are rare.
+RARE = 8
+#: Pivots of a bucket in its first turn, and the factor by which they grow from turn to turn.
+PIVOTS, PIVOT_GROWTH = 32, 16
 
 
 def shingles(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,18 +182,37 @@ def _verify(rows: DataFrame, pairs: DataFrame, marks: DataFrame, size: int, simi
     return found
 
 
-def _excess(rows: DataFrame, tids: DataFrame, size: int) -> DataFrame:
-    """(tid, own): the weight of the shingles that no other text in tids has, of texts with any. It bounds what a text can have in common.
+def most_similar(s: Column, c: Column, d: Column, n: Column, s2: Column, c2: Column, d2: Column, n2: Column) -> Column:
+    """The bound: the largest probability Jaccard similarity of two texts that have no shingles in common but those that each may share.
 
-    If shares s of x and t of y may be common to both, their probability Jaccard similarity is at most
-    1 / (1/s + 1/t - 1): each common shingle i adds at most 1 / (1/x_i + (1 - t)/y_i) in normalised weights,
-    which is concave and homogeneous, so that the sum is largest with all of s and t in one shingle. With the
-    excess 1/s - 1 of each, a pair of similarity J needs excesses that sum to 1/J - 1 at most. What the sketch lets pass
-    wrongly, or a hash collision, only lowers an excess.
+    Of a text, s is the share of its weight that it may share, d the number of distinct shingles in that, c the largest
+    count of one shingle and n its weight. A shared shingle i adds at most 1 / (1/x_i + (1 - t)/y_i) in normalised weights, where t is
+    the other's shared weight; that is concave and homogeneous, so the sum is largest with all in one shingle: 1 / (1/s + 1/t - 1).
+    What is shared has no more distinct shingles than the other's d, each counted c times at most.
     """
-    each = _shingled(rows, tids, size).select("tid", F.explode(F.arrays_zip("h", "n")).alias("e")).select("tid", "e.h", "e.n")
-    own = each.groupBy("h").agg(F.min("tid").alias("tid"), F.max("tid").alias("most"), F.max("n").alias("n")).where("tid = most")
-    return own.groupBy("tid").agg(F.sum("n").alias("own"))
+    left, right = F.least(s, c * d2 / n), F.least(s2, c2 * d / n2)
+    return F.when((left > 0) & (right > 0), 1 / (1 / left + 1 / right - 1)).otherwise(0.0)
+
+
+def _crowded(rows: DataFrame, tids: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(tid, s, c, d, n) for most_similar, with what may be shared restricted to shingles of more than RARE of the texts; and the pairs (a, b) with a rarer one in common.
+
+    Hash collisions and texts that a sketch lets pass wrongly only add to what is common.
+    """
+    made = _shingled(rows, tids, size).groupBy("tid").agg(F.first(F.struct("h", "n")).alias("s")).select("tid", "s.*")
+    made = materialize(made, "near-crowd", 500)
+    each = made.select("tid", F.explode(F.arrays_zip("h", "n")).alias("e")).select("tid", "e.h", "e.n")
+    common = each.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1")
+    shared = materialize(each.join(common, "h"), "near-common")  # a table of its own: shingles of one text are most, and gone
+    bounds = shared.where(F.col("texts") > RARE).groupBy("tid").agg(F.sum("n").alias("f"), F.count("*").alias("d"))
+    whole = made.select("tid", F.array_max("n").alias("c"), F.aggregate("n", F.lit(0).cast("long"), lambda a, v: a + v).alias("w"))
+    bounds = whole.join(bounds, "tid", "left").select(F.col("tid").alias("t"), (F.coalesce("f", F.lit(0)) / F.col("w")).alias("s"), F.col("c").cast("double").alias("c"), F.coalesce("d", F.lit(0)).cast("double").alias("d"), F.col("w").cast("double").alias("w"))
+    bounds = materialize(bounds, "near-bounds")
+    few = shared.where(F.col("texts") <= RARE).groupBy("h").agg(F.sort_array(F.collect_set("tid")).alias("t"))
+    pairs = few.select(F.explode(F.flatten(F.transform("t", lambda a, i: F.transform(F.slice("t", i + 2, RARE), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.*").distinct()
+    pairs = materialize(pairs, "near-rare")
+    discard(made, shared)
+    return bounds, pairs
 
 
 def _merge(parts: DataFrame, links: DataFrame) -> DataFrame:
@@ -219,11 +241,10 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SH
                 keys = band_keys(registers, bands, rows_a_band)
                 cuts = pa.array((np.arange(len(keys) + 1) * bands).astype(np.int32))
                 marks = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bands * rows_a_band), len(keys), [None, pa.py_buffer((registers & np.uint64(255)).astype(np.uint8).tobytes())]).cast(pa.binary())
-                weight = np.bincount(t, n, part.num_rows)[some].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(some)), pa.array(weight), marks, pa.ListArray.from_arrays(cuts, signed(keys.reshape(-1)))], names=["tid", "weight", "mark", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(some)), marks, pa.ListArray.from_arrays(cuts, signed(keys.reshape(-1)))], names=["tid", "mark", "keys"])
 
-    signed_ = rows.select("tid", "text").mapInArrow(sign, "tid long, weight long, mark binary, keys array<long>")
-    signed_ = materialize(signed_.groupBy("tid").agg(F.first(F.struct("weight", "mark", "keys")).alias("s")).select("tid", "s.*"), "near-signatures")
+    signed_ = rows.select("tid", "text").mapInArrow(sign, "tid long, mark binary, keys array<long>")
+    signed_ = materialize(signed_.groupBy("tid").agg(F.first(F.struct("mark", "keys")).alias("s")).select("tid", "s.*"), "near-signatures")
     spread = signed_.select("tid", F.explode("keys").alias("bucket"))
     sizes = spread.groupBy("bucket").count().where("count > 1")
     crowded = sketch(sizes, "bucket")
@@ -237,7 +258,7 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SH
     found = materialize(found.join(found.groupBy("bucket").count().where("count > 1"), "bucket"), "near-buckets")
     score = found.groupBy("tid").agg(F.sum("count").alias("score"))
     members = materialize(found.join(score, "tid").select("bucket", "tid", "score"), "near-members")
-    marks = materialize(signed_.select("tid", "weight", "mark").join(score, "tid", "left_semi"), "near-marks")
+    marks = materialize(signed_.select("tid", "mark").join(score, "tid", "left_semi"), "near-marks")
     discard(found, signed_)
     rank = F.struct(F.col("score"), (-F.col("tid")).alias("t"))
     pivots = members.groupBy("bucket").agg(F.max_by("tid", rank).alias("pivot"), F.max("score").alias("pivot_score"))
@@ -257,22 +278,34 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SH
         if left.isEmpty():
             discard(left, members, marks, *seen)
             return parts
-        crowds = left.where(F.col("members") > CROWD)
-        own = _excess(rows, crowds.select("tid").distinct(), size).join(marks, "tid").select(F.col("tid").alias("t"), F.when(F.col("weight") > F.col("own"), F.col("own") / (F.col("weight") - F.col("own"))).alias("excess"))
-        most = 1 / similarity - 1 + 1e-9
-        # not found: the text shares all it has. Without any shared weight the excess is null and the text leaves
-        able = crowds.join(own, crowds.tid == own.t, "left").select("bucket", "tid", "score", "component", "main", F.when(F.col("t").isNull(), 0.0).otherwise(F.col("excess")).alias("excess")).where(F.col("excess") <= most)
-        able = able.unionByName(left.where(F.col("members") <= CROWD).select("bucket", "tid", "score", "component", "main", F.lit(0.0).alias("excess")))
-        able = materialize(able, "near-able", 500)
-        group = F.pmod(F.xxhash64("tid", F.lit(turn)), F.lit(PIVOT_GROWTH**turn))
-        chosen = able.where("component <> main").groupBy("bucket", group.alias("g")).agg(F.max_by(F.struct(F.col("tid").alias("pivot"), F.col("component").alias("with"), F.col("excess").alias("beyond")), rank).alias("p")).select("bucket", "p.*")
-        pairs = able.join(chosen, "bucket").where((F.col("component") != F.col("with")) & (F.col("excess") + F.col("beyond") <= most)).select(F.least("tid", "pivot").alias("a"), F.greatest("tid", "pivot").alias("b")).distinct()
-        pairs = materialize(pairs.join(compared, ["a", "b"], "left_anti"), "near-pairs")
+        crowds = left.where(F.col("members") > CROWD).select("tid").distinct()
+        if crowds.isEmpty():
+            bounds = rare = None
+            known = left.select("bucket", "tid", "score", "component", "main", F.lit(False).alias("crowd"), *(F.lit(None).cast("double").alias(k) for k in "scdw"))
+        else:
+            bounds, rare = _crowded(rows, crowds, size)
+            known = left.join(bounds, left.tid == bounds.t, "left").withColumn("crowd", F.col("members") > CROWD).drop("t", "members")
+            # a text leaves whose bound is under the similarity even with the bucket's shortest text, all of which it may share
+            shortest = known.where("crowd").groupBy("bucket").agg(F.min(F.col("w") / F.col("c")).alias("shortest"))
+            reach = F.col("d") * (1 / similarity + 1 - 1 / F.col("s"))
+            known = known.join(shortest, "bucket", "left").where(~F.col("crowd") | F.when(F.col("s") >= similarity - 1e-9, reach >= F.col("shortest") - 1e-9).otherwise(False)).drop("shortest")
+        known = materialize(known, "near-known")
+        group = F.pmod(F.xxhash64("tid", F.lit(turn)), F.lit(PIVOTS * PIVOT_GROWTH**turn))
+        chosen = known.where("component <> main").groupBy("bucket", group.alias("g")).agg(F.max_by(F.struct(F.col("tid").alias("pivot"), F.col("component").alias("with"), *(F.col(k).alias(f"{k}2") for k in "scdw")), rank).alias("p")).select("bucket", "p.*")
+        chosen = materialize(chosen, "near-pivots")
+        may = ~F.col("crowd") | (most_similar(*map(F.col, ("s", "c", "d", "w", "s2", "c2", "d2", "w2"))) >= similarity - 1e-9)
+        ends = (F.least("tid", "pivot").alias("a"), F.greatest("tid", "pivot").alias("b"))
+        pairs = known.join(chosen, "bucket").where((F.col("component") != F.col("with")) & may).select(*ends)
+        if rare is not None:
+            # those that share a rare shingle, whatever their bucket, unless they are linked
+            place = left.select("tid", "component").distinct()
+            pairs = pairs.unionByName(rare.join(place.select(F.col("tid").alias("a"), F.col("component").alias("ca")), "a").join(place.select(F.col("tid").alias("b"), F.col("component").alias("cb")), "b").where("ca <> cb").select("a", "b"))
+        pairs = materialize(pairs.distinct().join(compared, ["a", "b"], "left_anti"), "near-pairs")
         edges = _verify(rows, pairs, marks, size, similarity)
         if not edges.isEmpty():
             parts = _merge(parts, edges)
-        superseded = [members, left, able, edges]
-        members = materialize(able.join(chosen.select("bucket", F.col("pivot").alias("tid")), ["bucket", "tid"], "left_anti").select("bucket", "tid", "score"), "near-members")
+        superseded = [t for t in (members, left, bounds, rare, known, chosen, edges) if t is not None]
+        members = materialize(known.join(chosen.select("bucket", F.col("pivot").alias("tid")), ["bucket", "tid"], "left_anti").select("bucket", "tid", "score"), "near-members")
         discard(*superseded)
         seen.append(pairs)
         compared = functools.reduce(DataFrame.unionByName, seen)
