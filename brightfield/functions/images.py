@@ -174,3 +174,22 @@ def basins(y: np.ndarray, x: np.ndarray, v: np.ndarray, peaks: tuple[np.ndarray,
     name = np.zeros(len(y), np.int64)
     name[tops] = number.reshape(-1) + 1
     return name[to]
+
+
+def components(y: np.ndarray, x: np.ndarray, connectivity: int) -> np.ndarray:
+    """For pixels sorted by (y, x) the index of the first one of their connected component (4 or 8 neighbours)."""
+    y0, x0 = y.min() - 1, x.min() - 1
+    grid = np.full((y.max() - y0 + 2, x.max() - x0 + 2), len(y), np.int64)
+    grid[y - y0, x - x0] = np.arange(len(y))
+    steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy or dx) and (connectivity == 8 or not (dy and dx))]
+    near = np.stack([grid[y - y0 + dy, x - x0 + dx] for dy, dx in steps])
+    label = np.append(np.arange(len(y)), len(y))
+    while True:
+        least = np.minimum(label[:-1], label[near].min(axis=0))
+        least = np.append(least, len(y))
+        # a component's label follows its pixels' smaller ones, and chains are cut short
+        np.minimum.at(least, label[:-1], least[:-1])
+        least = least[least]
+        if (least == label).all():
+            return label[:-1]
+        label = least
