@@ -18,16 +18,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     and repeated edges change nothing.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    now = materialize(now, "components")
+    now = materialize(now, "components", compact=True)
     while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u <> v").distinct(), "components")
+        large = materialize(large.where("u <> v").distinct(), "components", compact=True)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         superseded = [now, large]
-        now = materialize(small.where("u <> v").distinct(), "components")
+        now = materialize(small.where("u <> v").distinct(), "components", compact=True)
         discard(*superseded)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

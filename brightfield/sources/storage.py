@@ -40,9 +40,15 @@ def arrow_rows(spark: SparkSession, rows: int | None):
         spark.conf.set(name, before)
 
 
-def materialize(df: DataFrame, label: str = "step", rows: int | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut and lost executors cost nothing. `rows` bounds Arrow batches."""
+def materialize(df: DataFrame, label: str = "step", rows: int | None = None, compact: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage is cut and lost executors cost nothing. `rows` bounds Arrow batches.
+
+    `compact` is for tables that are small beside their input, such as those of a round: four tasks a core write them,
+    and not a file for every shuffle partition.
+    """
     path = new_dir(df.sparkSession, label)
+    if compact:
+        df = df.coalesce(max(8, 4 * df.sparkSession.sparkContext.defaultParallelism))
     with arrow_rows(df.sparkSession, rows):
         df.write.parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -76,6 +76,16 @@ def test_neighbourhood_against_loops(border, how):
     assert np.allclose(images.neighbourhood(np.stack([image, -image]), offsets, how, border)[0], want)
 
 
+def test_box_median_against_the_general_one():
+    stack = np.random.default_rng(2).normal(size=(2, 9, 6))
+    for ry, rx in ((1, 1), (2, 1), (3, 4)):
+        box = [(dy, dx, 1.0) for dy in range(-ry, ry + 1) for dx in range(-rx, rx + 1)]
+        for border in ("replicate", "reflect"):
+            wide = images.padded(stack, ry, rx, border)
+            want = np.median(np.stack([wide[:, ry + dy : ry + dy + 9, rx + dx : rx + dx + 6] for dy, dx, _ in box]), axis=0)
+            assert (images.neighbourhood(stack, box, "median", border) == want).all()
+
+
 def test_shift_of_frame_rows(spark, movie):
     moves = spark.createDataFrame([(s, f, 0.25 * f - 1, 2.0 - 0.5 * f) for s in "ab" for f in range(10)], "session string, frame long, dy double, dx double")
     frames, pixels = plain(motion.apply_shift(movie, moves, H, W)), plain(motion.apply_shift(arrays.as_pixels(movie), moves, H, W))
