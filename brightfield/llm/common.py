@@ -20,9 +20,9 @@ from brightfield.sources.storage import arrow_rows, discard, new_dir, shared_dir
 BATCH_BYTES = 1 << 20
 
 
-def materialize(df: DataFrame, label: str, rows: int = 1000) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back; `rows` bounds Arrow batches."""
-    return storage.materialize(df, label, rows)
+def materialize(df: DataFrame, label: str, rows: int = 1000, compact: bool = False) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back; `rows` bounds Arrow batches, `compact` tables are small beside their input."""
+    return storage.materialize(df, label, rows, compact)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

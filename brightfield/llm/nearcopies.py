@@ -38,7 +38,7 @@ CROWD = 16
 #: Shingles of so many crowded texts at most are rare.
 RARE = 8
 #: Pivots of a bucket in its first turn, and the factor by which they grow from turn to turn.
-PIVOTS, PIVOT_GROWTH = 32, 16
+PIVOTS, PIVOT_GROWTH = 128, 16
 
 
 def shingles(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,7 +161,7 @@ def _shingled(rows: DataFrame, tids: DataFrame, size: int) -> DataFrame:
 
 def _verify(rows: DataFrame, pairs: DataFrame, marks: DataFrame, size: int, similarity: float) -> DataFrame:
     """The (a, b) of pairs whose texts are similar enough; only texts of pairs whose registers agree are shingled and shuffled."""
-    pairs = materialize(_agreeing(pairs, marks, similarity), "near-agreeing")
+    pairs = materialize(_agreeing(pairs, marks, similarity), "near-agreeing", compact=True)
     tids = pairs.select(F.col("a").alias("tid")).unionByName(pairs.select(F.col("b").alias("tid"))).distinct()
     made = _shingled(rows, tids, size).groupBy("tid").agg(F.first(F.struct("h", "n")).alias("s"))
     made = materialize(made.join(tids, "tid", "left_semi"), "near-shingles", 500)
@@ -177,7 +177,7 @@ def _verify(rows: DataFrame, pairs: DataFrame, marks: DataFrame, size: int, simi
                 good.append(probability_jaccard(hx, wx, hy, wy) >= similarity - 1e-12)
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    found = materialize(joined.mapInArrow(check, "a long, b long"), "near-links", 200)
+    found = materialize(joined.mapInArrow(check, "a long, b long"), "near-links", 200, True)
     discard(pairs, made)
     return found
 
@@ -203,14 +203,14 @@ def _crowded(rows: DataFrame, tids: DataFrame, size: int) -> tuple[DataFrame, Da
     made = materialize(made, "near-crowd", 500)
     each = made.select("tid", F.explode(F.arrays_zip("h", "n")).alias("e")).select("tid", "e.h", "e.n")
     common = each.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1")
-    shared = materialize(each.join(common, "h"), "near-common")  # a table of its own: shingles of one text are most, and gone
+    shared = materialize(each.join(common, "h"), "near-common", compact=True)  # a table of its own: shingles of one text are most, and gone
     bounds = shared.where(F.col("texts") > RARE).groupBy("tid").agg(F.sum("n").alias("f"), F.count("*").alias("d"))
     whole = made.select("tid", F.array_max("n").alias("c"), F.aggregate("n", F.lit(0).cast("long"), lambda a, v: a + v).alias("w"))
     bounds = whole.join(bounds, "tid", "left").select(F.col("tid").alias("t"), (F.coalesce("f", F.lit(0)) / F.col("w")).alias("s"), F.col("c").cast("double").alias("c"), F.coalesce("d", F.lit(0)).cast("double").alias("d"), F.col("w").cast("double").alias("w"))
-    bounds = materialize(bounds, "near-bounds")
+    bounds = materialize(bounds, "near-bounds", compact=True)
     few = shared.where(F.col("texts") <= RARE).groupBy("h").agg(F.sort_array(F.collect_set("tid")).alias("t"))
     pairs = few.select(F.explode(F.flatten(F.transform("t", lambda a, i: F.transform(F.slice("t", i + 2, RARE), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.*").distinct()
-    pairs = materialize(pairs, "near-rare")
+    pairs = materialize(pairs, "near-rare", compact=True)
     discard(made, shared)
     return bounds, pairs
 
@@ -222,7 +222,7 @@ def _merge(parts: DataFrame, links: DataFrame) -> DataFrame:
     moved = connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
     old = parts.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    made = materialize(old.unionByName(moved.join(parts, "node", "left_anti")), "near-parts")
+    made = materialize(old.unionByName(moved.join(parts, "node", "left_anti")), "near-parts", compact=True)
     discard(parts)
     return made
 
@@ -255,26 +255,26 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SH
 
     # members of buckets with company, and by text how much company it has in all: the middle of a group has most
     found = spread.mapInArrow(crowd, "tid long, bucket long")
-    found = materialize(found.join(found.groupBy("bucket").count().where("count > 1"), "bucket"), "near-buckets")
+    found = materialize(found.join(found.groupBy("bucket").count().where("count > 1"), "bucket"), "near-buckets", compact=True)
     score = found.groupBy("tid").agg(F.sum("count").alias("score"))
-    members = materialize(found.join(score, "tid").select("bucket", "tid", "score"), "near-members")
-    marks = materialize(signed_.select("tid", "mark").join(score, "tid", "left_semi"), "near-marks")
+    members = materialize(found.join(score, "tid").select("bucket", "tid", "score"), "near-members", compact=True)
+    marks = materialize(signed_.select("tid", "mark").join(score, "tid", "left_semi"), "near-marks", compact=True)
     discard(found, signed_)
     rank = F.struct(F.col("score"), (-F.col("tid")).alias("t"))
     pivots = members.groupBy("bucket").agg(F.max_by("tid", rank).alias("pivot"), F.max("score").alias("pivot_score"))
     # first each text with the best of its pivots
     first = members.join(pivots, "bucket").where("tid <> pivot").groupBy("tid").agg(F.max_by("pivot", F.struct("pivot_score", (-F.col("pivot")).alias("t"))).alias("pivot"))
-    compared = materialize(first.select(F.least("tid", "pivot").alias("a"), F.greatest("tid", "pivot").alias("b")).distinct(), "near-pairs")
+    compared = materialize(first.select(F.least("tid", "pivot").alias("a"), F.greatest("tid", "pivot").alias("b")).distinct(), "near-pairs", compact=True)
     seen = [compared]
     edges = _verify(rows, compared, marks, size, similarity)
-    parts = materialize(connected_components(edges), "near-parts")
+    parts = materialize(connected_components(edges), "near-parts", compact=True)
     discard(edges)
     turn = 0
     while True:
         # buckets that still hold several components
         placed = members.join(parts, members.tid == parts.node, "left").select("bucket", "tid", "score", F.coalesce("component", "tid").alias("component"))
         open_ = placed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("members"), F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main")).where("parts > 1").drop("parts")
-        left = materialize(placed.join(open_, "bucket"), "near-left")
+        left = materialize(placed.join(open_, "bucket"), "near-left", compact=True)
         if left.isEmpty():
             discard(left, members, marks, *seen)
             return parts
@@ -289,23 +289,27 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SH
             shortest = known.where("crowd").groupBy("bucket").agg(F.min(F.col("w") / F.col("c")).alias("shortest"))
             reach = F.col("d") * (1 / similarity + 1 - 1 / F.col("s"))
             known = known.join(shortest, "bucket", "left").where(~F.col("crowd") | F.when(F.col("s") >= similarity - 1e-9, reach >= F.col("shortest") - 1e-9).otherwise(False)).drop("shortest")
-        known = materialize(known, "near-known")
+        alone = known = materialize(known, "near-known", compact=True)
+        # a pair is made in the first bucket that both are in, and not in each
+        lists = known.groupBy("tid").agg(F.collect_list("bucket").alias("buckets"))
+        known = materialize(known.join(lists, "tid"), "near-listed", compact=True)
         group = F.pmod(F.xxhash64("tid", F.lit(turn)), F.lit(PIVOTS * PIVOT_GROWTH**turn))
-        chosen = known.where("component <> main").groupBy("bucket", group.alias("g")).agg(F.max_by(F.struct(F.col("tid").alias("pivot"), F.col("component").alias("with"), *(F.col(k).alias(f"{k}2") for k in "scdw")), rank).alias("p")).select("bucket", "p.*")
-        chosen = materialize(chosen, "near-pivots")
+        chosen = known.where("component <> main").groupBy("bucket", group.alias("g")).agg(F.max_by(F.struct(F.col("tid").alias("pivot"), F.col("component").alias("with"), F.col("buckets").alias("others"), *(F.col(k).alias(f"{k}2") for k in "scdw")), rank).alias("p")).select("bucket", "p.*")
+        chosen = materialize(chosen, "near-pivots", compact=True)
         may = ~F.col("crowd") | (most_similar(*map(F.col, ("s", "c", "d", "w", "s2", "c2", "d2", "w2"))) >= similarity - 1e-9)
         ends = (F.least("tid", "pivot").alias("a"), F.greatest("tid", "pivot").alias("b"))
-        pairs = known.join(chosen, "bucket").where((F.col("component") != F.col("with")) & may).select(*ends)
+        once = F.col("bucket") == F.array_min(F.array_intersect("buckets", "others"))
+        pairs = known.join(chosen, "bucket").where((F.col("component") != F.col("with")) & may & once).select(*ends)
         if rare is not None:
             # those that share a rare shingle, whatever their bucket, unless they are linked
             place = left.select("tid", "component").distinct()
             pairs = pairs.unionByName(rare.join(place.select(F.col("tid").alias("a"), F.col("component").alias("ca")), "a").join(place.select(F.col("tid").alias("b"), F.col("component").alias("cb")), "b").where("ca <> cb").select("a", "b"))
-        pairs = materialize(pairs.distinct().join(compared, ["a", "b"], "left_anti"), "near-pairs")
+        pairs = materialize(pairs.distinct().join(compared, ["a", "b"], "left_anti"), "near-pairs", compact=True)
         edges = _verify(rows, pairs, marks, size, similarity)
         if not edges.isEmpty():
             parts = _merge(parts, edges)
-        superseded = [t for t in (members, left, bounds, rare, known, chosen, edges) if t is not None]
-        members = materialize(known.join(chosen.select("bucket", F.col("pivot").alias("tid")), ["bucket", "tid"], "left_anti").select("bucket", "tid", "score"), "near-members")
+        superseded = [t for t in (members, left, bounds, rare, alone, known, chosen, edges) if t is not None]
+        members = materialize(known.join(chosen.select("bucket", F.col("pivot").alias("tid")), ["bucket", "tid"], "left_anti").select("bucket", "tid", "score"), "near-members", compact=True)
         discard(*superseded)
         seen.append(pairs)
         compared = functools.reduce(DataFrame.unionByName, seen)
@@ -316,7 +320,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -
     """(tid, part, class_id, texts, rows): for each distinct text its class, the smallest key there, the distinct texts and the rows in the class."""
     rows = _texts(df, key, text).select("doc", "tid")
     parts = links(df, key, text, **options)
-    each = materialize(rows.groupBy("tid").agg(F.min("doc").alias("least"), F.count("*").alias("rows")), "near-texts")
+    each = materialize(rows.groupBy("tid").agg(F.min("doc").alias("least"), F.count("*").alias("rows")), "near-texts", compact=True)
     placed = each.join(parts, each.tid == parts.node, "left").select("tid", "least", "rows", F.col("component"))
     whole = placed.where("component is not null").groupBy("component").agg(F.min("least").alias("class_id"), F.count("*").alias("texts"), F.sum("rows").alias("all"))
     linked = placed.where("component is not null").join(whole, "component").select("tid", F.col("component").alias("part"), "class_id", "texts", F.col("all").alias("rows"))
