@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brightfield.llm import bpe, decontaminate, nearcopies, quality, queries, secrets
-from brightfield.llm.common import materialize, quoted
+from brightfield.llm.common import arrow_rows, materialize, quoted
 
 
 #: Rows in the batches that the pipeline's jobs hand to Python: whole texts are long, and a batch is held on both sides.
@@ -17,30 +17,30 @@ def short_batches(spark: SparkSession) -> None:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects; null and empty texts are rejected, repeated rows share their verdict."""
     return quality.keep_good(docs).select(*docs.columns)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, that with the smallest doc_id."""
+    """One document of each near-duplicate class, that with the smallest doc_id; of rows that share it, the least hash of text and row decides. Null texts count as empty."""
     short_batches(spark)
     return nearcopies.keep_one(docs).select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark table."""
+    """Documents that hold no passage of the benchmark table; null and empty texts and columns of any name pass."""
     short_batches(spark)
     return decontaminate.drop_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; the text of every span found is replaced by [SECRET]."""
+    """All documents; the text of every span found is replaced by [SECRET]. Null and empty texts stay as they are."""
     short_batches(spark)
     return secrets.redact(docs).select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its ids and the text they decode to."""
+    """Every document with its ids and the text they decode to; null texts count as empty, repeated rows give equal results."""
     short_batches(spark)
     made = bpe.bpe_encode(docs, queries.vocabulary(), keep=[c for c in docs.columns if c != "text"])
     return made.select(*(quoted(c) for c in made.columns))
@@ -58,8 +58,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents; each result is written as Parquet and read again."""
+    """The stages in order over documents; each result is written as Parquet and read again. The session's batch size is left as it was."""
     docs = queries.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    with arrow_rows(spark, ARROW_ROWS):
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"), ARROW_ROWS)
     return docs
