@@ -97,4 +97,14 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND top > page_id THEN top END AS refers_to FROM q
 """
 
-SQL = {"op4_quality": _QUALITY_SQL, "op5_warc": _WARC_SQL}
+_WORDS_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda e: e <> '') AS ws FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+f AS (SELECT k, min(doc_id) AS first FROM v GROUP BY k HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM v JOIN f USING (k) WHERE first < doc_id),
+e AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+r AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM e ANTI JOIN g USING (doc_id, j) GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN r USING (doc_id)
+"""
+
+SQL = {"op4_quality": _QUALITY_SQL, "op5_warc": _WARC_SQL, "op7_substring_dedup": _WORDS_SQL}

@@ -1,8 +1,11 @@
 """Stages and operators on odd tables, and the bounds that they rest on."""
 
+import hashlib
 import math
 import random
+import struct
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from brightfield.llm import common, licenses, nearcopies, quality, queries, sampling, secrets, warc
-from tests.conftest import SF
+from tests.conftest import SF, same
 from tests.llm import brute
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -220,3 +223,21 @@ def test_commit_goes_on_where_it_was_broken_off(spark, monkeypatch):
     assert warc.read_warc(spark, root).count() == 80
     assert not any(n.startswith(("_temporary", "manifest.pending")) for n in names()) and "manifest.json" in names()
     assert warc.read_warc(spark, root).count() == 80
+
+
+def test_queries_on_the_small_documents(spark, duck):
+    """op1, op2, op3 and op7 on the whole small table against plain versions, the library and SQL."""
+    rows = {r.doc_id: r.text for r in queries.table(spark, SF, "documents").collect()}
+    ours, theirs = same(queries.op7_substring_dedup(spark, SF), duck, queries.SQL["op7_substring_dedup"])
+    assert ours == theirs
+    assert sorted((tuple(r) for r in queries.op1_suffix_dedup(spark, SF).collect()), key=str) == brute.repeats(list(rows.items()), 200)
+    library = Tokenizer.from_file(queries.vocabulary())
+    ids = {d: library.encode(t or "", add_special_tokens=False).ids for d, t in rows.items()}
+    raw = {d: struct.pack(f"<{len(i)}I", *i) for d, i in ids.items()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for r in queries.op2_bpe(spark, SF).collect():
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids[r.doc_id]), sha(raw[r.doc_id]), sha(library.decode(ids[r.doc_id], skip_special_tokens=False).encode()))
+    start = 0
+    for r in queries.op3_token_files(spark, SF).orderBy("doc_id").collect():
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids[r.doc_id]) + 1, zlib.crc32(raw[r.doc_id] + struct.pack("<I", 2)))
+        start += r.n_tokens
