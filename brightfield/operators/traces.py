@@ -82,6 +82,16 @@ def frame_window(traces: DataFrame, n_frames: int, mode: str, seed: int = 0) ->
     return traces.join(span.select("session", (F.col("lo") + start).alias("from")), "session").where((F.col("frame") >= F.col("from")) & (F.col("frame") < F.col("from") + n_frames)).drop("from")
 
 
+def choose_units(scores: DataFrame, n: int, mode: str = "random", seed: int = 0) -> DataFrame:
+    """(session, unit_id) of n units of each session from their scores (session, unit_id, size, snr): 'random' by seed, 'best_snr', 'worst_snr', 'largest' or 'smallest'; ties by id.
+
+    A random choice is the first n by a hash of id and seed, so that it depends on neither order nor partitions.
+    """
+    keys = {"random": [F.xxhash64("session", "unit_id", F.lit(seed))], "best_snr": [F.desc("snr")], "worst_snr": [F.asc("snr")], "largest": [F.desc("size")], "smallest": [F.asc("size")]}[mode]
+    nth = F.row_number().over(W.partitionBy("session").orderBy(*keys, "unit_id"))
+    return scores.withColumn("nth", nth).where(F.col("nth") <= n).select(*UNIT)
+
+
 def pair_correlations(traces: DataFrame) -> DataFrame:
     """(session, u1, u2, r) of all pairs of the units given: a sampled few."""
     a = traces.select("session", F.col("unit_id").alias("u1"), "frame", F.col("v").alias("x"))

@@ -331,6 +331,18 @@ def t02(spark, sf):
     return rounded(tr.yra_validate(y, y.select("session", "unit_id").distinct().where("unit_id < 6"), 60, "highest_variance"), "mean", "std", "min", "max", "mean_r", "median_r")
 
 
+def unit_scores(spark, sf):
+    return re.unit_sizes(fx.footprints(spark, sf)).join(re.trace_snr(fx.traces(spark, sf)), ["session", "unit_id"])
+
+
+@query("t02_yra_validate_smallest", f"""WITH {_YRA}, few AS (SELECT session, unit_id FROM (SELECT session, unit_id, row_number() OVER (PARTITION BY session ORDER BY count(*), unit_id) AS nth FROM foot GROUP BY 1, 2) WHERE nth <= 4), sm AS (SELECT y.session, unit_id, frame, v FROM yra y JOIN few USING (session, unit_id) JOIN (SELECT session, max(frame) + 1 AS n FROM yra GROUP BY 1) USING (session) WHERE frame >= (n - 60) // 2 AND frame < (n - 60) // 2 + 60),
+rr AS (SELECT session, avg(r) AS mean_r, quantile_cont(r, 0.5) AS median_r FROM (SELECT a.session, a.unit_id, b.unit_id, corr(a.v, b.v) AS r FROM sm a JOIN sm b USING (session, frame) WHERE a.unit_id < b.unit_id GROUP BY 1, 2, 3) GROUP BY 1)
+SELECT session, {R('avg(v)')} AS mean, {R('stddev_pop(v)')} AS std, {R('min(v)')} AS min, {R('max(v)')} AS max, {R('any_value(mean_r)')} AS mean_r, {R('any_value(median_r)')} AS median_r FROM sm JOIN rr USING (session) GROUP BY 1""", _YUSES)
+def t02_smallest(spark, sf):
+    y = yra(spark, sf)
+    return rounded(tr.yra_validate(y, tr.choose_units(unit_scores(spark, sf), 4, "smallest"), 60, "highest_variance"), "mean", "std", "min", "max", "mean_r", "median_r")
+
+
 @query("t03_normalize_trace", f"SELECT session, unit_id, frame, {R('(v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-8)')} AS v FROM days WINDOW w AS (PARTITION BY session, unit_id)", ("days",))
 def t03(spark, sf):
     return rounded(tr.normalize_trace(fx.days(spark, sf)), "v")
@@ -403,6 +415,21 @@ def t10(spark, sf):
     return rounded(made, *_T10, "sparse_high", "sparse_mid", "sparse_low", "zero_low", "zero_mid", "zero_high")
 
 
+@query("t10_suggest_temporal_all", f"""WITH {_YRA}, a AS (SELECT session, unit_id, sum(a * b) / count(*) AS noise FROM foot JOIN bg_b USING (session, y, x) GROUP BY 1, 2),
+s AS (SELECT session, unit_id, stddev_pop(v) AS std, quantile_cont(v, 0.5) + 2 * stddev_pop(v) AS lev, avg(v) AS m FROM traces GROUP BY 1, 2),
+l AS (SELECT t.*, s.*, lag(v, 1) OVER w AS l1, lag(v, 2) OVER w AS l2 FROM traces t JOIN s USING (session, unit_id) WINDOW w AS (PARTITION BY t.session, t.unit_id ORDER BY frame)),
+h AS (SELECT session, unit_id, sum((v - m) * (l1 - m)) / sum((v - m) ** 2) AS r1, sum((v - m) * (l2 - m)) / sum((v - m) ** 2) AS r2, coalesce(avg((v > lev AND l1 <= lev)::INT), 0) AS rate, any_value(std) AS std FROM l GROUP BY 1, 2),
+g AS (SELECT session, unit_id, corr(t.v, y.v) AS agree FROM traces t JOIN yra y USING (session, unit_id, frame) GROUP BY 1, 2),
+u AS (SELECT *, std / greatest(noise, 1e-12) AS snr FROM h JOIN a USING (session, unit_id) LEFT JOIN g USING (session, unit_id)),
+o AS (SELECT session, {', '.join(f'quantile_cont({c}, 0.5) AS {c}' for c in _T10)} FROM u GROUP BY 1)
+SELECT session, {', '.join(f'{R(c)} AS {c}' for c in _T10)}, CASE WHEN r2 > 0.5 * r1 THEN 2 ELSE 1 END AS p, {R('0.1 / greatest(snr, 1e-6)')} AS sparse_high, {R('0.05 / greatest(snr, 1e-6)')} AS sparse_mid, {R('0.01 / greatest(snr, 1e-6)')} AS sparse_low, floor(200 + 300 * least(1.0, 10 * rate))::BIGINT AS max_iters, {R('noise * 0.01')} AS zero_low, {R('noise * 0.05')} AS zero_mid, {R('noise * 0.1')} AS zero_high FROM o""", _YUSES)
+def t10_all(spark, sf):
+    b, _ = fx.background(spark, sf)
+    t = fx.traces(spark, sf)
+    made = tr.suggest_temporal(fx.footprints(spark, sf), t, b.withColumnRenamed("b", "sn"), yra(spark, sf), t.select("session", "unit_id").distinct())
+    return rounded(made, *_T10, "sparse_high", "sparse_mid", "sparse_low", "zero_low", "zero_mid", "zero_high")
+
+
 _SP = f"{DEC}, sp AS (SELECT session, unit_id, avg((s > 0)::INT) AS active, avg((s = 0)::INT) AS silent FROM dec GROUP BY 1, 2)"
 
 

@@ -221,3 +221,13 @@ def test_components_against_flooding():
                         want[j] = i
                         todo += [where[p] for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy == 0 or dx == 0 or connectivity == 8) and (p := (y[j] + dy, x[j] + dx)) in where]
             assert images.components(y, x, connectivity).tolist() == want
+
+
+def test_chosen_units(spark):
+    scores = spark.createDataFrame([(s, u, (u * 7) % 5, float((u * 3) % 7)) for s in "ab" for u in range(20)], "session string, unit_id long, size long, snr double")
+    pick = lambda mode, seed=0, n=3: {s: [r.unit_id for r in traces.choose_units(scores.repartition(n), 4, mode, seed).where(F.col("session") == s).sort("unit_id").collect()] for s in "ab"}
+    units = range(20)
+    for mode, key in (("largest", lambda u: (-(u * 7 % 5), u)), ("smallest", lambda u: (u * 7 % 5, u)), ("best_snr", lambda u: (-(u * 3 % 7), u)), ("worst_snr", lambda u: (u * 3 % 7, u))):
+        assert pick(mode)["a"] == sorted(sorted(units, key=key)[:4])
+    assert pick("random", 1) == pick("random", 1, 7) != pick("random", 2)
+    assert len(pick("random")["b"]) == 4
