@@ -29,8 +29,8 @@ def linesplit_scores(movie: DataFrame, sigma: float, percent: float, c0: float,
     central = movie.join(width, "session").where((F.col("x") >= F.floor(F.col("w") * c0)) & (F.col("x") < F.floor(F.col("w") * c1)))
     profile = central.join(signal, ["session", "y"]).groupBy("session", "frame", "r").agg(F.avg("v").alias("p"))
     reach = int(4 * sigma + 0.5)
-    steps = profile.sparkSession.range(-reach, reach + 1).select(F.col("id").cast("int").alias("d"))
-    spread = profile.crossJoin(F.broadcast(steps)).select("session", "frame", (F.col("r") + F.col("d")).alias("r"), F.exp(-(F.col("d") * F.col("d")) / (2.0 * sigma * sigma)).alias("g"), "p")
+    near = profile.select("session", "frame", "r", "p", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("d"))
+    spread = near.select("session", "frame", (F.col("r") + F.col("d")).alias("r"), F.exp(-(F.col("d") * F.col("d")) / (2.0 * sigma * sigma)).alias("g"), "p")
     trend = spread.groupBy("session", "frame", "r").agg((F.sum(F.col("g") * F.col("p")) / F.sum("g")).alias("t"))
     return profile.join(trend, ["session", "frame", "r"]).groupBy(*FRAME).agg(F.stddev_pop(F.col("p") - F.col("t")).alias("score"))
 

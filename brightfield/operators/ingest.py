@@ -149,7 +149,3 @@ def movie_round_trip(movie: DataFrame, layout: str) -> DataFrame:
     path = new_dir(movie.sparkSession, f"movie-{layout}")
     write_movie(movie, path, layout, block=100, tile=4)
     return read_movie(movie.sparkSession, path)
-
-
-def frames_per_session(movie: DataFrame) -> DataFrame:
-    return movie.groupBy(*SESSION).agg(F.countDistinct("frame").alias("n_frames"))

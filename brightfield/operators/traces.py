@@ -215,7 +215,3 @@ def temporal_summary(deconvolved: DataFrame, ar: DataFrame, threshold: float = 1
     c = deconvolved.groupBy("session").agg(F.avg("c").alias("c_mean"), F.stddev_pop("c").alias("c_std"), F.min("c").alias("c_min"), F.max("c").alias("c_max"), F.avg("s").alias("s_mean"), F.avg((F.col("s") > threshold).cast("double")).alias("s_share"))
     g = ar.groupBy("session").agg(F.avg(F.when(F.col("lag") == 0, F.col("g"))).alias("g1"), F.avg(F.when(F.col("lag") == 1, F.col("g"))).alias("g2"))
     return c.join(g, "session", "left")
-
-
-def median(c: Column | str) -> Column:
-    return F.percentile(c, F.lit(0.5))
