@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightfield.llm import bpe, debruijn, decontaminate, licenses, nearcopies, quality, secrets, suffixes, tokenfile, warc
+from brightfield.llm import bpe, debruijn, decontaminate, licenses, nearcopies, neighbours, quality, secrets, suffixes, tokenfile, variants, vectorcodes, warc
 
 
 def vocabulary() -> str:
@@ -69,7 +69,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_token_files, op4_quality, op5_warc, op6_near_copies, op7_substring_dedup, op8_licenses, op9_decontaminate, op10_secrets)}
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.coded_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_token_files, op4_quality, op5_warc, op6_near_copies, op7_substring_dedup, op8_licenses, op9_decontaminate, op10_secrets, op11_neighbours, op12_variants, op13_vector_codes)}
 
 _QUALITY_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
@@ -107,4 +119,32 @@ r AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n F
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN r USING (doc_id)
 """
 
-SQL = {"op4_quality": _QUALITY_SQL, "op5_warc": _WARC_SQL, "op7_substring_dedup": _WORDS_SQL}
+#: All pairs: with up to 500 rows the operator's least budget of candidates covers the whole forest.
+_NEIGHBOURS_SQL = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), lambda a, b: a + b) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+def _codes_sql() -> str:
+    """Four rounds and a last assignment, each with its own tables; floors of negative quotients go down."""
+    parts = [
+        "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "x AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS x FROM e, (SELECT unnest(range(4)) AS p))",
+        "b0 AS MATERIALIZED (SELECT p, (row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1)::BIGINT AS k, x AS c FROM x WHERE vec_id IN (SELECT vec_id FROM e ORDER BY vec_id LIMIT 256))",
+    ]
+    for i in range(5):
+        parts.append(f"d{i} AS (SELECT vec_id, label, p, k, x, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS far FROM x JOIN b{i} USING (p))")
+        parts.append(f"a{i} AS MATERIALIZED (SELECT vec_id, label, p, any_value(x) AS x, min({{'far': far, 'k': k}}) AS best FROM d{i} GROUP BY vec_id, label, p)")
+        if i < 4:
+            parts.append(f"s{i} AS (SELECT p, k, j, sum(t) AS t, count(*) AS n FROM (SELECT p, best.k AS k, unnest(x) AS t, unnest(range(len(x))) AS j FROM a{i}) GROUP BY ALL)")
+            parts.append(f"m{i} AS (SELECT p, k, list(((t - ((t % n) + n) % n) // n)::BIGINT ORDER BY j) AS c FROM s{i} GROUP BY p, k)")
+            parts.append(f"b{i + 1} AS MATERIALIZED (SELECT p, k, coalesce(m.c, b.c) AS c FROM b{i} b LEFT JOIN m{i} m USING (p, k))")
+    parts.append("h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b4)")
+    parts.append("r AS (SELECT vec_id, label, string_agg(lpad(lower(to_hex(best.k)), 2, '0'), '' ORDER BY p) AS code, sum(best.far)::BIGINT AS error FROM a4 GROUP BY vec_id, label)")
+    return "WITH " + ", ".join(parts) + " SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM r, h"
+
+
+SQL = {"op4_quality": _QUALITY_SQL, "op5_warc": _WARC_SQL, "op7_substring_dedup": _WORDS_SQL, "op11_neighbours": _NEIGHBOURS_SQL, "op13_vector_codes": _codes_sql()}
