@@ -78,3 +78,64 @@ def edits(passage, text):
             now[j] = min(before[j - 1] + (c != d), before[j] + 1, now[j - 1] + 1)
         before = now
     return min(before)
+
+
+def words(docs, every=97, least_points=5, least_n=3):
+    """Counts of the runs of op12's texts."""
+    import re
+    import zlib
+
+    seen = Counter()
+    for d, t in docs:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w)
+            h = zlib.crc32(f"{'' if d is None else d}:{w}".encode())
+            if h % every == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            if len(w) >= least_points:
+                seen[w] += 1
+    return {w: n for w, n in seen.items() if n >= least_n}
+
+
+def variants(counts):
+    """(word, form, root, n, n_near, form_n): near words by what is left when a code point goes."""
+    near = {w: set() for w in counts}
+    holes = {}
+    for w in counts:
+        for i in range(len(w)):
+            holes.setdefault((i, w[:i] + w[i + 1 :]), []).append(w)
+            if w[:i] + w[i + 1 :] in counts:
+                near[w].add(w[:i] + w[i + 1 :])
+                near[w[:i] + w[i + 1 :]].add(w)
+    for same in holes.values():
+        for w in same:
+            near[w] |= set(same) - {w}
+    form = {}
+    for w, n in counts.items():
+        best = min(near[w], key=lambda x: (-counts[x], x), default=None)
+        form[w] = best if best is not None and counts[best] >= 2 * n else None
+    out = []
+    for w, n in counts.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n, len(near[w]), counts.get(form[w])))
+    return sorted(out, key=str)
+
+
+def inner(x, y):
+    total = 0.0
+    for a, b in zip(x, y, strict=True):
+        total += a * b  # sum() would compensate
+    return total
+
+
+def neighbours(rows, k=20, every=20):
+    """(query, rank, other, score) over all rows (key, vector)."""
+    good = sorted({i: v for i, v in sorted(rows, key=str) if i is not None and v and all(x is not None and abs(x) < float("inf") for x in v) and any(v)}.items())
+    out = []
+    for q, x in good:
+        if q % every == 0:
+            far = sorted((-inner(x, y), i) for i, y in good if i != q)
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(far[:k])]
+    return out
