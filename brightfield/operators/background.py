@@ -8,12 +8,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightfield.operators.arrays import SMALL_ROWS, as_pixels, is_frames, lists, pixel_sums, stacks, with_image
+from brightfield.operators.arrays import SMALL_ROWS, as_frames, as_pixels, is_frames, lists, pixel_sums, small, stacks, with_image
 from brightfield.operators.base import FRAME, PIXEL
+from brightfield.operators.blocks import ARRAY_ROWS, TILE_PIXELS, summed
 from brightfield.operators.stencil import gaussian_image, stencil
+from brightfield.sources.storage import materialize
 
 #: Most frames of a session that enter the decomposition: their Gram matrix is solved in one task.
 MOST_FRAMES = 2000
@@ -71,59 +74,119 @@ def sampled_frames(movie: DataFrame, stride: int, most: int | None = MOST_FRAMES
     return movie.join(F.broadcast(span), "session").where((F.col("frame") - F.col("first")) % F.col("step") == 0).drop("first", "step")
 
 
+#: Frames on a side of a block of the Gram matrix (512 KB).
+GRAM_BLOCK = 256
+
+
 def lowrank_basis(movie: DataFrame, h: int, w: int, rank: int, stride: int = 1, sigma: float = 0.0) -> DataFrame:
     """(session, mode, y, x, value): mode -1 is the mean image, modes 0..rank-1 are orthonormal spatial modes by falling energy.
 
     Every stride-th frame, optionally smoothed. For modes the stride grows with the session, so that MOST_FRAMES
-    at most are spread over all of it; a mean image alone takes every stride-th frame. Spark sums the Gram matrix of
-    centred frames by blocks of pixels; its eigenvectors (a bounded problem per session) weight the frames to modes.
+    at most are spread over all of it; a mean image alone takes every stride-th frame. The sampled frames are dealt out by blocks of
+    pixels; a task adds up the Gram matrix of all its blocks and passes on the upper triangle in blocks of frames, which meet in two
+    steps. The eigenvectors (a bounded problem per session) weight the frames to modes, in sums that tasks make where frames lie.
     """
-    sample = sampled_frames(movie, stride, MOST_FRAMES if rank > 0 else None).select("session", "frame", "y", "x", "v")
+    sample = sampled_frames(movie, stride, MOST_FRAMES if rank > 0 else None)
+    if rank <= 0 and not is_frames(movie) and sigma <= 0:
+        return sample.groupBy(*PIXEL).agg(F.avg("v").alias("value")).select("session", F.lit(-1).alias("mode"), "y", "x", "value")
+    frames = sample.select("session", "frame", "px") if is_frames(movie) else as_frames(sample.select("session", "frame", "y", "x", "v"), h, w).select("session", "frame", "px")
     if sigma > 0:
-        sample = gaussian_image(sample, sigma, h, w)
-    mean = sample.groupBy(*PIXEL).agg(F.avg("v").alias("mean"))
-    image = mean.select("session", F.lit(-1).alias("mode"), "y", "x", F.col("mean").alias("value"))
+        frames = gaussian_image(frames.withColumn("h", F.lit(h)).withColumn("w", F.lit(w)), sigma, h, w).select("session", "frame", "px")
+    frames = materialize(frames, "basis-frames", ARRAY_ROWS)
+    counts = frames.groupBy("session").agg(F.count("*").alias("n"))
+    image = pixel_sums(frames, h, w, lambda stack: [stack], ["s"]).join(F.broadcast(counts), "session").select("session", F.lit(-1).alias("mode"), "y", "x", (F.col("s") / F.col("n")).alias("value"))
     if rank <= 0:
         return image
-    centred = sample.join(mean, PIXEL).select("session", "frame", "y", "x", (F.col("v") - F.col("mean")).alias("c"))
-    pixel = centred.groupBy(*PIXEL).agg(F.sort_array(F.collect_list(F.struct("frame", "c"))).alias("s"))  # at most MOST_FRAMES values
-    pixel = pixel.select(*PIXEL, F.col("s.frame").alias("frames"), F.col("s.c").alias("c"))
+    if counts.where(F.col("n") > MOST_FRAMES).count():
+        raise ValueError(f"a session has more than {MOST_FRAMES} rows for its sampled frames; frame numbers must be different")
+
+    def strips(batches):
+        for batch in batches:
+            for session, frame, px in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                x = px.values.to_numpy(zero_copy_only=False)
+                n = -(-len(x) // TILE_PIXELS)
+                parts = pa.array([x[i * TILE_PIXELS : (i + 1) * TILE_PIXELS] for i in range(n)], type=pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array([session] * n), pa.array([frame] * n, type=pa.int64()), pa.array(range(n), type=pa.int32()), parts], names=["session", "frame", "pb", "x"])
 
     def gram(batches):
-        sums: dict = {}
-        for pdf in batches:
-            for session, part in pdf.groupby("session"):
-                x = np.stack(part["c"].to_numpy())
-                sums[session] = sums.get(session, 0) + x.T @ x
-        for session, g in sums.items():
-            yield pd.DataFrame({"session": session, "i": np.arange(len(g)), "row": list(g)})
+        now, rows, total = None, [], None
+
+        def add():
+            x = np.stack(rows)
+            x -= x.mean(axis=0)
+            return x @ x.T if total is None else total + x @ x.T
 
-    rows = pixel.select("session", "c").mapInPandas(gram, "session string, i int, row array<double>")
-    total = rows.select("session", "i", F.posexplode("row").alias("j", "g")).groupBy("session", "i", "j").agg(F.sum("g").alias("g")).groupBy("session", "i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "g"))), lambda s: s["g"]).alias("row"))
+        def blocks(session):
+            for i in range(0, len(total), GRAM_BLOCK):
+                for j in range(i, len(total), GRAM_BLOCK):
+                    yield pa.RecordBatch.from_arrays([pa.array([session]), pa.array([i], type=pa.int32()), pa.array([j], type=pa.int32()), lists(total[i : i + GRAM_BLOCK, j : j + GRAM_BLOCK].reshape(1, -1))], names=["session", "i", "j", "g"])
+
+        for batch in batches:
+            for session, pb, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if (session, pb) != now:
+                    if now is not None:
+                        total, rows = add(), []
+                        if session != now[0]:
+                            yield from blocks(now[0])
+                            total = None
+                    now = session, pb
+                rows.append(x.values.to_numpy(zero_copy_only=False))
+        if now is not None:
+            total = add()
+            yield from blocks(now[0])
+
+    n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = frames.mapInArrow(strips, "session string, frame long, pb int, x array<double>").repartition(n, "session", "pb").sortWithinPartitions("session", "pb", "frame")
+    total = summed(dealt.select("session", "pb", "x").mapInArrow(gram, "session string, i int, j int, g array<double>"), ["session", "i", "j"])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        values, vectors = np.linalg.eigh(np.stack(pdf["row"].to_numpy()))
+        size = int(pdf["i"].max()) + round(len(pdf.loc[(pdf["i"] == pdf["i"].max()) & (pdf["j"] == pdf["i"].max()), "g"].iloc[0]) ** 0.5)
+        g = np.zeros((size, size))
+        for i, j, part in zip(pdf["i"], pdf["j"], pdf["g"], strict=True):
+            part = part.reshape(min(GRAM_BLOCK, size - i), -1)
+            g[i : i + len(part), j : j + part.shape[1]] = part
+            g[j : j + part.shape[1], i : i + len(part)] = part.T
+        values, vectors = np.linalg.eigh(g)
         top = np.argsort(values)[::-1][:rank]
         top = top[values[top] > 1e-12 * max(values.max(), 1e-300)]
         weights = vectors[:, top] / np.sqrt(values[top])
-        return pd.DataFrame({"session": pdf["session"].iloc[0], "mode": np.arange(len(top), dtype=np.int32), "weights": list(weights.T)})
+        weights -= weights.mean(axis=0)  # centred frames have no part along their mean
+        return pd.DataFrame({"session": pdf["session"].iloc[0], "place": np.arange(size, dtype=np.int64), "weights": list(weights)})
+
+    solved = total.groupBy("session").applyInPandas(solve, "session string, place long, weights array<double>")
+    # a frame's place in its session, of MOST_FRAMES at most
+    place = frames.select("session", "frame").withColumn("place", F.row_number().over(W.partitionBy("session").orderBy("frame")).cast("long") - 1)
+    weights = place.join(solved, ["session", "place"]).select("session", "frame", "weights")
+    weights = materialize(weights, "basis-weights", compact=True)
+    largest = weights.agg(F.max(F.size("weights"))).first()[0] or 0
+    names = [f"m{i}" for i in range(largest)]
+    if not names:
+        return image
+
+    def moments(stack, given):
+        g = np.array([[*r, *[0.0] * (largest - len(r))] for r in given.tolist()])
+        return [np.tensordot(g[:, i], stack, axes=1) for i in range(largest)]
 
-    solved = total.groupBy("session").applyInPandas(solve, "session string, mode int, weights array<double>")
-    # a mode's pixel is the weighted sum of its frames; its largest value is positive
-    raw = pixel.join(solved, "session").select("session", "mode", "y", "x", F.aggregate(F.zip_with("c", "weights", lambda c, g: c * g), F.lit(0.0), lambda a, b: a + b).alias("value"))
-    sign = raw.groupBy("session", "mode").agg(F.signum(F.max_by("value", F.abs("value"))).alias("sign"))
-    return image.unionByName(raw.join(sign, ["session", "mode"]).select("session", "mode", "y", "x", (F.col("value") * F.col("sign")).alias("value")))
+    made = pixel_sums(frames.join(small(weights), ["session", "frame"]), h, w, moments, names, ("weights",))
+    raw = made.select("session", "y", "x", F.posexplode(F.array(*names)).alias("mode", "value"))
+    held = weights.groupBy("session").agg(F.max(F.size("weights")).alias("n"))
+    # a mode's largest value is positive; sessions with fewer modes have no others
+    raw = raw.join(F.broadcast(held), "session").where("mode < n")
+    sign = raw.groupBy("session", "mode").agg(F.signum(F.max_by("value", F.struct(F.abs("value"), -F.col("y"), -F.col("x")))).alias("sign"))
+    return image.unionByName(raw.join(F.broadcast(sign), ["session", "mode"]).select("session", "mode", "y", "x", (F.col("value") * F.col("sign")).alias("value")))
 
 
 def lowrank_subtract(movie: DataFrame, basis: DataFrame, clip: bool = True) -> DataFrame:
     """v minus the mean image and the frame's projection on the modes.
 
     Frame rows are projected one by one while the basis is small (SMALL_ROWS values), which every task then
-    holds; otherwise, and for pixel rows, pixels are joined with the mean image and the modes as an array each.
+    holds, and pixel rows are gathered to frames for it; otherwise pixels are joined with the mean image and the modes as an array each.
     """
-    if is_frames(movie) and basis.count() <= SMALL_ROWS:
-        return _project(movie, basis, clip)
+    if basis.count() <= SMALL_ROWS:
+        if is_frames(movie):
+            return _project(movie, basis, clip)
+        size = basis.agg(F.max("y") + 1, F.max("x") + 1).first()
+        return as_pixels(_project(as_frames(movie.select(*FRAME, "y", "x", "v"), *size), basis, clip)) if size[0] else movie.limit(0)
     rows = as_pixels(movie) if is_frames(movie) else movie
     mean = basis.where("mode = -1").select(*PIXEL, F.col("value").alias("mean"))
     modes = basis.where("mode >= 0").groupBy(*PIXEL).agg(F.sort_array(F.collect_list(F.struct("mode", "value"))).alias("s")).select(*PIXEL, F.col("s.mode").alias("mode"), F.col("s.value").alias("value"))

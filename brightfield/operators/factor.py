@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brightfield.functions.kernels import power
+from brightfield.operators import blocks
 from brightfield.operators.arrays import is_frames, small
 from brightfield.operators.base import FRAME, PIXEL, UNIT
-
-#: Values of a pixels x components matrix that a task may hold (512 MB); larger problems need fewer components or tiles.
-MOST_VALUES = 1 << 26
+from brightfield.sources.storage import discard
 
 
 def shift_nonneg(movie: DataFrame, every: int = 1) -> DataFrame:
@@ -28,64 +28,62 @@ def shift_nonneg(movie: DataFrame, every: int = 1) -> DataFrame:
 
 
 def randomized_svd(frame_rows: DataFrame, n: int, iters: int = 5, seed: int = 42, oversample: int = 10) -> DataFrame:
-    """(session, part, k, index, value): the n leading singular triples of each session's frames x pixels matrix.
+    """(session, part, k, index, value): the n leading singular triples of each session's frames x pixels matrix X.
 
-    part 'U' by frame, 'S' by 0, 'V' by pixel y * w + x. A seeded sketch of n + oversample columns goes through
-    `iters` power iterations. Spark sums X^T (X Q) over frames by pixel; only the k x k Gram matrix is
-    factorised in one task, and Q (pixels x k, checked against MOST_VALUES) is held by the frame kernels.
+    part 'U' by frame, 'S' by 0, 'V' by pixel y * w + x. A seeded sketch of n + oversample columns goes through `iters` power iterations.
+    The movie is cut into stored tiles once; the basis is a table of pixel blocks and its image a table of frame blocks, and either
+    is made from the other by a join with the tiles and a two-step sum. Both are made orthonormal by Cholesky factors of
+    their summed k x k Gram matrices, the last basis twice. Nothing of the size of a frame or a trace reaches the driver.
     """
-    k = n + oversample
     spark = frame_rows.sparkSession
-    shape = {r.session: (r.p, r.f) for r in frame_rows.groupBy("session").agg(F.max(F.size("px")).alias("p"), F.count("*").alias("f")).collect()}  # one row a recording
-    q = {}
-    for session, (p, f) in shape.items():
-        if p * min(k, p) > MOST_VALUES:
-            raise ValueError(f"{p} pixels x {k} components exceed {MOST_VALUES} values")
-        q[session] = np.linalg.qr(np.random.default_rng(seed).standard_normal((p, min(k, p, f))))[0]
-
-    def product(basis):
-        held = spark.sparkContext.broadcast(basis)
-
-        def run(batches):
-            sums: dict = {}
-            for pdf in batches:
-                for session, part in pdf.groupby("session"):
-                    x = np.stack(part["px"].to_numpy()).astype(np.float64)
-                    sums[session] = sums.get(session, 0) + x.T @ (x @ held.value[session])
-            for session, s in sums.items():
-                yield pd.DataFrame({"session": session, "p": np.arange(len(s)), "row": list(s)})
-
-        rows = frame_rows.select("session", "px").mapInPandas(run, "session string, p int, row array<double>")
-        summed = rows.select("session", "p", F.posexplode("row").alias("j", "g")).groupBy("session", "p", "j").agg(F.sum("g").alias("g"))
-        out = {s: np.zeros_like(b) for s, b in basis.items()}
-        for r in summed.toLocalIterator():
-            out[r.session][r.p, r.j] = r.g
-        return out
-
+    tiles = blocks.cut_tiles(frame_rows, "svd-tiles")
+    widths = tiles.groupBy("session", "pb").agg(F.max(F.expr("size(x) div size(frames)")).alias("width")).groupBy("session").agg(F.sum("width").alias("p"))
+    heights = tiles.where("pb = 0").groupBy("session").agg(F.sum(F.size("frames")).alias("f"))
+    shape = {r.session: (r.p, r.f) for r in widths.join(heights, "session").collect()}  # one row a recording
+    k = {s: min(n + oversample, p, f) for s, (p, f) in shape.items()}
+    basis_values, score_values = (sum(size[i] * k[s] for s, size in shape.items()) for i in (0, 1))
+    basis = blocks.random_blocks(tiles, k, seed, "svd-basis")
+    turn = blocks.whitening(blocks.grams(basis))
     for _ in range(iters):
-        q = {s: np.linalg.qr(z)[0] for s, z in product(q).items()}
-    z = product(q)  # X^T X Q; Q^T of it is the small problem
-    rows, held = [], {}
-    for session, b in q.items():
-        values, vectors = np.linalg.eigh(b.T @ z[session])
+        scores = blocks.times_pixels(tiles, basis, turn, basis_values, "svd-scores")
+        past = basis
+        basis = blocks.times_frames(tiles, scores, blocks.whitening(blocks.grams(scores)), score_values, "svd-basis")
+        discard(past, scores)
+        turn = blocks.whitening(blocks.grams(basis))
+    again = blocks.whitening(blocks.grams(blocks.turned(basis, "pb", turn)))
+    turn = {s: t @ again[s] for s, t in turn.items()}
+    scores = blocks.times_pixels(tiles, basis, turn, basis_values, "svd-scores")
+    rows, right, left = [], {}, {}
+    for session, g in blocks.grams(scores).items():  # X Q has the singular values and right vectors of X within the basis
+        values, vectors = np.linalg.eigh(g)
         top = np.argsort(values)[::-1][:n]
-        v = b @ vectors[:, top]
-        v *= np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
-        s = np.sqrt(np.maximum(values[top], 0))
-        held[session] = v / np.where(s > 1e-12, s, np.inf)
-        rows += [(session, "S", i, 0, float(x)) for i, x in enumerate(s)]
-        rows += [(session, "V", i, p, float(v[p, i])) for i in range(v.shape[1]) for p in range(len(v))]
+        root = np.sqrt(np.maximum(values[top], 0))
+        rows += [(session, "S", i, 0, float(x)) for i, x in enumerate(root)]
+        right[session], left[session] = turn[session] @ vectors[:, top], vectors[:, top] / np.where(root > 1e-12, root, np.inf)
+    signs = {s: np.ones(m.shape[1]) for s, m in right.items()}
+    v = _triples(blocks.turned(basis, "pb", right).select("session", F.col("pb").cast("long").alias("b"), "z"), {s: m.shape[1] for s, m in right.items()}, None)
+    for r in v.groupBy("session", "k").agg(F.max_by("value", F.struct(F.abs("value"), -F.col("index"))).alias("most")).collect():  # n rows a recording
+        signs[r.session][r.k] = -1.0 if r.most < 0 else 1.0
+    frames = tiles.where("pb = 0").select("session", "fb", "frames")
+    turned = blocks.turned(scores, "fb", {s: m * signs[s] for s, m in left.items()}).join(frames, ["session", "fb"])
+    v = _triples(blocks.turned(basis, "pb", {s: m * signs[s] for s, m in right.items()}).select("session", F.col("pb").cast("long").alias("b"), "z"), {s: m.shape[1] for s, m in right.items()}, None)
+    u = _triples(turned.select("session", F.col("fb").alias("b"), "z", "frames"), {s: m.shape[1] for s, m in left.items()}, "frames")
     small = spark.createDataFrame(rows, "session string, part string, k int, index long, value double")
-    lift = spark.sparkContext.broadcast(held)
+    return small.unionByName(u.select("session", F.lit("U").alias("part"), "k", "index", "value")).unionByName(v.select("session", F.lit("V").alias("part"), "k", "index", "value"))
+
+
+def _triples(table: DataFrame, n: dict[str, int], frames: str | None) -> DataFrame:
+    """(session, k, index, value) of blocks (session, b, z): index is the frame, or the place of the pixel."""
 
-    def left(batches):
-        for pdf in batches:
-            for session, part in pdf.groupby("session"):
-                u = np.stack(part["px"].to_numpy()).astype(np.float64) @ lift.value[session]
-                frames, ks = np.meshgrid(part["frame"], np.arange(u.shape[1]), indexing="ij")
-                yield pd.DataFrame({"session": session, "part": "U", "k": ks.ravel().astype(np.int32), "index": frames.ravel(), "value": u.ravel()})
+    def run(batches):
+        for batch in batches:
+            for r, s in enumerate(batch.column(0).to_pylist()):
+                z = batch.column(2)[r].values.to_numpy().reshape(-1, n[s])
+                index = batch.column(3)[r].values.to_numpy() if frames else batch.column(1)[r].as_py() * blocks.TILE_PIXELS + np.arange(len(z))
+                at, ks = np.meshgrid(index, np.arange(n[s], dtype=np.int32), indexing="ij")
+                yield pa.RecordBatch.from_arrays([pa.array([s] * z.size), pa.array(ks.ravel()), pa.array(at.ravel()), pa.array(z.ravel())], names=["session", "k", "index", "value"])
 
-    return small.unionByName(frame_rows.select("session", "frame", "px").mapInPandas(left, "session string, part string, k int, index long, value double"))
+    return table.mapInArrow(run, "session string, k int, index long, value double")
 
 
 def nndsvd(svd: DataFrame, width: int, sparsity: float = 0.05, spatial: bool = True) -> DataFrame:

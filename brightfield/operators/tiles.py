@@ -6,11 +6,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brightfield.operators.arrays import STACK_BYTES, as_frames, is_frames, lists, pixel_sums, small
 from brightfield.operators.base import FRAME, PIXEL, UNIT
+from brightfield.operators.blocks import summed
 from brightfield.operators.merge import overlap_pairs
 from brightfield.operators.reject import regions
 from brightfield.operators.stencil import disk
@@ -164,48 +168,148 @@ def lasso(xtx: np.ndarray, xty: np.ndarray, penalty: float, sweeps: int = 10) ->
     return out
 
 
+#: Pixels of clusters that one pass over the movie serves (every task holds their places); more clusters take more passes.
+PASS_PIXELS = 1 << 20
+
+
 def spatial_update(movie: DataFrame, traces: DataFrame, background: DataFrame, clusters: DataFrame, mask: DataFrame, penalties: tuple[float, float, int] = (1e-6, 1e-2, 10), min_std: float = 0.1, least: float = 1e-8) -> DataFrame:
     """(session, unit_id, y, x, a): non-negative lasso of each masked pixel's trace on its cluster's traces and the background's.
 
-    Spark sums everything that grows with frames: products of traces by cluster, and of each pixel with each
-    trace. A task then solves one cluster from these sums, for penalties spaced evenly on the log scale
-    (threshold frames * penalty), weights the solutions by the inverse of their residual and scales back.
+    Frame rows are cut to the pixels of each cluster where they lie and multiplied with the frame's traces, a block of frames at a
+    time; tasks pass on one pixels x traces matrix a cluster, and these are summed. Pixel rows are gathered to frames first. A row then holds
+    all sums of a cluster, and the solver takes it for penalties spaced evenly on the log scale (threshold frames * penalty),
+    weights the solutions by the inverse of their residual and scales back. Pixels whose deviation is under min_std take no part.
     """
+    frames = movie if is_frames(movie) else gathered(movie)
     member = clusters.select("session", "cluster_id", "unit_id")
     regress = traces.join(member, UNIT).select("session", "cluster_id", "unit_id", "frame", "v").unionByName(background.join(member.select("session", "cluster_id").distinct(), "session").select("session", "cluster_id", F.lit(-1).cast("long").alias("unit_id"), "frame", F.col("f").alias("v")))
     # Centred sums are formed from means, which keeps cancellation small
     mean = regress.groupBy("session", "cluster_id", "unit_id").agg(F.avg("v").alias("m"))
     x = regress.join(mean, ["session", "cluster_id", "unit_id"]).select("session", "cluster_id", "unit_id", "frame", (F.col("v") - F.col("m")).alias("x"))
-    pair = x.join(x.select("session", "cluster_id", F.col("unit_id").alias("other"), "frame", F.col("x").alias("z")), ["session", "cluster_id", "frame"]).groupBy("session", "cluster_id", "unit_id", "other").agg(F.sum(F.col("x") * F.col("z")).alias("g"), F.count("*").alias("n"))
-    pixel_mean = movie.groupBy(*PIXEL).agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    y = movie.join(pixel_mean, PIXEL).where(F.col("s") >= min_std).select(*FRAME, "y", "x", ((F.col("v") - F.col("m")) / F.col("s")).alias("p"), "s")
-    cross = y.join(mask, PIXEL).join(x.withColumnRenamed("x", "t"), ["session", "cluster_id", "frame"]).groupBy("session", "cluster_id", "y", "x", "unit_id").agg(F.sum(F.col("p") * F.col("t")).alias("g"), F.first("s").alias("s"))
-    stats = pair.select("session", "cluster_id", F.lit(-1).alias("y"), F.lit(-1).alias("x"), "unit_id", "other", "g", F.col("n").cast("double").alias("s")).unionByName(cross.select("session", "cluster_id", "y", "x", "unit_id", F.lit(0).cast("long").alias("other"), "g", "s"))
+    one = F.sort_array(F.collect_list(F.struct("cluster_id", "unit_id", "x")))
+    at = materialize(x.groupBy(*FRAME).agg(one.alias("s")).select(*FRAME, "s.cluster_id", "s.unit_id", "s.x"), "update-traces", 500)
+    order = {}  # the traces of each cluster in order: as many rows as units, clusters and sessions
+    for r in at.select("session", F.explode(F.arrays_zip("cluster_id", "unit_id")).alias("e")).select("session", "e.*").distinct().orderBy("session", "cluster_id", "unit_id").collect():
+        order.setdefault((r.session, r.cluster_id), []).append(r.unit_id)
+    size = {r.session: (r.h, r.w) for r in frames.groupBy("session").agg(F.max(F.expr("size(px) div w")).cast("int").alias("h"), F.max("w").alias("w")).collect()}
+    h, w = (max((v[i] for v in size.values()), default=0) for i in (0, 1))
+    if len(set(size.values())) > 1:
+        raise ValueError("sessions of different sizes need a call each")
+    if not h:
+        return traces.select("session", "unit_id", F.lit(0).alias("y"), F.lit(0).alias("x"), F.lit(0.0).alias("a")).limit(0)
+    squares = gram_of_traces(at, order)
+    sums = pixel_sums(frames.select("session", "px"), h, w, lambda v: [v, v * v, np.ones(v.shape[1:]) * len(v)], ["s1", "s2", "n"])
+    m = F.col("s1") / F.col("n")
+    stats = sums.select(*PIXEL, m.alias("m"), F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("n") - m * m)).alias("s")).where(F.col("s") >= min_std)
+    masked = materialize(mask.select("session", "cluster_id", "y", "x").distinct().join(stats, PIXEL), "update-pixels")
+    counts = masked.groupBy("session", "cluster_id").count().orderBy("session", "cluster_id").collect()  # one row a cluster
+    passes, held = [[]], 0
+    for r in counts:
+        if held and held + r["count"] > PASS_PIXELS:
+            passes.append([])
+            held = 0
+        passes[-1].append((r.session, r.cluster_id))
+        held += r["count"]
     grid = np.logspace(np.log10(penalties[0]), np.log10(penalties[1]), penalties[2])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        square, rows = pdf[pdf["y"] < 0], pdf[pdf["y"] >= 0]
-        empty = pd.DataFrame({"session": [], "unit_id": [], "y": [], "x": [], "a": []}).astype({"unit_id": "int64", "y": "int32", "x": "int32", "a": "float64"})
-        if not len(rows):
-            return empty
-        xtx = square.pivot(index="unit_id", columns="other", values="g")
-        units, n = xtx.index.to_numpy(), float(square["s"].max())
-        xtx = xtx.to_numpy()
-        norm = np.sqrt(np.maximum(np.diag(xtx), 1e-300))
-        wide = rows.pivot(index=["y", "x", "s"], columns="unit_id", values="g").reindex(columns=units).fillna(0.0)
-        xty, gram = (wide.to_numpy() / norm).T, xtx / norm[:, None] / norm[None, :]
-        total, weights = 0.0, 0.0
-        for alpha in grid:
-            b = lasso(gram, xty, n * alpha)
-            left = np.maximum(n - 2 * (b * xty).sum(0) + (b * (gram @ b)).sum(0), 1e-12)
-            total, weights = total + b / left, weights + 1 / left
-        s = wide.index.get_level_values("s").to_numpy()
-        a = total / weights * s[None, :] / norm[:, None]
-        k, p = np.nonzero((a > least) & (units >= 0)[:, None])
-        made = pd.DataFrame({"session": pdf["session"].iloc[0], "unit_id": units[k], "y": wide.index.get_level_values("y").to_numpy()[p], "x": wide.index.get_level_values("x").to_numpy()[p], "a": a[k, p]})
-        return made if len(made) else empty
-
-    return stats.groupBy("session", "cluster_id").applyInPandas(solve, "session string, unit_id long, y int, x int, a double")
+    joined = frames.select(*FRAME, "px").join(small(at), FRAME)
+    made = None
+    for wanted in passes:
+        names = movie.sparkSession.createDataFrame(wanted or [("", -1)], "session string, cluster_id long")
+        table = masked.join(F.broadcast(names), ["session", "cluster_id"]).orderBy("session", "cluster_id", "y", "x").toArrow().to_pandas()  # PASS_PIXELS rows, or one cluster's
+        places = {key: ((part["y"] * w + part["x"]).to_numpy(), part["m"].to_numpy(), part["s"].to_numpy()) for key, part in table.groupby(["session", "cluster_id"]) if key in order}
+        part = joined.mapInArrow(cross_kernel(places, order, h, w), "session string, cluster_id long, cross array<double>, trace array<double>")
+        solved = summed(part, ["session", "cluster_id"]).join(squares, ["session", "cluster_id"]).mapInArrow(solver(places, order, grid, least, w), "session string, unit_id long, y int, x int, a double")
+        made = solved if made is None else made.unionByName(solved)
+    return made
+
+
+def gathered(movie: DataFrame) -> DataFrame:
+    """Frame rows of pixel rows, whose images must be complete."""
+    h, w = movie.agg(F.max("y") + 1, F.max("x") + 1).first()
+    return as_frames(movie.select(*FRAME, "y", "x", "v"), h or 0, w or 0)
+
+
+def gram_of_traces(at: DataFrame, order: dict) -> DataFrame:
+    """(session, cluster_id, gram, n): the traces x traces matrix of products of each cluster and its number of frames, from rows of frames."""
+
+    def run(batches):
+        held: dict = {}
+        for batch in batches:
+            for key, x in by_cluster(batch, order, (0, 2, 3, 4)):
+                total = held.setdefault(key, [np.zeros((x.shape[1], x.shape[1])), np.zeros(1)])
+                total[0] += x.T @ x
+                total[1] += len(x)
+        for (session, cluster), (g, n) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([session]), pa.array([cluster]), lists(g.reshape(1, -1)), lists(n.reshape(1, -1))], names=["session", "cluster_id", "gram", "n"])
+
+    rows = at.select("session", "frame", "cluster_id", "unit_id", "x").mapInArrow(run, "session string, cluster_id long, gram array<double>, n array<double>")
+    return summed(rows, ["session", "cluster_id"])
+
+
+def by_cluster(batch: pa.RecordBatch, order: dict, columns: tuple[int, int, int, int]):
+    """((session, cluster), frames x traces) of rows with arrays of clusters, units and values; a trace without a value has 0."""
+    session, clusters, units, values = (batch.column(i) for i in columns)
+    names = np.array(session.to_pylist(), dtype=object)
+    row = np.asarray(pc.list_parent_indices(clusters), dtype=np.int64)
+    flat = pd.DataFrame({"row": row, "cluster": np.asarray(clusters.flatten()), "unit": np.asarray(units.flatten()), "x": np.asarray(values.flatten())})
+    for s in sorted(set(names.tolist())):
+        mine = np.flatnonzero(names == s)
+        local = np.full(len(names), -1)
+        local[mine] = np.arange(len(mine))
+        for c, part in flat[local[flat["row"]] >= 0].groupby("cluster"):
+            listed = np.array(order[s, c])
+            x = np.zeros((len(mine), len(listed)))
+            x[local[part["row"]], np.searchsorted(listed, part["unit"])] = part["x"]
+            yield (s, c), x
+
+
+def cross_kernel(places: dict, order: dict, h: int, w: int):
+    """Products of each cluster's traces with its pixels, and sums of the traces, over the frames of a task."""
+
+    def run(batches):
+        held: dict = {}
+        for batch in batches:
+            px = batch.column(2).cast(pa.list_(pa.float64()))
+            lead = batch.select([0, 3, 4, 5])
+            step = max(1, STACK_BYTES // (8 * h * w))
+            for i in range(0, batch.num_rows, step):
+                rows = px.slice(i, step)
+                if len(rows.flatten()) != len(rows) * h * w:
+                    raise ValueError(f"images of {h} x {w} pixels are not complete")
+                v = rows.flatten().to_numpy(zero_copy_only=False).reshape(-1, h * w)
+                names = np.array(lead.column(0).slice(i, step).to_pylist(), dtype=object)
+                for key, x in by_cluster(lead.slice(i, step), order, (0, 1, 2, 3)):
+                    if key in places:
+                        total = held.setdefault(key, [np.zeros((x.shape[1], len(places[key][0]))), np.zeros(x.shape[1])])
+                        total[0] += x.T @ v[names == key[0]][:, places[key][0]]
+                        total[1] += x.sum(axis=0)
+        for (session, cluster), (cross, trace) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([session]), pa.array([cluster]), lists(cross.reshape(1, -1)), lists(trace.reshape(1, -1))], names=["session", "cluster_id", "cross", "trace"])
+
+    return run
+
+
+def solver(places: dict, order: dict, grid: np.ndarray, least: float, w: int):
+    """Solutions of all pixels of a cluster from its sums."""
+
+    def run(batches):
+        for batch in batches:
+            for session, cluster, cross, trace, gram, n in zip(*(c.to_pylist() for c in batch.columns[:2]), *batch.columns[2:], strict=True):
+                units, (place, m, s), n = np.array(order[session, cluster]), places[session, cluster], n.values.to_numpy()[0]
+                xtx = gram.values.to_numpy().reshape(len(units), -1)
+                norm = np.sqrt(np.maximum(np.diag(xtx), 1e-300))
+                centred = (cross.values.to_numpy().reshape(len(units), -1) - trace.values.to_numpy()[:, None] * m) / s
+                xty, square = centred / norm[:, None], xtx / norm[:, None] / norm[None, :]
+                total, weights = 0.0, 0.0
+                for alpha in grid:
+                    b = lasso(square, xty, n * alpha)
+                    left = np.maximum(n - 2 * (b * xty).sum(0) + (b * (square @ b)).sum(0), 1e-12)
+                    total, weights = total + b / left, weights + 1 / left
+                a = total / weights * s[None, :] / norm[:, None]
+                k, p = np.nonzero((a > least) & (units >= 0)[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array([session] * len(k), type=pa.string()), pa.array(units[k]), pa.array((place[p] // w).astype(np.int32)), pa.array((place[p] % w).astype(np.int32)), pa.array(a[k, p])], names=["session", "unit_id", "y", "x", "a"])
+
+    return run
 
 
 def growth_cap(updated: DataFrame, sizes: DataFrame, factor: float = 3.0) -> DataFrame:

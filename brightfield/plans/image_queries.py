@@ -172,7 +172,7 @@ def c05(spark, sf):
 
 @query("c05_lowrank_subtract_modes")
 def c05_modes(spark, sf):
-    return shown(bg.lowrank_subtract(fx.frames(spark, sf), bg.lowrank_basis(fx.movie(spark, sf), 8, 8, 2, 2)))
+    return shown(bg.lowrank_subtract(fx.frames(spark, sf), bg.lowrank_basis(fx.frames(spark, sf), 8, 8, 2, 2)))
 
 
 @query("c06_background_qc", f"WITH {_RINGED}, q AS (SELECT session, y, x, avg(m.v) AS before, avg(r.v) AS after FROM movie m JOIN r USING (session, frame, y, x) GROUP BY ALL), k AS (SELECT session, quantile_cont(before, 0.02) AS lo, quantile_cont(before, 0.98) AS hi FROM q GROUP BY 1) SELECT session, y, x, {_R('before')} AS before, {_R('after')} AS after, {_R('before - after')} AS removed, {_R('least(greatest(before, lo), hi)')} AS winsorised FROM q JOIN k USING (session)", ("movie",))

@@ -129,7 +129,7 @@ def register(movie: DataFrame, p: dict, h: int, w: int) -> tuple[DataFrame, Data
     if crop["bg_method"] == "ring":
         moved = background.ring_background(moved, h, w, crop["bg_ring_radius"], crop["bg_ring_width"], clip=crop["bg_clip"])
     elif crop["bg_method"] == "lowrank":
-        basis = materialize(background.lowrank_basis(arrays.as_pixels(moved), h, w, crop["bg_rank"], 1, crop["bg_smooth_sigma"]), "run-basis")
+        basis = materialize(background.lowrank_basis(moved, h, w, crop["bg_rank"], 1, crop["bg_smooth_sigma"]), "run-basis")
         moved = background.lowrank_subtract(moved, basis, crop["bg_clip"])
     return materialize(factor.shift_nonneg(moved), "run-movie"), materialize(removed, "run-removed"), moves, h, w
 
@@ -176,7 +176,7 @@ def update(movie: DataFrame, a: DataFrame, b: DataFrame, f: DataFrame, p: dict,
     mask = materialize(tiles.cluster_mask(wide, clusters, h, w, box["dilation_radius"], box["intensity_threshold"]), "run-mask")
     bounds = tiles.cluster_bounds(mask, h, w, box["padding"], box["min_size"])
     c = made.select(*UNIT, "frame", F.col("c").alias("v")).join(a.select(*UNIT).distinct(), UNIT, "left_semi")
-    fresh = tiles.spatial_update(arrays.as_pixels(movie), c, f, clusters, mask, (fit["min_penalty"], fit["max_penalty"], fit["num_penalties"]), fit["min_std"])
+    fresh = tiles.spatial_update(movie, c, f, clusters, mask, (fit["min_penalty"], fit["max_penalty"], fit["num_penalties"]), fit["min_std"])
     fresh = materialize(tiles.growth_cap(fresh, reject.unit_sizes(wide)), "run-spatial")
     boxes = bounds.join(clusters, ["session", "cluster_id"]).join(fresh.select(*UNIT).distinct(), UNIT, "left_semi").select(*UNIT, "y0", "y1", "x0", "x1")
     return materialize(tiles.overlap_split(tiles.replace_tiles(a, fresh, boxes)), "run-updated"), c
