@@ -25,32 +25,97 @@ def along(stack: np.ndarray, taps: list[float], axis: int, border: str) -> np.nd
     return out
 
 
-def sliding(x: np.ndarray, width: int, op) -> np.ndarray:
-    """op (np.minimum or np.maximum) over runs of `width` on the last axis."""
-    size = 1
-    while size * 2 <= width:
-        x = op(x[..., :-size], x[..., size:])
-        size *= 2
-    return op(x[..., : x.shape[-1] - (width - size)], x[..., width - size :]) if size < width else x
-
-
 def extreme(stack: np.ndarray, offsets: list[tuple[int, int, float]], op, border: str) -> np.ndarray:
-    """Least or greatest value over the offsets; runs of a row's offsets take a logarithmic number of steps."""
+    """Least or greatest value over the offsets, image by image.
+
+    The runs of a disk's rows are nested: the extremes over a longer run are those over a shorter one at its two ends, one step
+    for each length. Only the plane of the present length and the result are held, so that both stay in the processor's cache.
+    """
     _, h, w = stack.shape
     ry, rx = max(abs(o[0]) for o in offsets), max(abs(o[1]) for o in offsets)
-    wide = padded(stack, ry, rx, border, np.inf if op is np.minimum else -np.inf)
-    by_row: dict[int, list[int]] = {}
+    by_row: dict[int, set[int]] = {}
     for dy, dx, _ in offsets:
-        by_row.setdefault(dy, []).append(dx)
-    ready: dict[int, np.ndarray] = {}
-    out = None
+        by_row.setdefault(dy, set()).add(dx)
+    runs: dict[int, list[tuple[int, int]]] = {}
     for dy, dxs in by_row.items():
-        dxs = sorted(set(dxs))
-        for run in np.split(np.array(dxs), np.flatnonzero(np.diff(dxs) > 1) + 1):
-            if len(run) not in ready:
-                ready[len(run)] = sliding(wide, len(run), op)
-            part = ready[len(run)][:, ry + dy : ry + dy + h, rx + run[0] : rx + run[0] + w]
-            out = part.copy() if out is None else op(out, part, out=out)
+        line = np.array(sorted(dxs))
+        for run in np.split(line, np.flatnonzero(np.diff(line) > 1) + 1):
+            runs.setdefault(len(run), []).append((dy, int(run[0])))
+    out = np.empty_like(stack, dtype=np.float64)
+    for image, made in zip(stack, out, strict=True):
+        plane = padded(image[None], ry, rx, border, np.inf if op is np.minimum else -np.inf)[0]
+        size, begun = 1, False
+        for length in sorted(runs):
+            while size < length:
+                step = min(size, length - size)
+                plane = op(plane[:, :-step], plane[:, step:])
+                size += step
+            for dy, dx in runs[length]:
+                part = plane[ry + dy : ry + dy + h, rx + dx : rx + dx + w]
+                if begun:
+                    op(made, part, out=made)
+                else:
+                    made[...], begun = part, True
+    return out
+
+
+#: Values of a plane at once in the median network: its some hundred planes then fit in the processor's cache.
+MEDIAN_PLANE = 8192
+
+
+def merged(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """Odd-even merge of two lists of planes, each in ascending order at every pixel."""
+    if not a or not b:
+        return a or b
+    if len(a) == len(b) == 1:
+        return [np.minimum(a[0], b[0]), np.maximum(a[0], b[0])]
+    even, odd = merged(a[::2], b[::2]), merged(a[1::2], b[1::2])
+    out = even[:1]
+    for x, y in zip(odd, even[1:], strict=False):
+        out += [np.minimum(x, y), np.maximum(x, y)]
+    n = min(len(odd), len(even) - 1)
+    return out + odd[n:] + even[n + 1 :]
+
+
+def box_median(wide: np.ndarray, k: int) -> np.ndarray:
+    """The median of each k x k window (k odd) of an image that is k - 1 larger than the result.
+
+    Every column of k values is sorted once, and sorted runs of 2, 4, ... columns are merged from halves that overlapping windows
+    share. The window is its largest such run and the merged rest, and its middle value a minimum over the ways to share it between them.
+    Planes are flat, so that a neighbouring column is one place further; what wraps around a row's end is cut off. A median is one of
+    the values, so that images of single-precision values are worked on in single precision.
+    """
+    height, width = wide.shape
+    h, w = height - k + 1, width - k + 1
+    single = wide.astype(np.float32)
+    wide = single if np.array_equal(single, wide) else np.ascontiguousarray(wide)
+    out = np.empty((h, w))
+    rows = max(1, MEDIAN_PLANE // width)
+    middle = k * k // 2 + 1
+    for top in range(0, h, rows):
+        n = min(rows, h - top)
+        column: list[list[np.ndarray]] = [[wide[top + i : top + i + n].ravel()] for i in range(k)]
+        while len(column) > 1:
+            column = [merged(x, y) for x, y in zip(column[::2], column[1::2], strict=False)] + (column[-1:] if len(column) % 2 else [])
+        runs, size = {1: column[0]}, 1
+        while size * 2 <= k:
+            runs[2 * size] = merged([p[:-size] for p in runs[size]], [p[size:] for p in runs[size]])
+            size *= 2
+        rest, held = [], 0
+        for piece in sorted((s for s in runs if s != size and (k - size) & s), reverse=True):
+            given = [p[held:] for p in runs[piece]]
+            length = min(len(given[0]), len(rest[0]) if rest else len(given[0]))
+            rest = merged([p[:length] for p in rest], [p[:length] for p in given])
+            held += piece
+        length = n * width - k + 1
+        large, rest = [p[:length] for p in runs[size]], [p[size : size + length] for p in rest]
+        best = large[middle - 1] if len(large) >= middle else None
+        for j in range(max(1, middle - len(large)), min(middle, len(rest)) + 1):
+            made = np.maximum(large[middle - j - 1], rest[j - 1]) if middle > j else rest[j - 1]
+            best = made if best is None else np.minimum(best, made)
+        flat = np.empty(n * width)
+        flat[:length] = best
+        out[top : top + n] = flat.reshape(n, width)[:, :w]
     return out
 
 
@@ -63,8 +128,9 @@ def neighbourhood(stack: np.ndarray, offsets: list[tuple[int, int, float]], how:
     wide = padded(stack, ry, rx, border, np.nan if how == "median" else 0.0)
     view = lambda image, dy, dx: image[..., ry + dy : ry + dy + h, rx + dx : rx + dx + w]
     if how == "median" and border != "ignore" and len(offsets) == (2 * ry + 1) * (2 * rx + 1) == len({o[:2] for o in offsets}):
-        # a full box of an odd number of pixels: the middle one of each window
         n = len(offsets)
+        if ry == rx and not np.isnan(wide).any():
+            return np.stack([box_median(image, 2 * ry + 1) for image in wide])
         out = np.empty_like(stack)
         rows = max(1, (1 << 22) // (w * n))
         for image, made in zip(wide, out, strict=True):

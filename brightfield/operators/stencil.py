@@ -85,27 +85,35 @@ def anisotropic_denoise(img: DataFrame, niter: int, kappa: float = 50.0, gamma:
 
 def tophat_background(img: DataFrame, radius: float, h: int, w: int) -> DataFrame:
     """v minus its opening: the greatest of the least values over disks."""
+    return map_images(img, h, w, _tophat(radius))
+
+
+def _tophat(radius: float):
     around = disk(radius)
-    return map_images(img, h, w, lambda stack: stack - images.extreme(images.extreme(stack, around, np.minimum, "ignore"), around, np.maximum, "ignore"))
+    return lambda stack: stack - images.extreme(images.extreme(stack, around, np.minimum, "ignore"), around, np.maximum, "ignore")
 
 
 def uniform_background(img: DataFrame, k: int, h: int, w: int) -> DataFrame:
     """v minus the mean of the k x k box; signed."""
+    return map_images(img, h, w, _uniform(k))
+
+
+def _uniform(k: int):
     taps = [1.0 / k] * k
-    return map_images(img, h, w, lambda stack: stack - images.along(images.along(stack, taps, 2, "reflect"), taps, 1, "reflect"))
+    return lambda stack: stack - images.along(images.along(stack, taps, 2, "reflect"), taps, 1, "reflect")
 
 
 def preprocess(movie: DataFrame, h: int, w: int, order: str = "background-denoise", background: str = "uniform", k_background: int = 3, k_denoise: int = 3) -> DataFrame:
-    """Minimum subtraction, then background and median denoising in either order."""
-    made = min_subtract(movie, h, w)
-    for step in order.split("-"):
-        if step == "denoise":
-            made = median_denoise(made, k_denoise, h, w)
-        elif background == "tophat":
-            made = tophat_background(made, k_background, h, w)
-        else:
-            made = uniform_background(made, k_background, h, w)
-    return made
+    """Minimum subtraction, then background and median denoising in either order, in one pass over the images."""
+    clean = _tophat(k_background) if background == "tophat" else _uniform(k_background)
+    steps = [clean if step != "denoise" else lambda stack: images.neighbourhood(stack, box(k_denoise), "median", "replicate") for step in order.split("-")]
+
+    def all_steps(stack: np.ndarray) -> np.ndarray:
+        for step in steps:
+            stack = step(stack)
+        return stack
+
+    return map_images(min_subtract(movie, h, w), h, w, all_steps)
 
 
 def densify(footprints: DataFrame, h: int, w: int) -> DataFrame:

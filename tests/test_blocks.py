@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brightfield.operators import arrays, background, blocks, factor, tiles
+from brightfield.functions import images
+from brightfield.operators import arrays, background, blocks, factor, stencil, tiles
 
 H, W = 5, 7
 
@@ -148,3 +149,41 @@ def test_spatial_update_against_plain(spark, monkeypatch):
     assert "posexplode(px" not in plan  # the movie's pixels are never rows
     empty = tiles.spatial_update(frames.limit(0), *given)
     assert empty.count() == 0 and tiles.spatial_update(frames, *given[:3], given[3].limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 3, 5, 7, 9, 11, 13])
+def test_median_network(monkeypatch, k):
+    rng = np.random.default_rng(k)
+    monkeypatch.setattr(images, "MEDIAN_PLANE", 100)
+    for wide in (rng.normal(size=(20 + k, 17 + k)), rng.integers(0, 5, (k, k)).astype(float), rng.integers(0, 200, (9 + k, 3 + k)).astype(float)):
+        windows = np.lib.stride_tricks.sliding_window_view(wide, (k, k))
+        assert np.array_equal(images.box_median(wide, k), np.median(windows, axis=(2, 3)))
+
+
+def test_merges_of_any_lengths():
+    rng = np.random.default_rng(1)
+    for m in range(9):
+        for n in range(9):
+            a, b = np.sort(rng.integers(0, 9, (m, 30)), axis=0), np.sort(rng.integers(0, 9, (n, 30)), axis=0)
+            got = images.merged(list(a), list(b))
+            assert m + n == len(got) and (m + n == 0 or np.array_equal(np.stack(got), np.sort(np.concatenate([a, b]), axis=0)))
+
+
+def test_extremes_over_any_offsets():
+    rng = np.random.default_rng(2)
+    stack = rng.normal(size=(3, 9, 11))
+    for offsets in (stencil.disk(3), stencil.disk(2.5), [(0, 0, 1.0)], [(0, -2, 1.0), (0, 0, 1.0), (0, 1, 1.0), (1, -3, 1.0), (-2, 4, 1.0)], stencil.box(5)):
+        for op, fill in ((np.minimum, np.inf), (np.maximum, -np.inf)):
+            wide = np.pad(stack, ((0, 0), (5, 5), (5, 5)), constant_values=fill)
+            want = op.reduce([wide[:, 5 + dy : 14 + dy, 5 + dx : 16 + dx] for dy, dx, _ in offsets])
+            assert np.array_equal(images.extreme(stack, offsets, op, "ignore"), want)
+
+
+def test_cleaning_in_one_pass_is_the_steps_one_by_one(spark):
+    rng = np.random.default_rng(3)
+    frames = movie_of(spark, {"a": rng.integers(0, 99, (6, H * W)), "b": rng.normal(size=(4, H * W))})
+    for background_, make in (("tophat", stencil.tophat_background), ("uniform", stencil.uniform_background)):
+        low = stencil.min_subtract(frames, H, W)
+        for order, want in (("background-denoise", stencil.median_denoise(make(low, 3, H, W), 3, H, W)), ("denoise-background", make(stencil.median_denoise(low, 3, H, W), 3, H, W))):
+            get = lambda df: {(r.session, r.frame): r.px for r in df.collect()}
+            assert get(stencil.preprocess(frames, H, W, order, background_)) == get(want)
