@@ -104,11 +104,16 @@ def license_spans(df: DataFrame, key: str = "doc_id", text: str = "text", templa
     by = W.partitionBy("__k", "text_hash", "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(by) > NEIGHBOURS
     grouped = votes.where("not exact").withColumn("group", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(by))
-    # the grams of a group by place; of several at one place the later in the template first, so that an ascent takes one of them
-    placed = F.transform("found", lambda t: F.struct((F.col("diagonal") + t).alias("pos"), (-t).alias("minus")))
-    merged = grouped.groupBy(*whole, "group").agg(F.sort_array(F.flatten(F.collect_list(placed))).alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    merged = merged.where((F.size("s") >= LEAST_SHARE * F.col("n_grams")) & (F.col("hi") - F.col("lo") <= 2 * F.col("n_grams")))
-    notices = merged.withColumn("share", longest_ascent(F.transform("s", lambda p: (-p["minus"]).cast("int"))) / F.col("n_grams")).where(F.col("share") >= LEAST_SHARE)
+    # the grams of a group, dealt to text windows of three template lengths, one beginning at every length: what spans two lengths lies
+    # within one of them whole, however long repeated phrases have made the group
+    placed = grouped.select(*whole, "group", F.explode("found").alias("t"), (F.col("diagonal")).alias("d")).withColumn("pos", F.col("d") + F.col("t"))
+    begins = F.expr("explode(sequence(pos div n_grams - 2, pos div n_grams))").alias("window")
+    # by place; of several grams at one place the later in the template first, so that an ascent takes one of them
+    by_place = F.sort_array(F.collect_list(F.struct("pos", (-F.col("t")).alias("minus")))).alias("s")
+    merged = placed.select(*whole, "group", "t", "pos", begins).groupBy(*whole, "group", "window").agg(by_place, F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    enough = F.size(F.array_distinct(F.transform("s", lambda p: p["minus"]))) >= LEAST_SHARE * F.col("n_grams")
+    notices = merged.where(enough).withColumn("share", longest_ascent(F.transform("s", lambda p: (-p["minus"]).cast("int"))) / F.col("n_grams")).where(F.col("share") >= LEAST_SHARE)
+    notices = notices.select(*whole, "lo", "hi", "share").distinct()
     # notices that differ by a word lie over one another: of those that overlap, the best found stand
     text_ = W.partitionBy("__k", "text_hash")
     before = F.max("hi").over(text_.orderBy("lo", "hi", "template").rowsBetween(W.unboundedPreceding, -1))
