@@ -60,6 +60,19 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = BATCH_BYTES) -> Iterat
     yield batch.slice(start)
 
 
+def map_rows(df: DataFrame, run: Callable, fields: list[T.StructField]) -> DataFrame:
+    """df.mapInArrow(run) for columns of any name: tasks see c0, c1, ..., and what they yield is named by `fields`, column by column."""
+    names = [f"c{i}" for i in range(len(fields))]
+
+    def plain(batches):
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=names)
+
+    schema = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, fields, strict=True)])
+    made = df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(plain, schema)
+    return made.toDF(*(f.name for f in fields))
+
+
 def map_texts(df: DataFrame, text: str, kernel: Callable[[], Callable], outputs: T.StructType, keep: list[str] | None = None) -> DataFrame:
     """Adds columns that a per-task kernel makes from lists of texts (None for null).
 
@@ -68,18 +81,18 @@ def map_texts(df: DataFrame, text: str, kernel: Callable[[], Callable], outputs:
     column of the same name.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c not in outputs.names]
-    schema = T.StructType([df.schema[c] for c in kept] + list(outputs.fields))
     arrow = [to_arrow_type(f.dataType) for f in outputs.fields]
+    n = len(kept)
 
     def run(batches):
         apply = kernel()
         for batch in batches:
-            for part in slices(batch, "__text"):
-                made = apply(part.column(part.schema.get_field_index("__text")).to_pylist())
+            for part in slices(batch, batch.schema.names[n]):
+                made = apply(part.column(n).to_pylist())
                 cols = [m if isinstance(m, pa.Array) else pa.array(m, type=t) for m, t in zip(made, arrow, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(kept))] + cols, names=[*kept, *outputs.names])
+                yield pa.RecordBatch.from_arrays(part.columns[:n] + cols, names=[f"c{i}" for i in range(n + len(cols))])
 
-    return df.select(*(quoted(c) for c in kept), quoted(text).alias("__text")).mapInArrow(run, schema)
+    return map_rows(df.select(*(quoted(c) for c in kept), quoted(text)), run, [df.schema[c] for c in kept] + list(outputs.fields))
 
 
 def filesystem(uri: str):

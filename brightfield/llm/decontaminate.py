@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightfield.llm.common import fresh, materialize, quoted, slices
+from brightfield.llm.common import fresh, map_rows, materialize, quoted, slices
 from brightfield.llm.sampling import PIECE, Hashed, passes, signed, sketch
 
 Q = 12
@@ -296,6 +296,6 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", p
             yield batch.append_column(hit, pa.array(passes(touched, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64))))
 
     with_tid = df.select(*(quoted(c) for c in names), F.xxhash64(F.coalesce(quoted(text), F.lit(""))).alias(tid))
-    marked = with_tid.mapInArrow(mark, T.StructType([*with_tid.schema.fields, T.StructField(hit, T.BooleanType())]))
+    marked = map_rows(with_tid, mark, [*with_tid.schema.fields, T.StructField(hit, T.BooleanType())])
     clean = marked.where(~F.col(hit)).select(*(quoted(c) for c in names))
     return clean.unionByName(marked.where(hit).join(gone, tid, "left_anti").select(*(quoted(c) for c in names)))

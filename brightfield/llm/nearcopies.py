@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightfield.llm.common import discard, fresh, materialize, quoted, slices
+from brightfield.llm.common import discard, fresh, map_rows, materialize, quoted, slices
 from brightfield.llm.sampling import BATCH, SKETCH_BITS, Hashed, mix, passes, signed, sketch, text_bytes, word_units
 from brightfield.operators.graph import connected_components
 
@@ -359,8 +359,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options)
             yield batch.append_column(hit, pa.array(found))
 
     with_tid = df.select(*(quoted(c) for c in names), F.xxhash64(F.coalesce(quoted(text), F.lit(""))).alias(tid))
-    schema = T.StructType([*with_tid.schema.fields, T.StructField(hit, T.BooleanType())])
-    marked = with_tid.mapInArrow(mark, schema)
+    marked = map_rows(with_tid, mark, [*with_tid.schema.fields, T.StructField(hit, T.BooleanType())])
     clean = marked.where(~F.col(hit)).select(*(quoted(c) for c in names))
     others = marked.where(hit).join(crowd, tid, "left")
     alone = others.where(F.col(part).isNull()).select(*(quoted(c) for c in names))

@@ -16,7 +16,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from brightfield.llm.common import map_texts
+from brightfield.llm.common import map_texts, quoted
 
 #: Kinds in the order that breaks ties of equal starts. The first three are the base patterns.
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed", "entropy_lower", "entropy_upper")
@@ -187,4 +187,4 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFra
         return lambda texts: [[clean(t) for t in texts]]
 
     made = map_texts(df, text, kernel, T.StructType([T.StructField(text, T.StringType())]))
-    return made.select(*df.columns)
+    return made.select(*(quoted(c) for c in df.columns))

@@ -18,13 +18,13 @@ def short_batches(spark: SparkSession) -> None:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects; null and empty texts are rejected, repeated rows share their verdict."""
-    return quality.keep_good(docs).select(*docs.columns)
+    return quality.keep_good(docs)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, that with the smallest doc_id; of rows that share it, the least hash of text and row decides. Null texts count as empty."""
     short_batches(spark)
-    return nearcopies.keep_one(docs).select(*docs.columns)
+    return nearcopies.keep_one(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; the text of every span found is replaced by [SECRET]. Null and empty texts stay as they are."""
     short_batches(spark)
-    return secrets.redact(docs).select(*docs.columns)
+    return secrets.redact(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
