@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightfield.functions.images import Patch, basins
 from brightfield.operators.arrays import map_units
 from brightfield.operators.base import UNIT
+from brightfield.operators.graph import greedy_groups
 from brightfield.operators.reject import regions
 from brightfield.operators.stencil import gaussian_taps
 
@@ -85,24 +85,10 @@ def centroid_edges(components: DataFrame, distance: float) -> DataFrame:
 def centroid_merge(components: DataFrame, distance: float = 25, ratio: float = 5, least: int = 9, most: int = 5000) -> DataFrame:
     """(session, unit_id, group_id): from the lowest id on, each free component absorbs later free ones that are close, of similar size and within the total; those under `least` pixels are left out.
 
-    The order is sequential, so one task takes a session's candidate edges, which are far fewer than pairs.
+    The order is that of the sequence; rounds over the candidate edges find it (`greedy_groups`).
     """
     good = components.where(F.col("size") >= least)
-    near = centroid_edges(good, distance).groupBy("session", F.col("u1").alias("unit_id")).agg(F.sort_array(F.collect_list("u2")).alias("near"))
-    rows = good.select("session", "unit_id", "size").join(near, UNIT, "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("unit_id")
-        size = dict(zip(pdf["unit_id"], pdf["size"], strict=True))
-        group: dict = {}
-        for u, near_ in zip(pdf["unit_id"], pdf["near"], strict=True):
-            if u in group:
-                continue
-            group[u], total = u, size[u]
-            for v in near_ if near_ is not None else ():
-                if v not in group and max(size[u], size[v]) < ratio * min(size[u], size[v]) and total + size[v] <= most:
-                    group[v] = u
-                    total += size[v]
-        return pd.DataFrame({"session": pdf["session"].iloc[0], "unit_id": list(group), "group_id": list(group.values())})
-
-    return rows.groupBy("session").applyInPandas(run, "session string, unit_id long, group_id long")
+    size = lambda u, name: good.select("session", F.col("unit_id").alias(u), F.col("size").alias(name))
+    near = centroid_edges(good, distance).join(size("u1", "s1"), ["session", "u1"]).join(size("u2", "s2"), ["session", "u2"])
+    near = near.where(F.greatest("s1", "s2") < ratio * F.least("s1", "s2")).select("session", "u1", "u2")
+    return greedy_groups(good, near, "group_id", most)

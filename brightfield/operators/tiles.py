@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from brightfield.operators.arrays import STACK_BYTES, as_frames, is_frames, lists, pixel_sums, small
 from brightfield.operators.base import FRAME, PIXEL, UNIT
 from brightfield.operators.blocks import summed
+from brightfield.operators.graph import greedy_groups
 from brightfield.operators.merge import overlap_pairs
 from brightfield.operators.reject import regions
 from brightfield.operators.stencil import disk
@@ -87,23 +88,12 @@ def knn(points: DataFrame, k: int, cell: float) -> DataFrame:
 
 
 def cluster_units(footprints: DataFrame, k: int = 10, jaccard: float = 0.2, cell: float = 10.0) -> DataFrame:
-    """(session, unit_id, cluster_id): from the lowest id on, each free unit is a seed and takes its free k nearest whose Jaccard overlap with it suffices. One task takes a session's edges."""
+    """(session, unit_id, cluster_id): from the lowest id on, each free unit is a seed and takes its free k nearest whose Jaccard overlap with it suffices, in rounds over the edges (`greedy_groups`)."""
     pairs = overlap_pairs(footprints).where(F.col("jaccard") >= jaccard).select("session", "u1", "u2")
-    both = pairs.unionByName(pairs.select("session", F.col("u2").alias("u1"), F.col("u1").alias("u2")))
+    # a smaller neighbour is always taken or a seed by the time a unit is asked
     near = knn(centroids(footprints), k, cell).select("session", F.col("unit_id").alias("u1"), F.col("neighbour").alias("u2"))
-    edges = both.join(near, ["session", "u1", "u2"], "left_semi").groupBy("session", F.col("u1").alias("unit_id")).agg(F.sort_array(F.collect_list("u2")).alias("near"))
-    rows = footprints.select(*UNIT).distinct().join(edges, UNIT, "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("unit_id")
-        taken: dict = {}
-        for u, near_ in zip(pdf["unit_id"], pdf["near"], strict=True):
-            if u not in taken:
-                taken[u] = u
-                taken.update({v: u for v in (near_ if near_ is not None else ()) if v not in taken})
-        return pd.DataFrame({"session": pdf["session"].iloc[0], "unit_id": list(taken), "cluster_id": list(taken.values())})
-
-    return rows.groupBy("session").applyInPandas(run, "session string, unit_id long, cluster_id long")
+    units = footprints.select(*UNIT).distinct().withColumn("size", F.lit(0))
+    return greedy_groups(units, pairs.join(near, ["session", "u1", "u2"], "left_semi"), "cluster_id")
 
 
 def cluster_mask(footprints: DataFrame, clusters: DataFrame, h: int, w: int, radius: float, share: float) -> DataFrame:

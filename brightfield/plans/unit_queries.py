@@ -14,7 +14,7 @@ from brightfield.operators.ingest import session_catalog
 from brightfield.operators.reject import size_filter, unit_sizes
 from brightfield.plans.image_queries import _DENSE, IGNORE, REFLECT, around, grid
 from brightfield.plans.registry import query, rnd
-from brightfield.plans.trace_queries import R, rounded
+from brightfield.plans.trace_queries import OVER, R, rounded
 from brightfield.sources import fixtures as fx
 from brightfield.sources.storage import new_dir
 
@@ -74,7 +74,23 @@ def s06(spark, sf):
     return sg.region_table(foot(spark, sf))
 
 
-@query("s07_centroid_merge")
+_CEN = "ce AS (SELECT session, unit_id, sum(a * y) / sum(a) AS cy, sum(a * x) / sum(a) AS cx FROM foot GROUP BY 1, 2)"
+
+
+def greedy_sql(edges: str, units: str, name: str, most: int) -> str:
+    """The sequence as a recursion: one edge (session, u1, u2, s1, s2) after the other, with the owners and added sizes of all units (ids under 64) in lists."""
+    return f"""nr AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY u1, u2) AS k FROM {edges}),
+st AS (SELECT session, 0::BIGINT AS k, list_transform(range(64), lambda x: -1::BIGINT) AS owner, list_transform(range(64), lambda x: 0::BIGINT) AS added FROM (SELECT DISTINCT session FROM {units}) UNION ALL
+ SELECT session, k, CASE WHEN take THEN list_transform(range(64), lambda x: CASE WHEN x = u2 THEN u1 ELSE owner[x + 1] END) ELSE owner END, CASE WHEN take THEN list_transform(range(64), lambda x: added[x + 1] + CASE WHEN x = u1 THEN s2 ELSE 0 END) ELSE added END
+ FROM (SELECT st.session, nr.k, owner, added, u1, u2, s2, owner[u1 + 1] = -1 AND owner[u2 + 1] = -1 AND s1 + added[u1 + 1] + s2 <= {most} AS take FROM st JOIN nr ON nr.session = st.session AND nr.k = st.k + 1)),
+fin AS (SELECT session, arg_max(owner, k) AS owner FROM st GROUP BY 1)
+SELECT session, unit_id, CASE WHEN owner[unit_id + 1] = -1 THEN unit_id ELSE owner[unit_id + 1] END AS {name} FROM {units} JOIN fin USING (session)"""
+
+
+_CLOSE = f"{_CEN}, sz AS (SELECT session, unit_id, count(*) AS size FROM foot GROUP BY ALL HAVING count(*) >= 9), cz AS (SELECT * FROM ce JOIN sz USING (session, unit_id)), ed AS (SELECT a.session, a.unit_id AS u1, b.unit_id AS u2, a.size AS s1, b.size AS s2 FROM cz a JOIN cz b ON a.session = b.session AND a.unit_id < b.unit_id WHERE sqrt((a.cy - b.cy) ** 2 + (a.cx - b.cx) ** 2) < 0.4 AND greatest(a.size, b.size) < 5 * least(a.size, b.size))"
+
+
+@query("s07_centroid_merge", f"WITH RECURSIVE {_CLOSE}, {greedy_sql('ed', 'sz', 'group_id', 80)}", ("foot",))
 def s07(spark, sf):
     c = ti.centroids(foot(spark, sf)).join(unit_sizes(foot(spark, sf)), ["session", "unit_id"])
     return sg.centroid_merge(c, 0.4, 5, 9, 80)
@@ -104,7 +120,6 @@ def k02(spark, sf):
     return ti.valid_units(foot(spark, sf), 30, 0.6)
 
 
-_CEN = "ce AS (SELECT session, unit_id, sum(a * y) / sum(a) AS cy, sum(a * x) / sum(a) AS cx FROM foot GROUP BY 1, 2)"
 
 
 @query("k03_centroids", f"WITH {_CEN} SELECT session, unit_id, {R('cy')} AS cy, {R('cx')} AS cx FROM ce", ("foot",))
@@ -117,7 +132,10 @@ def k04(spark, sf):
     return rounded(ti.knn(ti.centroids(foot(spark, sf)), 4, 0.5), "d")
 
 
-@query("k05_cluster_units")
+_NEAR = f"{_CEN}, {OVER}, kn AS (SELECT session, u1, u2, row_number() OVER (PARTITION BY session, u1 ORDER BY d, u2) AS rank FROM (SELECT a.session, a.unit_id AS u1, b.unit_id AS u2, sqrt((a.cy - b.cy) ** 2 + (a.cx - b.cx) ** 2) AS d FROM ce a JOIN ce b USING (session))), ed AS (SELECT session, u1, u2, 0 AS s1, 0 AS s2 FROM ov JOIN kn USING (session, u1, u2) WHERE rank <= 5 AND jaccard >= 0.35), un AS (SELECT DISTINCT session, unit_id FROM foot)"
+
+
+@query("k05_cluster_units", f"WITH RECURSIVE {_NEAR}, {greedy_sql('ed', 'un', 'cluster_id', 0)}", ("foot",))
 def k05(spark, sf):
     return ti.cluster_units(foot(spark, sf), 5, 0.35, 0.5)
 
