@@ -157,11 +157,14 @@ def merge_ar(chunk_ar: DataFrame) -> DataFrame:
     return chunk_ar.select(*UNIT, F.posexplode("g").alias("lag", "g")).groupBy(*UNIT, "lag").agg(F.avg("g").alias("g"))
 
 
-DECONVOLVED = "session string, unit_id long, frame long, chunk long, local long, n_chunks long, c double, s double, b double, c0 double, g array<double>"
+DECONVOLVED = "session string, unit_id long, frame long, chunk long, local long, n_chunks long, c double, s double, b double, c0 double, g array<double>, gap double, kkt double"
 
 
-def deconvolve_chunks(chunks: DataFrame, p: int = 2, lam: float = 1e-2, iters: int = 500, zero: float = 5e-4) -> DataFrame:
-    """Deconvolution of each unit's window: c, s and the baseline b + c0 * decay by frame. A group is one window of one trace."""
+def deconvolve_chunks(chunks: DataFrame, p: int = 2, lam: float = 1e-2, iters: int = 5000, zero: float = 5e-4, tol: float = 1e-5) -> DataFrame:
+    """Deconvolution of each unit's window: c, s and the baseline b + c0 * decay by frame, with the window's certificate. A group is one window of one trace.
+
+    A window is done when its duality gap, as a share of its energy, is `tol` at most, or after `iters` rounds; see `certificates`.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
@@ -169,12 +172,17 @@ def deconvolve_chunks(chunks: DataFrame, p: int = 2, lam: float = 1e-2, iters: i
         g = ar_coefficients(y - y.mean(), p) if len(y) > p + 1 else np.zeros(p)
         high = power(y)[np.arange(len(y) // 2 + 1) / len(y) > 0.25]
         sigma = float(np.sqrt(high.mean() / len(y))) if len(high) else 0.0
-        made = deconvolve(y, g, sigma, lam, iters, zero)
-        return pdf[["session", "unit_id", "frame", "chunk", "local", "n_chunks"]].assign(c=made["c"], s=made["s"], b=made["b"], c0=made["c0"] * made["decay"], g=[g.tolist()] * len(y))
+        made = deconvolve(y, g, sigma, lam, iters, zero, tol)
+        return pdf[["session", "unit_id", "frame", "chunk", "local", "n_chunks"]].assign(c=made["c"], s=made["s"], b=made["b"], c0=made["c0"] * made["decay"], g=[g.tolist()] * len(y), gap=made["gap"], kkt=made["kkt"])
 
     return chunks.groupBy("session", "unit_id", "chunk").applyInPandas(run, DECONVOLVED)
 
 
+def certificates(deconvolved: DataFrame) -> DataFrame:
+    """(session, unit_id, chunk, frames, gap, kkt) of deconvolved windows: how far each is from its optimum at most, and its largest breach of the optimality conditions."""
+    return deconvolved.groupBy(*UNIT, "chunk").agg(F.count("*").alias("frames"), F.max("gap").alias("gap"), F.max("kkt").alias("kkt"))
+
+
 def temporal_update(yra: DataFrame, size: int = 10000, overlap: int = 100, p: int = 2, lam: float = 1e-2, iters: int = 500, zero: float = 5e-4, normalise: bool = True) -> DataFrame:
     """(session, unit_id, frame, c, s, b, c0): windows, deconvolution and merging; units whose spikes sum to `zero` or less are dropped."""
     traces = normalize_trace(yra) if normalise else yra

@@ -380,6 +380,12 @@ def t07(spark, sf):
     return made.select("session", "unit_id", "frame", *(rnd(c, 4).alias(c) for c in ("c", "s", "b", "c0")))
 
 
+@query("t07_certificates", "SELECT session, unit_id, 0::BIGINT AS chunk, count(*) AS frames, true AS near_optimum FROM days GROUP BY ALL", ("days",))
+def t07_certificates(spark, sf):
+    made = tr.certificates(tr.deconvolve_chunks(tr.overlap_chunks(fx.days(spark, sf), 100, 10)))
+    return made.select("session", "unit_id", "chunk", "frames", (F.col("gap") <= 1e-4).alias("near_optimum"))
+
+
 @query("t08_merge_chunks", "SELECT session, unit_id, frame, v FROM days", ("days",))
 def t08(spark, sf):
     return tr.merge_chunks(tr.overlap_chunks(fx.days(spark, sf), 10, 4), 10, 4, ["v"])
@@ -397,6 +403,12 @@ def t09(spark, sf):
     return made.select("session", "unit_id", "frame", *(rnd(c, 4).alias(c) for c in ("c", "s", "b", "c0")))
 
 
+@query("t09_certificates", "SELECT session, unit_id, chunk, count(*) AS frames, true AS near_optimum FROM days JOIN (SELECT unnest([0, 1])::BIGINT AS chunk) ON frame >= 16 * chunk AND frame < 16 * chunk + 20 GROUP BY ALL", ("days",))
+def t09_certificates(spark, sf):
+    made = tr.certificates(tr.deconvolve_chunks(tr.overlap_chunks(tr.normalize_trace(fx.days(spark, sf)), 20, 4)))
+    return made.select("session", "unit_id", "chunk", "frames", (F.col("gap") <= 1e-4).alias("near_optimum"))
+
+
 _T10 = ("noise", "snr", "r1", "r2", "rate", "agree")
 
 
