@@ -7,23 +7,43 @@ import numpy as np
 
 def phase_shift(fixed: np.ndarray, moving: np.ndarray, upsample: int = 100) -> tuple[float, float]:
     """(dy, dx) that moves `moving` onto `fixed`: the peak of the phase correlation, refined by a matrix Fourier transform around it."""
-    f, g = np.fft.fft2(fixed), np.fft.fft2(moving)
+    return spectra_shift(np.fft.rfft2(fixed), np.fft.rfft2(moving), fixed.shape, upsample)
+
+
+def spectra_shift(f: np.ndarray, g: np.ndarray, shape: tuple[int, int], upsample: int = 100) -> tuple[float, float]:
+    """phase_shift from the half spectra (rfft2) of both images, so that one transform of an image serves all its registrations.
+
+    The columns that the half leaves out are conjugates, and their part of a sum is the real part of the others once more. Only the row of the highest
+    frequency of an even height, which has no partner, is summed over the whole width.
+    """
+    h, w = shape
     cross = f * np.conj(g)
     cross /= np.maximum(np.abs(cross), 1e-12 * max(np.abs(cross).max(), 1e-300))
-    corr = np.abs(np.fft.ifft2(cross))
-    h, w = corr.shape
+    corr = np.abs(np.fft.irfft2(cross, s=shape))
     peak = np.array(np.unravel_index(corr.argmax(), corr.shape), dtype=float)
     peak = np.where(peak > np.array([h, w]) // 2, peak - np.array([h, w]), peak)
     if upsample <= 1:
         return float(peak[0]), float(peak[1])
-    ky, kx = np.fft.fftfreq(h), np.fft.fftfreq(w)
+    ky, kx = np.fft.fftfreq(h), np.fft.fftfreq(w)[: cross.shape[1]]
+    twice = np.where((kx != 0) & (kx != -0.5), 2.0, 1.0)
+    lone = None
+    if h % 2 == 0:
+        row = cross[h // 2]
+        lone, cross = np.concatenate([row, np.conj(row[1 : (w + 1) // 2][::-1])]), cross.copy()
+        cross[h // 2] = 0
     for scale in (10, upsample):
         reach = 1.5 if scale == 10 else 0.15
         steps = np.arange(-np.ceil(reach * scale), np.ceil(reach * scale) + 1) / scale
         centre = np.round(peak * scale) / scale
         ey = np.exp(2j * np.pi * np.outer(centre[0] + steps, ky))
         ex = np.exp(2j * np.pi * np.outer(kx, centre[1] + steps))
-        fine = np.abs(ey @ cross @ ex)
+        pairs = kx != -0.5
+        fine = ((ey @ cross[:, pairs] * twice[pairs]) @ ex[pairs]).real + 0j
+        if not pairs.all():
+            fine += ey @ cross[:, ~pairs] @ ex[~pairs]
+        if lone is not None:
+            fine += np.outer(ey[:, h // 2], lone @ np.exp(2j * np.pi * np.outer(np.fft.fftfreq(w), centre[1] + steps)))
+        fine = np.abs(fine)
         i, j = np.unravel_index(fine.argmax(), fine.shape)
         peak = np.array([centre[0] + steps[i], centre[1] + steps[j]])
     return float(peak[0]), float(peak[1])

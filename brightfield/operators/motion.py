@@ -10,9 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightfield.functions.kernels import phase_shift, warp
+from brightfield.functions.kernels import phase_shift, spectra_shift, warp
 from brightfield.operators.arrays import as_frames, as_pixels, is_frames, lists, small, stacks
 from brightfield.operators.base import FRAME
+from brightfield.operators.blocks import ARRAY_ROWS
 from brightfield.sources.storage import materialize
 
 
@@ -35,21 +36,24 @@ def pair_shift(frame_rows: DataFrame, upsample: int = 100, block: int = 500) ->
     return pairs.select("session", "frame", "h", "w", "px", "before").mapInPandas(run, "session string, frame long, dy double, dx double")
 
 
-def _register(images: list[np.ndarray], alt: list[np.ndarray], alt_error: float, upsample: int) -> np.ndarray:
-    """Motion of each image of a group against the middle one, summed outward and centred to zero mean.
+def _register(images: np.ndarray, alt: np.ndarray | None, alt_error: float, upsample: int) -> np.ndarray:
+    """Motion of each image of a group (n, h, w) against the middle one, summed outward and centred to zero mean.
 
-    images holds (last of the template triple or frame itself), alt the first: where the two estimates of a
-    step differ by more than alt_error pixels, the smaller stands.
+    images holds the templates or frames, alt the mean of the first and last below them (None: the same): where the two estimates of a
+    step differ by more than alt_error pixels, the smaller stands. Each stack is transformed once for all its registrations.
     """
-    n = len(images)
+    n, shape = len(images), images.shape[1:]
     mid = n // 2
+    spectra = np.fft.rfft2(images)
+    others = None if alt is None else np.fft.rfft2(alt)
     moves = np.zeros((n, 2))
     for i in [*range(mid - 1, -1, -1), *range(mid + 1, n)]:
         near = i + 1 if i < mid else i - 1
-        step = -np.array(phase_shift(images[near], images[i], upsample))
-        other = -np.array(phase_shift(alt[near], alt[i], upsample))
-        if np.abs(step - other).max() > alt_error and np.hypot(*other) < np.hypot(*step):
-            step = other
+        step = -np.array(spectra_shift(spectra[near], spectra[i], shape, upsample))
+        if others is not None:
+            other = -np.array(spectra_shift(others[near], others[i], shape, upsample))
+            if np.abs(step - other).max() > alt_error and np.hypot(*other) < np.hypot(*step):
+                step = other
         moves[i] = moves[near] + step
     return moves - moves.mean(axis=0)
 
@@ -60,27 +64,31 @@ def estimate_motion(frame_rows: DataFrame, npart: int = 3, alt_error: float = 5.
     Within a group every member registers to its neighbour towards the middle; members are warped by their
     motion and averaged (or their maximum taken) to the group's template, beside which the first and the
     last member go up. Templates are grouped again until one is left; the motion of every level is added to
-    all frames below it. Groups are bounded, so each level is one grouped pass with a written result.
+    all frames below it. Groups are bounded, so each level is one grouped pass with a written result; images stay Arrow arrays.
     """
     schema = "session string, node long, dy double, dx double, top boolean, h int, w int, px array<double>, first array<double>, last array<double>"
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        h, w = int(pdf["h"].iloc[0]), int(pdf["w"].iloc[0])
-        shape = lambda c: [np.reshape(np.asarray(p, dtype=np.float64), (h, w)) for p in pdf[c]]
-        px, first, last = shape("px"), shape("first"), shape("last")
-        moves = _register(px, [(a + b) / 2 for a, b in zip(first, last, strict=True)], alt_error, upsample)
+    def group(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        h, w = table.column("h")[0].as_py(), table.column("w")[0].as_py()
+        session, node = table.column("session")[0].as_py(), table.column("node").to_numpy()
+        px, *ends = (table.column(c).combine_chunks() for c in ("px", "first", "last"))
+        stack = lambda c: c.flatten().to_numpy(zero_copy_only=False).reshape(len(node), h, w)
+        px = stack(px)
+        first, last = (px, px) if ends[0].null_count else map(stack, ends)  # frames have no ends below them
+        moves = _register(px, None if first is px else (first + last) / 2, alt_error, upsample)
         moved = [warp(p, *m) for p, m in zip(px, moves, strict=True)]
         template = np.max(moved, axis=0) if agg == "max" else np.mean(moved, axis=0)
-        rows = [(pdf["session"].iloc[0], int(n), m[0], m[1], False, h, w, None, None, None) for n, m in zip(pdf["node"], moves, strict=True)]
-        rows.append((pdf["session"].iloc[0], int(pdf["node"].iloc[0]) // npart, 0.0, 0.0, True, h, w, template.ravel().tolist(), warp(first[0], *moves[0]).ravel().tolist(), warp(last[-1], *moves[-1]).ravel().tolist()))
-        return pd.DataFrame(rows, columns=["session", "node", "dy", "dx", "top", "h", "w", "px", "first", "last"])
+        n, up = len(node), int(node[0]) // npart
+        images = [pa.array([None] * n + [x.ravel()], type=pa.list_(pa.float64())) for x in (template, warp(first[0], *moves[0]), warp(last[-1], *moves[-1]))]
+        plain = [pa.array([session] * (n + 1)), pa.array([*node, up], type=pa.int64()), pa.array([*moves[:, 0], 0.0]), pa.array([*moves[:, 1], 0.0]), pa.array([False] * n + [True]), pa.array([h] * (n + 1), type=pa.int32()), pa.array([w] * (n + 1), type=pa.int32())]
+        return pa.Table.from_arrays([*plain, *images], names=["session", "node", "dy", "dx", "top", "h", "w", "px", "first", "last"])
 
     px = F.col("px").cast("array<double>")
-    level = frame_rows.select("session", F.col("frame").alias("node"), "h", "w", px.alias("px"), px.alias("first"), px.alias("last"))
+    level = frame_rows.select("session", F.col("frame").alias("node"), "h", "w", px.alias("px"), *(F.lit(None).cast("array<double>").alias(c) for c in ("first", "last")))
     total = frame_rows.select("session", "frame", F.col("frame").alias("node"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dx"))
     while True:
-        made = materialize(level.groupBy("session", F.expr(f"node div {npart}").alias("parent")).applyInPandas(group, schema), "motion-level")
+        made = materialize(level.groupBy("session", F.expr(f"node div {npart}").alias("parent")).applyInArrow(group, schema), "motion-level", ARRAY_ROWS)
         step = made.where("not top").select("session", "node", F.col("dy").alias("my"), F.col("dx").alias("mx"))
         total = total.join(step, ["session", "node"]).select("session", "frame", F.expr(f"node div {npart}").alias("node"), (F.col("dy") + F.col("my")).alias("dy"), (F.col("dx") + F.col("mx")).alias("dx"))
         level = made.where("top").select("session", "node", "h", "w", "px", "first", "last")

@@ -234,3 +234,21 @@ def test_flat_and_short_traces(spark):
     assert {r.skew for r in reject.trace_skew(t).collect()} == {0.0}
     assert {r.drift for r in reject.drift_ratio(t).collect()} == {0.0}
     assert traces.noise_psd(t).count() == 2
+
+
+@pytest.mark.parametrize("shape", [(8, 8), (9, 8), (8, 9), (7, 15), (16, 6)])
+def test_shift_from_half_spectra(shape):
+    """Against the upsampled correlation over whole spectra, at each point of the fine grid around its peak."""
+    rng = np.random.default_rng(sum(shape))
+    for _ in range(20):
+        a = rng.normal(size=shape)
+        b = k.warp(a, *rng.uniform(-2, 2, 2)) + 0.1 * rng.normal(size=shape)
+        got = k.phase_shift(a, b)
+        cross = np.fft.fft2(a) * np.conj(np.fft.fft2(b))
+        cross /= np.maximum(np.abs(cross), 1e-12 * np.abs(cross).max())
+        ky, kx = np.fft.fftfreq(shape[0]), np.fft.fftfreq(shape[1])
+        value = lambda y, x: abs((np.exp(2j * np.pi * (ky[:, None] * y + kx[None, :] * x)) * cross).sum())  # noqa: B023, E731
+        around = [value(got[0] + i / 100, got[1] + j / 100) for i in range(-3, 4) for j in range(-3, 4)]
+        assert value(*got) >= max(around) - 1e-9
+        coarse = np.abs(np.fft.ifft2(cross)).max() * cross.size
+        assert value(*got) >= coarse - 1e-9
