@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,12 +41,42 @@ def arrow_rows(spark: SparkSession, rows: int | None):
         spark.conf.set(name, before)
 
 
+#: Tables written since the last `scratch` began, outermost first.
+_held: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Tables materialized within are removed at its end, once what was made of them is written; nothing that it leaves may read them."""
+    _held.append([])
+    try:
+        yield
+    finally:
+        discard(*_held.pop())
+
+
+def condensed(make: Callable[[], DataFrame], label: str, rows: int | None = None, compact: bool = False) -> DataFrame:
+    """make() written to the shared folder; the tables that it wrote on its way are removed then."""
+    with scratch():
+        made = _write(make(), label, rows, compact)
+    if _held:
+        _held[-1].append(made)
+    return made
+
+
 def materialize(df: DataFrame, label: str = "step", rows: int | None = None, compact: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut and lost executors cost nothing. `rows` bounds Arrow batches.
 
     `compact` is for tables that are small beside their input, such as those of a round: four tasks a core write them,
     and not a file for every shuffle partition.
     """
+    made = _write(df, label, rows, compact)
+    if _held:
+        _held[-1].append(made)
+    return made
+
+
+def _write(df: DataFrame, label: str, rows: int | None, compact: bool) -> DataFrame:
     path = new_dir(df.sparkSession, label)
     if compact:
         df = df.coalesce(max(8, 4 * df.sparkSession.sparkContext.defaultParallelism))
