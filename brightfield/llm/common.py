@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from brightfield.sources import storage
-from brightfield.sources.storage import arrow_rows, discard, new_dir, shared_dir  # noqa: F401
+from brightfield.sources.storage import arrow_rows, discard, new_dir, scratch, shared_dir  # noqa: F401
 
 #: Bytes of text that a kernel works on at once; a longer text is a batch of its own.
 BATCH_BYTES = 1 << 20
@@ -25,6 +25,11 @@ def materialize(df: DataFrame, label: str, rows: int = 1000, compact: bool = Fal
     return storage.materialize(df, label, rows, compact)
 
 
+def condensed(make: Callable[[], DataFrame], label: str, rows: int = 1000, compact: bool = False) -> DataFrame:
+    """make() as a table in the shared folder; the tables that it wrote on its way are removed once it is there."""
+    return storage.condensed(make, label, rows, compact)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened until none is a column of df whatever its case."""
     taken = {c.lower() for c in df.columns}

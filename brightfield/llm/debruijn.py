@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightfield.llm.common import materialize, slices
+from brightfield.llm.common import condensed, materialize, slices
 from brightfield.llm.sampling import BATCH, PRIME, covered, mix, passes, pieces, signed, sketch, text_bytes, word_units
 from brightfield.llm.suffixes import _rows
 
@@ -116,8 +116,7 @@ def remove_earlier(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     out; repeated rows get equal results. Texts without spans are passed by a sketch and are not shuffled.
     """
     rows = _rows(df, key, text)
-    spans = earlier_spans(df, key, text, length)
-    grouped = materialize(spans.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "debruijn-spans")
+    grouped = condensed(lambda: earlier_spans(df, key, text, length).groupBy("doc", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "debruijn-spans")
     touched = sketch(grouped, "row")
 
     def hit(batch):

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightfield.llm.common import fresh, map_rows, materialize, quoted, slices
+from brightfield.llm.common import condensed, fresh, map_rows, materialize, quoted, slices
 from brightfield.llm.sampling import PIECE, Hashed, passes, signed, sketch
 
 Q = 12
@@ -287,8 +287,7 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", p
     """
     names = df.columns
     tid, hit = fresh(df, "tid", "touched")
-    found, _ = leaks(df, benchmark, text, passage, q, share)
-    gone = materialize(found.where(F.lit(short) | (F.col("m") >= q)).select(F.col("tid").alias(tid)).distinct(), "leak-texts")
+    gone = condensed(lambda: leaks(df, benchmark, text, passage, q, share)[0].where(F.lit(short) | (F.col("m") >= q)).select(F.col("tid").alias(tid)).distinct(), "leak-texts")
     touched = sketch(gone, tid)
 
     def mark(batches):

@@ -6,7 +6,7 @@ threshold: 32-byte grams first (unique grams stand for no repeat), then the whol
 the gram (regions that occur twice are decided), then blocks of 16 windows, whose common 185 bytes must
 occur twice and whose union decides them all, and last the 200-byte windows of the blocks still open. Each
 round groups (rank, name) pairs, and only what it leaves open enters the next. All steps are exact but for
-64-bit hashes, of which two independent ones must agree.
+64-bit hashes of one polynomial: strings with equal hashes count as equal, and bytes are not compared again.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightfield.llm.common import materialize, quoted, slices
+from brightfield.llm.common import condensed, materialize, quoted, slices
 from brightfield.llm.sampling import BATCH, BYTE_CODE, PRIME, covered, mix, passes, pieces, signed, sketch, text_bytes
 
 LENGTH = 200
@@ -147,9 +147,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     columns are left out. Texts without spans are passed by a sketch and are not shuffled.
     """
     rows = _rows(df, key, text)
-    spans = repeated_spans(df, key, text, length)
     # maximal runs of a text meet in one row; texts bound their number
-    grouped = materialize(spans.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "suffix-spans")
+    grouped = condensed(lambda: repeated_spans(df, key, text, length).groupBy("doc", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "suffix-spans")
     touched = sketch(grouped, "row")
 
     def hit(batch):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brightfield.llm import bpe, decontaminate, nearcopies, quality, queries, secrets
-from brightfield.llm.common import arrow_rows, materialize, quoted
+from brightfield.llm.common import arrow_rows, condensed, discard, quoted
 
 
 #: Rows in the batches that the pipeline's jobs hand to Python: whole texts are long, and a batch is held on both sides.
@@ -58,9 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents; each result is written as Parquet and read again. The session's batch size is left as it was."""
+    """The stages in order over documents; each result is written as Parquet and read again, and the one before it removed. The session's batch size is left as it was."""
     docs = queries.table(spark, sf_dir, "documents")
     with arrow_rows(spark, ARROW_ROWS):
         for name, stage in STAGES:
-            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"), ARROW_ROWS)
+            before, docs = docs, condensed(lambda: stage(spark, docs, sf_dir), name.replace(" ", "-"), ARROW_ROWS)  # noqa: B023
+            discard(before)
     return docs
