@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 #: How np.pad continues an image beyond its border; "ignore" leaves what lies outside out of account.
@@ -219,37 +221,32 @@ class Patch:
 
 
 def basins(y: np.ndarray, x: np.ndarray, v: np.ndarray, peaks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The basin of each pixel, numbered from 1 by the (y, x) of its peak.
+    """The basin of each pixel, numbered from 1 by the (y, x) of its peak; 0 for pixels that no peak reaches.
 
-    A pixel points to the greatest of itself and its 8 neighbours among the pixels given (ties by y, x), and
-    pixels that end at one top belong together. Tops that are no peak join the nearest one.
+    Flooding from the peaks down: always the greatest pixel on the shore hands its basin to its 4 neighbours among the pixels given, which
+    join the shore. Of equal pixels the one that joined first goes first, so that plateaus are shared out ring by ring; equal peaks go by (y, x),
+    and a pixel's neighbours join from above, left, right and below.
     """
-    order = np.lexsort((x, y, -v))  # greatest first
-    rank = np.empty(len(y), np.int64)
-    rank[order] = np.arange(len(y))
-    y0, x0 = y.min() - 1, x.min() - 1
-    grid = np.full((y.max() - y0 + 2, x.max() - x0 + 2), len(y), np.int64)
-    grid[y - y0, x - x0] = rank
-    best = rank.copy()
-    for dy in (-1, 0, 1):
-        for dx in (-1, 0, 1):
-            best = np.minimum(best, grid[y - y0 + dy, x - x0 + dx])
-    to = order[best]
-    while (to[to] != to).any():
-        to = to[to]
-    tops = np.unique(to)
+    y0, x0 = int(y.min()) - 1, int(x.min()) - 1
+    grid = np.full((int(y.max()) - y0 + 2, int(x.max()) - x0 + 2), -1, np.int64)
+    grid[y - y0, x - x0] = np.arange(len(y))
+    near = np.stack([grid[y - y0 + dy, x - x0 + dx] for dy, dx in ((-1, 0), (0, -1), (0, 1), (1, 0))], axis=1).tolist()
     py, px = peaks
-    if len(py):
-        away = (y[tops][:, None] - py[None, :]) ** 2 + (x[tops][:, None] - px[None, :]) ** 2
-        by = np.lexsort((px, py))
-        nearest = by[away[:, by].argmin(axis=1)]
-        ty, tx = py[nearest], px[nearest]
-    else:
-        ty, tx = y[tops], x[tops]
-    _, number = np.unique(np.stack([ty, tx], 1), axis=0, return_inverse=True)
-    name = np.zeros(len(y), np.int64)
-    name[tops] = number.reshape(-1) + 1
-    return name[to]
+    starts = grid[py - y0, px - x0][np.lexsort((px, py))].tolist()
+    name, down = [0] * len(y), (-v).tolist()
+    for number, i in enumerate(starts, 1):
+        name[i] = number
+    shore = [(down[i], joined, i) for joined, i in enumerate(starts)]
+    heapq.heapify(shore)
+    joined = len(shore)
+    while shore:
+        _, _, i = heapq.heappop(shore)
+        for j in near[i]:
+            if j >= 0 and not name[j]:
+                name[j] = name[i]
+                heapq.heappush(shore, (down[j], joined, j))
+                joined += 1
+    return np.array(name, dtype=np.int64)
 
 
 def components(y: np.ndarray, x: np.ndarray, connectivity: int) -> np.ndarray:

@@ -31,7 +31,7 @@ def split_fragments(footprints: DataFrame, h: int, w: int, drop: int = 25, ratio
         # each large blob is a unit of its own while it is split
         size = blobs.groupBy(*UNIT, "blob").agg(F.count("*").alias("n"))
         large = blobs.join(size.where(F.col("n") >= max(2 * drop, 30)), [*UNIT, "blob"], "left_semi")
-        basins = basin_label(large, 5, 0.0, 1.0, h, w, [*UNIT, "blob"]).drop("a")
+        basins = basin_label(large, 5, 0.0, 0.0, h, w, [*UNIT, "blob"]).drop("a")
         parts = blobs.join(basins, [*UNIT, "blob", "y", "x"], "left").withColumn("basin", F.coalesce("basin", F.lit(0)))
     else:
         parts = blobs.withColumn("basin", F.lit(0))

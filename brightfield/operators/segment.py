@@ -40,17 +40,18 @@ def peak_search(footprints: DataFrame, grid: list[tuple[int, float, float]], h:
 
 
 def basin_label(footprints: DataFrame, min_distance: int, threshold_rel: float, sigma: float, h: int, w: int, keys: list[str] = UNIT) -> DataFrame:
-    """(session, unit_id, y, x, a, basin): every footprint pixel with its basin, numbered from 1 within the unit.
+    """(session, unit_id, y, x, a, basin): the footprint's pixels with their basin, numbered from 1 within the unit.
 
-    A pixel points to its greatest 8-neighbour in the smoothed image within the footprint (ties by y, x), a
-    local top to itself; what points together is a basin. Tops that are no peak join the basin of the nearest
-    peak. Against flooding this differs on plateaus and ridges alone. `keys` name a unit.
+    Basins are flooded from the peaks of the smoothed image, greatest pixels first, within the footprint. Pixels that no peak
+    reaches, those of a region without one, belong to no basin and are left out. `keys` name a unit.
     """
     taps = gaussian_taps(sigma)
 
     def label(y, x, a):
         patch = Patch(y, x, a, taps, max(min_distance, 1), h, w)
-        return {"y": y, "x": x, "a": a, "basin": basins(y, x, patch.at(y, x), patch.peaks(min_distance, threshold_rel))}
+        basin = basins(y, x, patch.at(y, x), patch.peaks(min_distance, threshold_rel))
+        held = basin > 0
+        return {"y": y[held], "x": x[held], "a": a[held], "basin": basin[held]}
 
     return map_units(footprints, keys, label, "y int, x int, a double, basin int")
 

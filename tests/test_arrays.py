@@ -158,12 +158,40 @@ def test_patches_equal_whole_images():
             assert np.allclose(outside, 0)
 
 
-def test_basins_join_the_nearest_peak():
+def flooded(y, x, v, peaks):
+    """Flooding by the rule: of all labelled pixels with an open neighbour the greatest goes next, the earliest labelled of equal ones."""
+    value = dict(zip(zip(y.tolist(), x.tolist(), strict=True), v.tolist(), strict=True))
+    starts = sorted(zip(peaks[0].tolist(), peaks[1].tolist(), strict=True))
+    name = {p: k for k, p in enumerate(starts, 1)}
+    shore = list(starts)
+    while shore:
+        best = max(shore, key=lambda p: (value[p], -list(name).index(p)))
+        shore.remove(best)
+        i, j = best
+        for q in ((i - 1, j), (i, j - 1), (i, j + 1), (i + 1, j)):
+            if q in value and q not in name:
+                name[q] = name[best]
+                shore.append(q)
+    return [name.get(p, 0) for p in value]
+
+
+def test_basins_are_flooded():
+    """Random footprints of few values, full of plateaus and ridges, in one piece or several, against plain flooding; and by hand."""
     y, x = (c.ravel() for c in np.mgrid[:1, :9])
     v = np.array([1, 3, 2, 1, 2, 4, 3, 1, 1.5])
-    peaks = (np.array([0, 0]), np.array([1, 5]))
-    assert images.basins(y, x, v, peaks).tolist() == [1, 1, 1, 1, 2, 2, 2, 2, 2]
-    assert images.basins(y, x, v, (np.zeros(0, int), np.zeros(0, int))).tolist() == [1, 1, 1, 1, 2, 2, 2, 2, 3]
+    assert images.basins(y, x, v, (np.array([0, 0]), np.array([1, 5]))).tolist() == [1, 1, 1, 2, 2, 2, 2, 2, 2]
+    assert images.basins(y, x, np.ones(9), (np.array([0, 0]), np.array([0, 8]))).tolist() == [1] * 5 + [2] * 4
+    assert images.basins(y, x, v, (np.zeros(0, int), np.zeros(0, int))).tolist() == [0] * 9
+    rng = np.random.default_rng(9)
+    for _ in range(150):
+        h, w = int(rng.integers(1, 9)), int(rng.integers(1, 9))
+        held = np.flatnonzero(rng.random(h * w) < rng.choice([0.6, 1.0]))
+        if not len(held):
+            continue
+        y, x = held // w, held % w
+        v = rng.integers(1, rng.choice([2, 4, 50]), len(held)).astype(float)
+        at = np.sort(rng.choice(len(held), min(len(held), int(rng.integers(1, 4))), replace=False))
+        assert images.basins(y, x, v, (y[at], x[at])).tolist() == flooded(y, x, v, (y[at], x[at]))
 
 
 def test_peaks_of_several_settings(spark):

@@ -168,11 +168,15 @@ def test_spatial_update_finds_planted_footprints(spark):
     assert {(r.unit_id, r.x) for r in got} == {(0, 0), (0, 1), (0, 2), (1, 3), (1, 4), (1, 5)}
 
 
-def test_basins_partition_the_support(spark):
+def test_basins_partition_regions_with_a_peak(spark):
     a = fx.footprints(spark, SF)
     labels = segment.basin_label(a, 2, 0.3, 1.0, 8, 8)
-    assert labels.count() == a.count() == labels.select("session", "unit_id", "y", "x").distinct().count()
+    assert labels.count() == labels.select("session", "unit_id", "y", "x").distinct().count()
     assert labels.agg(F.min("basin")).first()[0] == 1
+    # what is left out are whole regions without a peak
+    key = ["session", "unit_id", "y", "x"]
+    out = reject.regions(a, 4).join(labels.select(*key, "basin"), key, "left").groupBy("session", "unit_id", "region").agg(F.count("basin").alias("held"), F.count("*").alias("n"))
+    assert out.where("held > 0 and held < n").isEmpty() and out.where("held > 0").count() > 0
 
 
 def test_greedy_groups_are_partitions(spark):
