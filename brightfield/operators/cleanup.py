@@ -23,23 +23,21 @@ def split_fragments(footprints: DataFrame, h: int, w: int, drop: int = 25, ratio
     """(session, unit_id, fragment, y, x, a): connected blobs; those of max(2 * drop, 30) pixels or more are split at their peaks too.
 
     Fragments stay with `drop` pixels or more and at least ratio * the unit's largest, the largest always.
-    Mode 'lump' keeps blobs whole. Fragments are numbered by size within their unit.
+    Fragments are numbered by size within their unit; mode 'lump' puts those that stay together as one, number 1.
     """
     blobs = regions(footprints, 4).withColumn("blob", F.dense_rank().over(W.partitionBy(*UNIT).orderBy("region"))).drop("region")
     blobs = materialize(blobs, "blobs")
-    if mode == "split":
-        # each large blob is a unit of its own while it is split
-        size = blobs.groupBy(*UNIT, "blob").agg(F.count("*").alias("n"))
-        large = blobs.join(size.where(F.col("n") >= max(2 * drop, 30)), [*UNIT, "blob"], "left_semi")
-        basins = basin_label(large, 5, 0.0, 0.0, h, w, [*UNIT, "blob"]).drop("a")
-        parts = blobs.join(basins, [*UNIT, "blob", "y", "x"], "left").withColumn("basin", F.coalesce("basin", F.lit(0)))
-    else:
-        parts = blobs.withColumn("basin", F.lit(0))
+    # each large blob is a unit of its own while it is split
+    size = blobs.groupBy(*UNIT, "blob").agg(F.count("*").alias("n"))
+    large = blobs.join(size.where(F.col("n") >= max(2 * drop, 30)), [*UNIT, "blob"], "left_semi")
+    basins = basin_label(large, 5, 0.0, 0.0, h, w, [*UNIT, "blob"]).drop("a")
+    parts = blobs.join(basins, [*UNIT, "blob", "y", "x"], "left").withColumn("basin", F.coalesce("basin", F.lit(0)))
     n = parts.groupBy(*UNIT, "blob", "basin").agg(F.count("*").alias("n"), F.min(F.struct("y", "x")).alias("first"))
     top = W.partitionBy(*UNIT)
     ranked = n.withColumn("fragment", F.row_number().over(top.orderBy(F.desc("n"), "first"))).withColumn("most", F.max("n").over(top))
     keep = ranked.where(((F.col("n") >= drop) & (F.col("n") >= ratio * F.col("most"))) | (F.col("fragment") == 1))
-    return parts.join(keep.select(*UNIT, "blob", "basin", "fragment"), [*UNIT, "blob", "basin"]).select(*UNIT, "fragment", "y", "x", "a")
+    made = parts.join(keep.select(*UNIT, "blob", "basin", "fragment"), [*UNIT, "blob", "basin"])
+    return made.select(*UNIT, F.lit(1).alias("fragment") if mode == "lump" else "fragment", "y", "x", "a")
 
 
 def fragment_id() -> Column:

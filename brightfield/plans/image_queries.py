@@ -118,6 +118,16 @@ def m01(spark, sf):
     return mo.pair_shift(fx.frames(spark, sf), block=100)
 
 
+@query("m01_known_shifts", "SELECT vec_id::VARCHAR AS session, 1::BIGINT AS frame, (vec_id % 5 - 2)::DOUBLE AS dy, (vec_id % 7 - 3)::DOUBLE AS dx FROM embeddings")
+def m01_known(spark, sf):
+    """Each vector as an image and, as the next frame, the image moved by known whole pixels, what leaves on one side coming in on the other."""
+    e = fx.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    moved = F.expr("transform(sequence(0, 63), p -> embedding[cast(pmod(p div 8 - vec_id % 5 + 2, 8) * 8 + pmod(p % 8 - vec_id % 7 + 3, 8) as int)])")
+    both = e.select(F.col("vec_id").cast("string").alias("session"), F.explode(F.array(F.struct(F.lit(0).cast("long").alias("frame"), F.col("embedding").alias("px")), F.struct(F.lit(1).cast("long").alias("frame"), moved.alias("px")))).alias("f"))
+    made = mo.pair_shift(both.select("session", "f.frame", F.lit(8).alias("h"), F.lit(8).alias("w"), "f.px"))
+    return made.select("session", "frame", rnd("dy").alias("dy"), rnd("dx").alias("dx"))
+
+
 @query("m02_estimate_motion")
 def m02(spark, sf):
     return mo.estimate_motion(fx.frames(spark, sf))

@@ -11,10 +11,10 @@ from brightfield.operators import report as rp
 from brightfield.operators import segment as sg
 from brightfield.operators import tiles as ti
 from brightfield.operators.ingest import session_catalog
-from brightfield.operators.reject import size_filter, unit_sizes
+from brightfield.operators.reject import shape_props, size_filter, unit_sizes
 from brightfield.plans.image_queries import _DENSE, IGNORE, REFLECT, around, grid
 from brightfield.plans.registry import query, rnd
-from brightfield.plans.trace_queries import OVER, R, rounded
+from brightfield.plans.trace_queries import COMPONENTS, CORR, EDGES, GROUPS, OVER, THRESHOLDS, R, rounded
 from brightfield.sources import fixtures as fx
 from brightfield.sources.storage import new_dir
 
@@ -77,6 +77,17 @@ def s06(spark, sf):
 _CEN = "ce AS (SELECT session, unit_id, sum(a * y) / sum(a) AS cy, sum(a * x) / sum(a) AS cx FROM foot GROUP BY 1, 2)"
 
 
+_CC8 = _CC.replace("abs(f.y - rc.y) + abs(f.x - rc.x) = 1", "greatest(abs(f.y - rc.y), abs(f.x - rc.x)) = 1")
+
+
+@query("r04_eccentricity", f"""WITH RECURSIVE {_CC8}, rg AS (SELECT session, unit_id, r, count(*) AS n, var_pop(y) + 1 / 12 AS vy, var_pop(x) + 1 / 12 AS vx, covar_pop(y, x) AS c FROM cc GROUP BY ALL),
+mn AS (SELECT session, unit_id, sum(n)::BIGINT AS size, arg_min({{'vy': vy, 'vx': vx, 'c': c}}, ROW(-n, r)) AS m FROM rg GROUP BY 1, 2),
+gp AS (SELECT session, unit_id, size, (m.vy + m.vx) / 2 AS mid, sqrt(((m.vy - m.vx) / 2) ** 2 + m.c ** 2) AS gap FROM mn)
+SELECT session, unit_id, size, {R('sqrt(greatest(0, 1 - (mid - gap) / (mid + gap)))')} AS eccentricity FROM gp""", ("foot",))
+def r04_eccentricity(spark, sf):
+    return rounded(shape_props(foot(spark, sf)).drop("solidity"), "eccentricity")
+
+
 def greedy_sql(edges: str, units: str, name: str, most: int) -> str:
     """The sequence as a recursion: one edge (session, u1, u2, s1, s2) after the other, with the owners and added sizes of all units (ids under 64) in lists."""
     return f"""nr AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY u1, u2) AS k FROM {edges}),
@@ -241,6 +252,17 @@ def e03(spark, sf):
     return cl.merge_guarded(*fragments(spark, sf), 0.5, 0.3)
 
 
+_GUARDED = EDGES.replace("WHERE", "WHERE u1 % 3 <> u2 % 3 AND")
+
+
+@query("e03_merge_lineage", f"WITH RECURSIVE {OVER}, {CORR}, {_GUARDED}, {COMPONENTS}, {GROUPS} SELECT session, unit_id, group_id, split FROM gr", ("traces",))
+def e03_lineage(spark, sf):
+    """Units as fragments of three parents; those of one parent are not linked directly."""
+    a = foot(spark, sf)
+    lineage = a.select("session", "unit_id", (F.col("unit_id") % 3).alias("parent_unit_id")).distinct()
+    return cl.merge_guarded(a, fx.traces(spark, sf), lineage, *THRESHOLDS, most=50)
+
+
 @query("e04_cut_seams", f"""WITH o AS (SELECT session, y, x, arg_min(unit_id, ROW(-a, unit_id)) AS unit_id, max(a) AS a FROM foot WHERE unit_id < 3 AND (y < 3 OR unit_id <> 1) GROUP BY ALL),
 s AS (SELECT p.session, p.y, p.x FROM o p JOIN o q ON p.session = q.session AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 GROUP BY 1, 2, 3 HAVING min(q.unit_id) <> max(q.unit_id))
 SELECT session, unit_id, y, x, {R('a')} AS a FROM o WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.session = o.session AND (s.y - o.y) ** 2 + (s.x - o.x) ** 2 <= 0)""", ("foot",))
