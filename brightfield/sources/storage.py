@@ -87,11 +87,24 @@ def _write(df: DataFrame, label: str, rows: int | None, compact: bool) -> DataFr
     return made
 
 
+def _file_system(spark: SparkSession, path: str):
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), name
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, name = _file_system(spark, path)
+    return fs.exists(name)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, name = _file_system(spark, path)
+    fs.delete(name, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes materialized tables whose last reader has been written; others are left alone."""
     for df in tables:
         path = getattr(df, "stored_at", None)
         if path:
-            jvm = df.sparkSession._jvm
-            name = jvm.org.apache.hadoop.fs.Path(path)
-            name.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(name, True)
+            remove(df.sparkSession, path)
