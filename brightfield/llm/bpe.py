@@ -15,6 +15,7 @@ import re
 import sys
 import unicodedata
 from array import array
+from itertools import chain, filterfalse
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -207,7 +208,7 @@ class WordBpe:
         split = [self.pieces(t) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self._reset()
-        new = set().union(*split).difference(self.known)
+        new = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
         if new:
             self.learn(list(new))
         get = self.known.__getitem__

@@ -36,11 +36,15 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     wide = values >> np.uint64(60) != 0
+    narrow = values.astype(np.uint32) if int(values.max()) < 1 << 32 else values
     choice = np.zeros(n, dtype=np.uint8)  # escape, unless a packing fits
     at = np.arange(n, dtype=np.int32)
     for k in range(len(PACKINGS), 0, -1):
         count, bits = PACKINGS[k - 1]
-        over = values >> np.uint64(bits) != 0
+        over = narrow > narrow.dtype.type((1 << bits) - 1) if bits < 8 * narrow.itemsize else None
+        if over is None or not over.any():
+            choice[:] = k
+            continue
         # place of the next value that is too wide; the end of the block counts as zeros
         ahead = np.where(over, at, np.int32(n + 64))
         ahead = np.minimum.accumulate(ahead[::-1])[::-1]
