@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brightfield.operators.base import PIXEL, UNIT
 from brightfield.operators.merge import merge_edges, merge_footprints, merge_groups, merge_traces
@@ -81,13 +84,15 @@ def cleanup(footprints: DataFrame, traces: DataFrame, h: int, w: int, share: flo
 
 
 def export(tables: dict[str, DataFrame], path: str) -> None:
-    """One Parquet table by name, partitioned by session; statistics and metadata go the same way as tables of their own."""
+    """One Parquet table by name, partitioned by session, and its schema, which a table without rows needs; statistics and metadata go the same way as tables of their own."""
     for name, df in tables.items():
         df.write.mode("overwrite").partitionBy("session").parquet(f"{path}/{name}")
+        df.sparkSession.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/schemas/{name}")
 
 
 def read_export(spark, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}").withColumn("session", F.col("session").cast("string"))
+    schema = T.StructType.fromJson(json.loads(spark.read.text(f"{path}/schemas/{name}").first()[0]))
+    return spark.read.schema(schema).parquet(f"{path}/{name}").select(*schema.names)
 
 
 def export_summary(footprints: DataFrame, traces: DataFrame, n_before: DataFrame) -> DataFrame:
