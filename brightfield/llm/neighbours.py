@@ -245,15 +245,21 @@ def near_neighbours(
     budget = float(least)
     if trial.num_rows and n > 1:
         names, x = trial.column("id").to_pylist(), matrix(trial.column("v"))
-        met = {q: dict(zip(*f, strict=True)) for q, f in zip(names, forest.search(x, sizes, math.inf), strict=True)}
-        costs = sorted(min(met[r["query_id"]][leaf] for leaf in c["leaves"]) for r in _exact(kept, names, x, k, forest) for c in r["top"])
+        costs = []
+        for r in _exact(kept, names, x, k, forest):
+            i = names.index(r["query_id"])
+            met = dict(zip(*forest.search(x[i : i + 1], sizes, math.inf)[0], strict=True))
+            costs += [min(met[leaf] for leaf in c["leaves"]) for c in r["top"]]
+        costs.sort()
         if costs:
             budget = max(budget, costs[math.ceil(recall * len(costs)) - 1])
 
+    step = max(1, (1 << 20) // n_leaves)  # queries whose margins at all inner nodes are held together
+
     def look(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
                 probes = [leaves for leaves, _ in forest.search(matrix(part.column(1)), sizes, budget)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(probes, type=pa.list_(pa.int32()))], names=["id", "v", "leaves"])
 
