@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brightfield.operators.base import FRAME
+from brightfield.operators import order
+from brightfield.operators.arrays import small
+from brightfield.operators.base import FRAME, finite
+from brightfield.sources.storage import materialize
 
 
 def linesplit_basic(movie: DataFrame, cols: int = 20, k: float = 2.0) -> DataFrame:
@@ -24,7 +26,7 @@ def linesplit_scores(movie: DataFrame, sigma: float, percent: float, c0: float,
     """
     rows = movie.groupBy("session", "y").agg(F.avg("v").alias("m"))
     top = rows.groupBy("session").agg(F.max("m").alias("top"))
-    signal = rows.join(top, "session").where(F.col("m") > percent * F.col("top")).select("session", "y", F.row_number().over(W.partitionBy("session").orderBy("y")).alias("r"))
+    signal = rows.join(top, "session").where(F.col("m") > percent * F.col("top")).groupBy("session").agg(F.sort_array(F.collect_list("y")).alias("ys")).select("session", F.posexplode("ys").alias("r", "y"))
     width = movie.groupBy("session").agg((F.max("x") + 1).alias("w"))
     central = movie.join(width, "session").where((F.col("x") >= F.floor(F.col("w") * c0)) & (F.col("x") < F.floor(F.col("w") * c1)))
     profile = central.join(signal, ["session", "y"]).groupBy("session", "frame", "r").agg(F.avg("v").alias("p"))
@@ -36,11 +38,17 @@ def linesplit_scores(movie: DataFrame, sigma: float, percent: float, c0: float,
 
 
 def gap_threshold(scores: DataFrame) -> DataFrame:
-    """Per session the middle of the largest gap within the lowest 99 % of sorted scores."""
-    by = W.partitionBy("session").orderBy("score", "frame")
-    ranked = scores.withColumn("k", F.row_number().over(by)).withColumn("next", F.lead("score").over(by)).withColumn("n", F.count("*").over(W.partitionBy("session")))
-    low = ranked.where(F.col("k") < F.floor(0.99 * F.col("n")))
-    return low.groupBy("session").agg(F.max_by((F.col("score") + F.col("next")) / 2, F.struct(F.col("next") - F.col("score"), -F.col("k"))).alias("threshold"))
+    """Per session the middle of the largest gap within the lowest 99 % of sorted scores; of equal gaps the lowest.
+
+    Scores that are no finite number take no part; a session with fewer than three others has no threshold. The
+    table is read several times and is stored first, unless it is already.
+    """
+    stored = scores if hasattr(scores, "stored_at") else materialize(scores.select("session", "score"), "scores")
+    real = stored.where(finite(F.col("score"))).select("session", "score")
+    ranks = real.groupBy("session").agg(F.floor(0.99 * F.count("*")).alias("k")).where("k > 1")
+    top = order.value_at_rank(real, ranks, "score")
+    low = real.join(small(top), "session").where(F.col("score") <= F.col("value")).select("session", "score")
+    return order.largest_gap(low, "score").withColumnRenamed("middle", "threshold")
 
 
 def linesplit_advanced(movie: DataFrame, sigma: float = 2.0, percent: float = 0.1, c0: float = 0.25, c1: float = 0.75, threshold: float | None = None) -> DataFrame:
@@ -48,7 +56,8 @@ def linesplit_advanced(movie: DataFrame, sigma: float = 2.0, percent: float = 0.
     scores = linesplit_scores(movie, sigma, percent, c0, c1)
     if threshold is not None:
         return scores.where(F.col("score") > threshold)
-    return scores.join(gap_threshold(scores), "session").where("score > threshold").select("session", "frame", "score")
+    scores = materialize(scores, "scores")
+    return scores.join(small(gap_threshold(scores)), "session").where("score > threshold").select("session", "frame", "score")
 
 
 def motion_outliers(motion: DataFrame, k: float = 5.0) -> DataFrame:
