@@ -24,7 +24,7 @@ def value_at_rank(values: DataFrame, ranks: DataFrame, column: str) -> DataFrame
     """(session, value): the k-th smallest of a stored table's values, ranks (session, k) from 1 and at most the session's rows.
 
     Every round counts the values between two bounds in buckets and goes on between the least and greatest value of the bucket that the rank
-    falls into, until these are one. A round leaves out at least one distinct value and commonly all but one in BUCKETS.
+    falls into, until these are one. A round leaves out at least one distinct value and commonly all but one in BUCKETS; values of many scales take a round for every few of them.
     """
     ends = values.groupBy("session").agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
     now = materialize(ranks.join(ends, "session").select("session", F.col("k").cast("long").alias("k"), "lo", "hi"), "rank", compact=True)
