@@ -187,21 +187,22 @@ class WordBpe:
 
     def learn(self, words: list[str]) -> None:
         """Encodes distinct words and remembers their ids as little-endian bytes."""
-        by_length: dict[int, list[tuple[str, bytes]]] = {}
-        for w in words:
-            raw = w.encode("utf-8", "surrogatepass")
-            if len(raw) > SHORT:
-                self.known[w] = self.merge_long(raw).astype("<u4").tobytes()
-            else:
-                by_length.setdefault(len(raw), []).append((w, raw))
-        for length, group in by_length.items():
-            raw = np.frombuffer(b"".join(b for _, b in group), np.uint8).reshape(len(group), length)
+        raws = [w.encode("utf-8", "surrogatepass") for w in words]
+        lengths = np.fromiter(map(len, raws), np.int64, len(raws))
+        order = lengths.argsort(kind="stable")
+        sizes, starts = np.unique(lengths[order], return_index=True)
+        for length, rows in zip(sizes.tolist(), np.split(order, starts[1:]), strict=True):
+            group = [words[i] for i in rows.tolist()]
+            data = [raws[i] for i in rows.tolist()]
+            if length > SHORT:
+                self.known.update((w, self.merge_long(raw).astype("<u4").tobytes()) for w, raw in zip(group, data, strict=True))
+                continue
+            raw = np.frombuffer(b"".join(data), np.uint8).reshape(len(group), length)
             parts = self.first[raw]
             parts[:, -1] = self.last[raw[:, -1]]
-            for rows, ids in self.merge_rows(parts):
-                data, step = ids.astype("<u4").tobytes(), 4 * ids.shape[1]
-                for k, r in enumerate(rows.tolist()):
-                    self.known[group[r][0]] = data[k * step : (k + 1) * step]
+            for ended, ids in self.merge_rows(parts):
+                each = np.ascontiguousarray(ids, dtype="<u4").view(f"V{4 * ids.shape[1]}").ravel().tolist()
+                self.known.update(zip(map(group.__getitem__, ended.tolist()), each, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers (null: none)."""
