@@ -27,6 +27,8 @@ COUNTS = np.array([1] + [n for n, _ in PACKINGS] + [0], dtype=np.int64)
 MAGIC = b"S8TOKEN1"
 BLOCK_IDS = 1 << 16
 ROLL_IDS = 1 << 25
+#: Bytes of text that are encoded at once: new words of more texts share the steps of the merge.
+ENCODE_BYTES = 1 << 22
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +214,7 @@ def write_token_files(df: DataFrame, vocabulary: str, root: str, key: str = "doc
             done.append((shard, len(done), path, writer.n_ids, len(writer.keys)))
 
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", ENCODE_BYTES):
                 for k, ids in zip(part.column(0).to_pylist(), bpe.encode(part.column(1).to_pylist()), strict=True):
                     if writer is None:
                         path = f"{base}/_temporary-{shard:05d}-{uuid.uuid4().hex}"
