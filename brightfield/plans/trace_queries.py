@@ -449,9 +449,10 @@ def t10_all(spark, sf):
 _SP = f"{DEC}, sp AS (SELECT session, unit_id, avg((s > 0)::INT) AS active, avg((s = 0)::INT) AS silent FROM dec GROUP BY 1, 2)"
 
 
-@query("t11_spike_summary", f"WITH {_SP} SELECT session, unit_id, {R('active')} AS active, {R('silent')} AS silent, silent < 0.8 AS dense FROM sp", ("days",))
+# increases to 6 decimals: two equal sums in floating point, added up in other orders, can differ and would count as a spike
+@query("t11_spike_summary", f"WITH {DEC}, sp AS (SELECT session, unit_id, avg((round(s, 6) > 0)::INT) AS active, avg((round(s, 6) = 0)::INT) AS silent FROM dec GROUP BY 1, 2) SELECT session, unit_id, {R('active')} AS active, {R('silent')} AS silent, silent < 0.8 AS dense FROM sp", ("days",))
 def t11(spark, sf):
-    return rounded(tr.spike_summary(deconvolved(spark, sf)), "active", "silent")
+    return rounded(tr.spike_summary(rounded(deconvolved(spark, sf), "s")), "active", "silent")
 
 
 @query("t11_spike_totals", f"WITH {_SP} SELECT session, {R('avg(silent)')} AS sparsity, count(*) FILTER (active > 0.2) AS n_busy FROM sp GROUP BY 1", ("days",))

@@ -46,3 +46,14 @@ def test_report_at_its_bounds(spark, tmp_path):
             row = catalog.QUERIES["n04_component_report"](spark, str(path)).first()
             assert row[name] == 1
             assert row["kept"] == 0 and row["median_spikes"] == bound
+
+
+def test_spikes_of_equal_days(spark, tmp_path):
+    """The second day has the values of the first in another order, and no increase."""
+    values = apart(600)
+    for turn in ([values[::-1], values], [values, values[::-1]]):
+        path = tmp_path / f"{turn[0] is values}"
+        c = events(path, turn)
+        ours, theirs = same(catalog.QUERIES["t11_spike_summary"](spark, str(path)), c, catalog.SQL["t11_spike_summary"])
+        assert ours == theirs
+        assert (ours[0][0], ours[0][3]) == (0.033333, 0.966667)
