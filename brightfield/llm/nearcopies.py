@@ -139,8 +139,9 @@ def _agreeing(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFram
 
 
 def _shingled(rows: DataFrame, tids: DataFrame, size: int) -> DataFrame:
-    """(tid, h, n): distinct shingles and counts of the texts in tids and of a few others that the sketch lets pass; rows that repeat a text repeat it.
+    """(tid, h, n): distinct shingles and counts of the texts in tids; rows that repeat a text repeat it.
 
+    A sketch spares most others the shingles; those that it lets pass wrongly, a share of all texts that grows with tids, are dropped by a join.
     With more tids than a sketch tells apart, texts are joined instead.
     """
     if tids.count() > 1 << (SKETCH_BITS - 4):
@@ -156,7 +157,7 @@ def _shingled(rows: DataFrame, tids: DataFrame, size: int) -> DataFrame:
                 cuts = pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(cuts, signed(h)), pa.ListArray.from_arrays(cuts, pa.array(n.astype(np.int32)))], names=["tid", "h", "n"])
 
-    return rows.select("tid", "text").mapInArrow(shingle, "tid long, h array<long>, n array<int>")
+    return rows.select("tid", "text").mapInArrow(shingle, "tid long, h array<long>, n array<int>").join(tids, "tid", "left_semi")
 
 
 def _verify(rows: DataFrame, pairs: DataFrame, marks: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -164,7 +165,7 @@ def _verify(rows: DataFrame, pairs: DataFrame, marks: DataFrame, size: int, simi
     pairs = materialize(_agreeing(pairs, marks, similarity), "near-agreeing", compact=True)
     tids = pairs.select(F.col("a").alias("tid")).unionByName(pairs.select(F.col("b").alias("tid"))).distinct()
     made = _shingled(rows, tids, size).groupBy("tid").agg(F.first(F.struct("h", "n")).alias("s"))
-    made = materialize(made.join(tids, "tid", "left_semi"), "near-shingles", 500)
+    made = materialize(made, "near-shingles", 500)
     joined = pairs.join(made.select(F.col("tid").alias("a"), F.col("s").alias("x")), "a").join(made.select(F.col("tid").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x.h", "x.n", F.col("y.h").alias("g"), F.col("y.n").alias("k"))
 
     def check(batches):
@@ -197,7 +198,7 @@ def most_similar(s: Column, c: Column, d: Column, n: Column, s2: Column, c2: Col
 def _crowded(rows: DataFrame, tids: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """(tid, s, c, d, n) for most_similar, with what may be shared restricted to shingles of more than RARE of the texts; and the pairs (a, b) with a rarer one in common.
 
-    Hash collisions and texts that a sketch lets pass wrongly only add to what is common.
+    Hash collisions only add to what is common.
     """
     made = _shingled(rows, tids, size).groupBy("tid").agg(F.first(F.struct("h", "n")).alias("s")).select("tid", "s.*")
     made = materialize(made, "near-crowd", 500)

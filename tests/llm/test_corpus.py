@@ -340,3 +340,10 @@ def test_hot_bucket_keeps_all_links(spark):
         docs.append((i, " ".join(now)))
     got = sorted(((r.doc_id, r.class_id) for r in nearcopies.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=str)
     assert got == brute.near(docs)
+
+
+def test_shingles_of_the_texts_asked_for_alone(spark):
+    """What the sketch lets pass wrongly, one text in 16 where it is full, is not spread into shingles."""
+    rows = nearcopies._texts(spark.range(60000).selectExpr("id", "concat('text ', id) AS text"), "id", "text")
+    tids = rows.where("doc < 4000").select("tid")
+    assert nearcopies._shingled(rows, tids, 5).count() == 4000
