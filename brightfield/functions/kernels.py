@@ -68,7 +68,7 @@ def warp(image: np.ndarray, dy: float, dx: float, fill: float = 0.0) -> np.ndarr
 
 
 def power(trace: np.ndarray) -> np.ndarray:
-    """Power by non-negative frequency."""
+    """Power by non-negative frequency, of one trace or of each row."""
     return np.abs(np.fft.rfft(trace)) ** 2
 
 
@@ -117,28 +117,50 @@ def ar_coefficients(trace: np.ndarray, p: int, segment: int = 1000) -> np.ndarra
 
 def impulse(g: np.ndarray, n: int) -> np.ndarray:
     """Response of c[t] = sum g_k c[t - k] + s[t] to one spike."""
-    out = np.zeros(n)
-    out[0] = 1.0
+    return impulses(g[None, :], n)[0]
+
+
+def impulses(g: np.ndarray, n: int) -> np.ndarray:
+    """Responses (m, n) of c[t] = sum g_k c[t - k] + s[t] to one spike, for coefficients (m, p)."""
+    out = np.zeros((len(g), n))
+    out[:, 0] = 1.0
     for t in range(1, n):
-        k = min(len(g), t)
-        out[t] = (g[:k] * out[t - 1 :: -1][:k] if t - k == 0 else g[:k] * out[t - 1 : t - k - 1 : -1]).sum()
+        for k in range(1, min(g.shape[1], t) + 1):
+            out[:, t] += g[:, k - 1] * out[:, t - k]
     return out
 
 
 def baseline(u: np.ndarray, decay: np.ndarray) -> tuple[float, float]:
-    """b and c0, not negative, with the least |u - b - c0 * decay|^2: both, one or none of them, whichever is allowed and least."""
-    n, d1, d2, u1, ud = len(u), decay.sum(), (decay * decay).sum(), u.sum(), (u * decay).sum()
+    """baselines of one trace."""
+    b, c0 = baselines(u[None, :], decay[None, :])
+    return float(b[0]), float(c0[0])
+
+
+def baselines(u: np.ndarray, decay: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """b and c0 of each row, not negative, with the least |u - b - c0 * decay|^2: both, one or none of them, whichever is allowed and least."""
+    n, d1, d2, u1, ud = u.shape[1], decay.sum(axis=1), _dot(decay, decay), u.sum(axis=1), _dot(u, decay)
     det = n * d2 - d1 * d1
-    if det > 1e-12 * n * d2:
-        b, c0 = (d2 * u1 - d1 * ud) / det, (n * ud - d1 * u1) / det
-        if b >= 0 and c0 >= 0:
-            return float(b), float(c0)
-    b, c0 = max(0.0, u1 / n), max(0.0, ud / d2)
-    return (float(b), 0.0) if u1 * b >= ud * c0 else (0.0, float(c0))
+    apart = det > 1e-12 * n * d2
+    over = np.where(apart, det, 1.0)
+    b, c0 = (d2 * u1 - d1 * ud) / over, (n * ud - d1 * u1) / over
+    both = apart & (b >= 0) & (c0 >= 0)
+    one_b, one_c = np.maximum(0.0, u1 / n), np.maximum(0.0, ud / d2)
+    first = u1 * one_b >= ud * one_c
+    return np.where(both, b, np.where(first, one_b, 0.0)), np.where(both, c0, np.where(first, 0.0, one_c))
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", a, b)
 
 
 def deconvolve(y: np.ndarray, g: np.ndarray, sigma: float, lam: float, iters: int = 5000, zero: float = 5e-4, tol: float = 1e-5, every: int = 10) -> dict:
-    """Minimises P = 0.5 |y - (c + b + c0 d^t)|^2 + lam * sigma * |s|_1 over s, b, c0 >= 0, where s[t] = c[t] - sum g_k c[t - k].
+    """deconvolve_all of one trace."""
+    made = deconvolve_all(y[None, :], g[None, :], np.array([sigma]), lam, iters, zero, tol, every)
+    return {k: v[0] if v[0].ndim else v[0].item() for k, v in made.items()}
+
+
+def deconvolve_all(y: np.ndarray, g: np.ndarray, sigma: np.ndarray, lam: float, iters: int = 5000, zero: float = 5e-4, tol: float = 1e-5, every: int = 10) -> dict[str, np.ndarray]:
+    """For each trace, a row of y, minimises P = 0.5 |y - (c + b + c0 d^t)|^2 + lam * sigma * |s|_1 over s, b, c0 >= 0, where s[t] = c[t] - sum g_k c[t - k].
 
     Accelerated projected gradient on s, begun anew where it runs against the descent; b and c0 are the best for each s, and c follows
     from s by the response to a spike, computed with FFTs. It ends with a certificate: with r what is left of y, the response's products with
@@ -146,48 +168,63 @@ def deconvolve(y: np.ndarray, g: np.ndarray, sigma: float, lam: float, iters: in
     problem, max 0.5 |y|^2 - 0.5 |y - r|^2. `gap` is P less that maximum's value at the scaled r, `kkt` the largest breach of the optimality
     conditions of s; both are shares, of 0.5 |y|^2 and of the largest product of the response with y. The iteration stops at a gap of `tol` and
     is cut off after `iters` rounds, which the gap then shows. Values under `zero` are set to 0 afterwards.
-    A response that turns negative is reported by `negative`.
+    A response that turns negative is reported by `negative`. Rows are worked on together and leave as they are done; none depends on another.
     """
-    n = len(y)
+    m, n = y.shape
     size = 1 << int(np.ceil(np.log2(2 * n)))
-    h = impulse(g, n)
+    h = impulses(g, n)
     hf = np.fft.rfft(h, size)
-    forward = lambda s: np.fft.irfft(np.fft.rfft(s, size) * hf, size)[:n]
-    back = lambda r: np.fft.irfft(np.fft.rfft(r, size) * np.conj(hf), size)[:n]
-    roots = np.abs(np.roots(np.concatenate([[1.0], -g])))
-    decay = roots.max(initial=0.0) ** np.arange(n)
-    step = 1.0 / max(float((np.abs(hf) ** 2).max()), 1e-12)
-    weight, energy = lam * sigma, max(0.5 * float(y @ y), 1e-300)
-    pull = max(float(np.abs(back(y)).max()), 1e-300)
-
-    def left_of(s):
-        u = y - forward(s)
-        b, c0 = baseline(u, decay)
-        return u - b - c0 * decay, b, c0
-
-    def certificate(s):
-        r, b, c0 = left_of(s)
-        product = back(r)
-        most = float(product.max())
-        theta = r * (min(1.0, weight / most) if most > 0 else 1.0)
-        gap = (0.5 * float(r @ r) + weight * float(s.sum())) - (energy - 0.5 * float((y - theta) @ (y - theta)))
-        breach = np.where(s > 0, np.abs(product - weight), np.maximum(0.0, product - weight)).max()
-        return max(0.0, gap) / energy, float(breach) / pull, b, c0
-
-    s = z = np.zeros(n)
-    t, rounds = 1.0, 0
-    gap, kkt, b, c0 = certificate(s)
-    while gap > tol and rounds < iters:
-        rounds += 1
-        r, _, _ = left_of(z)
-        s_new = np.maximum(0.0, z + step * (back(r) - weight))
-        if float((z - s_new) @ (s_new - s)) > 0:
-            t = 1.0
+    forward = lambda s, hf: np.fft.irfft(np.fft.rfft(s, size) * hf, size)[:, :n]
+    back = lambda r, hf: np.fft.irfft(np.fft.rfft(r, size) * np.conj(hf), size)[:, :n]
+    companion = np.zeros((m, g.shape[1], g.shape[1]))
+    companion[:, 0, :] = g
+    companion[:, np.arange(1, g.shape[1]), np.arange(g.shape[1] - 1)] = 1.0
+    decay = np.abs(np.linalg.eigvals(companion)).max(axis=1, initial=0.0)[:, None] ** np.arange(n)
+    step = 1.0 / np.maximum((np.abs(hf) ** 2).max(axis=1), 1e-12)
+    weight, energy = lam * sigma, np.maximum(0.5 * _dot(y, y), 1e-300)
+    pull = np.maximum(np.abs(back(y, hf)).max(axis=1), 1e-300)
+
+    def left_of(s, y, hf, decay):
+        u = y - forward(s, hf)
+        b, c0 = baselines(u, decay)
+        return u - b[:, None] - c0[:, None] * decay, b, c0
+
+    def certificate(s, y, hf, decay, step, weight, energy, pull):
+        r, b, c0 = left_of(s, y, hf, decay)
+        product = back(r, hf)
+        most = product.max(axis=1)
+        theta = r * np.where(most > 0, np.minimum(1.0, weight / np.where(most > 0, most, 1.0)), 1.0)[:, None]
+        gap = (0.5 * _dot(r, r) + weight * s.sum(axis=1)) - (energy - 0.5 * _dot(y - theta, y - theta))
+        over = product - weight[:, None]
+        breach = np.where(s > 0, np.abs(over), np.maximum(0.0, over)).max(axis=1)
+        return np.maximum(0.0, gap) / energy, breach / pull, b, c0
+
+    given = (y, hf, decay, step, weight, energy, pull)
+    done, rounds = np.zeros((m, n)), np.zeros(m, dtype=np.int64)
+    shown = certificate(done, *given)
+    at = np.flatnonzero(shown[0] > tol)
+    given = tuple(a[at] for a in given)
+    s = z = np.zeros((len(at), n))
+    t = np.ones(len(at))
+    for turn in range(1, iters + 1):
+        if not len(at):
+            break
+        y_, hf_, decay_, step_, weight_ = given[:5]
+        r, _, _ = left_of(z, y_, hf_, decay_)
+        s_new = np.maximum(0.0, z + step_[:, None] * (back(r, hf_) - weight_[:, None]))
+        t = np.where(_dot(z - s_new, s_new - s) > 0, 1.0, t)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        z = s_new + (t - 1) / t_new * (s_new - s)
+        z = s_new + ((t - 1) / t_new)[:, None] * (s_new - s)
         s, t = s_new, t_new
-        if rounds % every == 0 or rounds == iters:
-            gap, kkt, b, c0 = certificate(s)
-    s = np.where(s < zero, 0.0, s)
-    c = forward(s)
-    return {"c": np.where(c < zero, 0.0, c), "s": s, "b": b, "c0": c0, "decay": decay, "rounds": rounds, "negative": float(min(0.0, h.min())), "gap": gap, "kkt": kkt}
+        if turn % every == 0 or turn == iters:
+            now = certificate(s, *given)
+            for whole, part in zip(shown, now, strict=True):
+                whole[at] = part
+            done[at], rounds[at] = s, turn
+            go = now[0] > tol
+            if not go.all():
+                at, s, z, t, given = at[go], s[go], z[go], t[go], tuple(a[go] for a in given)
+    gap, kkt, b, c0 = shown
+    s = np.where(done < zero, 0.0, done)
+    c = forward(s, hf)
+    return {"c": np.where(c < zero, 0.0, c), "s": s, "b": b, "c0": c0, "decay": decay, "rounds": rounds, "negative": np.minimum(0.0, h.min(axis=1)), "gap": gap, "kkt": kkt}

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brightfield.functions.kernels import ar_coefficients, deconvolve, power
-from brightfield.operators.arrays import small, unit_sums
+from brightfield.functions.kernels import ar_coefficients, deconvolve_all, power
+from brightfield.operators.arrays import lists, small, unit_sums
 from brightfield.operators.base import FRAME, PIXEL, UNIT, finite
 
 
@@ -157,25 +158,63 @@ def merge_ar(chunk_ar: DataFrame) -> DataFrame:
     return chunk_ar.select(*UNIT, F.posexplode("g").alias("lag", "g")).groupBy(*UNIT, "lag").agg(F.avg("g").alias("g"))
 
 
+#: Values of the windows that a task deconvolves at once, and rows that it gathers for them.
+WINDOW_VALUES = 1 << 16
 DECONVOLVED = "session string, unit_id long, frame long, chunk long, local long, n_chunks long, c double, s double, b double, c0 double, g array<double>, gap double, kkt double"
 
 
 def deconvolve_chunks(chunks: DataFrame, p: int = 2, lam: float = 1e-2, iters: int = 5000, zero: float = 5e-4, tol: float = 1e-5) -> DataFrame:
-    """Deconvolution of each unit's window: c, s and the baseline b + c0 * decay by frame, with the window's certificate. A group is one window of one trace.
+    """Deconvolution of each unit's window: c, s and the baseline b + c0 * decay by frame, with the window's certificate.
 
     A window is done when its duality gap, as a share of its energy, is `tol` at most, or after `iters` rounds; see `certificates`.
+    Windows of equal length are worked on together, at most WINDOW_VALUES values or one window at once.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        y = pdf["v"].to_numpy()
-        g = ar_coefficients(y - y.mean(), p) if len(y) > p + 1 else np.zeros(p)
-        high = power(y)[np.arange(len(y) // 2 + 1) / len(y) > 0.25]
-        sigma = float(np.sqrt(high.mean() / len(y))) if len(high) else 0.0
-        made = deconvolve(y, g, sigma, lam, iters, zero, tol)
-        return pdf[["session", "unit_id", "frame", "chunk", "local", "n_chunks"]].assign(c=made["c"], s=made["s"], b=made["b"], c0=made["c0"] * made["decay"], g=[g.tolist()] * len(y), gap=made["gap"], kkt=made["kkt"])
-
-    return chunks.groupBy("session", "unit_id", "chunk").applyInPandas(run, DECONVOLVED)
+    keys = ["session", "unit_id", "chunk"]
+    names = ["session", "unit_id", "frame", "chunk", "local", "n_chunks"]
+
+    def solved(rows: pa.Table):
+        """Batches of the windows, all whole, in rows sorted by window and frame."""
+        v = rows.column("v").to_numpy()
+        starts = _starts(rows)
+        length = np.diff(np.append(starts, len(v)))
+        for n in np.unique(length):
+            windows = starts[length == n]
+            some = max(1, WINDOW_VALUES // int(n))
+            for first in range(0, len(windows), some):
+                place = windows[first : first + some, None] + np.arange(n)
+                y = v[place]
+                g = np.array([ar_coefficients(x - x.mean(), p) if n > p + 1 else np.zeros(p) for x in y])
+                high = power(y)[:, np.arange(n // 2 + 1) / n > 0.25]
+                sigma = np.sqrt(high.mean(axis=1) / n) if high.shape[1] else np.zeros(len(y))
+                made = deconvolve_all(y, g, sigma, lam, iters, zero, tol)
+                wide = lambda k, n=n, made=made: pa.array(np.repeat(made[k], n))
+                values = [pa.array(made["c"].ravel()), pa.array(made["s"].ravel()), wide("b"), pa.array((made["c0"][:, None] * made["decay"]).ravel()), lists(np.repeat(g, n, axis=0)), wide("gap"), wide("kkt")]
+                mine = rows.select(names).take(pa.array(place.ravel())).combine_chunks()
+                yield from pa.Table.from_arrays([*mine.columns, *values], names=[*names, "c", "s", "b", "c0", "g", "gap", "kkt"]).to_batches()
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= WINDOW_VALUES:
+                rows = pa.Table.from_batches(held)
+                last = int(_starts(rows)[-1])  # the last window may go on in the next batch
+                yield from solved(rows.slice(0, last))
+                held = rows.slice(last).to_batches()
+        if held:
+            yield from solved(pa.Table.from_batches(held))
+
+    rows = chunks.select(F.col("session").cast("string").alias("session"), *(F.col(c).cast("long").alias(c) for c in names[1:]), F.col("v").cast("double").alias("v"))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "frame").mapInArrow(run, DECONVOLVED)
+
+
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where a window begins in rows sorted by window."""
+    new = np.arange(rows.num_rows) == 0
+    for name in ("session", "unit_id", "chunk"):
+        code = rows.column(name).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
 
 
 def certificates(deconvolved: DataFrame) -> DataFrame:

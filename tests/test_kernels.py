@@ -256,3 +256,32 @@ def test_shift_from_half_spectra(shape):
         assert value(*got) >= max(around) - 1e-9
         coarse = np.abs(np.fft.ifft2(cross)).max() * cross.size
         assert value(*got) >= coarse - 1e-9
+
+
+def test_deconvolution_of_many_windows(spark, monkeypatch):
+    """Windows that are worked on together, of several lengths and over the ends of batches, come out as one by one, and faster."""
+    import time
+
+    from brightfield.operators import traces as tr
+
+    rng = np.random.default_rng(5)
+    rows = [("a", u, t, 0, t, 1, float(v)) for u in range(40) for t, v in enumerate(rng.exponential(2.0, 20 + u % 3) * (rng.random(20 + u % 3) < 0.5))]
+    monkeypatch.setattr(tr, "WINDOW_VALUES", 100)
+    df = spark.createDataFrame(rows, "session string, unit_id long, frame long, chunk long, local long, n_chunks long, v double").repartition(3)
+    got = {(r.unit_id, r.frame): r for r in tr.deconvolve_chunks(df, iters=300).collect()}
+    assert len(got) == len(rows)
+    for u in range(40):
+        y = np.array([r[-1] for r in rows if r[1] == u])
+        g = k.ar_coefficients(y - y.mean(), 2)
+        alone = k.deconvolve(y, g, float(np.sqrt(k.power(y)[np.arange(len(y) // 2 + 1) / len(y) > 0.25].mean() / len(y))), 1e-2, 300)
+        assert np.allclose([got[u, t].c for t in range(len(y))], alone["c"], atol=1e-9) and np.allclose([got[u, t].s for t in range(len(y))], alone["s"], atol=1e-9)
+        assert np.allclose(got[u, 0].g, g) and abs(got[u, 0].gap - alone["gap"]) < 1e-9
+        assert np.allclose([got[u, t].c0 for t in range(len(y))], alone["c0"] * alone["decay"], atol=1e-9)
+    y = rng.exponential(2.0, (400, 20)) * (rng.random((400, 20)) < 0.5)
+    g = np.tile([0.5, 0.1], (400, 1))
+    began = time.perf_counter()
+    k.deconvolve_all(y, g, np.full(400, 0.3), 1e-2, 300)
+    together = time.perf_counter() - began
+    for a, b in zip(y, g, strict=True):
+        k.deconvolve(a, b, 0.3, 1e-2, 300)
+    assert together < (time.perf_counter() - began - together) / 3
