@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightfield.operators.arrays import SMALL_BYTES, lists
-from brightfield.sources.storage import materialize
+from brightfield.sources.storage import arrow_rows, materialize
 
 #: Frames and pixels of a tile at most (1 MB of doubles), and values in a row of partial sums.
 TILE_FRAMES, TILE_PIXELS, PART_VALUES = 128, 1024, 1 << 16
@@ -24,14 +24,52 @@ TILE_FRAMES, TILE_PIXELS, PART_VALUES = 128, 1024, 1 << 16
 SPREAD = 16
 #: Rows with arrays that Spark hands to Python at once: some 16 MB.
 ARRAY_ROWS = 16
+#: Bytes of sums that a kernel holds before it passes them on.
+HELD_BYTES = 1 << 24
+
+
+def chained(*kernels: Callable) -> Callable:
+    """Kernels one after another in one Python worker: each mapInArrow of a task would have a worker of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for kernel in kernels:
+            batches = kernel(batches)
+        yield from batches
+
+    return run
+
+
+def _row(key: tuple, total: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array([k], type=schema.field(i).type) for i, k in enumerate(key)), *(lists(t.reshape(1, -1)) for t in total)], names=schema.names)
+
+
+def gathering(n_keys: int) -> Callable:
+    """A kernel that adds up the arrays of rows with equal keys in any order; what it holds is passed on, and begun anew, beyond HELD_BYTES."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held, size, schema = {}, 0, None
+        for batch in batches:
+            schema = batch.schema
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(n_keys)), strict=True))
+            for r, key in enumerate(keys):
+                given = [batch.column(i)[r].values.to_numpy(zero_copy_only=False) for i in range(n_keys, batch.num_columns)]
+                if key in held:
+                    for t, g in zip(held[key], given, strict=True):
+                        t += g
+                else:
+                    held[key] = [np.array(g, dtype=np.float64) for g in given]
+                    size += sum(t.nbytes for t in held[key])
+                    if size > HELD_BYTES:
+                        yield from (_row(k, t, schema) for k, t in held.items())
+                        held, size = {}, 0
+        yield from (_row(k, t, schema) for k, t in held.items())
+
+    return run
 
 
 def adding(n_keys: int, op: Callable = np.add) -> Callable:
     """A kernel that adds up the arrays of neighbouring rows with equal keys; it holds the sums of one key."""
 
-    def row(key, total, schema):
-        return pa.RecordBatch.from_arrays([*(pa.array([k], type=schema.field(i).type) for i, k in enumerate(key)), *(lists(t.reshape(1, -1)) for t in total)], names=schema.names)
-
     def run(batches: Iterator[pa.RecordBatch]):
         now, total, schema = None, [], None
         for batch in batches:
@@ -44,24 +82,31 @@ def adding(n_keys: int, op: Callable = np.add) -> Callable:
                         op(t, g, out=t)
                 else:
                     if now is not None:
-                        yield row(now, total, schema)
+                        yield _row(now, total, schema)
                     now, total = key, [np.array(g, dtype=np.float64) for g in given]
         if now is not None:
-            yield row(now, total, schema)
+            yield _row(now, total, schema)
 
     return run
 
 
-def summed(parts: DataFrame, keys: list[str], op: Callable = np.add) -> DataFrame:
-    """keys and the array columns (doubles) summed value by value: within tasks first, then, if tasks are many, in SPREAD tasks a key, then in one."""
+def summed(parts: DataFrame, keys: list[str], op: Callable = np.add, combined: bool = False, last: Callable | None = None, adds: tuple[str, ...] = ()) -> DataFrame:
+    """keys and the array columns (doubles) summed value by value: within tasks first, then, if tasks are many, in SPREAD tasks a key, then in one.
+
+    `combined` parts are summed within tasks already. `last` is a kernel for the sums, run where the last of them are made; it adds the array columns `adds`.
+    """
     names = [c for c in parts.columns if c not in keys]
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fields = lambda df, ks: T.StructType([*(df.schema[k] for k in ks), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in names)])
-    made = parts.select(*keys, *names).sortWithinPartitions(*keys).mapInArrow(adding(len(keys), op), fields(parts, keys))
+    fields = lambda df, ks, cs: T.StructType([*(df.schema[k] for k in ks), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in cs)])
+    made = parts.select(*keys, *names)
+    if not combined:
+        made = made.sortWithinPartitions(*keys).mapInArrow(adding(len(keys), op), fields(parts, keys, names))
     if n > SPREAD:
         made = made.withColumn("salt", F.spark_partition_id() % SPREAD)
     for ks in ([*keys, "salt"], keys) if n > SPREAD else (keys,):
-        made = made.select(*ks, *names).repartition(n, *ks).sortWithinPartitions(*ks).mapInArrow(adding(len(ks), op), fields(made, ks))
+        end = last is not None and ks is keys
+        kernel = chained(adding(len(ks), op), last) if end else adding(len(ks), op)
+        made = made.select(*ks, *names).repartition(n, *ks).sortWithinPartitions(*ks).mapInArrow(kernel, fields(made, ks, [*names, *adds] if end else names))
     return made
 
 
@@ -91,8 +136,11 @@ def _joined(tiles: DataFrame, blocks: DataFrame, key: str, values: int) -> DataF
     return tiles.select("session", "fb", "pb", F.size("frames").alias("n"), "x").join(F.broadcast(given) if 8 * values <= SMALL_BYTES else given, ["session", key])
 
 
-def _product(tiles: DataFrame, blocks: DataFrame, key: str, other: str, turns: dict[str, np.ndarray], values: int, label: str) -> DataFrame:
-    """(session, other, z, g): tiles times blocks z, each turned by its session's k x k matrix first; g is z^T z of the block."""
+def _product(tiles: DataFrame, blocks: DataFrame, key: str, other: str, turns: dict[str, np.ndarray], values: int, held: bool, label: str) -> DataFrame:
+    """(session, other, z, g): tiles times blocks z, each turned by its session's k x k matrix first; g is z^T z of the block.
+
+    If tiles of one product are neighbours or all products of a task are few (`held`), they are summed where they are made, else once they are sorted.
+    """
 
     def run(batches):
         for batch in batches:
@@ -103,36 +151,33 @@ def _product(tiles: DataFrame, blocks: DataFrame, key: str, other: str, turns: d
                 made = x @ q if key == "pb" else x.T @ q
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), batch.column(1).slice(r, 1), lists(made.reshape(1, -1))], names=["session", other, "z"])
 
-    parts = _joined(tiles, blocks, key, values).select("session", other, "n", "x", "given")
-    total = summed(parts.mapInArrow(run, f"session string, {other} {'int' if other == 'pb' else 'long'}, z array<double>"), ["session", other])
-    return materialize(_with_gram(total, other, {s: t.shape[1] for s, t in turns.items()}), label, ARRAY_ROWS)
+    schema = f"session string, {other} {'int' if other == 'pb' else 'long'}, z array<double>"
+    parts = _joined(tiles, blocks, key, values).select("session", other, "n", "x", "given").mapInArrow(chained(run, gathering(2)) if held else run, schema)
+    return materialize(summed(parts, ["session", other], combined=held, last=_with_gram(other, {s: t.shape[1] for s, t in turns.items()}), adds=("g",)), label, ARRAY_ROWS)
 
 
-def _with_gram(blocks: DataFrame, key: str, k: dict[str, int]) -> DataFrame:
+def _with_gram(key: str, k: dict[str, int]) -> Callable:
     def run(batches):
         for batch in batches:
             for r, s in enumerate(batch.column(0).to_pylist()):
                 z = batch.column(2)[r].values.to_numpy().reshape(-1, k[s])
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(r, 1) for i in range(3)), lists((z.T @ z).reshape(1, -1))], names=["session", key, "z", "g"])
 
-    return blocks.select("session", key, "z").mapInArrow(run, T.StructType([blocks.schema["session"], blocks.schema[key], *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in "zg")]))
-
-
-def grams(blocks: DataFrame) -> dict[str, np.ndarray]:
-    """Each session's k x k sum of g."""
-    return {r.session: np.reshape(r.g, (round(len(r.g) ** 0.5), -1)) for r in summed(blocks.select("session", "g"), ["session"]).collect()}
+    return run
 
 
-def turned(blocks: DataFrame, key: str, turns: dict[str, np.ndarray]) -> DataFrame:
-    """Blocks times their session's matrix, with g made anew."""
+def grams(blocks: DataFrame, turns: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Each session's k x k sum of g, or of z^T z for blocks z times their session's matrix."""
 
     def run(batches):
         for batch in batches:
             for r, s in enumerate(batch.column(0).to_pylist()):
-                z = batch.column(2)[r].values.to_numpy().reshape(-1, len(turns[s])) @ turns[s]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), batch.column(1).slice(r, 1), lists(z.reshape(1, -1)), lists((z.T @ z).reshape(1, -1))], names=["session", key, "z", "g"])
+                z = batch.column(1)[r].values.to_numpy().reshape(-1, len(turns[s])) @ turns[s]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), lists((z.T @ z).reshape(1, -1))], names=["session", "g"])
 
-    return blocks.select("session", key, "z").mapInArrow(run, blocks.select("session", key, "z", "g").schema)
+    parts = blocks.select("session", "g" if turns is None else "z").mapInArrow(gathering(1) if turns is None else chained(run, gathering(1)), "session string, g array<double>")
+    with arrow_rows(blocks.sparkSession, ARRAY_ROWS):
+        return {r.session: np.reshape(r.g, (round(len(r.g) ** 0.5), -1)) for r in summed(parts, ["session"], combined=True).collect()}
 
 
 def whitening(gram: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -167,10 +212,10 @@ def random_blocks(tiles: DataFrame, k: dict[str, int], seed: int, label: str) ->
 
 
 def times_pixels(tiles: DataFrame, basis: DataFrame, turns: dict[str, np.ndarray], values: int, label: str) -> DataFrame:
-    """X Q by blocks of frames, for Q by blocks of pixels."""
-    return _product(tiles, basis, "pb", "fb", turns, values, label)
+    """X Q by blocks of frames, for Q by blocks of pixels. Tiles lie by blocks of frames, and stay so if the basis is broadcast."""
+    return _product(tiles, basis, "pb", "fb", turns, values, 8 * values <= SMALL_BYTES, label)
 
 
-def times_frames(tiles: DataFrame, scores: DataFrame, turns: dict[str, np.ndarray], values: int, label: str) -> DataFrame:
-    """X^T Y by blocks of pixels, for Y by blocks of frames."""
-    return _product(tiles, scores, "fb", "pb", turns, values, label)
+def times_frames(tiles: DataFrame, scores: DataFrame, turns: dict[str, np.ndarray], values: int, basis_values: int, label: str) -> DataFrame:
+    """X^T Y by blocks of pixels, for Y by blocks of frames; the product has basis_values numbers."""
+    return _product(tiles, scores, "fb", "pb", turns, values, 8 * basis_values <= HELD_BYTES, label)

@@ -13,7 +13,7 @@ from brightfield.functions.kernels import power
 from brightfield.operators import blocks
 from brightfield.operators.arrays import is_frames, small
 from brightfield.operators.base import FRAME, PIXEL, UNIT
-from brightfield.sources.storage import discard
+from brightfield.sources.storage import arrow_rows, discard, materialize
 
 
 def shift_nonneg(movie: DataFrame, every: int = 1) -> DataFrame:
@@ -47,10 +47,10 @@ def randomized_svd(frame_rows: DataFrame, n: int, iters: int = 5, seed: int = 42
     for _ in range(iters):
         scores = blocks.times_pixels(tiles, basis, turn, basis_values, "svd-scores")
         past = basis
-        basis = blocks.times_frames(tiles, scores, blocks.whitening(blocks.grams(scores)), score_values, "svd-basis")
+        basis = blocks.times_frames(tiles, scores, blocks.whitening(blocks.grams(scores)), score_values, basis_values, "svd-basis")
         discard(past, scores)
         turn = blocks.whitening(blocks.grams(basis))
-    again = blocks.whitening(blocks.grams(blocks.turned(basis, "pb", turn)))
+    again = blocks.whitening(blocks.grams(basis, turn))
     turn = {s: t @ again[s] for s, t in turn.items()}
     scores = blocks.times_pixels(tiles, basis, turn, basis_values, "svd-scores")
     rows, right, left = [], {}, {}
@@ -61,26 +61,31 @@ def randomized_svd(frame_rows: DataFrame, n: int, iters: int = 5, seed: int = 42
         rows += [(session, "S", i, 0, float(x)) for i, x in enumerate(root)]
         right[session], left[session] = turn[session] @ vectors[:, top], vectors[:, top] / np.where(root > 1e-12, root, np.inf)
     signs = {s: np.ones(m.shape[1]) for s, m in right.items()}
-    v = _triples(blocks.turned(basis, "pb", right).select("session", F.col("pb").cast("long").alias("b"), "z"), {s: m.shape[1] for s, m in right.items()}, None)
-    for r in v.groupBy("session", "k").agg(F.max_by("value", F.struct(F.abs("value"), -F.col("index"))).alias("most")).collect():  # n rows a recording
-        signs[r.session][r.k] = -1.0 if r.most < 0 else 1.0
-    frames = tiles.where("pb = 0").select("session", "fb", "frames")
-    turned = blocks.turned(scores, "fb", {s: m * signs[s] for s, m in left.items()}).join(frames, ["session", "fb"])
-    v = _triples(blocks.turned(basis, "pb", {s: m * signs[s] for s, m in right.items()}).select("session", F.col("pb").cast("long").alias("b"), "z"), {s: m.shape[1] for s, m in right.items()}, None)
-    u = _triples(turned.select("session", F.col("fb").alias("b"), "z", "frames"), {s: m.shape[1] for s, m in left.items()}, "frames")
-    small = spark.createDataFrame(rows, "session string, part string, k int, index long, value double")
-    return small.unionByName(u.select("session", F.lit("U").alias("part"), "k", "index", "value")).unionByName(v.select("session", F.lit("V").alias("part"), "k", "index", "value"))
-
-
-def _triples(table: DataFrame, n: dict[str, int], frames: str | None) -> DataFrame:
-    """(session, k, index, value) of blocks (session, b, z): index is the frame, or the place of the pixel."""
+    pixels = basis.select("session", F.col("pb").cast("long").alias("b"), "z")
+    with arrow_rows(spark, blocks.ARRAY_ROWS):
+        for r in _triples(pixels, right, False).groupBy("session", "k").agg(F.max_by("value", F.struct(F.abs("value"), -F.col("index"))).alias("most")).collect():  # n rows a recording
+            signs[r.session][r.k] = -1.0 if r.most < 0 else 1.0
+    v = _triples(pixels, {s: m * signs[s] for s, m in right.items()}, False)
+    frames = tiles.where("pb = 0").select("session", F.col("fb").alias("b"), "frames")
+    u = _triples(scores.select("session", F.col("fb").alias("b"), "z").join(frames, ["session", "b"]), {s: m * signs[s] for s, m in left.items()}, True)
+    columns = zip(*rows, strict=True) if rows else [()] * 5
+    kinds = {"session": pa.string(), "part": pa.string(), "k": pa.int32(), "index": pa.int64(), "value": pa.float64()}
+    small = spark.createDataFrame(pa.table([pa.array(c, type=t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds)))  # rows of Python would start workers
+    made = small.unionByName(u.select("session", F.lit("U").alias("part"), "k", "index", "value")).unionByName(v.select("session", F.lit("V").alias("part"), "k", "index", "value"))
+    made = materialize(made, "svd", blocks.ARRAY_ROWS)
+    discard(tiles, basis, scores)
+    return made
+
+
+def _triples(table: DataFrame, turns: dict[str, np.ndarray], frames: bool) -> DataFrame:
+    """(session, k, index, value) of blocks (session, b, z) times their session's matrix: index is the frame, or the place of the pixel."""
 
     def run(batches):
         for batch in batches:
             for r, s in enumerate(batch.column(0).to_pylist()):
-                z = batch.column(2)[r].values.to_numpy().reshape(-1, n[s])
+                z = batch.column(2)[r].values.to_numpy().reshape(-1, len(turns[s])) @ turns[s]
                 index = batch.column(3)[r].values.to_numpy() if frames else batch.column(1)[r].as_py() * blocks.TILE_PIXELS + np.arange(len(z))
-                at, ks = np.meshgrid(index, np.arange(n[s], dtype=np.int32), indexing="ij")
+                at, ks = np.meshgrid(index, np.arange(z.shape[1], dtype=np.int32), indexing="ij")
                 yield pa.RecordBatch.from_arrays([pa.array([s] * z.size), pa.array(ks.ravel()), pa.array(at.ravel()), pa.array(z.ravel())], names=["session", "k", "index", "value"])
 
     return table.mapInArrow(run, "session string, k int, index long, value double")
